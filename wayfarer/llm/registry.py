@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, sharding, simhash
+from . import exact_dedup, html_text, mixing, sharding, simhash, warc
 
-MODULES = (mixing, exact_dedup, sharding, simhash)
+MODULES = (mixing, exact_dedup, html_text, sharding, warc, simhash)
 
 
 def queries() -> dict:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_text, mixing, sharding, simhash, warc
+from . import decontamination, exact_dedup, html_text, mixing, sharding, simhash, warc
 
-MODULES = (mixing, exact_dedup, html_text, sharding, warc, simhash)
+MODULES = (mixing, exact_dedup, html_text, sharding, decontamination, warc, simhash)
 
 
 def queries() -> dict:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, html_text, language_id, mixing, sharding, simhash, warc
+from . import decontamination, exact_dedup, html_text, language_id, licenses, mixing, sharding, simhash, warc
 
-MODULES = (mixing, language_id, exact_dedup, html_text, sharding, decontamination, warc, simhash)
+MODULES = (mixing, language_id, exact_dedup, html_text, sharding, decontamination, warc, simhash, licenses)
 
 
 def queries() -> dict:

@@ -6,14 +6,12 @@ A row's posterior over the languages is the product of
   two-letter first path segment), each from a table of the whole corpus smoothed towards independence,
 - its host's prior, smoothed towards its domain's, that towards the corpus'; the row's own share is taken out.
 The tables are grouped sums of the text posteriors over all rows, and are joined back by value.
-A row is rejected (language "und") if it has no letters or if its text is less likely under the best language than
-under no language at all (all trigrams alike); other evidence never rejects. Null and empty texts
-are "und"; null hosts, addresses and declarations are no evidence.
+A row is rejected (language "und") if it has no letters or if most of its trigrams, of MIN_TRIGRAMS at least, occur in no
+labelled text; other evidence never rejects. Null and empty texts are "und"; null hosts, addresses and declarations are no evidence.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +25,7 @@ from .common import materialize, table, text_of
 #: Labelled rows that the text model is fitted on: FIT_ROWS are aimed at, twice that is the bound.
 FIT_ROWS = 4000
 SLOTS, SMOOTH = 1 << 16, 0.5
+SEEN_SHARE, MIN_TRIGRAMS = 0.5, 12
 #: Rows' worth of the coarser level in a host's and a domain's prior, and of independence in the tables.
 HOST_SMOOTH, DOMAIN_SMOOTH, TABLE_SMOOTH = 20.0, 50.0, 20.0
 UNKNOWN = "und"
@@ -47,10 +46,10 @@ def trigrams(text: str | None) -> Iterator[np.ndarray]:
 
 
 class TextModel:
-    """Log likelihoods (slots x languages) of trigrams."""
+    """Log likelihoods (slots x languages) of trigrams, and which slots occur in any labelled text."""
 
-    def __init__(self, languages: list[str], logs: np.ndarray):
-        self.languages, self.logs = languages, logs
+    def __init__(self, languages: list[str], logs: np.ndarray, seen: np.ndarray):
+        self.languages, self.logs, self.seen = languages, logs, seen
 
     @classmethod
     def fit(cls, rows: list[tuple[str, str]]) -> TextModel:
@@ -59,15 +58,16 @@ class TextModel:
         for language, text in rows:
             for slots in trigrams(text):
                 counts[:, languages.index(language)] += np.bincount(slots, minlength=SLOTS)
-        return cls(languages, np.log(counts / counts.sum(axis=0)).astype(np.float32))
+        return cls(languages, np.log(counts / counts.sum(axis=0)).astype(np.float32), (counts > SMOOTH).any(axis=1))
 
-    def score(self, text: str | None) -> tuple[int, np.ndarray]:
-        """Trigrams, and the summed log likelihood under each language."""
-        n, total = 0, np.zeros(len(self.languages))
+    def score(self, text: str | None) -> tuple[bool, np.ndarray]:
+        """Whether the text is in a known language at all, and its summed log likelihood under each language."""
+        n, seen, total = 0, 0, np.zeros(len(self.languages))
         for slots in trigrams(text):
             n += len(slots)
+            seen += int(self.seen[slots].sum())
             total += np.bincount(slots, minlength=SLOTS) @ self.logs if len(slots) > SLOTS else self.logs[slots].sum(axis=0, dtype=np.float64)
-        return n, total
+        return n > 0 and (n < MIN_TRIGRAMS or seen >= SEEN_SHARE * n), total
 
 
 def fit(labelled: DataFrame, text: str = "text", language: str = "lang", key: str = "doc_id", rows: int = FIT_ROWS) -> TextModel:
@@ -98,8 +98,8 @@ def suffix_of(url: Column) -> Column:
     """Top-level domain and first path segment where that has two letters, such as com/fr."""
     top = F.regexp_extract(host_of(url), r"\.([a-z]+)$", 1)
     first = F.lower(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//[^/?#]+/([a-zA-Z]{2})(?:[/?#-]|$)", 1))
-    found = F.concat_ws("/", top, first)
-    return F.when(~found.isin("", "/"), found)
+    found = F.concat_ws("/", F.nullif(top, F.lit("")), F.nullif(first, F.lit("")))
+    return F.nullif(found, F.lit(""))
 
 
 def _share(sums: Column, n: Column, coarse: Column, smooth: float) -> Column:
@@ -115,15 +115,14 @@ def identify(rows: DataFrame, model: TextModel, text: str = "text", host: str |
     if not languages:
         return rows.select(*keep, F.xxhash64(text_of(text)).alias("text_hash"), F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("probability"), F.lit(UNKNOWN).alias("text_lang"))
     shared = spark.sparkContext.broadcast(model)
-    zero = -math.log(SLOTS)
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def scores(texts: pd.Series) -> pd.Series:
         own, out = shared.value, []
         for x in texts:
-            n, total = own.score(x)
+            known, total = own.score(x)
             # Neighbouring trigrams share bytes: each byte counts once. The last entry: is there a language at all?
-            out.append([*(total / 3).tolist(), float(n > 0 and total.max() > n * zero)])
+            out.append([*(total / 3).tolist(), float(known)])
         return pd.Series(out)
 
     evidence = {"host": host, "domain": domain, "declared": declared, "suffix": suffix}

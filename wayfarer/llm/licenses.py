@@ -120,8 +120,11 @@ def own_licences(files: DataFrame, text: str, keep: list[str], threshold: float
 
 
 def scan(files: DataFrame, path: str = "path", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """files less text, with own_licence, cosine, licence and licence_from (path of the directory, null if its own)."""
-    named = files.withColumns({"__path": F.col(path), "__hash": F.xxhash64(text_of(text))})
+    """files less text, with own_licence, cosine, licence and licence_from (path of the directory, null if its own).
+
+    Input columns of these names are replaced.
+    """
+    named = files.drop("own_licence", "cosine", "licence", "licence_from").withColumns({"__path": F.col(path), "__hash": F.xxhash64(text_of(text))})
     own = materialize(own_licences(named, text, ["__path", "__hash"], threshold), "own").withColumnsRenamed({"__path": "o_path", "__hash": "o_hash"})
     folder = F.regexp_replace(F.col("__path"), r"/?[^/]*$", "")
     rows = named.drop(text).withColumn("__dir", folder)

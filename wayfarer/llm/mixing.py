@@ -88,13 +88,15 @@ def _thresholds(keyed: DataFrame) -> DataFrame:
     last = ties.withColumn("until", until).where(F.col("until") - F.col("s") / 2 <= F.col("rest"))
     last = last.groupBy(F.col("source").alias("s_source")).agg(F.max(F.struct("__key", "__tie")).alias("last"))
     plan = plan.join(last, plan["source"].eqNullSafe(last["s_source"]), "left")
-    return materialize(plan.select(F.col("source").alias("p_source"), "source_size", "weight", "target", "epochs", (F.col("cell") * F.lit(1 << shift)).cast("long").alias("cell_from"), F.col("last.__key").alias("last_key"), F.col("last.__tie").alias("last_tie")), "plan")
+    named = {"__p_source": "source", "__source_size": "source_size", "__target": "target", "__epochs": "epochs", "__last_key": "last.__key", "__last_tie": "last.__tie"}
+    named = [F.col(c).alias(k) for k, c in named.items()]  # names that an input's other columns don't have
+    return materialize(plan.select(*named, (F.col("cell") * F.lit(1 << shift)).cast("long").alias("__cell_from")), "plan")
 
 
 def _times(keyed: DataFrame, plan: DataFrame) -> DataFrame:
-    upto = (F.col("__cell") < F.col("cell_from")) | (F.col("__key") < F.col("last_key")) | ((F.col("__key") == F.col("last_key")) & (F.col("__tie") <= F.col("last_tie")))
+    upto = (F.col("__cell") < F.col("__cell_from")) | (F.col("__key") < F.col("__last_key")) | ((F.col("__key") == F.col("__last_key")) & (F.col("__tie") <= F.col("__last_tie")))
     once_more = F.when(F.coalesce(upto, F.lit(False)), 1).otherwise(0)
-    return keyed.join(plan, keyed["__source"].eqNullSafe(plan["p_source"])).withColumn("__times", F.col("epochs") + once_more)
+    return keyed.join(plan, keyed["__source"].eqNullSafe(plan["__p_source"])).withColumn("__times", F.col("__epochs") + once_more)
 
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", seed: str = SEED) -> DataFrame:
@@ -109,7 +111,7 @@ def digest(docs: DataFrame, seed: str = SEED) -> DataFrame:
     keyed = _keyed(docs.select("doc_id", "source", "text"), "text", "source", "doc_id", seed)
     keyed = materialize(keyed.select("doc_id", "__source", "__size", "__key", "__tie", "__cell"), "keys")
     found = _times(keyed, _thresholds(keyed))
-    return found.select("doc_id", F.col("__source").alias("source"), F.col("__size").alias("size"), "source_size", "target", (F.col("__size") * F.col("__times")).alias("taken"))
+    return found.select("doc_id", F.col("__source").alias("source"), F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__size") * F.col("__times")).alias("taken"))
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

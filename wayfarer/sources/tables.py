@@ -137,10 +137,11 @@ def attach_engagement(beacons: DataFrame, sessions: DataFrame, gap_seconds: int
 
 def resolve_visitors(requests: DataFrame, visitors: DataFrame) -> DataFrame:
     """requests (visitor_id, external_id, signal_visitor_id) with resolved_id, or error: an id comes before an external id, that before signals."""
-    known = visitors.select("workspace_id", F.col("id").alias("k_id"))
-    person = visitors.where(F.col("person_external_id").isNotNull() & (F.coalesce(F.col("status"), F.lit("")) != "merged")).groupBy("workspace_id", F.col("person_external_id").alias("p_external")).agg(F.min("id").alias("p_id"))
-    found = requests.join(known, (requests["workspace_id"] == known["workspace_id"]) & (requests["visitor_id"] == known["k_id"]), "left").drop(known["workspace_id"])
-    found = found.join(person, (found["workspace_id"] == person["workspace_id"]) & (found["external_id"] == person["p_external"]), "left").drop(person["workspace_id"])
+    known = visitors.select(F.col("workspace_id").alias("k_ws"), F.col("id").alias("k_id"))
+    live = visitors.where(F.col("person_external_id").isNotNull() & (F.coalesce(F.col("status"), F.lit("")) != "merged"))
+    person = live.groupBy(F.col("workspace_id").alias("p_ws"), F.col("person_external_id").alias("p_external")).agg(F.min("id").alias("p_id"))
+    found = requests.join(known, (F.col("workspace_id") == F.col("k_ws")) & (F.col("visitor_id") == F.col("k_id")), "left")
+    found = found.join(person, (F.col("workspace_id") == F.col("p_ws")) & (F.col("external_id") == F.col("p_external")), "left")
     named, external = F.col("visitor_id").isNotNull(), F.col("external_id").isNotNull()
     resolved = F.when(named, F.col("k_id")).when(external, F.col("p_id")).otherwise(F.col("signal_visitor_id"))
     error = F.when(resolved.isNull() & (named | external), "404 visitor not found").when(resolved.isNull(), "422 no visitor given")

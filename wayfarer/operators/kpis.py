@@ -48,11 +48,12 @@ def session_headline(sessions: DataFrame, window: TimeWindow, workspace: str = D
 
 
 def kpis(events: DataFrame, visitors: DataFrame, sessions: DataFrame, window: TimeWindow, workspace: str = DEFAULT_WORKSPACE, filters: Iterable[tuple] = ()) -> DataFrame:
-    """The nine headline numbers: one row. Two one-row aggregates are put side by side by a constant key."""
-    active = active_metrics(events, visitors, window, workspace, filters).withColumn("k", F.lit(1))
-    headline = session_headline(sessions, window, workspace, filters).withColumn("k", F.lit(1))
+    """The nine headline numbers: one row, two one-row aggregates laid over one another."""
+    active = active_metrics(events, visitors, window, workspace, filters)
+    headline = session_headline(sessions, window, workspace, filters)
+    both = active.unionByName(headline, allowMissingColumns=True)
     rate = F.when(F.col("visitors") > 0, F.col("identified_visitors") / F.col("visitors")).otherwise(0.0)
-    found = active.join(headline, "k").withColumn("identification_rate", rate)
+    found = both.agg(*[F.max(c).alias(c) for c in both.columns]).withColumn("identification_rate", rate)
     return found.select("visitors", "new_visitors", "pageviews", "revenue", "identification_rate", "sessions", "bounce_rate", "avg_duration", "engaged_rate")
 
 

@@ -17,7 +17,7 @@ from .common import materialize, table, text_of
 #: A document is taken MOST_EPOCHS times at most.
 MOST_EPOCHS, SEED = 3, "mix-1"
 #: Keys are cells of CELL_BITS more bits in each level; a cell of fewer rows than PER_CELL is sorted whole.
-KEY_BITS, CELL_BITS, PER_CELL = 52, 13, 20_000
+KEY_BITS, CELL_BITS, PER_CELL = 52, 13, 2_000
 
 
 def words(text: Column) -> Column:

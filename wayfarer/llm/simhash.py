@@ -90,7 +90,9 @@ def drop_near(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
     stay = materialize(stay, "stay")
     kept = docs.withColumn("__text", F.xxhash64(text_of(text)))
     kept = kept.join(stay, kept[key].eqNullSafe(stay["__id"]) & (kept["__text"] == stay["__hash"]), "left_semi")
-    return kept.dropDuplicates([key, "__text"]).select(*docs.columns)
+    if found.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count():  # else texts needn't move again
+        kept = kept.dropDuplicates([key, "__text"])
+    return kept.select(*docs.columns)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

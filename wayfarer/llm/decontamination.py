@@ -77,7 +77,7 @@ def item_shingles(items: DataFrame, words: int, threshold: float) -> DataFrame:
                 least = set(order[: sketch_size(len(order), threshold)])
                 same = xxhash.xxh64_intdigest(np.array(order, np.uint64).tobytes())
                 rows += [(item, width, len(order), np.uint64(same).astype(np.int64), found[h], np.uint64(h).astype(np.int64), h in least) for h in order]
-            out = pd.DataFrame(rows, columns=ITEM.names)
+            out = pd.DataFrame(rows, columns=ITEM.names, dtype=object)  # plain objects: no text column in several chunks
             yield out.astype({"item_id": "Int64"})
 
     return items.mapInPandas(each, ITEM)
@@ -120,7 +120,7 @@ def find_items(docs: DataFrame, items: DataFrame, words: int = WORDS, threshold:
                     found += here
                     ids += [doc] * len(here)
                     texts += [text_hash] * len(here)
-            yield pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "text_hash": pd.array(texts, "Int64"), "shingle": found})
+            yield pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "text_hash": pd.array(texts, "Int64"), "shingle": pd.Series(found, dtype=object)})
 
     body = text_of(text)
     hits = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(body).alias("text_hash"), body.alias("text")).mapInPandas(search, FOUND)

@@ -213,6 +213,39 @@ def test_near_passages_and_cuts(make_docs):
     assert cut[1] == rows[0][1] and cut[3] == rows[2][1] and cut[4].strip() == "" and len(cut[2].split()) == 160
 
 
+def test_near_passages_without_long_equal_runs(make_docs):
+    rng = random.Random(12)
+    passages = [words(rng, 300) for _ in range(8)]
+    rows = []
+    for i, p in enumerate(passages):
+        edited = [f"edit{k}" if k % 45 == 30 else w for k, w in enumerate(p)]
+        rows += [(i, " ".join(words(rng, 70) + p + words(rng, 70))), (100 + i, " ".join(words(rng, 90) + edited + words(rng, 90)))]
+    found = [r for r in substring_dedup.find_passages(make_docs(rows)).collect() if r.doc_id >= 100]
+    assert {r.doc_id for r in found} == {100 + i for i in range(8)}
+    for r in found:
+        assert (r.kind, r.owner_id) == ("near", r.doc_id - 100) and 90 <= r.start_word < r.end_word <= 390
+        assert r.start_word - r.owner_start == 20
+    assert sum(r.end_word - r.start_word for r in found) >= 0.6 * 8 * 300
+
+
+def brute_similar(a, b, block=46):
+    return {s for s in range(len(a) - block + 1) if any(len(x & y) >= 0.8 * len(x | y) for x in [set(a[s : s + block])] for y in (set(b[t : t + block]) for t in range(len(b) - block + 1)))}
+
+
+def test_similar_blocks_of_cells():
+    rng = random.Random(13)
+    for _ in range(40):
+        a = [rng.randrange(1 << 32) for _ in range(60)]
+        b = list(a)
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(b))
+            b[at : at + rng.randint(0, 4)] = [rng.randrange(1 << 32) for _ in range(rng.randint(0, 4))]
+        if len(b) < 46:
+            continue
+        cells = [substring_dedup.Cell(i, 0, 20, b"".join(k.to_bytes(4, "little") for k in x), 46) for i, x in enumerate((a, b))]
+        assert set(substring_dedup.similar(*cells, range(15), 0.8)) == brute_similar(a, b)
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     n = odd_docs.count()
     copies = exact_dedup.find_copies(odd_docs).collect()

@@ -213,6 +213,29 @@ def test_near_passages_and_cuts(make_docs):
     assert cut[1] == rows[0][1] and cut[3] == rows[2][1] and cut[4].strip() == "" and len(cut[2].split()) == 160
 
 
+def brute_owners(rows, block=50):
+    """(document, first word, owner, owner's first word) of each block that two texts have."""
+    seen, split = {}, {d: (t or "").split() for d, t in sorted(rows)}
+    held = defaultdict(set)
+    for d, w in split.items():
+        for i in range(len(w) - block + 1):
+            b = tuple(w[i : i + block])
+            seen.setdefault(b, (d, i))
+            held[b].add(d)
+    return {(d, i, *seen[b]) for d, w in split.items() for i in range(len(w) - block + 1) if len(held[b := tuple(w[i : i + block])]) > 1}
+
+
+def test_owners_of_neighbouring_passages(make_docs):
+    rng = random.Random(14)
+    p, q = words(rng, 90), words(rng, 110)
+    rows = [(i, " ".join(words(rng, 60) + w + words(rng, 60))) for i, w in ((1, p), (5, p + q), (9, p + q), (12, q + p))]
+    found = substring_dedup.find_passages(make_docs(rows))
+    got = {(r.doc_id, r.start_word + k, r.owner_id, r.owner_start + k) for r in found.collect() for k in range(r.end_word - r.start_word - 49) if r.kind == "exact"}
+    assert got == brute_owners(rows)
+    cut = {r.doc_id: r.text.split() for r in substring_dedup.remove_passages(make_docs(rows), found).collect()}
+    assert set(q) <= set(cut[5]) and not set(q) & set(cut[9]) and set(p) <= set(cut[1]) and not set(p) & set(cut[5])
+
+
 def test_near_passages_without_long_equal_runs(make_docs):
     rng = random.Random(12)
     passages = [words(rng, 300) for _ in range(8)]

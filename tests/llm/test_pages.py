@@ -101,6 +101,14 @@ def test_languages_of_held_out_texts(spark, make_docs):
     assert sum(found[d].lang == x for d, _, _, x in rows[300:]) >= 0.99 * 600
 
 
+def test_rare_languages_are_fitted(spark, make_docs):
+    rng = random.Random(15)
+    rows = [(i, sentences(rng, "en", 8), "a", "en") for i in range(12_000)] + [(20_000, sentences(rng, "de", 60), "a", "de"), (None, "один два три четыре пять шесть семь", "a", "ru")]
+    docs = make_docs(rows, extra=False)
+    assert language_id.fit(docs).languages == ["de", "en", "ru"]
+    assert {20_000, None} <= {r.doc_id for r in language_id.drop_unknown(docs).collect()}
+
+
 def test_other_evidence_decides_where_text_does_not(spark):
     rng = random.Random(10)
     model = language_id.TextModel.fit([(x, sentences(rng, x, 400)) for x in SYLLABLES])

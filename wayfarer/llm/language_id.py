@@ -16,14 +16,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import materialize, table, text_of
 
-#: Labelled rows that the text model is fitted on: FIT_ROWS are aimed at, twice that is the bound.
-FIT_ROWS = 4000
+#: Labelled rows of each language that the text model is fitted on at most.
+FIT_ROWS = 1000
 SLOTS, SMOOTH = 1 << 16, 0.5
 SEEN_SHARE, MIN_TRIGRAMS = 0.5, 12
 #: Rows' worth of the coarser level in a host's and a domain's prior, and of independence in the tables.
@@ -71,11 +71,19 @@ class TextModel:
 
 
 def fit(labelled: DataFrame, text: str = "text", language: str = "lang", key: str = "doc_id", rows: int = FIT_ROWS) -> TextModel:
-    """The text model of a sample of labelled (about rows rows, chosen by the hash of the key)."""
-    labelled = labelled.where(F.col(language).isNotNull() & F.col(text).isNotNull())
-    share = min(1.0, rows / max(1, labelled.count()))
-    chosen = labelled.where(F.pmod(F.xxhash64(F.col(key), F.lit("fit")), F.lit(1 << 30)) < int(share * (1 << 30)))
-    return TextModel.fit([(x[0], x[1]) for x in chosen.select(language, text).limit(2 * rows).collect()])
+    """The text model of a sample of labelled: of every language the rows of least hash, rows at most.
+
+    All languages of the table are counted, so that none is missing; the driver gets rows times their number.
+    """
+    place = F.pmod(F.xxhash64(F.col(key), F.col(text), F.lit("fit")), F.lit(1 << 30))
+    labelled = labelled.where(F.col(language).isNotNull() & F.col(text).isNotNull()).select(F.col(language).alias("language"), F.col(text).alias("text"), place.alias("place"))
+    # Below the limit are about 2 * rows rows of a language, and its least one in any case.
+    limit = F.greatest(F.min("place"), (F.lit(2.0 * rows) / F.count("*") * (1 << 30)).cast("long")).alias("limit")
+    limits = materialize(labelled.groupBy("language").agg(limit), "languages")
+    chosen = labelled.join(F.broadcast(limits), "language").where("place <= limit")
+    first = F.row_number().over(Window.partitionBy("language").orderBy("place", "text"))
+    chosen = chosen.withColumn("i", first).where(F.col("i") <= rows)
+    return TextModel.fit([(x[0], x[1]) for x in chosen.select("language", "text").collect()])
 
 
 def declared_in(html: Column) -> Column:

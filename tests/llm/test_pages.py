@@ -41,6 +41,11 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+def test_articles_of_links_alone():
+    assert html_text.main_text("<main><ul><li><a href=x>One</a></li></ul></main>") == ""
+    assert html_text.main_text("<article><p><a href=x>All of it, linked.</a></p></article>") == "All of it, linked."
+
+
 def test_long_pages_are_read_whole():
     page = "<article>" + "".join(f"<p>Paragraph {i}, with text.</p>" for i in range(20_000)) + "</article>"
     assert html_text.main_text(page).count("\n\n") == 19_999

@@ -173,8 +173,9 @@ def main_text(page: str | None) -> str:
     most = [e for e in held if held[e] >= 0.8 * total]
     container = max(most, key=lambda e: depth[e], default=0)
     if inside:  # an article or main element around the container is the container
-        line = next(x for x in solid if x[0] in chosen and (not container or container in x[1]))
-        tops = [e for y, e in zip(line[0], line[1], strict=True) if y.split(".")[0] in ("article", "main")]
+        # Without a content path (all text is in links) there is no container: all blocks but lists of links are kept.
+        line = next((x for x in solid if x[0] in chosen and (not container or container in x[1])), None)
+        tops = [e for y, e in zip(line[0], line[1], strict=True) if y.split(".")[0] in ("article", "main")] if line else []
         container = tops[0] if tops and (not container or depth[container] >= depth[tops[0]]) else container
     elif container and solid:
         line = next(x for x in solid if container in x[1])

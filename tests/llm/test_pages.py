@@ -85,6 +85,15 @@ def test_archives_round_trip(spark, tmp_path):
     assert all(r.payload == texts[r.page_id] for r in back if r.record_type == "response" and r.page_id in texts)
 
 
+def test_payloads_that_end_in_line_breaks(spark, tmp_path):
+    ends = ["\r\n", "\r\n\r\n\r\n", "\n", "\r", "\r\n\r", "\n\r\n", "\r\n\r\n\r\n\r\n\r\n", "\r\n\r\n", ""]
+    for k in range(len(ends)):  # each of them is the last of a file once
+        rows = [(i, f"http://h/{i}", body + e) for i, (e, body) in enumerate((e, b) for b in ("", "abc", "é" * 60) for e in ends[k:] + ends[:k])]
+        path = str(tmp_path / f"warc{k}")
+        warc.write_archives(pages(spark, rows).coalesce(1), path)
+        assert {r.page_id: r.payload for r in warc.read_archives(spark, path).collect()} == {i: html for i, _, html in rows}
+
+
 def test_empty_archives(spark, tmp_path):
     warc.write_archives(pages(spark, []), str(tmp_path / "none"))
     assert not warc.read_archives(spark, str(tmp_path / "none")).collect()

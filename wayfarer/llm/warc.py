@@ -73,29 +73,34 @@ def write_archives(pages: DataFrame, path: str, date: str = DATE, per_file: int
 
 
 def parse(fragments: Iterator[str | None], payloads: bool = True) -> Iterator[tuple]:
-    """Records of the pieces between end marks, in file order."""
-    for head in fragments:
+    """Records of the pieces between end marks, in file order.
+
+    A payload that ends in line breaks makes the reader cut before the record's end: what a record doesn't take of its last
+    piece is the head of the next one.
+    """
+    end, rest = END.encode(), ""
+    while (head := rest or next(fragments, None)) is not None:
+        rest = ""
         if not head:
             continue
         if not head.startswith("WARC/"):
             raise ValueError(f"not a record: {head[:80]!r}")
         fields = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in head.split("\r\n")[1:])
         length, block, held = int(fields["Content-Length"]), [], 0
-        while not block or held < length:
+        while held < length + len(end):
             piece = next(fragments, None)
             if piece is None:
                 break
-            held += len(piece.encode("utf-8", "surrogatepass")) + len(END) * bool(block)
-            block.append(piece)
-        # A block that ends in end marks has them as empty pieces; what is missing of the last one is its own end.
-        text = END.join(block)
-        if held < length:
-            text += END * (-(-(length - held) // len(END)))
-            held = len(text.encode("utf-8", "surrogatepass"))
-        if held != length:
+            block += [piece.encode("utf-8", "surrogatepass"), end]
+            held += len(block[-2]) + len(end)
+        raw = b"".join(block)
+        if length <= held < length + len(end):  # a file's last, incomplete piece may be missing
+            raw += end[held - length :]
+        if raw[length : length + len(end)] != end:
             raise ValueError(f"a record of {length} bytes has {held}")
-        payload = text.split(END, 1)[1]
-        data = payload.encode("utf-8", "surrogatepass")
+        rest = raw[length + len(end) : -len(end)].decode("utf-8", "surrogatepass")
+        data = raw[:length].split(end, 1)[1]
+        payload = data.decode("utf-8", "surrogatepass")
         whole = fields["WARC-Type"] == "response"
         digest = hashlib.sha256(data).hexdigest() if whole else fields["WARC-Payload-Digest"].removeprefix("sha256:")
         if whole and fields["WARC-Payload-Digest"] != f"sha256:{digest}":

@@ -39,6 +39,24 @@ def test_exact_copies(make_docs):
     assert kept.count() == sum(r.kept for r in found)
 
 
+def test_chains_of_colliding_hashes(spark, make_docs):
+    rng = random.Random(16)
+    rows = [(i, rng.choice("abcdefg") * rng.randint(0, 9) + " " * rng.randint(0, 2)) for i in range(300)]
+    keys = exact_dedup._keys(make_docs(rows), "text", "doc_id", 3)
+    index = exact_dedup.build_index(keys, exact_dedup.directory(keys.select("h").distinct(), 2))
+    assert index.count() <= 8 and index.agg(F.max(F.size("chain"))).first()[0] > 1
+    found = exact_dedup.find_copies(make_docs(rows), capacity=2, hash_bits=3).collect()
+    assert Counter((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in found) == brute_copies(rows)
+
+
+def test_copies_with_text_keys(spark):
+    docs = spark.createDataFrame([("b", "same  text", 1), ("a", "same text", 2), ("c", "sametext ", 3), (None, "else", 4), ("b2", "same text ", 5)], "doc_id string, text string, bucket int")
+    found = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.find_copies(docs).collect()}
+    assert found == {"b": ("b", 4, True), "a": ("b", 4, False), "c": ("b", 4, False), None: (None, 1, True), "b2": ("b", 4, False)}
+    left = exact_dedup.drop_copies(docs)
+    assert left.columns == docs.columns and {r.bucket for r in left.collect()} == {1, 4}
+
+
 def test_directory_splits_overfull_buckets(spark):
     entries = spark.range(3000).select(F.xxhash64("id").alias("h")).unionByName(spark.range(500).select(F.shiftrightunsigned(F.xxhash64("id"), 9).alias("h")))
     cells = exact_dedup.directory(entries, capacity=100)

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 from collections import Counter
 
 import pytest
@@ -152,13 +153,20 @@ def test_unknown_languages_go(odd_docs, no_docs, make_docs):
     assert 99 not in {r.doc_id for r in language_id.drop_unknown(make_docs(strange)).collect()}
 
 
-def cosine_by_hand(sentence, total, counts):
-    idf, rare, vectors = licenses._vectors(total, counts)
-    tf = Counter(re.findall(licenses.WORD, sentence.lower()))
-    weights = {w: n * idf.get(w, rare) for w, n in tf.items()}
-    norm = math.sqrt(sum(x * x for x in weights.values()))
-    scores = [(-round(sum(weights.get(w, 0) * x for w, x in v.items()) / norm, 9), name) for name, v in vectors] if norm else []
-    best = min(scores, default=(0, None))
+def terms(text):
+    return Counter(re.findall(r"[a-z0-9]+(?:[.+-][a-z0-9]+)*", text.lower()))
+
+
+def cosine_by_hand(unit, texts):
+    """(licence, cosine) of a unit, from the templates and the files' texts alone."""
+    total, held = len(texts), Counter(w for t in texts for w in terms(t or ""))
+    vocabulary = {w for ts in licenses.TEMPLATES.values() for t in ts for w in terms(t)}
+    vector = lambda t: {w: (1 + math.log(n)) * (math.log((total + 1) / ((held[w] if w in vocabulary else 0) + 1)) + 1) for w, n in terms(t).items()}
+    a, best = vector(unit), (0, None)
+    for name, statements in licenses.TEMPLATES.items():
+        for b in map(vector, statements):
+            norm = math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
+            best = min(best, (-round(sum(a.get(w, 0) * x for w, x in b.items()) / norm, 9) if norm else 0, name), key=lambda x: (x[0], x[1] or ""))
     return (best[1], -best[0]) if -best[0] >= licenses.THRESHOLD else None
 
 
@@ -182,11 +190,12 @@ def test_licences(spark):
     assert set(found.columns) == {"path", "depth", "own_licence", "cosine", "licence", "licence_from"}
     rows = found.collect()
     assert len(rows) == len(FILES)
-    total, counts = licenses.frequencies(files, "text")
-    assert total == len(FILES)
+    texts = [t for _, t in FILES]
+    assert licenses.frequencies(files, "text")[0] == len(FILES)
     by_path = {(r.path, r.own_licence): r for r in rows}
     for path, text in FILES:
-        hits = [h for s in re.split(licenses.SENTENCE, text or "") if (h := cosine_by_hand(s, total, counts))]
+        whole = [text] if text and path and path.rpartition("/")[2] in ("LICENSE", "COPYING") else []
+        hits = [h for s in re.split(r"[\n\r]+|(?<=[.!?])[ \t]+", text or "") + whole + (text or "").split("\n\n") if (h := cosine_by_hand(s, texts))]
         best = min(((-c, n) for n, c in hits), default=(None, None))
         r = by_path[path, best[1]]
         assert (r.cosine is None) == (best[0] is None) and (best[0] is None or math.isclose(r.cosine, -best[0]))
@@ -196,6 +205,36 @@ def test_licences(spark):
     assert not licenses.scan(files.limit(0)).collect()
 
 
+def wrapped(text, mark=""):
+    return "\n".join(mark + x for x in textwrap.wrap(text, 72))
+
+
+def test_licence_texts(spark):
+    full = {name: max(texts, key=len) for name, texts in licenses.TEMPLATES.items()}
+    gpl = licenses.TEMPLATES["GPL-3.0"]
+    notice = licenses.TEMPLATES["Apache-2.0"][4:6]
+    mit = full["MIT"].replace("The above copyright", "\n\nThe above copyright").replace("THE SOFTWARE IS", "\n\nTHE SOFTWARE IS", 1)
+    files = {
+        "mit/LICENSE": ("MIT", "MIT License\n\nCopyright (c) 2020 Some Body\n\n" + "\n\n".join(wrapped(x) for x in mit.split("\n\n"))),
+        "bsd2/LICENSE.txt": ("BSD-2-Clause", "Copyright (c) 2019, Any One\nAll rights reserved.\n\n" + wrapped(full["BSD-2-Clause"])),
+        "bsd3/licence.md": ("BSD-3-Clause", "Copyright 2019 Any One\n\n" + wrapped(full["BSD-3-Clause"])),
+        "isc/COPYING": ("ISC", wrapped(full["ISC"])),
+        "gpl/COPYING": ("GPL-3.0", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc.\n\n                            Preamble\n\n" + "\n\n".join(wrapped(x, "  ") for x in gpl[4:])),
+        "apache/LICENSE": ("Apache-2.0", "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS\n\n   1. Definitions.\n\n" + wrapped(licenses.TEMPLATES["Apache-2.0"][6], "      ")),
+        "a/x.py": ("Apache-2.0", "\n#\n".join(wrapped(x, "# ") for x in ["Copyright 2020 Any One", *notice]) + "\nimport os\n"),
+        "a/x.c": ("GPL-2.0", "/*\n" + wrapped(licenses.TEMPLATES["GPL-2.0"][3], " * ") + "\n */\nint main;\n"),
+        "a/x.js": ("MPL-2.0", wrapped(licenses.TEMPLATES["MPL-2.0"][1], "// ") + "\nvar x;\n"),
+        "none/story.txt": (None, "The software was provided to any person without warranty. " * 40),
+        "mit/src/y.rs": (None, "fn main() {}"),
+        "long/z.txt": (None, "a story of some length goes on and on " * 30_000),
+    }
+    rows = [(path, text) for path, (_, text) in files.items()] + [("mit/LICENSE", files["mit/LICENSE"][1])]
+    found = licenses.scan(spark.createDataFrame(rows, "path string, text string")).collect()
+    assert len(found) == len(rows)
+    assert {r.path: r.own_licence for r in found} == {path: name for path, (name, _) in files.items()}
+    assert {(r.licence, r.licence_from) for r in found if r.path == "mit/src/y.rs"} == {("MIT", "mit")}
+
+
 def test_anchors_lose_no_match(spark):
     counts = {w: 3 for _, s in licenses._statements() for w in s}
     _, _, vectors = licenses._vectors(1000, counts)

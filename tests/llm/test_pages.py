@@ -5,6 +5,7 @@ import math
 import random
 import re
 import textwrap
+import time
 from collections import Counter
 
 import pytest
@@ -42,6 +43,55 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+LONG = "<p>One sentence here, with commas, and more of it. Another one follows, at some length.</p>" * 4
+
+
+def test_paths_below_the_threshold_go():
+    page = f"<body><nav>Home</nav><div class=a>{LONG}<h2>Head</h2><div>Subscribe now</div><p>Short.</p><div class=x>Click here to win</div><ul><li>item</ul></div></body>"
+    text = html_text.main_text(page)
+    assert "Subscribe" not in text and "Click" not in text and text.endswith("Head\n\nShort.\n\nitem") and text.count("One sentence") == 4
+
+
+@pytest.mark.parametrize("names", ["class='search-engine-history'", "class='content-with-sidebar'", "id=newsletter"])
+def test_names_alone_decide_nothing(names):
+    text = html_text.main_text(f"<body><div class=banner>Ad, ad.</div><div {names}>{LONG}</div><div class='comments'><p>Nice, very nice, and so on, and on.</p>{LONG * 3}</div></body>")
+    assert text.count("One sentence") == 4 and "Nice" not in text and "Ad" not in text
+
+
+def test_deep_nesting_takes_linear_time():
+    took = []
+    for n in (2000, 32_000):
+        began = time.process_time()
+        assert html_text.main_text("<div>some text, here. " * n + "</b>" * n).count("some text") == n
+        took.append(time.process_time() - began)
+    assert took[1] < 64 * took[0]
+
+
+def random_page(rng):
+    """A page and its article's blocks."""
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
+    sentence = lambda: " ".join(word() + rng.choice(["", "", "", ","]) for _ in range(rng.randint(6, 18))) + "."
+    blocks = [("h1", " ".join(word() for _ in range(4)))]
+    for _ in range(rng.randint(4, 15)):
+        blocks.append(rng.choice([("p", " ".join(sentence() for _ in range(rng.randint(1, 5))))] * 6 + [("h2", word()), ("li", sentence()), ("p", word() + "."), ("blockquote", sentence())]))
+    inner = "".join(f"<{t}>{x}</{t}>" for t, x in blocks)
+    menu = "<ul>" + "".join(f"<li><a href='/{i}'>{word()}</a></li>" for i in range(rng.randint(3, 9))) + "</ul>"
+    noise = [f"<nav>{menu}</nav>", f"<div class='{word()}'>{menu}</div>", f"<div class='ad-box'><p>{sentence()}</p></div>", f"<aside><p>{sentence()}</p></aside>", f"<form><label>{word()}</label></form>", f"<div id='cookie-bar'>{sentence()}</div>"]
+    rng.shuffle(noise)
+    wrap = rng.choice(["<article>{}</article>", "<main><div class='post'>{}</div></main>", "<div class='{}'>{{}}</div>".format(word()), "<div id=x><section>{}</section></div>"])
+    page = f"<html><head><title>{word()}</title></head><body><header><p>{sentence()}</p></header>{''.join(noise[:3])}{wrap.format(inner)}{''.join(noise[3:])}<section class='comments'><p>{sentence()}</p></section><footer>{sentence()}</footer></body></html>"
+    return page, [x for _, x in blocks]
+
+
+def test_random_pages_against_their_articles():
+    rng, right, found, wanted = random.Random(17), 0, 0, 0
+    for _ in range(300):
+        page, blocks = random_page(rng)
+        got, want = Counter(html_text.main_text(page).split("\n\n")), Counter(blocks)
+        right, found, wanted = right + sum((got & want).values()), found + sum(got.values()), wanted + sum(want.values())
+    assert right >= 0.98 * wanted and right >= 0.98 * found, (right, found, wanted)
+
+
 def test_articles_of_links_alone():
     assert html_text.main_text("<main><ul><li><a href=x>One</a></li></ul></main>") == ""
     assert html_text.main_text("<article><p><a href=x>All of it, linked.</a></p></article>") == "All of it, linked."

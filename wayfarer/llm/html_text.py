@@ -2,10 +2,13 @@
 
 A page's text nodes are grouped by their root-to-leaf tag path (tags with class names). For each path the text
 length and the punctuation per node are taken, smoothed over the nodes in page order, fused by their product
-and held against a share of the page's spread; paths above it are content, and their common container decides
-over short paths beside them (headings, list items, one-line paragraphs). Elements that never hold article
-text (menus, headers, footers, asides, forms, scripts, notices, adverts, reader comments) are left out first.
-Null and empty pages give an empty text. Whole pages are read; markup may be broken anywhere.
+and held against a share of the page's spread; paths above it are content. Inside their common container blocks of content paths
+stay, and those of elements that are short by nature (headings, list items, paragraphs, cells); text of other elements below the threshold and lists
+of links go. Elements whose tag never holds article text (menus, headers, footers, asides, forms, scripts) are left out first, and those whose
+class, id or role says so (notices, adverts), unless they hold most of the page's text; reader comments go in any case.
+Null and empty pages give an empty text, and so do pages without one. Whole pages are read, in time that grows with their length; markup
+may be broken anywhere. Repeated rows get the same text each; an empty table gives an empty one; other columns pass through, but
+main_text is replaced.
 """
 
 from __future__ import annotations
@@ -39,47 +42,98 @@ HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 NOT_ARTICLE = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "commentlist", "complementary", "contentinfo", "cookie", "cookies", "consent", "disqus", "dialog", "footer", "form", "gdpr", "header", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notification", "pagination", "popup", "promo", "promoted", "promotion", "recommended", "related", "replies", "respond", "search", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "subscription", "toolbar", "widget"}
 #: Such a name says what an element has or goes with, not what it is.
 ABOUT = {"has", "with", "no", "without", "not", "is"}
+#: Names of what never is the article, however much of the page it holds.
+READERS = {"comment", "comments", "commentlist", "disqus", "replies", "respond"}
+#: Elements whose text is kept inside the container whatever their path's score: parts of an article are often short.
+TEXTUAL = HEADINGS | {"", "address", "article", "blockquote", "body", "caption", "dd", "dt", "figcaption", "html", "li", "main", "p", "pre", "summary", "td", "th"}
 #: Share of the standard deviation of fused ratios above which a path is content, and nodes smoothed over on each side.
-SPREAD, AROUND = 0.5, 1
+SPREAD, AROUND = 0.75, 1
+#: An element with a name of NOT_ARTICLE that holds this share of the page's text is no side matter.
+MOST = 0.5
 
 
-def _left_out(names: str) -> bool:
+def _name_words(names: str) -> set[str]:
+    """The words of NOT_ARTICLE by which names tell that an element is no article."""
+    found: set[str] = set()
     for name in names.split():
         words = [x.lower() for x in WORD.findall(name)]
-        if any(x in NOT_ARTICLE for x in words) and words[0] not in ABOUT:
-            return True
-    return False
+        if words and words[0] not in ABOUT:
+            found.update(x for x in words if x in NOT_ARTICLE)
+    return found
+
+
+class Page:
+    """The elements of a page in page order, each with its parent and the id of its tag path, and its text nodes.
+
+    Element 0 is the page. Elements know their parents only, and paths are interned by (path of the parent, label): time and memory grow
+    with the page, not with its nesting.
+    """
+
+    def __init__(self) -> None:
+        self.parent, self.tag, self.path, self.depth = [-1], [""], [0], [0]
+        self.out, self.named, self.link, self.inside, self.block_tag = [False], [set()], [False], [0], [""]
+        self.nodes: list[tuple[int, int, str]] = []  # element, block number, text
+        self.paths: dict[tuple[int, str], int] = {}
+
+    def open(self, tag: str, names: str, parent: int, out: bool, named: set[str]) -> int:
+        e = len(self.tag)
+        self.parent.append(parent)
+        self.tag.append(tag)
+        self.path.append(self.paths.setdefault((self.path[parent], f"{tag}.{names}" if names else tag), len(self.paths) + 1))
+        self.depth.append(self.depth[parent] + 1)
+        self.out.append(out or self.out[parent])
+        self.named.append(named)
+        self.link.append(tag == "a" or self.link[parent])
+        self.inside.append(self.inside[parent] or (e if tag in ("article", "main") else 0))  # the outermost one
+        self.block_tag.append(self.block_tag[parent] if tag in INLINE else tag)
+        return e
 
+    def sums(self, values: list[int]) -> list[int]:
+        """values summed over each element's subtree."""
+        out = list(values)
+        for e in range(len(out) - 1, 0, -1):
+            out[self.parent[e]] += out[e]
+        return out
 
-def _nodes(page: str, by_name: bool = True) -> list[tuple[tuple[str, ...], tuple[int, ...], int, bool, str]]:
-    """(path, element numbers, block number, inside a link, text) of every text node outside left-out elements."""
-    found: list = []
-    stack: list[tuple[str, str, int, bool]] = []  # tag, tag with names, element number, left out
-    block, number, at = 0, 0, 0
+    def inherited(self, marks: list[bool]) -> list[bool]:
+        for e in range(1, len(marks)):
+            marks[e] = marks[e] or marks[self.parent[e]]
+        return marks
+
+    def last(self) -> list[int]:
+        """The last element of each subtree."""
+        out = list(range(len(self.tag)))
+        for e in range(len(out) - 1, 0, -1):
+            out[self.parent[e]] = max(out[self.parent[e]], out[e])
+        return out
+
+
+def parse(page: str) -> Page:
+    found, stack, at, block = Page(), [0], 0, 0
+    opened: dict[str, int] = defaultdict(int)
 
     def close(n: int) -> None:
         nonlocal block
         while len(stack) > n:
-            if stack.pop()[0] not in INLINE:
+            tag = found.tag[stack.pop()]
+            opened[tag] -= 1
+            if tag not in INLINE:
                 block += 1
 
     while (m := TOKEN.match(page, at)) is not None:
         at = m.end()
         tag = m[2] or m[5]
         if tag is None:
-            text = m[0]
-            if text[:2] in ("<!", "<?"):
-                continue
-            if not (stack and stack[-1][3]):
-                found.append((tuple(x[1] for x in stack), tuple(x[2] for x in stack), block, any(x[0] == "a" for x in stack), text))
+            if m[0][:2] not in ("<!", "<?"):
+                found.nodes.append((stack[-1], block, m[0]))
             continue
         tag = tag.lower()
         if m[1] or m[4]:
-            for n in range(len(stack) - 1, -1, -1):
-                if stack[n][0] == tag:
+            for n in range(len(stack) - 1, 0, -1) if opened[tag] else ():
+                if found.tag[stack[n]] == tag:
                     close(n)
                     break
-                if stack[n][0] in ("article", "main", "body") and tag in INLINE | {"p", "li"}:
+                if found.tag[stack[n]] in ("article", "main", "body") and tag in INLINE | {"p", "li"}:
                     break
             if tag == "p":
                 block += 1
@@ -89,40 +143,36 @@ def _nodes(page: str, by_name: bool = True) -> list[tuple[tuple[str, ...], tuple
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
             at = end.end() if end else (len(page) if tag in ("script", "style", "textarea", "title") else at)
             continue
-        if tag in CLOSES_P:
-            for n in range(len(stack) - 1, -1, -1):
-                if stack[n][0] == "p":
+        if tag in CLOSES_P and opened["p"]:
+            for n in range(len(stack) - 1, 0, -1):
+                if found.tag[stack[n]] == "p":
                     close(n)
                     break
-                if stack[n][0] not in INLINE:
+                if found.tag[stack[n]] not in INLINE:
                     break
         if tag in CLOSED_BY_SAME:
-            for n in range(len(stack) - 1, -1, -1):
-                if stack[n][0] in CLOSED_BY_SAME[tag]:
+            for n in range(len(stack) - 1, 0, -1):
+                if found.tag[stack[n]] in CLOSED_BY_SAME[tag]:
                     close(n)
                     break
-                if stack[n][0] in SCOPES:
+                if found.tag[stack[n]] in SCOPES:
                     break
         if tag not in INLINE:
             block += 1
         if tag in VOID or attributes.endswith("/") and tag in INLINE:
             if tag == "br":
-                found.append((tuple(x[1] for x in stack), tuple(x[2] for x in stack), block, False, " "))
+                found.nodes.append((stack[-1], block, " "))
             continue
         names = " ".join(filter(None, (x for g in NAMES.findall(attributes) for x in g))) if attributes else ""
-        out = bool(stack) and stack[-1][3]
-        if not out and tag not in ("html", "body"):
-            inside = any(x[0] in ("article", "main") for x in stack)
-            out = tag in NEVER or tag == "header" and not inside
-            if tag not in ("article", "main") and names and by_name:
-                out = out or _left_out(names)
-            out = out or bool(attributes and HIDDEN.search(attributes))
-        number += 1
-        stack.append((tag, f"{tag}.{names}" if names else tag, number, out))
+        parent, frame = stack[-1], tag in ("html", "body")
+        out = not frame and (tag in NEVER or tag == "header" and not found.inside[parent] or bool(attributes and HIDDEN.search(attributes)))
+        named = _name_words(names) if names and not frame and tag not in ("article", "main") else set()
+        stack.append(found.open(tag, names, parent, out, named))
+        opened[tag] += 1
     return found
 
 
-def _content(paths: list[tuple[str, ...]], texts: list[str], links: list[bool]) -> set[tuple[str, ...]]:
+def _content(paths: list[int], texts: list[str], links: list[bool]) -> set[int]:
     """The content paths of a page."""
     size, points, nodes, linked = defaultdict(int), defaultdict(int), defaultdict(int), defaultdict(int)
     for path, text, link in zip(paths, texts, links, strict=True):
@@ -133,7 +183,7 @@ def _content(paths: list[tuple[str, ...]], texts: list[str], links: list[bool])
         linked[path] += n * link
     ratio = {p: size[p] / nodes[p] for p in size}
     marks = {p: (1 + points[p]) / nodes[p] for p in size}
-    fused: dict[tuple[str, ...], list[float]] = defaultdict(list)
+    fused: dict[int, list[float]] = defaultdict(list)
     for i, path in enumerate(paths):
         near = paths[max(0, i - AROUND) : i + AROUND + 1]
         weights = [2.0 if p == path else 1.0 for p in near]
@@ -151,56 +201,50 @@ def main_text(page: str | None) -> str:
     """The article's blocks in page order, joined by two line feeds."""
     if not page:
         return ""
-    for by_name in (True, False):  # names may mislead where they leave nothing
-        nodes = [(p, e, b, a, entities.unescape(t)) for p, e, b, a, t in _nodes(page, by_name)]
-        if solid := [x for x in nodes if not x[4].isspace()]:
-            break
-    else:
+    tree = parse(page)
+    everything = [(e, b, entities.unescape(t)) for e, b, t in tree.nodes if not tree.out[e]]
+    size = [0] * len(tree.tag)
+    for e, _, text in everything:
+        size[e] += len(text.strip())
+    size = tree.sums(size)
+    side = tree.inherited([bool(w) and (bool(w & READERS) or size[e] < MOST * size[0]) for e, w in enumerate(tree.named)])
+    nodes = [x for x in everything if not side[x[0]]]
+    if not any(t.strip() for _, _, t in nodes):  # names may mislead where they leave nothing
+        nodes = everything
+    solid = [x for x in nodes if not x[2].isspace()]
+    if not solid:
         return ""
-    inside = [x for x in solid if any(y.split(".")[0] in ("article", "main") for y in x[0])]
+    inside = [x for x in solid if tree.inside[x[0]]]
     solid = inside or solid
-    chosen = _content([x[0] for x in solid], [x[4] for x in solid], [x[3] for x in solid])
+    chosen = _content([tree.path[e] for e, _, _ in solid], [t for _, _, t in solid], [tree.link[e] for e, _, _ in solid])
     # The container: the deepest element that holds most of the text of content paths.
-    held: dict[int, int] = defaultdict(int)
-    depth: dict[int, int] = {}
-    total = 0
-    for path, elements, _, _, text in solid:
-        if path in chosen:
-            total += len(text)
-            for d, e in enumerate(elements):
-                held[e] += len(text)
-                depth[e] = d
-    most = [e for e in held if held[e] >= 0.8 * total]
-    container = max(most, key=lambda e: depth[e], default=0)
+    held = [0] * len(tree.tag)
+    for e, _, text in solid:
+        if tree.path[e] in chosen:
+            held[e] += len(text)
+    held = tree.sums(held)
+    last = tree.last()
+    container = max((e for e in range(1, len(held)) if held[e] and held[e] >= 0.8 * held[0]), key=tree.depth.__getitem__, default=0)
+    within = lambda e: container <= e <= last[container]
     if inside:  # an article or main element around the container is the container
         # Without a content path (all text is in links) there is no container: all blocks but lists of links are kept.
-        line = next((x for x in solid if x[0] in chosen and (not container or container in x[1])), None)
-        tops = [e for y, e in zip(line[0], line[1], strict=True) if y.split(".")[0] in ("article", "main")] if line else []
-        container = tops[0] if tops and (not container or depth[container] >= depth[tops[0]]) else container
-    elif container and solid:
-        line = next(x for x in solid if container in x[1])
-        d = line[1].index(container)
-        while d > 0 and line[0][d].split(".")[0] in INLINE | {"p", "li", "td"}:
-            d -= 1
-        container = line[1][d]
-    linked: dict[int, int] = defaultdict(int)
-    sizes: dict[int, int] = defaultdict(int)
-    for _, _, b, a, text in solid:
-        sizes[b] += len(text.strip())
-        linked[b] += len(text.strip()) * a
+        top = next((tree.inside[e] for e, _, _ in solid if tree.path[e] in chosen and within(e)), 0)
+        container = top if top and (not container or tree.depth[container] >= tree.depth[top]) else container
+    else:
+        while container and tree.tag[container] in INLINE | {"p", "li", "td"} and tree.parent[container] > 0:
+            container = tree.parent[container]
+    # Inside, a block stays if its path is content, or as a part of an article that is short by nature; lists of links don't.
+    kept = {b for e, b, _ in solid if within(e) and (tree.path[e] in chosen or not chosen or tree.block_tag[e] in TEXTUAL)}
+    text_in, linked = [0] * len(tree.tag), [0] * len(tree.tag)
+    for e, _, text in solid:
+        text_in[e] += len(text.strip())
+        linked[e] += len(text.strip()) * tree.link[e]
+    text_in, linked = tree.sums(text_in), tree.sums(linked)
+    menu = tree.inherited([t in ("ul", "ol") and n > 0 and k > 0.9 * n for t, n, k in zip(tree.tag, text_in, linked, strict=True)])
+    kept -= {b for e, b, _ in solid if menu[e]}
     blocks: dict[int, list[str]] = {}
-    wide = {(e, b) for p, e, b, a, _ in solid}
-    kept = {b for e, b in wide if not container or container in e}
-    lists = defaultdict(lambda: [0, 0])  # of lists in the container: text, linked text
-    for p, e, b, a, text in solid:
-        for y, i in zip(p, e, strict=True):
-            if y.split(".")[0] in ("ul", "ol"):
-                lists[i][0] += len(text.strip())
-                lists[i][1] += len(text.strip()) * a
-    menus = {i for i, (n, k) in lists.items() if k > 0.9 * n}
-    menu_blocks = {b for _, e, b, _, _ in solid if menus.intersection(e)}
-    for p, e, b, a, text in nodes:
-        if b in kept and b not in menu_blocks:
+    for _, b, text in nodes:
+        if b in kept:
             blocks.setdefault(b, []).append(text)
     joined = (" ".join("".join(x).split()) for _, x in sorted(blocks.items()))
     return "\n\n".join(x for x in joined if x)

@@ -203,11 +203,11 @@ def main_text(page: str | None) -> str:
         return ""
     tree = parse(page)
     everything = [(e, b, entities.unescape(t)) for e, b, t in tree.nodes if not tree.out[e]]
-    size = [0] * len(tree.tag)
+    readers, size = tree.inherited([bool(w & READERS) for w in tree.named]), [0] * len(tree.tag)
     for e, _, text in everything:
-        size[e] += len(text.strip())
+        size[e] += len(text.strip()) * (not readers[e])
     size = tree.sums(size)
-    side = tree.inherited([bool(w) and (bool(w & READERS) or size[e] < MOST * size[0]) for e, w in enumerate(tree.named)])
+    side = tree.inherited([readers[e] or bool(w) and size[e] < MOST * size[0] for e, w in enumerate(tree.named)])
     nodes = [x for x in everything if not side[x[0]]]
     if not any(t.strip() for _, _, t in nodes):  # names may mislead where they leave nothing
         nodes = everything

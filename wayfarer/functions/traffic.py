@@ -117,21 +117,22 @@ def captured_click_ids(params: Column, click_ids: dict[str, tuple[str, str]] | N
     return F.map_filter(params, lambda k, v: k.isin(*(click_ids or CLICK_IDS)) & v.isNotNull())
 
 
-def classify(params: Column, referer: Column, click_ids: dict[str, tuple[str, str]] | None = None, referers: dict[str, tuple[str, str]] | None = None) -> Column:
-    """Struct of a visit's source from its query parameters (a map) and referer.
+def referer_domain(referer: Column) -> Column:
+    return F.regexp_replace(F.regexp_extract(referer, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#]*@)?([^/?#:]*)", 1), r"^www\.", "")
+
+
+def classify(params: Column, referer: Column, click_ids: dict[str, tuple[str, str]] | None = None, referers: dict[str, tuple[str, str]] | None = None, domain: Column | None = None) -> Column:
+    """Struct of a visit's source from its query parameters (a map) and referer (domain: its referer_domain, if that is at hand).
 
     Field by field, a click id comes before a partner code, that before UTM parameters, those before the referer. Where there
     is any UTM parameter, the missing ones count as given and empty.
     """
     click_ids, referers = click_ids or CLICK_IDS, referers or REFERER_HOSTS
-    none = F.lit(None).cast("string")
-    platform, medium, kind, value = none, none, none, none
-    for name, (p, m) in reversed(click_ids.items()):
-        held = params[name]
-        platform = F.when(held.isNotNull(), p).otherwise(platform)
-        medium = F.when(held.isNotNull(), m).otherwise(medium)
-        kind = F.when(held.isNotNull(), name).otherwise(kind)
-        value = F.coalesce(held, value)
+    # The first click id in their order that is given: one look at the map for all of them.
+    held = F.filter(F.array(*[F.lit(name) for name in click_ids]), lambda name: params[name].isNotNull())
+    kind = F.get(held, F.lit(0))
+    platform, medium = (_lookup({name: x[i] for name, x in click_ids.items()})[kind] for i in (0, 1))
+    value = params[kind]
     partner = F.coalesce(params["via"], params["ref"])
     any_utm = F.lit(False)
     for name in UTM:
@@ -141,7 +142,7 @@ def classify(params: Column, referer: Column, click_ids: dict[str, tuple[str, st
     utm_platform = F.coalesce(assistant, params["utm_source"])
     utm_medium = F.when(assistant.isNotNull(), "ai").when(F.map_contains_key(params, "utm_medium"), normalize_medium(params["utm_medium"])).otherwise("unknown")
     blank = referer.isNull() | (referer == "")
-    domain = F.regexp_replace(F.regexp_extract(referer, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#]*@)?([^/?#:]*)", 1), r"^www\.", "")
+    domain = referer_domain(referer) if domain is None else domain
     known_platform, known_medium = _lookup({h: x[0] for h, x in referers.items()})[domain], _lookup({h: x[1] for h, x in referers.items()})[domain]
     ref_platform = F.when(blank, "direct").otherwise(F.coalesce(known_platform, F.lit("referral")))
     ref_medium = F.when(blank, "direct").otherwise(F.coalesce(known_medium, F.lit("referral")))

@@ -76,10 +76,10 @@ def query_params(url: Column) -> Column:
     pairs = F.filter(F.split(query, "&"), lambda x: x != "")
     decode = lambda x: F.coalesce(F.try_url_decode(x), x)
     entry = lambda x: F.struct(decode(F.split_part(x, F.lit("="), F.lit(1))).alias("k"), decode(F.regexp_replace(F.regexp_extract(x, "^[^=]*(=?.*)$", 1), "^=", "")).alias("v"))
-    entries = F.transform(pairs, entry)
-    last = F.filter(entries, lambda x, i: ~F.exists(F.slice(entries, i + 2, F.greatest(F.size(entries) - i - 1, F.lit(0))), lambda y: y["k"] == x["k"]))
+    # Keys and values are cut and decoded once, in one fold; a key that comes again replaces its entry.
     empty = F.create_map().cast("map<string,string>")
-    return F.coalesce(F.map_from_entries(last), empty)
+    put = lambda held, e: F.map_concat(F.map_filter(held, lambda k, _: k != e["k"]), F.map_from_arrays(F.array(e["k"]), F.array(e["v"])))
+    return F.when(query.isNull(), empty).otherwise(F.aggregate(F.transform(pairs, entry), empty, put))
 
 
 def valid_http_url(url: Column) -> Column:

@@ -19,18 +19,19 @@ def mark_unique(clicks: DataFrame, ttl_seconds: int = TTL_SECONDS) -> DataFrame:
     ordered = Window.partitionBy(*pair).orderBy("us", "id")
     rows = clicks.withColumn("us", us).withColumn("pause", F.col("us") - F.lag("us").over(ordered))
     rows = rows.withColumn("run", F.sum(F.coalesce(F.col("pause") >= ttl_seconds * 1_000_000, F.lit(True)).cast("int")).over(ordered))
-    lone = F.count("*").over(Window.partitionBy(*pair, "run"))
-    rows = rows.withColumn("n", lone)
-    runs = rows.where("n > 1").groupBy(*pair, "run").agg(F.array_sort(F.collect_list(F.struct("us", "id"))).alias("c"))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("ids"))
+    rows = rows.withColumns({"n": F.count("*").over(Window.partitionBy(*pair, "run")), "place": F.row_number().over(Window.partitionBy(*pair, "run").orderBy("us", "id"))})
+    runs = rows.where("n > 1").groupBy(*pair, "run").agg(F.array_sort(F.collect_list(F.struct("place", "us"))).alias("c"))
+    # The fold counts places in the run's order, so that ids may be of any type; the runs' rows know their place by the same order.
+    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<int>").alias("places"))
 
     def step(state, click):
         counts = F.coalesce(click["us"] - state["last"] >= ttl_seconds * 1_000_000, F.lit(True))
-        return F.struct(F.when(counts, click["us"]).otherwise(state["last"]).alias("last"), F.when(counts, F.array_append(state["ids"], click["id"].cast("long"))).otherwise(state["ids"]).alias("ids"))
+        return F.struct(F.when(counts, click["us"]).otherwise(state["last"]).alias("last"), F.when(counts, F.array_append(state["places"], click["place"])).otherwise(state["places"]).alias("places"))
 
-    counted = runs.select(F.explode(F.aggregate("c", start, step)["ids"]).alias("counted_id"))
-    found = rows.join(counted, rows["id"] == counted["counted_id"], "left")
-    return found.withColumn("is_unique", (F.col("n") == 1) | F.col("counted_id").isNotNull()).select(*clicks.columns, "is_unique")
+    counted = runs.select(*pair, "run", F.explode(F.aggregate("c", start, step)["places"]).alias("place")).select(*[F.col(c).alias(f"c_{c}") for c in (*pair, "run", "place")])
+    same = [rows[c].eqNullSafe(counted[f"c_{c}"]) for c in (*pair, "run", "place")]
+    found = rows.join(counted, same, "left")
+    return found.withColumn("is_unique", (F.col("n") == 1) | F.col("c_place").isNotNull()).select(*clicks.columns, "is_unique")
 
 
 def link_stats(clicks: DataFrame, events: DataFrame | None = None) -> DataFrame:

@@ -72,10 +72,10 @@ def summary(events: DataFrame, visitors: DataFrame, funnel: Funnel, window: Time
     return _summary(times, len(funnel.steps))
 
 
-def analyze(events: DataFrame, visitors: DataFrame, funnel: Funnel, window: TimeWindow, workspace: str = DEFAULT_WORKSPACE) -> DataFrame:
+def analyze(events: DataFrame, visitors: DataFrame, funnel: Funnel, window: TimeWindow, workspace: str = DEFAULT_WORKSPACE, fold: bool = True) -> DataFrame:
     """A row for each step: label, count, conversions, drop_off; overall_conversion is null without visitors."""
     n = len(funnel.steps)
-    times = step_times_by_fold(events, visitors, funnel, window, workspace)
+    times = (step_times_by_fold if fold else step_times_by_joins)(events, visitors, funnel, window, workspace)
     last = F.when(F.col(f"t{n}").isNotNull(), (F.col(f"t{n}") - F.col("t1")) / 1e6)
     one = times.agg(*[F.count(f"t{i}").alias(f"c{i}") for i in range(1, n + 1)], F.percentile(last, F.lit(0.5)).alias("median_time_seconds"))
     share = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)

@@ -25,12 +25,19 @@ def _sales() -> Column:
 def active_metrics(events: DataFrame, visitors: DataFrame, window: TimeWindow, workspace: str = DEFAULT_WORKSPACE, filters: Iterable[tuple] = ()) -> DataFrame:
     """visitors, new_visitors, identified_visitors, pageviews and revenue of the events that have a visitor: one row, one scan."""
     rows = with_visitors(scan_events(events, window, workspace).where(event_filters(filters)), visitors, "identified_at", "first_seen_at")
-    return rows.agg(
-        F.count_distinct("canonical_id").alias("visitors"),
-        F.count_distinct(F.when(within("first_seen_at", window), F.col("canonical_id"))).alias("new_visitors"),
-        F.count_distinct(F.when(F.col("identified_at").isNotNull(), F.col("canonical_id"))).alias("identified_visitors"),
-        F.count_if(F.col("event_type") == "pageview").alias("pageviews"),
-        _sales().alias("revenue"),
+    # One row for each visitor first: no event is expanded for the distinct counts.
+    each = rows.groupBy("canonical_id").agg(
+        F.coalesce(F.max(within("first_seen_at", window)), F.lit(False)).alias("new"),
+        F.max(F.col("identified_at").isNotNull()).alias("identified"),
+        F.count_if(F.col("event_type") == "pageview").alias("views"),
+        _sales().alias("cents"),
+    )
+    return each.agg(
+        F.count("*").alias("visitors"),
+        F.count_if("new").alias("new_visitors"),
+        F.count_if("identified").alias("identified_visitors"),
+        F.coalesce(F.sum("views"), F.lit(0)).alias("pageviews"),
+        F.coalesce(F.sum("cents"), F.lit(0)).alias("revenue"),
     )
 
 

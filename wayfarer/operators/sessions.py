@@ -39,8 +39,14 @@ def page_path() -> Column:
     return F.coalesce(F.nullif(F.col("path"), F.lit("")), of_url)
 
 
+def stand_in() -> Column:
+    """What stands for a missing visitor: the event's anonymous id or, without one, the event itself."""
+    named = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    return F.when(F.col("visitor_id").isNull(), F.coalesce(named("a:", "anonymous_id"), named("e:", "id")))
+
+
 def _with_missing(events: DataFrame) -> DataFrame:
-    kinds = {"path": "string", "url": "string", "click_id": "string", "engaged_ms": "long", "workspace_id": "string", "device_type": "string", "browser": "string", "os": "string"}
+    kinds = {"path": "string", "url": "string", "click_id": "string", "anonymous_id": "string", "engaged_ms": "long", "workspace_id": "string", "device_type": "string", "browser": "string", "os": "string"}
     return events.withColumns({c: F.lit(None).cast(k) for c, k in kinds.items() if c not in events.columns})
 
 
@@ -48,11 +54,12 @@ def stamp(events: DataFrame, gap_seconds: int = GAP_SECONDS, online: bool = True
     """events with starts (a session's first event), hop (whole seconds since the event before, 0 at a start) and session_id.
 
     online: engagement beacons join a live session and are dropped where there is none; otherwise (backfill) they
-    are events like any other. A gap of exactly gap_seconds doesn't end a session.
+    are events like any other. A gap of exactly gap_seconds doesn't end a session. Events without a visitor form sessions by their
+    anonymous_id; those without both are sessions of their own, so that they never meet in one task.
     """
-    by = [F.col(k) for k in KEYS]
+    by = [*[F.col(k) for k in KEYS], F.col("__owner")]
     order = [F.col("inserted_at"), F.col("id")]
-    rows = _with_missing(events).withColumn("__us", F.unix_micros("inserted_at"))
+    rows = _with_missing(events).withColumns({"__us": F.unix_micros("inserted_at"), "__owner": stand_in()})
     visitor = Window.partitionBy(*by).orderBy(*order)
     gap = F.col("__us") - F.lag("__us").over(visitor)
     rows = rows.withColumn("__new", F.coalesce(gap > gap_seconds * 1_000_000, F.lit(True)))
@@ -71,9 +78,9 @@ def stamp(events: DataFrame, gap_seconds: int = GAP_SECONDS, online: bool = True
     hop = F.when(F.col("starts"), 0).otherwise(F.least(F.greatest(since, F.lit(0)), F.lit(max(HOP_SECONDS, gap_seconds))))
     rows = rows.withColumn("hop", F.coalesce(hop, F.lit(0)).cast("long"))
     first = F.last(F.when(F.col("starts"), F.col("id")), ignorenulls=True).over(island.rowsBetween(Window.unboundedPreceding, 0))
-    key = F.concat_ws(":", F.coalesce(F.col("workspace_id"), F.lit("")), F.col("visitor_id").cast("string"), first.cast("string"))
+    key = F.concat_ws(":", F.coalesce(F.col("workspace_id"), F.lit("")), F.coalesce(F.col("visitor_id").cast("string"), F.col("__owner")), first.cast("string"))
     rows = rows.withColumn("session_id", F.substring(F.sha2(key, 256), 1, 32))
-    return rows.drop(*[c for c in rows.columns if c.startswith("__") and c not in ("__acq", "__us", "__beacon")])
+    return rows.drop(*[c for c in rows.columns if c.startswith("__") and c not in ("__acq", "__us", "__beacon", "__owner")])
 
 
 def sessions(events: DataFrame, gap_seconds: int = GAP_SECONDS, online: bool = True) -> DataFrame:
@@ -84,7 +91,7 @@ def sessions(events: DataFrame, gap_seconds: int = GAP_SECONDS, online: bool = T
     order = F.struct("__us", "id")
     seconds = F.floor(F.coalesce("engaged_ms", F.lit(0)) / 1000)
     first = lambda c: F.min_by(c, F.when(F.col("starts"), order))
-    found = rows.groupBy("session_id", *KEYS).agg(
+    found = rows.groupBy("session_id", *KEYS, "__owner").agg(
         F.min("inserted_at").alias("started_at"),
         F.max("inserted_at").alias("last_event_at"),
         first("url").alias("entry_url"),
@@ -101,7 +108,7 @@ def sessions(events: DataFrame, gap_seconds: int = GAP_SECONDS, online: bool = T
     )
     bounce = (F.col("__acts") == 0) & (F.col("pageviews") < 2)
     engaged = (F.col("pageviews") >= ENGAGED_PAGEVIEWS) | (F.col("__sales") > 0) | (F.col("engaged_seconds") >= ENGAGED_SECONDS)
-    return found.withColumns({"is_bounce": bounce, "is_engaged": engaged}).drop("__acts", "__sales").withColumnRenamed("session_id", "id")
+    return found.withColumns({"is_bounce": bounce, "is_engaged": engaged}).drop("__acts", "__sales", "__owner").withColumnRenamed("session_id", "id")
 
 
 def by_gap(events: DataFrame, gap_seconds: int = GAP_SECONDS) -> DataFrame:
@@ -115,4 +122,4 @@ def backfill(events: DataFrame, gap_seconds: int = GAP_SECONDS) -> tuple[DataFra
     """(events that had no session, stamped with one; their sessions). Of stamped events a rerun makes nothing."""
     missing = events.where(F.col("session_id").isNull()) if "session_id" in events.columns else events
     stamped = stamp(missing, gap_seconds, online=False)
-    return stamped.drop("__acq", "__us", "__beacon"), sessions(missing, gap_seconds, online=False)
+    return stamped.drop("__acq", "__us", "__beacon", "__owner"), sessions(missing, gap_seconds, online=False)

@@ -29,16 +29,20 @@ _EV = adapter.EVENTS.replace("{events}", "events").replace("{pages}", "pages")
 _VI = adapter.VISITORS.replace("{events}", "events")
 IN = "e.inserted_at >= TIMESTAMP '2024-01-08' AND e.inserted_at < TIMESTAMP '2024-01-22'"
 SES_IN = "started_at >= TIMESTAMP '2024-01-08' AND started_at < TIMESTAMP '2024-01-22'"
-STAMP = f"""
+
+
+def stamp_sql(gap: int) -> str:
+    """The tables that lead from events to sessions, with a gap of so many seconds."""
+    return f"""
 s1 AS (SELECT *, epoch_us(inserted_at) AS us, lag(epoch_us(inserted_at)) OVER (PARTITION BY visitor_id ORDER BY inserted_at, id) AS prev,
   CASE WHEN coalesce(nullif(nullif(source_platform, ''), 'direct'), nullif(nullif(source_medium, ''), 'direct'), source_campaign, click_id) IS NOT NULL
     THEN concat_ws('|', coalesce(nullif(source_platform, 'direct'), ''), coalesce(nullif(source_medium, 'direct'), ''), coalesce(source_campaign, ''), coalesce(click_id, '')) END AS acq FROM a_events),
-s2 AS (SELECT *, CASE WHEN prev IS NULL OR us - prev > {GAP_SECONDS}000000 THEN 1 ELSE 0 END AS fresh FROM s1),
+s2 AS (SELECT *, CASE WHEN prev IS NULL OR us - prev > {gap}000000 THEN 1 ELSE 0 END AS fresh FROM s1),
 s3 AS (SELECT *, sum(fresh) OVER (PARTITION BY visitor_id ORDER BY inserted_at, id ROWS UNBOUNDED PRECEDING) AS island FROM s2),
 s4 AS (SELECT *, last_value(acq IGNORE NULLS) OVER (PARTITION BY visitor_id, island ORDER BY inserted_at, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was FROM s3),
 s5 AS (SELECT *, CASE WHEN fresh = 1 OR (acq IS NOT NULL AND was IS NOT NULL AND acq <> was) THEN 1 ELSE 0 END AS starts FROM s4),
 stamped AS (SELECT *, sum(starts) OVER (PARTITION BY visitor_id ORDER BY inserted_at, id ROWS UNBOUNDED PRECEDING) AS n,
-  CASE WHEN starts = 1 THEN 0 ELSE least((us - prev) // 1000000, {GAP_SECONDS}) END AS hop FROM s5),
+  CASE WHEN starts = 1 THEN 0 ELSE least((us - prev) // 1000000, {gap}) END AS hop FROM s5),
 a_sessions AS (SELECT visitor_id, min(inserted_at) AS started_at, max(inserted_at) AS last_event_at, min_by(path, (us, id)) AS entry_page,
   max_by(path, (us, id)) FILTER (WHERE event_type = 'pageview' OR starts = 1) AS exit_page,
   count(*) FILTER (WHERE event_type = 'pageview') AS pageviews, count(*) AS events, sum(hop)::BIGINT AS duration_seconds,
@@ -48,14 +52,17 @@ a_sessions AS (SELECT visitor_id, min(inserted_at) AS started_at, max(inserted_a
   arg_min_null(nullif(source_medium, 'direct'), (us, id)) FILTER (WHERE acq IS NOT NULL) AS source_medium,
   arg_min_null(device_type, (us, id)) AS device_type, arg_min_null(browser, (us, id)) AS browser
 FROM stamped GROUP BY visitor_id, n)"""
+
+
+STAMP = stamp_sql(GAP_SECONDS)
 ACTIVE = "v AS (SELECT id AS visitor_id, coalesce(merged_into_id, id) AS c, identified_at, first_seen_at, country_code, status FROM a_visitors), j AS (SELECT e.*, v.c, v.identified_at, v.first_seen_at, v.country_code FROM a_events e JOIN v USING (visitor_id))"
 
 
-def oracle(sql: str) -> str:
+def oracle(sql: str, stamp: str = STAMP) -> str:
     """sql with the logical tables before it, as far as it names them."""
     parts = [f"a_events AS ({_EV})", f"a_visitors AS ({_VI})"]
     if "a_sessions" in sql or "stamped" in sql:
-        parts.append(STAMP.strip())
+        parts.append(stamp.strip())
     if " j " in f"{sql} " or " v " in f"{sql} ":
         parts.append(ACTIVE)
     if sql.startswith("WITH "):
@@ -198,6 +205,26 @@ def _(t: Tables) -> DataFrame:
     return timeseries.timeseries(t.events, t.visitors, None, "pageviews", WINDOW, timezone="America/Chicago", interval="12h", filters=[("source_platform", "google")])
 
 
+@query(
+    "timeseries_dst",
+    BUCKETS.format(
+        step="6 hours",
+        lo="2024-03-07 18:00:00",
+        hi="2024-03-14 18:59:59.999999",
+        local="timezone('America/Chicago', (inserted_at + INTERVAL '60 days') AT TIME ZONE 'UTC')",
+        made="count(*)",
+        rows="a_events e WHERE inserted_at + INTERVAL '60 days' >= TIMESTAMP '2024-03-08' AND inserted_at + INTERVAL '60 days' < TIMESTAMP '2024-03-15' AND event_type = 'pageview'",
+        start="timezone('UTC', timezone('America/Chicago', b.l))",
+        end="timezone('UTC', timezone('America/Chicago', b.l + INTERVAL '6 hours'))",
+        label="6h",
+    ),
+)
+def _(t: Tables) -> DataFrame:
+    later = t.events.withColumn("inserted_at", F.col("inserted_at") + F.expr("INTERVAL 60 DAYS"))  # the week in which clocks go forward
+    window = TimeWindow(datetime(2024, 3, 8, tzinfo=UTC), datetime(2024, 3, 15, tzinfo=UTC))
+    return timeseries.timeseries(later, t.visitors, None, "pageviews", window, timezone="America/Chicago", interval="6h")
+
+
 # Lists.
 
 
@@ -318,6 +345,31 @@ def _(t: Tables) -> DataFrame:
     return rows.select("id", first.alias("session_start"), "starts", "hop")
 
 
+#: The rules' own gap, at which most sessions of the test tables are short.
+HALF_HOUR = stamp_sql(sessions.GAP_SECONDS)
+
+
+@query("sessions_30min")
+def _(t: Tables) -> DataFrame:
+    return sessions.sessions(t.events).select(*SESSION_COLUMNS)
+
+
+@query("session_ids_30min")
+def _(t: Tables) -> DataFrame:
+    rows = sessions.stamp(t.events)
+    return rows.select("id", F.first("id").over(Window.partitionBy("session_id").orderBy("inserted_at", "id")).alias("session_start"), "starts", "hop")
+
+
+ORACLES["sessions_30min"] = oracle(f"SELECT {', '.join(SESSION_COLUMNS)} FROM a_sessions", HALF_HOUR)
+ORACLES["session_ids_30min"] = oracle("SELECT id, first_value(id) OVER (PARTITION BY visitor_id, n ORDER BY inserted_at, id) AS session_start, starts = 1 AS starts, hop FROM stamped", HALF_HOUR)
+
+
+@query("sessions_of_nobody", "SELECT count(*) AS sessions, count(DISTINCT id) AS events FROM a_events WHERE visitor_id % 4 = 1")
+def _(t: Tables) -> DataFrame:
+    nobody = t.events.where("visitor_id % 4 = 1").withColumn("visitor_id", F.lit(None).cast("long"))
+    return sessions.sessions(nobody).agg(F.count("*").alias("sessions"), F.sum("events").alias("events"))
+
+
 @query("sessions_by_gap", "SELECT visitor_id, min(inserted_at) AS started_at, max(inserted_at) AS last_event_at, count(*) AS events FROM s3 GROUP BY visitor_id, island")
 def _(t: Tables) -> DataFrame:
     return sessions.by_gap(t.events, GAP_SECONDS).select("visitor_id", "started_at", "last_event_at", "events")
@@ -404,6 +456,15 @@ def _(t: Tables) -> DataFrame:
     return clicks.link_stats(t.events.where("event_type = 'link_click'").select("id", "ip_address", "link_id", "inserted_at"))
 
 
+@query("click_dedup_text_ids")
+def _(t: Tables) -> DataFrame:
+    rows = t.events.where("event_type = 'link_click'").select(F.concat(F.lit("c-"), F.col("id").cast("string")).alias("id"), "ip_address", "link_id", "inserted_at")
+    return clicks.mark_unique(rows)
+
+
+ORACLES["click_dedup_text_ids"] = ORACLES["click_dedup"].replace("SELECT id, ip_address, link_id, inserted_at, row_number() OVER (PARTITION BY ip_address, link_id ORDER BY inserted_at, id) AS n FROM a_events", "SELECT id, ip_address, link_id, inserted_at, row_number() OVER (PARTITION BY ip_address, link_id ORDER BY inserted_at, id) AS n FROM (SELECT * REPLACE ('c-' || id AS id) FROM a_events)").replace("SELECT id, is_unique FROM w", "SELECT w.id, w.ip_address, w.link_id, k.inserted_at, w.is_unique FROM w JOIN k USING (id)")
+
+
 @query("first_last_partner", "SELECT visitor_id, arg_min(partner_id, (inserted_at, id)) AS first_partner_id, arg_max(partner_id, (inserted_at, id)) AS last_partner_id FROM a_events WHERE partner_id IS NOT NULL GROUP BY 1")
 def _(t: Tables) -> DataFrame:
     return people.partner_touches(t.events)

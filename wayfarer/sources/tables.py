@@ -71,9 +71,13 @@ def backfill_devices(events: DataFrame) -> DataFrame:
 
 
 def classify_visits(raw: DataFrame) -> DataFrame:
-    """raw (url, referrer) with the fields of its traffic source."""
-    source = traffic.classify(urls.query_params(F.col("url")), F.col("referrer"))
-    return raw.withColumn("classified", source)
+    """raw (url, referrer) with the fields of its traffic source.
+
+    Parameters, referring domain and platforms are made once each: a generator over one element keeps the optimizer from copying them into every use.
+    """
+    once = raw.select("*", F.explode(F.array(F.struct(urls.query_params(F.col("url")).alias("params"), traffic.referer_domain(F.col("referrer")).alias("domain")))).alias("__visit"))
+    source = traffic.classify(F.col("__visit.params"), F.col("referrer"), domain=F.col("__visit.domain"))
+    return once.withColumn("classified", source).drop("__visit")
 
 
 def problem(rows: DataFrame, types: Iterable[str] = EVENT_TYPES) -> Column:

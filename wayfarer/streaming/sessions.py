@@ -55,7 +55,8 @@ def sessionize(events: DataFrame, gap_seconds: int = GAP_SECONDS, watermark: str
         if not live:
             return ended, {"first_event_id": e.id, "started": e.us, "last": e.us, "entry_page": page, "exit_page": page, "pageviews": int(view), "events": 1, "duration": 0, "engaged": 0, "acted": e.event_type in INTERACTIVE_TYPES, "sold": e.event_type in CONVERSION_TYPES, "acquisition": acq}
         hop = min(max((e.us - s["last"]) // 1_000_000, 0), max(HOP_SECONDS, gap_seconds))
-        return ended, s | {"last": e.us, "exit_page": page if view and page else s["exit_page"], "pageviews": s["pageviews"] + view, "events": s["events"] + 1, "duration": s["duration"] + hop, "acted": s["acted"] or e.event_type in INTERACTIVE_TYPES, "sold": s["sold"] or e.event_type in CONVERSION_TYPES, "acquisition": s["acquisition"] or acq}
+        late = e.us < s["last"]  # within the watermark: it counts, but the session's end and exit page stay
+        return ended, s | {"last": max(s["last"], e.us), "exit_page": page if view and page and not late else s["exit_page"], "pageviews": s["pageviews"] + view, "events": s["events"] + 1, "duration": s["duration"] + hop, "acted": s["acted"] or e.event_type in INTERACTIVE_TYPES, "sold": s["sold"] or e.event_type in CONVERSION_TYPES, "acquisition": s["acquisition"] or acq}
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = dict(zip(FIELDS, state.get, strict=True)) if state.exists else None

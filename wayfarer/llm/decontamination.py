@@ -7,7 +7,8 @@ k above the shingles that a matching document may lack, one of them must occur i
 long the document is. Bit maps of the sketches and of all item shingles, of bounded size, are all that every
 task gets; what passes them is joined to the items by the shingles' text and counted exactly.
 Null texts and texts without words hold nothing; items without words are never found; equal items (same shingles)
-are reported once, under their least id. Rows of one id and text are one document.
+are reported once, under their least id. Rows of one id and text are one document. Keys of documents and items are integers. Without
+documents or items nothing is found; drop_contaminated passes all columns through, whatever their names.
 """
 
 from __future__ import annotations

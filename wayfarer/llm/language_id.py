@@ -8,6 +8,8 @@ A row's posterior over the languages is the product of
 The tables are grouped sums of the text posteriors over all rows, and are joined back by value.
 A row is rejected (language "und") if it has no letters or if most of its trigrams, of MIN_TRIGRAMS at least, occur in no
 labelled text; other evidence never rejects. Null and empty texts are "und"; null hosts, addresses and declarations are no evidence.
+Of languages that are equally likely the first by code wins. Repeated rows get the same result each, and count each in the tables; an empty
+table gives an empty result, and without any labelled row all is "und". Keep names columns of the input; evidence and results have names of their own.
 """
 
 from __future__ import annotations

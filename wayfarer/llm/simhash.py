@@ -5,7 +5,8 @@ linked pair differs in one bit at most. So each half is a table, and every finge
 ball of radius 1 around its halves; complete distances decide. Of two halves that differ in one bit only one has the
 bit set, so that the balls list only values with a bit cleared, and every pair is found once.
 Links are made between different fingerprints; equal ones collapse before. Texts without words have fingerprint zero. Null texts
-count as empty; a null id never names a component unless the whole component has none.
+count as empty; a null id never names a component unless the whole component has none. Repeated rows are listed each; drop_near
+keeps one row of a component, of rows alike in id and text any one. Empty tables give empty results; other columns pass through drop_near.
 """
 
 from __future__ import annotations

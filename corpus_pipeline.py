@@ -1,4 +1,8 @@
-"""A corpus in five stages: language ID, near-dedup, decontamination, mixing, sharding."""
+"""A corpus in five stages: language ID, near-dedup, decontamination, mixing, sharding.
+
+Each stage takes null, empty and very long texts, repeated rows, ties, extra columns and empty tables as its operator's docstring
+says; all but the last return the columns they got. Documents without words go in the first stage, as they have no language.
+"""
 
 from __future__ import annotations
 
@@ -9,27 +13,27 @@ from wayfarer.llm.common import materialize, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a known language go."""
+    """Documents without a known language go; the table's labelled rows are what is known. Repeated rows go or stay together."""
     return language_id.drop_unknown(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays: the one of least id, of rows alike in id and text any one."""
     return simhash.drop_near(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go; without items all stay."""
     return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them; a null source is a source of its own."""
     return mixing.mix(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their shard and slot."""
+    """The documents with their shard and slot, counts at most one apart; repeated rows get a slot each."""
     return sharding.assign_shards(docs)
 
 

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from wayfarer.functions import devices, traffic, urls, values
 from wayfarer.operators import clicks, connectors, identity, people, sessions
 from wayfarer.operators.base import scan_events
-from wayfarer.plans.schemas import CONVERSION_TYPES, INTERACTIVE_TYPES
+from wayfarer.plans.filters import Funnel, SourceFilter, Step, StepFilter
+from wayfarer.plans.schemas import CONVERSION_TYPES, DEFAULT_WORKSPACE, INTERACTIVE_TYPES
 from wayfarer.plans.windows import TimeWindow
-from wayfarer.sources import tables
+from wayfarer.sources import records, tables
 from wayfarer.streaming import sessions as streams
 
 from .conftest import T0
@@ -376,3 +377,63 @@ def test_streamed_clicks_counts_and_keys(spark, make, tmp_path):
     q = streams.deliver(source, lambda batch, n: seen.append(batch.count()), str(tmp_path / "d"), (seen.append,)).trigger(availableNow=True).start()
     q.awaitTermination()
     assert seen == [6, 0]
+
+
+def test_funnel_definitions_are_kept(spark, tmp_path):
+    one = Funnel("one", (Step("event", (StepFilter("event", event_type="pageview"),)), Step("property", (StepFilter("property", key="k", op="in", values=("1", "2")),), "k", "any")), 7, SourceFilter("google"))
+    other = Funnel("other", one.steps[::-1])
+    tables.write(records.funnel_rows(spark, [one, other], T0), str(tmp_path), "funnels")
+    held = tables.read(spark, str(tmp_path), "funnels")
+    ids = {r.name: r.id for r in records.list_funnels(held).collect()}
+    assert records.get_funnel(held, ids["one"]) == one and records.get_funnel(held, ids["other"], DEFAULT_WORKSPACE) == other
+    with pytest.raises(LookupError):
+        records.get_funnel(held, ids["one"], "w2")
+    rest = people.archive(held, [ids["one"]], T0)
+    assert [r.name for r in records.list_funnels(rest).collect()] == ["other"] and records.list_funnels(rest, include_archived=True).count() == 2
+    with pytest.raises(ValueError):
+        Funnel.from_json(one.to_json().replace('"pageview"', '"nothing"'))
+
+
+def test_recorded_clicks_say_qr(make):
+    df = make("events", [event(i, "v", link_id="l", properties=p) for i, p in enumerate([None, {"a": "b"}, {"qr": "x"}, None])]).withColumn("qr", F.col("id") != "3")
+    clicks_ = records.recorded(df, "link_click")
+    assert {r.id: r.properties for r in clicks_.collect()} == {"0": {"qr": "true"}, "1": {"a": "b", "qr": "true"}, "2": {"qr": "true"}, "3": {}}
+    assert {(r.event_type, r.event_name) for r in records.recorded(df.withColumn("event_name", F.lit("n")), "custom").collect()} == {("custom", "n")}
+    with pytest.raises(ValueError):
+        records.recorded(df, "nothing")
+
+
+def test_sessions_move_with_their_counts(make):
+    v = make("visitors", [visitor("a", total_sessions=1), visitor("b", total_sessions=2), visitor("c", total_sessions=None), visitor("d", total_sessions=4)])
+    s = make("sessions", [{"id": str(i), "visitor_id": x} for i, x in enumerate("abbcd")])
+    groups = v.select(F.col("id").alias("visitor_id"), F.when(F.col("id") == "d", "d").otherwise("a").alias("survivor_id"))
+    counted, moved = identity.move_sessions(v, s, groups)
+    assert dict(rows(counted, "id", "total_sessions")) == {"a": 4, "b": 0, "c": -1, "d": 4}
+    assert sorted(rows(moved, "id", "visitor_id")) == [("0", "a"), ("1", "a"), ("2", "a"), ("3", "a"), ("4", "d")]
+
+
+def test_dispatches_are_appended_after_commit(spark, make, tmp_path):
+    out = str(tmp_path / "data")
+    each_batch = connectors.after_commit(("google",), lambda df: tables.write(df, out, "dispatches", "append"))
+    e = make("events", [event(1, "v", "sale"), event(2, "v", "pageview"), event(3, "v", "lead"), event(4, "v", "lead")])
+    e = e.withColumns({"signals": F.when(F.col("id") != "4", F.create_map(F.lit("gclid"), F.lit("g"))), "consent": F.lit("consented")})
+    source = stream_of(spark, e, tmp_path / "in")
+    streams.deliver(source, each_batch, str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+    held = tables.read(spark, out, "dispatches")
+    assert sorted(rows(held, "event_id", "connector_type", "status", "attempts", "max_attempts")) == [("1", "google", "pending", 0, 5), ("3", "google", "pending", 0, 5)]
+    assert len(rows(connectors.list_by_event(held, "1"), "id")) == 1
+    assert len(rows(connectors.list_by_workspace(held, DEFAULT_WORKSPACE, "google", ("pending",)), "id")) == 2
+    assert not rows(connectors.list_by_workspace(held, DEFAULT_WORKSPACE, "google", ("failed",)), "id")
+
+
+def test_times_in_payloads_are_utc(spark, make):
+    e = make("events", [event(1, "v", "sale", at=150 * 24 * 60)]).withColumn("signals", F.create_map(F.lit("gclid"), F.lit("g")))
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        planned = connectors.plan(e.withColumn("consent", F.lit("consented")), ("google",))
+        made = connectors.payloads(planned, {}).first().payload
+        context = e.select(connectors.source_context(F.col("signals"), {}, F.col("inserted_at")).alias("c")).first().c
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert '"conversionDateTime":"2026-06-04 09:00:00+00:00"' in made and '"captured_at":"2026-06-04T09:00:00.000000Z"' in context

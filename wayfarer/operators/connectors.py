@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfarer.functions.values import backoff_seconds, connector_event_id, error_class, json_text
-from wayfarer.operators.base import at
+from wayfarer.operators.base import at, newest_first
+from wayfarer.plans.schemas import DISPATCHES
 
 MAX_SIGNAL, MAX_PAYLOAD, REPLAY_LIMIT = 512, 1_000_000, 1000
 #: Signal keys.
@@ -46,6 +47,14 @@ def _struct(**fields: Column | None) -> Column:
     return F.struct(*[c.alias(k) for k, c in fields.items() if c is not None])
 
 
+def _utc(column: Column, between: str = " ") -> Column:
+    """Date and time of day in UTC, whatever the session's time zone."""
+    seconds = F.unix_seconds(column)
+    rest = F.pmod(seconds, F.lit(86_400))
+    clock = F.format_string("%02d:%02d:%02d", F.floor(rest / 3600), F.floor(rest / 60) % 60, rest % 60)
+    return F.concat(F.date_from_unix_date(F.floor(seconds / 86_400).cast("int")).cast("string"), F.lit(between), clock)
+
+
 def _value() -> Column:
     return F.col("amount_cents") / 100
 
@@ -71,7 +80,7 @@ def _meta(credentials: Mapping[str, str]) -> Column:
 
 def _google(credentials: Mapping[str, str]) -> Column:
     action = f"customers/{credentials.get('customer_id', '')}/conversionActions/{credentials.get('conversion_action_id', '')}"
-    conversion = _struct(conversionAction=F.lit(action), conversionDateTime=F.date_format("captured_at", "yyyy-MM-dd HH:mm:ss+00:00"), orderId=F.col("connector_event_id"), gclid=_signal("gclid"), gbraid=_signal("gbraid"), wbraid=_signal("wbraid"), conversionValue=_with_amount(_value()), currencyCode=_with_amount(_currency()))
+    conversion = _struct(conversionAction=F.lit(action), conversionDateTime=F.concat(_utc(F.col("captured_at")), F.lit("+00:00")), orderId=F.col("connector_event_id"), gclid=_signal("gclid"), gbraid=_signal("gbraid"), wbraid=_signal("wbraid"), conversionValue=_with_amount(_value()), currencyCode=_with_amount(_currency()))
     return F.to_json(_struct(conversions=F.array(conversion), partialFailure=F.lit(True)))
 
 
@@ -113,7 +122,7 @@ def has_signals(signals: Column, groups: tuple[tuple[str, ...], ...]) -> Column:
 
 def source_context(signals: Column, event: Mapping[str, Column], captured_at: Column) -> Column:
     """JSON that a payload can be made from again; nulls are left out."""
-    return F.to_json(F.struct(signals.alias("signals"), *[c.alias(k) for k, c in event.items()], F.date_format(captured_at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("captured_at")))
+    return F.to_json(F.struct(signals.alias("signals"), *[c.alias(k) for k, c in event.items()], F.concat(_utc(captured_at, "T"), F.lit("."), F.lpad(F.pmod(F.unix_micros(captured_at), F.lit(1_000_000)).cast("string"), 6, "0"), F.lit("Z")).alias("captured_at")))
 
 
 def plan(events: DataFrame, enabled: Mapping[str, tuple[str, ...]] | tuple[str, ...], connectors: tuple[Connector, ...] = CONNECTORS, switched_on: bool = True, policy: Callable[[str], Column] | None = None) -> DataFrame:
@@ -187,6 +196,41 @@ def after_delivery(dispatches: DataFrame, now: Column) -> DataFrame:
     return dispatches.withColumns({"status": status, "attempts": F.when(enabled, attempts).otherwise(F.col("attempts")), "error_type": F.when(enabled & ~F.coalesce(ok, F.lit(False)), kind), "last_attempted_at": now, "next_retry_at": F.when(wait.isNotNull(), F.timestamp_micros(F.unix_micros(now) + wait * 1_000_000))})
 
 
+def dispatch_rows(planned: DataFrame, now: Column, max_attempts: int = 5) -> DataFrame:
+    """Rows of the table of dispatches for what plan lets go: pending, not tried yet. tables.write(..., "append") adds them, all or none."""
+    held = planned.columns
+    value = lambda c, kind="string": F.col(c).cast(kind) if c in held else F.lit(None).cast(kind)
+    fresh = {"id": F.expr("uuid()"), "event_id": F.col("id").cast("string"), "event_inserted_at": F.col("inserted_at"), "payload_snapshot": value("payload"), "source_context": value("connector_source_context"), "status": F.lit("pending"), "attempts": F.lit(0), "max_attempts": F.lit(max_attempts), "inserted_at": now, "updated_at": now}
+    columns = [x.split() for x in DISPATCHES.split(", ")]
+    kept = ("workspace_id", "connector_type", "connector_event_id", "visitor_id")
+    rows = planned.where(F.col("skip_reason").isNull())
+    return rows.select(*[(fresh[c] if c in fresh else value(c) if c in kept else F.lit(None)).cast(kind).alias(c) for c, kind in columns])
+
+
+def after_commit(enabled: Mapping[str, tuple[str, ...]] | tuple[str, ...], append: Callable[[DataFrame], None], connectors: tuple[Connector, ...] = CONNECTORS) -> Callable[[DataFrame, int], None]:
+    """A handler for streaming.deliver: plans each committed batch's events of types that connectors take, and appends their dispatches.
+
+    connector_event_id is a function of event and connector: a batch that comes again after a failure makes the same ones.
+    """
+    types = sorted({t for c in connectors for t in c.event_types})
+
+    def each(batch: DataFrame, number: int) -> None:
+        append(dispatch_rows(plan(batch.where(F.col("event_type").isin(*types)), enabled, connectors), F.current_timestamp()))
+
+    return each
+
+
+def list_by_event(dispatches: DataFrame, event_id: object) -> DataFrame:
+    """An event's dispatches, oldest first."""
+    return dispatches.where(F.col("event_id") == event_id).orderBy("inserted_at", "id")
+
+
+def list_by_workspace(dispatches: DataFrame, workspace: str, connector: str, statuses: tuple[str, ...] | None = None, limit: int = 50) -> DataFrame:
+    """A workspace's dispatches of a connector, newest first."""
+    found = dispatches.where((F.col("workspace_id") == workspace) & (F.col("connector_type") == connector))
+    return newest_first(found if statuses is None else found.where(F.col("status").isin(*statuses)), limit=limit)
+
+
 def list_pending(dispatches: DataFrame, now: datetime, limit: int = 100) -> DataFrame:
     """What is due: tries left and no later retry time; without one last."""
     due = F.col("status").isin(*DUE) & (F.col("next_retry_at").isNull() | (F.col("next_retry_at") <= at(now))) & (F.col("attempts") < F.col("max_attempts"))

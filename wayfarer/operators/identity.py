@@ -174,6 +174,18 @@ def repoint(rows: DataFrame, groups: DataFrame) -> DataFrame:
     return found.withColumn("visitor_id", F.coalesce("survivor_id", "visitor_id")).select(*rows.columns)
 
 
+def move_sessions(visitors: DataFrame, sessions: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(visitors, sessions) after sessions went to the survivors: total_sessions goes down where they were and up where they are now."""
+    moved = groups.where(F.col("visitor_id") != F.col("survivor_id"))
+    counts = sessions.groupBy("visitor_id").agg(F.count("*").alias("n")).join(moved, "visitor_id")
+    change = counts.select(F.explode(F.array(F.struct(F.col("visitor_id").alias("d_id"), (-F.col("n")).alias("n")), F.struct(F.col("survivor_id").alias("d_id"), "n"))).alias("d"))
+    change = change.groupBy("d.d_id").agg(F.sum("d.n").alias("d_n"))
+    joined = visitors.join(change, visitors["id"] == change["d_id"], "left")
+    total = (F.coalesce("total_sessions", F.lit(0)) + F.col("d_n")).cast(visitors.schema["total_sessions"].dataType)
+    counted = joined.withColumn("total_sessions", F.when(F.col("d_n").isNotNull(), total).otherwise(F.col("total_sessions")))
+    return counted.select(*visitors.columns), repoint(sessions, groups)
+
+
 def identify(visitors: DataFrame, persons: DataFrame, now: Column, checkpoint=None) -> tuple[DataFrame, DataFrame]:
     """(visitors, groups) after persons (visitor_id and person_* columns) became known.
 

@@ -6,9 +6,10 @@ can't be used (empty text, empty list, unknown operator) and fields outside the
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 from functools import reduce
 from operator import and_, or_
 
@@ -236,6 +237,18 @@ class Funnel:
         if not 1 <= self.window_days <= 90:
             raise ValueError("a funnel's window is 1 to 90 days")
 
+    def to_json(self) -> str:
+        """The definition as it is kept in the table of funnels."""
+        return json.dumps(asdict(self))
+
+    @classmethod
+    def from_json(cls, text: str) -> Funnel:
+        """The funnel of a kept definition; a malformed one raises a ValueError like one made by hand."""
+        given = json.loads(text)
+        filters = lambda s: tuple(StepFilter(**f | {"values": tuple(f["values"]) if f.get("values") else None}) for f in s["filters"])
+        steps = tuple(Step(**s | {"filters": filters(s)}) for s in given["steps"])
+        return cls(given["name"], steps, given["window_days"], SourceFilter(**given["cohort"]))
+
     def step_columns(self) -> list[Column]:
         """A condition for each step; the cohort narrows the first."""
         found = [s.column() for s in self.steps]

@@ -53,6 +53,7 @@ DISPATCHES = (
     "response_body string, error_type string, error_message string, replayed_from_id string, replayed_at timestamp, "
     "inserted_at timestamp, updated_at timestamp"
 )
+FUNNELS = "id string, workspace_id string, name string, definition string, archived_at timestamp, inserted_at timestamp, updated_at timestamp"
 SETTINGS = "workspace_id string, key string, value string, updated_at timestamp"
 
 #: Fixed values.

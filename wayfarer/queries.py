@@ -508,6 +508,34 @@ def _(t: Tables) -> DataFrame:
     return made.select("id", "connector_type", F.get_json_object("payload", "$.conversions[0].conversionValue").cast("double").alias("amount"))
 
 
+FIELDS = {  # connector: name, time, signal and amount in its payload
+    "meta": ("$.data[0].event_name", "$.data[0].event_time", "$.data[0].user_data.fbp", "$.data[0].custom_data.value"),
+    "google": ("$.conversions[0].conversionAction", "$.conversions[0].conversionDateTime", "$.conversions[0].gclid", "$.conversions[0].conversionValue"),
+    "linkedin": ("$.elements[0].conversion", "$.elements[0].conversionHappenedAt", "$.elements[0].user.userIds[0].idValue", "$.elements[0].conversionValue.amount"),
+    "tiktok": ("$.data[0].event", "$.data[0].event_time", "$.data[0].user.ttclid", "$.data[0].properties.value"),
+}
+
+
+@query(
+    "connector_payload_fields",
+    """SELECT id, c AS connector_type,
+    CASE c WHEN 'meta' THEN CASE event_type WHEN 'lead' THEN 'Lead' ELSE 'Purchase' END WHEN 'google' THEN 'customers/1/conversionActions/2' WHEN 'linkedin' THEN 'urn:lla:llaPartnerConversion:3' ELSE CASE event_type WHEN 'lead' THEN 'SubmitForm' ELSE 'CompletePayment' END END AS name,
+    CASE c WHEN 'google' THEN strftime(inserted_at, '%Y-%m-%d %H:%M:%S+00:00') WHEN 'linkedin' THEN (epoch_us(inserted_at) // 1000)::VARCHAR ELSE floor(epoch(inserted_at))::BIGINT::VARCHAR END AS at,
+    CASE c WHEN 'meta' THEN 'f.' WHEN 'google' THEN 'g.' WHEN 'linkedin' THEN 'l.' ELSE 't.' END || id AS signal,
+    amount_cents / CASE c WHEN 'linkedin' THEN 1.0 ELSE 100.0 END AS amount
+    FROM a_events, (SELECT unnest(['meta', 'google', 'linkedin', 'tiktok']) AS c) WHERE event_type IN ('lead', 'sale')""",
+)
+def _(t: Tables) -> DataFrame:
+    signals = F.create_map(*[x for k, p in (("_fbp", "f."), ("gclid", "g."), ("li_fat_id", "l."), ("ttclid", "t.")) for x in (F.lit(k), F.concat(F.lit(p), F.col("id").cast("string")))])
+    planned = connectors.plan(t.events.withColumn("signals", connectors.valid_signals(signals)).withColumn("consent", F.lit("consented")), tuple(FIELDS))
+    made = connectors.payloads(planned, {"google": {"customer_id": "1", "conversion_action_id": "2"}, "linkedin": {"conversion_rule_id": "3"}})
+    fields = F.lit(None)
+    for c, paths in FIELDS.items():
+        fields = F.when(F.col("connector_type") == c, F.struct(*[F.get_json_object("payload", p).alias(n) for n, p in zip(("name", "at", "signal", "amount"), paths, strict=True)])).otherwise(fields)
+    found = made.withColumn("f", fields)
+    return found.select("id", "connector_type", "f.name", "f.at", "f.signal", F.col("f.amount").cast("double").alias("amount"))
+
+
 @query("delivery_states", "SELECT id, CASE id % 5 WHEN 0 THEN 'delivered' WHEN 1 THEN 'rate_limited' WHEN 2 THEN 'credential_error' WHEN 3 THEN 'permanently_failed' ELSE 'failed' END AS status, (id % 4 + 1)::INTEGER AS attempts, CASE id % 5 WHEN 1 THEN least(60 * power(2, id % 4), 3600) WHEN 4 THEN least(5 * power(2, id % 4), 3600) END::BIGINT AS wait FROM a_events WHERE event_type = 'sale'")
 def _(t: Tables) -> DataFrame:
     now = F.lit(NOW).cast("timestamp")

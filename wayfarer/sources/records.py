@@ -1,11 +1,17 @@
-"""Links and partners: what is wrong with new rows, and which are taken."""
+"""Links and partners: what is wrong with new rows, and which are taken. Funnel definitions; events by kind."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+from collections.abc import Iterable
+from datetime import datetime
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayfarer.functions.urls import valid_http_url
+from wayfarer.plans.filters import Funnel
+from wayfarer.plans.schemas import DEFAULT_WORKSPACE, EVENT_TYPES, FUNNELS
 
 KEY = r"^[a-zA-Z0-9_-]{1,255}$"
 #: Fixed values.
@@ -75,3 +81,42 @@ def update(rows: DataFrame, changes: DataFrame, columns: tuple[str, ...]) -> Dat
     given = changes.select(F.col("id").alias("__id"), *[F.col(c).alias(f"__{c}") for c in columns])
     found = rows.join(given, rows["id"] == given["__id"], "left")
     return found.withColumns({c: F.coalesce(f"__{c}", c) for c in columns}).select(*rows.columns)
+
+
+def funnel_rows(spark: SparkSession, funnels: Iterable[Funnel], now: datetime, workspace: str = DEFAULT_WORKSPACE) -> DataFrame:
+    """New rows of the table of funnels; archive and update take them like links."""
+    return spark.createDataFrame([(str(uuid.uuid4()), workspace, f.name, f.to_json(), None, now, now) for f in funnels], FUNNELS)
+
+
+def list_funnels(rows: DataFrame, workspace: str = DEFAULT_WORKSPACE, include_archived: bool = False) -> DataFrame:
+    """A workspace's funnels, newest first."""
+    found = rows.where(F.col("workspace_id") == workspace)
+    found = found if include_archived else found.where(F.col("archived_at").isNull())
+    return found.orderBy(F.col("inserted_at").desc(), F.col("id").desc())
+
+
+def get_funnel(rows: DataFrame, funnel_id: str, workspace: str | None = None) -> Funnel:
+    """The funnel of an id, archived ones too; LookupError if there is none (in the workspace)."""
+    found = rows.where(F.col("id") == funnel_id)
+    found = (found if workspace is None else found.where(F.col("workspace_id") == workspace)).select("definition").head(1)
+    if not found:
+        raise LookupError(f"no funnel {funnel_id!r}")
+    return Funnel.from_json(found[0]["definition"])
+
+
+def recorded(rows: DataFrame, event_type: str) -> DataFrame:
+    """rows as events of one type; clicks that came by a QR code (qr, boolean) get the property qr, other types lose that column.
+
+    Custom events bring event_name. ingest validates, normalizes and deduplicates what comes out.
+    """
+    if event_type not in EVENT_TYPES:
+        raise ValueError(f"unknown event type {event_type!r}")
+    made = rows.withColumn("event_type", F.lit(event_type))
+    if "qr" not in rows.columns:
+        return made
+    if event_type == "link_click":
+        none = F.create_map().cast("map<string,string>")
+        held = F.coalesce("properties", none) if "properties" in rows.columns else none
+        others = F.map_filter(held, lambda k, v: k != "qr")
+        made = made.withColumn("properties", F.when(F.coalesce("qr", F.lit(False)), F.map_concat(others, F.create_map(F.lit("qr"), F.lit("true")))).otherwise(held))
+    return made.drop("qr")

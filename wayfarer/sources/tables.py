@@ -14,7 +14,7 @@ from wayfarer.plans.schemas import EVENT_TYPES, INGEST_TYPES
 
 MAX_BATCH = 100
 #: Tables in a data folder, and their columns.
-LOGICAL = {"events": schemas.EVENTS, "visitors": schemas.VISITORS, "sessions": schemas.SESSIONS, "links": schemas.LINKS, "partners": schemas.PARTNERS, "dispatches": schemas.DISPATCHES, "settings": schemas.SETTINGS}
+LOGICAL = {"events": schemas.EVENTS, "visitors": schemas.VISITORS, "sessions": schemas.SESSIONS, "links": schemas.LINKS, "partners": schemas.PARTNERS, "dispatches": schemas.DISPATCHES, "settings": schemas.SETTINGS, "funnels": schemas.FUNNELS}
 
 
 def read(spark: SparkSession, path: str, name: str) -> DataFrame:

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of all contracts: U+0020 and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,9 +38,29 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    if (paths := _written.get()) is not None:
+        paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def written() -> Iterator[list[str]]:
+    """The paths of the tables that materialize writes inside, in order."""
+    paths: list[str] = []
+    token = _written.set(paths)
+    try:
+        yield paths
+    finally:
+        _written.reset(token)
+
+
+def delete(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Delete tables that materialize wrote, once nothing reads them any more."""
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()  # a folder of this table alone
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def release(spark: SparkSession) -> None:
     """Delete the tables this application has left in the shared folder."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/wayfarer/{spark.sparkContext.applicationId}")

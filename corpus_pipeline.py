@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from wayfarer.llm import decontamination, language_id, mixing, sharding, simhash
-from wayfarer.llm.common import materialize, table
+from wayfarer.llm.common import delete, materialize, table, written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. Once a stage's table is written, those it was made from are deleted."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        with written() as paths:
+            docs = materialize(stage(spark, docs, sf_dir), name)
+        delete(spark, before + paths[:-1])
+        before = paths[-1:]
     return docs

@@ -2,9 +2,10 @@
 
 import random
 import re
+from pathlib import Path
 
 import corpus_pipeline
-from wayfarer.llm import registry
+from wayfarer.llm import common, registry
 
 
 def folder(spark, make_docs, path, rows, items):
@@ -34,7 +35,10 @@ def test_stages(spark, make_docs, tmp_path):
     assert kept["near_dedup"] == kept["language_id"] - {200, 201} or kept["near_dedup"] == kept["language_id"] - {200}
     assert kept["decontamination"] == kept["near_dedup"] - {202}
     assert kept["mixing"] <= kept["decontamination"] and kept["sharding"] == kept["mixing"]
+    scratch = Path(common.scratch_path(spark, "x").removeprefix("file:")).parents[1]
+    held = set(scratch.iterdir()) if scratch.exists() else set()
     again = corpus_pipeline.run(spark, path)
+    assert [sorted(x.name for x in f.iterdir()) for f in set(scratch.iterdir()) - held] == [["sharding"]]
     assert sorted((r.doc_id, r.shard, r.slot) for r in again.collect()) == sorted((r.doc_id, r.shard, r.slot) for r in docs.collect())
 
 

@@ -1,6 +1,6 @@
 """The logical tables made from the test tables (events, pages): fixed arithmetic gives events what those lack.
 
-The SQL runs on Spark and on the oracle alike.
+The SQL runs on Spark and on the oracle alike. Events deal themselves over all pages, whose ids run from 0.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from wayfarer.plans.schemas import DEFAULT_WORKSPACE
 GAP_SECONDS = 21_600
 
 EVENTS = f"""
-SELECT /*+ BROADCAST(p) */ e.event_id AS id, '{DEFAULT_WORKSPACE}' AS workspace_id, CAST(e.ts AS timestamp) AS inserted_at, e.user_id AS visitor_id,
+SELECT e.event_id AS id, '{DEFAULT_WORKSPACE}' AS workspace_id, CAST(e.ts AS timestamp) AS inserted_at, e.user_id AS visitor_id,
   CASE e.event_type WHEN 'view' THEN 'pageview' WHEN 'click' THEN 'link_click' WHEN 'signup' THEN 'lead' WHEN 'purchase' THEN 'sale' ELSE 'custom' END AS event_type,
   CASE WHEN e.event_type IN ('signup', 'purchase') THEN concat('form_', CAST(e.event_id % 3 AS varchar(20))) END AS event_name,
   CASE WHEN e.event_type = 'purchase' THEN CAST(round(e.value * 100) AS bigint) END AS amount_cents,
@@ -33,7 +33,7 @@ SELECT /*+ BROADCAST(p) */ e.event_id AS id, '{DEFAULT_WORKSPACE}' AS workspace_
   concat('10.0.', CAST(e.user_id % 7 AS varchar(20)), '.1') AS ip_address,
   CASE WHEN e.event_type = 'error' THEN e.event_id % 25000 END AS engaged_ms,
   p.url AS url, regexp_extract(p.url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path, e.props AS props
-FROM {{events}} e LEFT JOIN {{pages}} p ON p.page_id = e.event_id % 50
+FROM (SELECT *, event_id % greatest((SELECT count(*) FROM {{pages}}), 1) AS page FROM {{events}}) e LEFT JOIN {{pages}} p ON p.page_id = e.page
 """
 
 #: Every tenth user is merged into the one before it.
@@ -63,8 +63,7 @@ class Tables:
 
     @cached_property
     def events(self) -> DataFrame:
-        pages = self.raw("pages").select("page_id", "url").where(F.col("page_id").between(0, 49))  # the ids that event_id % 50 can be
-        found = self.spark.sql(EVENTS, events=self.raw("events"), pages=pages)
+        found = self.spark.sql(EVENTS, events=self.raw("events"), pages=self.raw("pages").select("page_id", "url"))
         return found.withColumn("properties", F.from_json("props", "map<string,string>")).withColumn("host", F.lit(None).cast("string"))
 
     @cached_property

@@ -298,6 +298,24 @@ def test_ingest(make):
     assert {r.id: r.device_type for r in filled.collect()} == {"1": "unknown", "2": None}
 
 
+def test_typed_recorders(make):
+    raw = make("events", [event(1, "a", None, link_id="l", properties={"qr": "old", "x": "1"}), event(2, "a", None, link_id="l"), event(3, None, None)])
+    clicks, bad = tables.record_clicks(raw.withColumn("qr", F.col("id") == "1"))
+    found = {r.id: r for r in clicks.collect()}
+    assert {r.event_type for r in found.values()} == {"link_click"} and found["1"].properties == {"qr": "true", "x": "1"} and not found["2"].properties
+    assert "qr" not in clicks.columns and [r.id for r in bad.collect()] == ["3"]
+    named, _ = tables.record_custom(raw, "signup_step")
+    assert {(r.event_type, r.event_name) for r in named.collect()} == {("custom", "signup_step")}
+    assert {r.event_type for r in tables.record(raw, "sale")[0].collect()} == {"sale"}
+
+
+def test_visitor_engagement(make):
+    views = [event(i, "a", path=p, properties={"scroll_depth": d}) for i, (p, d) in enumerate([("/x", "50"), ("/x", "101"), ("/y", "70"), ("/b", "odd"), (None, None)])]
+    found = {r.visitor_id: r for r in people.visitor_engagement(make("events", [*views, event(9, "b", "lead", path="/z"), event(10, None, path="/n")]), top=2).collect()}
+    assert found["a"].avg_scroll_depth == 60 and found["a"].top_pages == [{"path": "/x", "pageviews": "2"}, {"path": "/b", "pageviews": "1"}]
+    assert found["b"].avg_scroll_depth is None and found["b"].top_pages == [] and found[None].top_pages == [{"path": "/n", "pageviews": "1"}]
+
+
 def test_event_files_are_pruned_by_month(spark, make, tmp_path):
     tables.write_events(make("events", [event(1, "a"), event(2, "a", at=60 * 24 * 40)]), str(tmp_path))
     back = tables.read(spark, str(tmp_path), "events")

@@ -7,7 +7,7 @@ from datetime import UTC, datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfarer.functions.values import empty_map
+from wayfarer.functions.values import empty_map, scroll_guard
 from wayfarer.operators.base import newest_first
 from wayfarer.plans.schemas import DEFAULT_WORKSPACE
 
@@ -109,6 +109,22 @@ def visitor_rollups(events: DataFrame, sessions: DataFrame) -> DataFrame:
     return made.join(held, "visitor_id", "left").select("visitor_id", "total_events", "total_pageviews", "ltv_cents", zero("total_sessions"), zero("total_time_seconds"))
 
 
+def visitor_engagement(events: DataFrame, top: int = 5) -> DataFrame:
+    """An extension: visitor_id, avg_scroll_depth (of valid scroll_depth properties) and top_pages, the paths with most pageviews, ties by path.
+
+    Views are counted by visitor and path first, so a list holds top entries at most.
+    """
+    depth = scroll_guard(F.try_element_at("properties", F.lit("scroll_depth")).try_cast("double"))
+    scrolled = events.groupBy("visitor_id").agg(F.avg(depth).alias("avg_scroll_depth"))
+    views = events.where((F.col("event_type") == "pageview") & F.col("path").isNotNull()).groupBy("visitor_id", "path").agg(F.count("*").alias("pageviews"))
+    ranked = views.withColumn("n", F.row_number().over(Window.partitionBy("visitor_id").orderBy(F.desc("pageviews"), "path"))).where(F.col("n") <= top)
+    listed = ranked.groupBy(F.col("visitor_id").alias("t_id")).agg(F.array_sort(F.collect_list(F.struct("n", "path", "pageviews"))).alias("found"))
+    pages = listed.select("t_id", F.transform("found", lambda x: F.create_map(F.lit("path"), x["path"], F.lit("pageviews"), x["pageviews"].cast("string"))).alias("top_pages"))
+    none = F.array().cast("array<map<string,string>>")
+    joined = scrolled.join(pages, scrolled["visitor_id"].eqNullSafe(pages["t_id"]), "left")
+    return joined.select("visitor_id", "avg_scroll_depth", F.coalesce("top_pages", none).alias("top_pages"))
+
+
 def session_paths(stamped: DataFrame) -> DataFrame:
     """An extension: session_id and the paths of its pageviews, leads and sales in order."""
     shown = stamped.where(F.col("event_type").isin("pageview", "lead", "sale"))

@@ -386,6 +386,16 @@ def _(t: Tables) -> DataFrame:
     return people.visitor_rollups(t.events, t.sessions)
 
 
+DEPTH = "CAST(regexp_extract(props, '([0-9]+)', 1) AS bigint) * 2"  # beyond 100 for some
+
+
+@query("visitor_engagement", f"SELECT visitor_id, avg_scroll_depth, coalesce(top_pages, '') AS top_pages FROM (SELECT visitor_id, avg({DEPTH}) FILTER ({DEPTH} <= 100) AS avg_scroll_depth FROM a_events GROUP BY 1) d LEFT JOIN (SELECT visitor_id, string_agg(path || ' ' || views, ', ' ORDER BY n) AS top_pages FROM (SELECT visitor_id, path, count(*) AS views, row_number() OVER (PARTITION BY visitor_id ORDER BY count(*) DESC, path) AS n FROM a_events WHERE event_type = 'pageview' AND path IS NOT NULL GROUP BY 1, 2) p WHERE n <= 3 GROUP BY 1) t USING (visitor_id)")
+def _(t: Tables) -> DataFrame:
+    scrolled = t.events.withColumn("properties", F.create_map(F.lit("scroll_depth"), F.expr(DEPTH).cast("string")))
+    found = people.visitor_engagement(scrolled, top=3)
+    return found.withColumn("top_pages", F.array_join(F.transform("top_pages", lambda x: F.concat_ws(" ", x["path"], x["pageviews"])), ", "))
+
+
 @query("session_paths", "SELECT array_to_string(list(path ORDER BY inserted_at, id), ' ') AS paths, count(*) AS n FROM stamped WHERE event_type IN ('pageview', 'lead', 'sale') GROUP BY visitor_id, stamped.n".replace("count(*) AS n", "count(*) AS steps"))
 def _(t: Tables) -> DataFrame:
     found = people.session_paths(sessions.stamp(t.events, GAP_SECONDS))
@@ -599,6 +609,13 @@ def _(t: Tables) -> DataFrame:
     return good.select(F.lit("ok").alias("outcome")).unionByName(bad.select(F.col("error").alias("outcome"))).groupBy("outcome").agg(F.count("*").alias("events"))
 
 
+@query("recorded_clicks", "SELECT event_id AS id, 'link_click' AS event_type, user_id AS link, CASE WHEN event_id % 3 = 0 THEN 'true' END AS qr FROM events WHERE event_type <> 'error'")
+def _(t: Tables) -> DataFrame:
+    raw = t.events.where("event_type <> 'custom'").withColumns({"link_id": F.col("visitor_id"), "qr": F.col("id") % 3 == 0})
+    good, _ = tables.record_clicks(raw)
+    return good.select("id", "event_type", F.col("link_id").alias("link"), F.try_element_at("properties", F.lit("qr")).alias("qr"))
+
+
 @query("idempotent_events", "SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY id % 700 ORDER BY inserted_at, id) AS n FROM a_events) x WHERE n = 1")
 def _(t: Tables) -> DataFrame:
     keyed = t.events.withColumn("properties", F.create_map(F.lit("_idempotency_key"), (F.col("id") % 700).cast("string")))

@@ -122,6 +122,27 @@ def drop_repeated(rows: DataFrame, history: DataFrame | None = None) -> DataFram
     return marked.where(F.col("__key").isNull()).unionByName(keyed).drop("__key")
 
 
+def record(raw: DataFrame, event_type: str, history: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """ingest of rows that are all events of one type: pageview, lead, sale."""
+    return ingest(raw.withColumn("event_type", F.lit(event_type)), history)
+
+
+def record_clicks(raw: DataFrame, history: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Link clicks, their link in link_id; where the column qr (boolean) is true it becomes a property, and goes itself."""
+    rows = raw
+    if "qr" in raw.columns:
+        none = F.create_map().cast("map<string,string>")
+        held = F.coalesce(F.col("properties"), none) if "properties" in raw.columns else none
+        others = F.map_filter(held, lambda k, _: k != "qr")
+        rows = raw.withColumn("properties", F.when(F.col("qr"), F.map_concat(others, F.create_map(F.lit("qr"), F.lit("true")))).otherwise(held)).drop("qr")
+    return record(rows, "link_click", history)
+
+
+def record_custom(raw: DataFrame, event_name: str | Column, history: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Custom events of this name."""
+    return record(raw.withColumn("event_name", F.lit(event_name) if isinstance(event_name, str) else event_name), "custom", history)
+
+
 def ingest_batch(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """ingest for one request of MAX_BATCH events at most."""
     if len(raw.head(MAX_BATCH + 1)) > MAX_BATCH:

@@ -2,9 +2,12 @@
 
 import math
 import random
+import struct
+import zlib
 from collections import Counter
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from wayfarer.llm import mixing, sharding
@@ -100,6 +103,49 @@ def test_many_equal_rows_are_dealt_over_tasks(make_docs):
     assert key(found) == key(again)
 
 
+def test_rows_alike_in_key_and_text_have_places_of_their_own(make_docs):
+    rows = [(i, f"text {i}") for i in range(100)] + [(9999, "same", f"s{i % 90}" if i % 91 else None) for i in range(180)] + [(9999, None, None, "x")] * 30 + [(9999, "", "x", None)] * 30
+    found = sharding.assign_shards(make_docs(rows), heavy=20, per_part=32)
+    check_law(found.collect(), 340)
+    again = sharding.assign_shards(make_docs(rows[::-1]).repartition(7), heavy=20, per_part=32)
+    key = lambda df: sorted(map(repr, df.collect()))
+    assert key(found) == key(again)
+
+
+def chained(*parts):
+    """XXH64 over values in turn, each one's hash the seed of the next: strings, longs ("q") and ints ("i")."""
+    seed = 42
+    for kind, value in parts:
+        seed = xxhash.xxh64_intdigest(value if kind == "s" else struct.pack("<" + kind, value), seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def test_places_are_recomputed(make_docs):
+    rows = [(i, f"text {i % 50}") for i in range(300)]
+    found = {r.doc_id: (r.shard, r.slot) for r in sharding.digest(make_docs(rows)).collect()}
+    order = []
+    for doc, text in rows:
+        t, crc = chained(("s", text.encode())), zlib.crc32(text.encode())
+        u = chained(("i", sharding.SEED), *[x for v in (len(text) + 1, crc, t) for x in (("i", 0), ("q", v))])
+        order.append((chained(("q", doc), ("q", t), ("q", u)), doc))
+    n, a = len(rows), 18  # 17 * 17 < 300 <= 18 * 18
+    b = -(-n // a)
+
+    def turned(x):
+        left, right = divmod(x, b)
+        for i in range(sharding.ROUNDS):
+            other = right if i % 2 == 0 else left
+            moved = chained(("i", sharding.SEED), ("i", i), ("q", other))
+            left, right = ((left + moved) % a, right) if i % 2 == 0 else (left, (right + moved) % b)
+        return left * b + right
+
+    for number, (_, doc) in enumerate(sorted(order)):
+        at = turned(number)
+        while at >= n:
+            at = turned(at)
+        assert found[doc] == (at % 16, at // 16)
+
+
 def test_written_shards(make_docs, tmp_path):
     back = sharding.write_shards(make_docs([(i, f"t{i}") for i in range(64)], extra=False), str(tmp_path / "out"))
     check_law(back.collect(), 64)

@@ -51,25 +51,33 @@ def place(number: Column, total: int, rounds: int = ROUNDS, seed: int = SEED) ->
     return F.when(walked < F.lit(n), walked).otherwise(F.raise_error(F.lit("cycle walk too long")).cast("long"))
 
 
+def content(df: DataFrame, key: str, text: str) -> Column:
+    """A hash of a row's columns but key and text, and of which are null; nested values count by their JSON."""
+    held = [(F.col(f"`{c.replace('`', '``')}`"), "<" in kind or kind == "variant") for c, kind in df.dtypes if c not in (key, text)]
+    flags = [F.isnull(text)] if text in df.columns else []
+    return F.xxhash64(F.lit(SEED), *flags, *[x for c, nested in held for x in (F.isnull(c), F.to_json(F.struct(c.alias("c"))) if nested else c)])
+
+
 def assign_shards(df: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "text", text_hash: Column | None = None, per_part: int = PER_PART, heavy: int = HEAVY, seed: int = SEED) -> DataFrame:
     """df with shard (int) and slot (long); shard counts differ by one at most, slots run from 0 without gaps.
 
-    text_hash (default: a hash of the column text) stands for the text where df doesn't carry it. Numbers follow the hash of (key, text): bucket counts are summed first, then rows are numbered within
-    buckets of about per_part rows, so that no task holds more than its bucket. Rows that share key and text
+    text_hash (default: a hash of the column text) stands for the text where df doesn't carry it. Numbers follow the hash of the whole row (key, text, other columns): bucket counts are summed first, then rows are numbered within
+    buckets of about per_part rows, so that no task holds more than its bucket. Rows that are alike in every column
     more than heavy times come last, dealt into chunks; such rows are interchangeable.
     """
     spark = df.sparkSession
-    same = (F.col(key), F.xxhash64(text_of(text)) if text_hash is None else text_hash)
-    named = df.drop("shard", "slot").withColumns({"__k": same[0], "__t": same[1], "__h": F.xxhash64(*same)})
-    narrow = materialize(named.groupBy("__k", "__t", "__h").agg(F.count("*").alias("n")), "rows")
+    bare = df.drop("shard", "slot")
+    same = (F.col(key), F.xxhash64(text_of(text)) if text_hash is None else text_hash, content(bare, key, text))
+    named = bare.withColumns({"__k": same[0], "__t": same[1], "__u": same[2], "__h": F.xxhash64(*same)})
+    narrow = materialize(named.groupBy("__k", "__t", "__u", "__h").agg(F.count("*").alias("n")), "rows")
     total, most = narrow.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
     bits = bits_for(total, per_part)
     bucket = F.shiftrightunsigned("__h", 64 - bits) if bits else F.lit(0).cast("long")
-    many = materialize(narrow.where(F.col("n") > heavy).select(F.col("__k").alias("__mk"), F.col("__t").alias("__mt"), F.col("n").alias("__mn")), "heavy") if most > heavy else None
+    many = materialize(narrow.where(F.col("n") > heavy).select(F.col("__k").alias("__mk"), F.col("__t").alias("__mt"), F.col("__u").alias("__mu"), F.col("n").alias("__mn")), "heavy") if most > heavy else None
     rows = named.withColumns({"__a": F.lit(0), "__b": bucket, "__c": F.lit(0).cast("long")})
     counts = narrow.where(F.col("n") <= heavy).groupBy(F.lit(0).alias("__a"), bucket.alias("__b"), F.lit(0).cast("long").alias("__c")).agg(F.sum("n").alias("n"))
     if many is not None:
-        on = F.col("__k").eqNullSafe(F.col("__mk")) & (F.col("__t") == F.col("__mt"))
+        on = F.col("__k").eqNullSafe(F.col("__mk")) & (F.col("__t") == F.col("__mt")) & (F.col("__u") == F.col("__mu"))
         chunk = F.pmod(F.monotonically_increasing_id(), F.ceil(F.col("__mn") / heavy))
         hot = named.join(many, on).select(*[named[c] for c in named.columns], F.lit(1).alias("__a"), F.col("__h").alias("__b"), chunk.cast("long").alias("__c"))
         hot = materialize(hot, "hot")  # counted and numbered from the same files
@@ -78,10 +86,10 @@ def assign_shards(df: DataFrame, shards: int = 16, key: str = "doc_id", text: st
     # One row for each bucket, 2^20 and the chunks of heavy rows at most.
     starts = counts.withColumn("__from", F.sum("n").over(Window.orderBy("__a", "__b", "__c")) - F.col("n")).drop("n")
     starts = materialize(starts, "starts")
-    within = Window.partitionBy("__a", "__b", "__c").orderBy("__h", "__k", "__t")
+    within = Window.partitionBy("__a", "__b", "__c").orderBy("__h", "__k", "__t", "__u")
     number = F.col("__from") + F.row_number().over(within) - 1
     placed = rows.join(F.broadcast(starts), ["__a", "__b", "__c"]).withColumn("__n", number.cast("long")).withColumn("__p", place(F.col("__n"), total, seed=seed))
-    return placed.withColumns({"shard": F.pmod("__p", F.lit(shards)).cast("int"), "slot": F.floor(F.col("__p") / shards).cast("long")}).select(*named.columns, "shard", "slot").drop("__k", "__t", "__h")
+    return placed.withColumns({"shard": F.pmod("__p", F.lit(shards)).cast("int"), "slot": F.floor(F.col("__p") / shards).cast("long")}).select(*named.columns, "shard", "slot").drop("__k", "__t", "__u", "__h")
 
 
 def write_shards(df: DataFrame, path: str, shards: int = 16, **options) -> DataFrame:

@@ -188,6 +188,61 @@ def test_other_evidence_decides_where_text_does_not(spark):
     assert sum(found[i].lang == list(SYLLABLES)[i % 3] for i in range(300)) == 300
 
 
+def naive_likelihoods(labelled, texts, languages):
+    """Whether each text is known, and its log likelihoods, by one trigram after the other."""
+
+    def slots(text):
+        words = re.findall(rb"[a-z\x80-\xff]+", "".join(c.lower() if c.isascii() else c for c in text).encode())
+        joined = b" " + b" ".join(words) + b" "
+        return [(((a * 0x9E3779B1) ^ (b * 0x85EBCA77) ^ (c * 0xC2B2AE3D)) & 0xFFFFFFFF) >> 16 for a, b, c in zip(joined, joined[1:], joined[2:])] if words else []
+
+    counts = {x: Counter(s for language, text in labelled if language == x for s in slots(text)) for x in languages}
+    seen = set().union(*counts.values())
+    for text in texts:
+        held = slots(text)
+        logs = [sum(math.log((counts[x][s] + 0.5) / (counts[x].total() + 0.5 * 65536)) for s in held) / 3 for x in languages]
+        yield len(held) > 0 and (len(held) < 12 or sum(s in seen for s in held) >= len(held) / 2), logs
+
+
+def naive_fusion(rows, likelihoods, languages):
+    """Language and probability of rows (host, domain, declared, suffix), None where there is no evidence."""
+    k, text = len(languages), []
+    for known, logs in likelihoods:
+        ex = [math.exp(x - max(logs)) for x in logs]
+        text.append([x / sum(ex) if known else 0.0 for x in ex])
+    overall = [sum(p[j] for p in text) for j in range(k)]
+    flat = [(x + 1) / (sum(overall) + k) for x in overall]
+    for i, (row, (known, logs)) in enumerate(zip(rows, likelihoods, strict=True)):
+        others = lambda at: [sum(p[j] for n, p in enumerate(text) if n != i and row[at] is not None and rows[n][at] == row[at]) for j in range(k)]  # noqa: E731, B023
+        prior = flat
+        for at, smooth in ((1, 50), (0, 20)):
+            sums = others(at)
+            prior = [(s + smooth * c) / (sum(sums) + smooth) for s, c in zip(sums, prior, strict=True)]
+        post = [x + math.log(c) for x, c in zip(logs, prior, strict=True)]
+        for at in (2, 3):
+            sums = others(at)
+            post = [x + math.log((s + 20 * f) / (f * (sum(sums) + 20))) for x, s, f in zip(post, sums, flat, strict=True)]
+        yield (languages[post.index(max(post))], 1 / sum(math.exp(x - max(post)) for x in post)) if known else ("und", 0.0)
+
+
+def test_fusion_is_recomputed(spark):
+    rng = random.Random(21)
+    languages = sorted(SYLLABLES)
+    labelled = [(x, sentences(rng, x, 60)) for x in SYLLABLES for _ in range(3)]
+    rows, texts = [], []
+    for i in range(240):
+        x = rng.choice(languages)
+        texts.append(rng.choice(["", "zz", "один два три четыре", sentences(rng, x, rng.randint(1, 3)), sentences(rng, x, 2).upper()]))
+        domain = rng.choice([f"{x}.org", "mixed.org"])
+        rows.append(tuple(v if rng.random() < 0.8 else None for v in (f"h{i % 5}.{domain}", domain, x if rng.random() < 0.8 else "fr", f"org/{x}")))
+    frame = spark.createDataFrame([(i, t, *r) for i, (t, r) in enumerate(zip(texts, rows, strict=True))], "doc_id long, text string, host string, domain string, declared string, suffix string")
+    found = language_id.identify(frame.repartition(3), language_id.TextModel.fit(labelled), host="host", domain="domain", declared="declared", suffix="suffix").collect()
+    want = list(naive_fusion(rows, list(naive_likelihoods(labelled, texts, languages)), languages))
+    assert len(found) == 240
+    for r in found:
+        assert r.probability == pytest.approx(want[r.doc_id][1], rel=1e-3) and r.lang == want[r.doc_id][0]
+
+
 def test_evidence_columns(spark):
     rows = spark.createDataFrame([("https://www.example.co.uk/en/7?x#y", "<!doctype html>\n<HTML class=a LANG=en-GB>"), ("//Host.de:80/a", "<html xml:lang='fr'>"), (None, None), ("mailto:x", "<p lang=de>")], "url string, html string")
     got = [tuple(r) for r in rows.select(language_id.host_of(F.col("url")), language_id.domain_of(language_id.host_of(F.col("url"))), language_id.suffix_of(F.col("url")), language_id.declared_in(F.col("html"))).collect()]

@@ -201,8 +201,8 @@ def identify_pages(pages: DataFrame, model: TextModel, keep: tuple[str, ...] = (
 
 
 def drop_unknown(docs: DataFrame, text: str = "text", key: str = "doc_id", host: str = "source", labels: DataFrame | None = None) -> DataFrame:
-    """docs without the rows whose language is unknown. The model is fitted on labels (docs: its column lang)."""
-    found = identify(docs, fit(docs if labels is None else labels), text, host, keep=(key,))
+    """docs without the rows whose language is unknown. The model is fitted on labels (doc_id, text, lang; without them on docs)."""
+    found = identify(docs, fit(docs, text, key=key) if labels is None else fit(labels), text, host, keep=(key,))
     out = found.where(F.col("lang") == UNKNOWN).select(F.col(key).alias("__id"), F.col("text_hash").alias("__hash")).distinct()
     out = materialize(out, "rejected")
     return docs.join(out, docs[key].eqNullSafe(out["__id"]) & (F.xxhash64(text_of(text)) == out["__hash"]), "left_anti")

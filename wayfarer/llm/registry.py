@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, filter_audit, html_text, language_id, licenses, mixing, sharding, simhash, substring_dedup, warc
+from . import byte_bpe, decontamination, exact_dedup, filter_audit, html_text, language_id, licenses, mixing, phrases, sharding, simhash, substring_dedup, warc
 
-MODULES = (mixing, language_id, exact_dedup, html_text, sharding, substring_dedup, decontamination, warc, simhash, licenses, filter_audit)
+MODULES = (mixing, language_id, exact_dedup, html_text, sharding, substring_dedup, decontamination, warc, simhash, licenses, phrases, byte_bpe, filter_audit)
 
 
 def queries() -> dict:

@@ -6,13 +6,14 @@ and ANDed with the bitmaps of all words that have a bit in its blocks; what is l
 popcounts how often each occurs. Ends of pieces take a position that no word has, so that no phrase crosses them. The search goes depth-first over
 runs of first words of bounded size. Popcounts are summed over shards by Spark.
 
-Three passes: words, then phrases of two and of three words, each only of parts that are frequent. What is frequent goes to tasks as a bit map
-of hashes, 32 MB at most, that lets some others through but loses none; rare phrases fall out of the sums. A shard holds POSITIONS at most: a
+Three passes. The first counts words, the second pairs of frequent words by a 64-bit hash, so that the many rare pairs move as two numbers, the third
+phrases of two and of three words whose pairs are frequent. What is frequent goes to tasks as a bit map of hashes, 32 MB at most, that
+lets some others through but loses none; those fall out of the sums of the third pass. A shard holds POSITIONS at most: a
 longer piece goes on in the next shard with its last words as context that isn't counted again.
 
 Null texts are empty, null languages are "und"; repeated rows count each, keys aren't looked at, nor are columns other than text and language. Words may be of any
 length. Without documents, or without frequent phrases, there are no rows. Counts are longs and scores are computed in decimals of 38 digits, exact as long as
-1000000 * a * a is below 10^38.
+a is below 10^15.
 """
 
 from __future__ import annotations
@@ -32,7 +33,8 @@ from .decontamination import bit_map
 
 LEAST, TOP, MOST_WORDS, ABSORBED = 10, 2000, 3, 50
 UNKNOWN = "und"
-#: Positions of a shard, entries of first words that are extended at once, and bits of a block.
+COUNTS = "lang string, phrase string, k int, n long"
+#: Positions of a shard (2^22 at most), entries of first words that are extended at once, and bits of a block.
 POSITIONS, ENTRIES, BLOCK = 1 << 21, 1 << 16, 16
 #: Bits of a map for each frequent word or phrase, and the least and most bits (a power of two: 32 MB at most).
 BITS_EACH, LEAST_BITS, MOST_BITS = 16, 16, 28
@@ -41,7 +43,7 @@ RANK_PARTS = 256
 #: A-Z to lower case, ends of pieces to line breaks, tabs to blanks. These are single bytes, and no byte of another character in UTF-8.
 TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
 
-# XXH64 of a long, as Spark's xxhash64 has it.
+# XXH64 of a long.
 P1, P2, P3, P4, P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
 
@@ -57,10 +59,9 @@ def hash_long(x: np.ndarray, seed: np.ndarray | np.uint64) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def hash_of(lang: Column, *words: Column) -> Column:
-    """In Spark, the hash of a word or of two words; _word_hashes and _pair_hashes are the same in tasks."""
-    each = [F.xxhash64(lang, w) for w in words]
-    return each[0] if len(each) == 1 else F.xxhash64(*each)
+def hash_of(lang: Column, word: Column) -> Column:
+    """A word's hash in Spark; _word_hashes has the same in tasks."""
+    return F.xxhash64(lang, word)
 
 
 def _word_hashes(lang: str, words: list[bytes]) -> np.ndarray:
@@ -85,8 +86,8 @@ class Filter:
 
 def _repeated(start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(i, j): for each i the j from start[i] on, count[i] of them."""
-    i = np.repeat(np.arange(len(start)), count)
-    return i, np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(start, count)
+    i = np.repeat(np.arange(len(start), dtype=np.int32), count)
+    return i, np.arange(len(i), dtype=np.int32) + (start - np.cumsum(count) + count).astype(np.int32)[i]
 
 
 class Bitmaps:
@@ -95,15 +96,18 @@ class Bitmaps:
     def __init__(self, ids: np.ndarray):
         """ids[p] is the word at position p, or -1 where there is none."""
         places = np.flatnonzero(ids >= 0)
-        places = places[np.argsort(ids[places], kind="stable")]
-        word, block = ids[places].astype(np.int64), places // BLOCK
-        first = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (block[1:] != block[:-1])]) if len(places) else np.empty(0, np.int64)
-        self.word, self.block = word[first], block[first]
-        ones = np.left_shift(1, places % BLOCK)
-        self.bits = np.bitwise_or.reduceat(ones, first) if len(first) else ones
-        order = np.argsort(self.block, kind="stable")
-        self.by_block = self.word[order], self.bits[order]
-        self.starts = np.searchsorted(self.block[order], np.arange(len(ids) // BLOCK + 3))
+        key = ids[places].astype(np.int64) << 22 | places
+        key.sort()
+        cell = key >> 4  # word and block
+        first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.empty(0, np.int64)
+        bits = np.left_shift(1, key & (BLOCK - 1), dtype=np.int32)
+        self.bits = np.bitwise_or.reduceat(bits, first) if len(first) else bits
+        cell = cell[first]
+        self.word, self.block = (cell >> 18).astype(np.int32), (cell & ((1 << 18) - 1)).astype(np.int32)
+        key = self.block.astype(np.int64) << 40 | self.word.astype(np.int64) << BLOCK | self.bits
+        key.sort()
+        self.by_block = (key >> BLOCK & ((1 << 24) - 1)).astype(np.int32), (key & ((1 << BLOCK) - 1)).astype(np.int32)
+        self.starts = np.searchsorted(key >> 40, np.arange(len(ids) // BLOCK + 3)).astype(np.int32)
 
     def extend(self, phrase: np.ndarray, block: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(phrase, word, block, bits): the bitmaps of phrases, shifted, ANDed with those of all words in their blocks."""
@@ -120,37 +124,46 @@ class Bitmaps:
 
 def _grouped(phrase: np.ndarray, word: np.ndarray, bits: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(phrase, word, popcount) of each pair and the pair each row belongs to."""
-    key, of = np.unique(phrase * words + word, return_inverse=True)
+    key, of = np.unique(phrase.astype(np.int64) * words + word, return_inverse=True)
     return key // words, key % words, np.bincount(of, np.bitwise_count(bits), len(key)).astype(np.int64), of
 
 
-def shard_phrases(ids: np.ndarray, hashes: np.ndarray, length: int, context: int, pairs: Filter | None) -> Iterator[tuple[np.ndarray, ...]]:
-    """(w1, w2[, w3], count) of the phrases of length words; those that end in the first context positions aren't counted."""
-    maps, words = Bitmaps(ids), len(hashes)
+def _counted(block: np.ndarray, bits: np.ndarray, context: int) -> np.ndarray:
+    """bits without those of the first context positions."""
+    return bits if not context else np.where(block == 0, bits & ~((1 << context) - 1), bits)
+
+
+def shard_pairs(ids: np.ndarray, hashes: np.ndarray, context: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hash, count) of the pairs of words of a shard; those that end in the first context positions aren't counted."""
+    maps = Bitmaps(ids)
     for at in range(0, len(maps.word), ENTRIES):
         part = slice(at, at + ENTRIES)
-        rows = maps.extend(maps.word[part], maps.block[part], maps.bits[part])
-        first, word, block, bits = rows
-        if length == 2:
-            bits = _counted(block, bits, context)
-            some = np.flatnonzero(bits)
-            w1, w2, n, _ = _grouped(first[some], word[some], bits[some], words)
-            yield w1, w2, n
-            continue
-        w1, w2, n, of = _grouped(first, word, bits, words)
-        frequent = pairs.has(_pair_hashes(hashes[w1], hashes[w2]))
-        held = np.flatnonzero(frequent[of])
-        phrase, word, block, bits = maps.extend(of[held], block[held], bits[held])
+        first, word, block, bits = maps.extend(maps.word[part], maps.block[part], maps.bits[part])
         bits = _counted(block, bits, context)
         some = np.flatnonzero(bits)
-        p, w3, n, _ = _grouped(phrase[some], word[some], bits[some], words)
-        ok = pairs.has(_pair_hashes(hashes[w2[p]], hashes[w3]))
-        yield w1[p][ok], w2[p][ok], w3[ok], n[ok]
+        w1, w2, n, _ = _grouped(first[some], word[some], bits[some], len(hashes))
+        yield _pair_hashes(hashes[w1], hashes[w2]), n
 
 
-def _counted(block: np.ndarray, bits: np.ndarray, context: int) -> np.ndarray:
-    """bits without those of the first context positions."""
-    return bits if not context else np.where(block == 0, bits & ~((1 << context) - 1), bits)
+def shard_phrases(ids: np.ndarray, hashes: np.ndarray, context: int, frequent: Filter) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """(words, count) of the phrases of two and of three words whose pairs are all in frequent, depth-first."""
+    maps, words = Bitmaps(ids), len(hashes)
+    for at in range(0, len(maps.word), ENTRIES):
+        part = slice(at, at + ENTRIES)
+        first, word, block, bits = maps.extend(maps.word[part], maps.block[part], maps.bits[part])
+        w1, w2, _, of = _grouped(first, word, bits, words)
+        known = frequent.has(_pair_hashes(hashes[w1], hashes[w2]))
+        held = np.flatnonzero(known[of])
+        pair, block, bits = of[held], block[held], bits[held]
+        n = np.bincount(pair, np.bitwise_count(_counted(block, bits, context)), len(w1)).astype(np.int64)
+        some = np.flatnonzero(n)
+        yield [w1[some], w2[some]], n[some]
+        pair, word, block, bits = maps.extend(pair, block, bits)
+        bits = _counted(block, bits, context)
+        some = np.flatnonzero(bits)
+        pair, w3, n, _ = _grouped(pair[some], word[some], bits[some], words)
+        some = np.flatnonzero(frequent.has(_pair_hashes(hashes[w2[pair]], hashes[w3])))
+        yield [w1[pair[some]], w2[pair[some]], w3[some]], n[some]
 
 
 class _Ids(dict):
@@ -200,37 +213,62 @@ def _shards(batches: Iterator[pa.RecordBatch], positions: int) -> Iterator[tuple
         yield full(lang)
 
 
-def _counts(docs: DataFrame, length: int, words: tuple[int, np.ndarray] | None, pairs: tuple[int, np.ndarray] | None, positions: int) -> DataFrame:
-    """lang, phrase and n: the popcounts of all shards for phrases of length words, of frequent parts."""
-    maps = docs.sparkSession.sparkContext.broadcast((words, pairs))
-    schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
+def _rows(lang: str, parts: list[pa.Array], n: np.ndarray) -> pa.RecordBatch:
+    phrase = parts[0] if len(parts) == 1 else pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.binary()))
+    return pa.record_batch([pa.repeat(lang, len(n)), phrase.cast(pa.string()), pa.repeat(pa.scalar(len(parts), pa.int32()), len(n)), pa.array(n)], names=["lang", "phrase", "k", "n"])
+
+
+def _bodies(docs: DataFrame) -> DataFrame:
+    return docs.select("lang", F.encode("text", "UTF-8").alias("text"))
 
-    def rows(lang: str, parts: list[pa.Array], n: np.ndarray) -> pa.RecordBatch:
-        phrase = parts[0] if len(parts) == 1 else pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.binary()))
-        return pa.record_batch([pa.array([lang]).take(pa.array(np.zeros(len(n), np.int64))), phrase.cast(pa.string()), pa.array(n)], schema=schema)
+
+def word_counts(docs: DataFrame, positions: int) -> DataFrame:
+    """lang, phrase (a word), k (1) and n of docs (lang, text)."""
 
     def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, known = (Filter(*x) if x else None for x in maps.value)
         for lang, names, ids, context in _shards(batches, positions):
-            if not names:
-                continue
-            texts = pa.array(names, pa.binary())
-            if length == 1:
-                counted = ids[context:]
-                n = np.bincount(counted[counted >= 0], minlength=len(names))
-                some = np.flatnonzero(n)
-                yield rows(lang, [texts.take(pa.array(some))], n[some])
-                continue
+            counted = ids[context:]
+            n = np.bincount(counted[counted >= 0], minlength=len(names))
+            some = np.flatnonzero(n)
+            if len(some):
+                yield _rows(lang, [pa.array(names, pa.binary()).take(pa.array(some))], n[some])
+
+    return _bodies(docs).mapInArrow(mine, COUNTS).groupBy("lang", "phrase", "k").agg(F.sum("n").alias("n"))
+
+
+def _frequent_shards(batches: Iterator[pa.RecordBatch], positions: int, words: Filter) -> Iterator[tuple[str, list[bytes], np.ndarray, np.ndarray, int]]:
+    """(lang, words, ids, hashes, context) of shards; words that aren't frequent take positions as ends of pieces do."""
+    for lang, names, ids, context in _shards(batches, positions):
+        if names:
             hashes = _word_hashes(lang, names)
-            # The last place stands for ends of pieces.
-            ids = np.where(np.r_[frequent.has(hashes), False][ids], ids, -1)
-            for found in shard_phrases(ids, hashes, length, context, known):
-                if len(found[-1]):
-                    yield rows(lang, [texts.take(pa.array(w)) for w in found[:-1]], found[-1])
+            yield lang, names, np.where(np.r_[words.has(hashes), False][ids], ids, -1), hashes, context
+
+
+def pair_counts(docs: DataFrame, words: tuple[int, np.ndarray], positions: int) -> DataFrame:
+    """h and n: how often the pairs of frequent words of each hash occur."""
+    maps = docs.sparkSession.sparkContext.broadcast(words)
+
+    def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, ids, hashes, context in _frequent_shards(batches, positions, Filter(*maps.value)):
+            for h, n in shard_pairs(ids, hashes, context):
+                yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
+
+    return _bodies(docs).mapInArrow(mine, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+
+
+def phrase_counts(docs: DataFrame, words: tuple[int, np.ndarray], pairs: tuple[int, np.ndarray], positions: int) -> DataFrame:
+    """lang, phrase, k (two or three words) and n of phrases whose words and pairs the maps have."""
+    maps = docs.sparkSession.sparkContext.broadcast((words, pairs))
+
+    def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, known = (Filter(*x) for x in maps.value)
+        for lang, names, ids, hashes, context in _frequent_shards(batches, positions, frequent):
+            texts = pa.array(names, pa.binary())
+            for parts, n in shard_phrases(ids, hashes, context, known):
+                if len(n):
+                    yield _rows(lang, [texts.take(pa.array(w)) for w in parts], n)
 
-    body = docs.select("lang", F.encode("text", "UTF-8").alias("text"))
-    found = body.mapInArrow(mine, "lang string, phrase string, n long")
-    return found.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    return _bodies(docs).mapInArrow(mine, COUNTS).groupBy("lang", "phrase", "k").agg(F.sum("n").alias("n"))
 
 
 def _map(rows: DataFrame, h: Column) -> tuple[int, np.ndarray]:
@@ -242,14 +280,13 @@ def _map(rows: DataFrame, h: Column) -> tuple[int, np.ndarray]:
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, top: int = TOP, positions: int = POSITIONS) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of each language's first top phrases."""
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"), text_of(text).alias("text"))
-    words = materialize(_counts(rows, 1, None, None, positions), "words")
+    words = materialize(word_counts(rows, positions), "words")
     frequent = words.where(F.col("n") >= least)
-    word_map = _map(frequent, hash_of(F.col("lang"), F.col("phrase")))
-    two = materialize(_counts(rows, 2, word_map, None, positions).where(F.col("n") >= least), "two")
-    pair = F.split("phrase", " ")
-    three = materialize(_counts(rows, 3, word_map, _map(two, hash_of(F.col("lang"), pair[0], pair[1])), positions).where(F.col("n") >= least), "three")
+    of_words = _map(frequent, hash_of(F.col("lang"), F.col("phrase")))
+    pairs = materialize(pair_counts(rows, of_words, positions).where(F.col("n") >= least), "pairs")
+    longer = materialize(phrase_counts(rows, of_words, _map(pairs, F.col("h")), positions).where(F.col("n") >= least), "phrases")
     totals = words.groupBy("lang").agg(F.sum("n").alias("total"))
-    return ranked(scored(frequent, two, three), totals, top)
+    return ranked(scored(frequent, longer.where("k = 2"), longer.where("k = 3")), totals, top)
 
 
 def _score(a: str, left: str, right: str) -> Column:

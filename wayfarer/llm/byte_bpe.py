@@ -4,7 +4,7 @@ Encoding. A pattern cuts a text into pieces; a piece is encoded by itself. A seq
 neighbours are: no merge across the border between them comes before the merges that make them. So an encoding grows from left to right, one
 hypothesis for each place where the last token may have ended: that token, the tokens not put out yet, and the node of the vocabulary's trie that
 the bytes since then lead to. The set of hypotheses is the state of a deterministic transducer; what all of them agree on is put out, so that output lags
-behind by the longest token at most. States and transitions are made when first met, and forgotten when MOST_STATES are held; so are the pieces seen.
+behind by the longest token at most. States and transitions are made when first met, and forgotten when MOST_STATES are held; the tokens of pieces met lately are kept too.
 
 Decoding. Tokens' bytes go through an automaton for well-formed UTF-8 that keeps at most three bytes of an unfinished character between tokens; ill-formed
 bytes become U+FFFD, one for each longest prefix of a character.
@@ -16,12 +16,14 @@ Special tokens have no meaning. The vocabulary's file is read by the driver and
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,8 +33,12 @@ from .common import table, text_of
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 MOST_RANKS = 1 << 20
 #: States and pieces that a task's process holds; beyond, it starts anew.
-MOST_STATES, MOST_PIECES = 1 << 17, 1 << 18
+MOST_STATES, MOST_PIECES = 1 << 18, 1 << 17
+#: Up to so many tokens below a node it is found out whether the last token matters there.
+FEW = 4
 NEVER = 1 << 60
+#: In the place of a last token: none, or one that all tokens that may follow stay apart from.
+ANY = -1
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -57,17 +63,12 @@ def merge(ranks: dict[bytes, int], piece: bytes, below: int = NEVER) -> list[byt
     return parts
 
 
-class State:
-    """Hypotheses, the transitions known so far (byte: state and tokens put out) and what is put out where the piece ends."""
-
-    __slots__ = ("ends", "hypotheses", "moves")
-
-    def __init__(self, hypotheses: tuple, ends: tuple[int, ...]):
-        self.hypotheses, self.ends, self.moves = hypotheses, ends, {}
-
-
 class Transducer:
-    """The merges of a vocabulary, determinised as texts need it."""
+    """The merges of a vocabulary, determinised as texts need it.
+
+    A state is a tuple of hypotheses, oldest first: the trie's node, the last token, the tokens not put out yet. States have numbers; moves lead from
+    a state and a byte to the next state and what is put out; ends has what is put out where a piece ends.
+    """
 
     def __init__(self, ranks: dict[bytes, int], most_states: int = MOST_STATES):
         self.ranks, self.most_states = ranks, most_states
@@ -86,19 +87,28 @@ class Transducer:
                     self.spells.append(None)
                 node = after
             self.spells[node] = rank
+        # The tokens below each node, where they are few; nodes are numbered after those above them.
+        self.below: list[list[int] | None] = [[] for _ in self.spells]
+        for edge, after in reversed(self.trie.items()):
+            above, held = self.below[edge >> 8], self.below[after]
+            if above is not None:
+                more = None if held is None else [*above, *held] if self.spells[after] is None else [*above, *held, self.spells[after]]
+                self.below[edge >> 8] = None if more is None or len(more) > FEW else more
         self.restart()
 
     def restart(self) -> None:
         """Forget the states."""
-        self.states: dict[tuple, State] = {}
-        self.start = self.state(((0, None, ()),))
+        start = ((0, ANY, ()),)
+        self.numbers, self.states, self.ends = {start: 0}, [start], [()]
+        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self.matters: dict[tuple[int, int], int] = {}
 
     def spine(self, token: int, right: bool) -> list[int]:
-        """The tokens at the left (or right) end of token while it is merged, from its first (last) byte to itself. Empty if merges don't lead to it."""
+        """The tokens at the left (or right) end of token while it is merged, from its first (last) byte to itself, and NEVER; only that if merges don't lead to it."""
         key = (token, right)
-        if key not in self.spines:
-            text = self.tokens[token]
-            found = [token]
+        found = self.spines.get(key)
+        if found is None:
+            text, found = self.tokens[token], [token]
             while len(text) > 1:
                 parts = merge(self.ranks, text, self.ranks[text])
                 if len(parts) != 2:
@@ -106,62 +116,73 @@ class Transducer:
                     break
                 text = parts[1] if right else parts[0]
                 found.append(self.ranks[text])
-            self.spines[key] = found[::-1]
-        return self.spines[key]
+            found = self.spines[key] = [*found[::-1], NEVER]
+        return found
 
-    def adjacent(self, left: int | None, right: int) -> bool:
+    def adjacent(self, left: int, right: int) -> bool:
         """Whether left and right stay apart: at no time does a merge across their border come before the next merge on either side of it."""
-        if left is None:
-            return bool(self.spine(right, False)) and bool(self.spine(right, True))
+        if left == ANY:
+            return len(self.spine(right, False)) > 1
         key = (left, right)
         found = self.neighbours.get(key)
         if found is None:
-            if len(self.neighbours) > 8 * self.most_states:
+            if len(self.neighbours) >= self.most_states:
                 self.neighbours.clear()
-            found = self.neighbours[key] = self._stay_apart(self.spine(left, True), self.spine(right, False))
+            a, b = self.spine(left, True), self.spine(right, False)
+            found = self.neighbours[key] = len(a) > 1 and len(b) > 1 and self._stay_apart(a, b)
+        return found
+
+    def last_at(self, node: int, last: int) -> int:
+        """last, or ANY if it stays apart from all tokens below node: fewer states."""
+        key = (node, last)
+        found = self.matters.get(key)
+        if found is None:
+            below = self.below[node]
+            found = self.matters[key] = last if below is None or not all(self.adjacent(last, token) for token in below) else ANY
         return found
 
     def _stay_apart(self, a: list[int], b: list[int]) -> bool:
-        if not a or not b:
-            return False
+        tokens, rank_of = self.tokens, self.ranks.get
         i = j = 0
         while True:
-            across = self.ranks.get(self.tokens[a[i]] + self.tokens[b[j]], NEVER)
-            next_a, next_b = (x[k + 1] if k + 1 < len(x) else NEVER for x, k in ((a, i), (b, j)))
-            if across < NEVER and across < next_a and across <= next_b:  # of equal ranks the leftmost merge comes first
+            next_a, next_b = a[i + 1], b[j + 1]
+            across = rank_of(tokens[a[i]] + tokens[b[j]], NEVER)
+            if across < next_a and across <= next_b:  # of equal ranks the leftmost merge comes first
                 return False
-            if next_a == next_b == NEVER:
-                return True
             if next_a <= next_b:
+                if next_a == NEVER:
+                    return True
                 i += 1
             else:
                 j += 1
 
-    def state(self, hypotheses: tuple) -> State:
-        found = self.states.get(hypotheses)
-        if found is None:
-            ends = next((pending for node, _, pending in hypotheses if node == 0), ())
-            found = self.states[hypotheses] = State(hypotheses, ends)
-        return found
-
-    def move(self, state: State, byte: int) -> tuple[State, tuple[int, ...]]:
+    def move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """The state after byte and the tokens put out on the way; kept for the next time."""
+        trie, spells, below = self.trie, self.spells, self.below
         alive, reached = [], None
-        for node, last, pending in state.hypotheses:
-            after = self.trie.get(node << 8 | byte)
-            if after is not None:
-                alive.append((after, last, pending))
-                token = self.spells[after]
-                if reached is None and token is not None and self.adjacent(last, token):
-                    reached = (0, token, (*pending, token))
+        for node, last, pending in self.states[state]:
+            after = trie.get(node << 8 | byte)
+            if after is None:
+                continue
+            if below[after] != []:
+                alive.append((after, last if last == ANY else self.last_at(after, last), pending))
+            if reached is None and (token := spells[after]) is not None and self.adjacent(last, token):
+                reached = (0, token, (*pending, token))
         alive.append(reached)  # single bytes are tokens: one hypothesis ends here
-        agreed = 0
-        shortest = min(len(h[2]) for h in alive)
-        while agreed < shortest and all(h[2][agreed] == alive[0][2][agreed] for h in alive):
+        agreed, first = 0, alive[0][2]
+        for token in first:  # mostly, the oldest has put out all it has
+            if any(len(h[2]) <= agreed or h[2][agreed] != token for h in alive):
+                break
             agreed += 1
-        out = alive[0][2][:agreed]
-        found = self.state(tuple((node, last, pending[agreed:]) for node, last, pending in alive)), out
-        state.moves[byte] = found
+        if agreed:
+            alive = [(node, last, pending[agreed:]) for node, last, pending in alive]
+        hypotheses = tuple(alive)
+        number = self.numbers.get(hypotheses)
+        if number is None:
+            number = self.numbers[hypotheses] = len(self.states)
+            self.states.append(hypotheses)
+            self.ends.append(hypotheses[-1][2])
+        found = self.moves[state << 8 | byte] = number, first[:agreed]
         return found
 
     def encode(self, piece: bytes) -> list[int]:
@@ -171,25 +192,28 @@ class Transducer:
             return [whole]
         if len(self.states) > self.most_states:
             self.restart()
-        state, found = self.start, []
+        state, found, known = 0, [], self.moves.get
         for byte in piece:
-            state, out = state.moves.get(byte) or self.move(state, byte)
+            state, out = known(state << 8 | byte) or self.move(state, byte)
             if out:
                 found += out
-        found += state.ends
+        found += self.ends[state]
         return found
 
 
 class Pieces(dict):
-    """Pieces of text and their tokens, MOST_PIECES at most."""
+    """Pieces of text and their tokens, four bytes each. When MOST_PIECES are held those that weren't met since the last time go."""
 
     def __init__(self, transducer: Transducer):
         super().__init__()
-        self.transducer = transducer
+        self.transducer, self.older = transducer, {}
 
-    def __missing__(self, piece: str) -> list[int]:
-        found = self.transducer.encode(piece.encode())
+    def __missing__(self, piece: str) -> bytes:
+        found = self.older.get(piece)
+        if found is None:
+            found = np.array(self.transducer.encode(piece.encode()), np.int32).tobytes()
         if len(self) >= MOST_PIECES:
+            self.older = dict(self)
             self.clear()
         self[piece] = found
         return found
@@ -270,16 +294,29 @@ def _broadcast(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast(b"\n".join(base64.b64encode(token) + b" %d" % rank for token, rank in ranks.items()))
 
 
+@contextmanager
+def _uncollected() -> Iterator[None]:
+    """What a task keeps has no cycles: the collector would walk through it again and again for nothing."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+
+
 def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, text: str = "text", ids: str = "ids") -> DataFrame:
     """docs with ids, the tokens of each text."""
     ranks = _broadcast(docs.sparkSession, path)
 
-    @F.pandas_udf("array<int>")
-    def tokens(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<int>")
+    def tokens(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         pieces = _once("pieces", ranks.value, lambda found: Pieces(Transducer(found)))
-        cut = regex.compile(pattern).findall
-        for frame in texts:
-            yield pd.Series([np.array([i for piece in cut(body) for i in pieces[piece]], np.int32) for body in frame], dtype=object)
+        cut, tokens_of = regex.compile(pattern).findall, pieces.__getitem__
+        for batch in texts:
+            with _uncollected():
+                found = [b"".join(map(tokens_of, cut(body.as_py()))) for body in batch]
+            ends = np.cumsum([0, *[len(x) // 4 for x in found]], dtype=np.int32)
+            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), np.int32)))
 
     return docs.withColumn(ids, tokens(text_of(text)))
 
@@ -288,11 +325,11 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", text: str = "text") ->
     """rows with text, what ids spell."""
     ranks = _broadcast(rows.sparkSession, path)
 
-    @F.pandas_udf("string")
-    def texts(lists: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def texts(lists: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tokens, whole = _once("tokens", ranks.value, lambda found: ({rank: token for token, rank in found.items()}, whole_tokens(found)))
-        for frame in lists:
-            yield pd.Series([decode_ids([] if found is None else found.tolist(), tokens, whole) for found in frame], dtype=object)
+        for batch in lists:
+            yield pa.array([decode_ids(found.as_py() or [], tokens, whole) for found in batch], pa.string())
 
     return rows.withColumn(text, texts(F.col(ids)))
 

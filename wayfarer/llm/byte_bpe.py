@@ -1,10 +1,11 @@
 """Byte-level BPE as a transducer, and the way back through a UTF-8 state machine.
 
 Encoding. A pattern cuts a text into pieces; a piece is encoded by itself. A sequence of tokens is the encoding of its bytes if each two
-neighbours are: no merge across the border between them comes before the merges that make them. So an encoding grows from left to right, one
-hypothesis for each place where the last token may have ended: that token, the tokens not put out yet, and the node of the vocabulary's trie that
-the bytes since then lead to. The set of hypotheses is the state of a deterministic transducer; what all of them agree on is put out, so that output lags
-behind by the longest token at most. States and transitions are made when first met, and forgotten when MOST_STATES are held; the tokens of pieces met lately are kept too.
+neighbours are: no merge across the border between them comes before the merges that make them. So each beginning of a piece has one encoding, which is that of a shorter
+beginning and one token more. A nondeterministic machine that begins a token at any byte finds the tokens that end at each place; it is determinised
+as texts need it: a state is the set of the open nodes of the vocabulary's trie (the longest one and its suffixes), states and moves are kept when first met. Of the
+tokens that end at a place the transducer takes the one that stays apart from the last token before it. Tokens are put out when all encodings that are still
+open agree on them, which lags behind by some lengths of the longest token, however long the piece.
 
 Decoding. Tokens' bytes go through an automaton for well-formed UTF-8 that keeps at most three bytes of an unfinished character between tokens; ill-formed
 bytes become U+FFFD, one for each longest prefix of a character.
@@ -32,13 +33,11 @@ from .common import table, text_of
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 MOST_RANKS = 1 << 20
-#: States and pieces that a task's process holds; beyond, it starts anew.
-MOST_STATES, MOST_PIECES = 1 << 18, 1 << 17
-#: Up to so many tokens below a node it is found out whether the last token matters there.
-FEW = 4
+#: Pairs of tokens and pieces that a task's process remembers.
+MOST_PAIRS, MOST_PIECES = 1 << 19, 1 << 18
+#: Bytes of a piece after which what is agreed on is put out.
+CHUNK = 4096
 NEVER = 1 << 60
-#: In the place of a last token: none, or one that all tokens that may follow stay apart from.
-ANY = -1
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -66,18 +65,19 @@ def merge(ranks: dict[bytes, int], piece: bytes, below: int = NEVER) -> list[byt
 class Transducer:
     """The merges of a vocabulary, determinised as texts need it.
 
-    A state is a tuple of hypotheses, oldest first: the trie's node, the last token, the tokens not put out yet. States have numbers; moves lead from
-    a state and a byte to the next state and what is put out; ends has what is put out where a piece ends.
+    Nodes of the trie have numbers, 0 is its root. A state is named by its longest open node: moves lead from there by a byte to the next state, ending has the tokens
+    that end there, the longest first.
     """
 
-    def __init__(self, ranks: dict[bytes, int], most_states: int = MOST_STATES):
-        self.ranks, self.most_states = ranks, most_states
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
+        self.lengths = {rank: len(token) for token, rank in ranks.items()}
         self.spines: dict[tuple[int, bool], list[int]] = {}
-        self.neighbours: dict[tuple[int, int], bool] = {}
-        # The trie: node and byte to node; the token that a node spells, if any.
+        self.neighbours: dict[int, bool] = {}
         self.trie: dict[int, int] = {}
         self.spells: list[int | None] = [None]
+        self.above = [0]
         for token, rank in ranks.items():
             node = 0
             for byte in token:
@@ -85,23 +85,12 @@ class Transducer:
                 if after is None:
                     after = self.trie[node << 8 | byte] = len(self.spells)
                     self.spells.append(None)
+                    self.above.append(node << 8 | byte)
                 node = after
             self.spells[node] = rank
-        # The tokens below each node, where they are few; nodes are numbered after those above them.
-        self.below: list[list[int] | None] = [[] for _ in self.spells]
-        for edge, after in reversed(self.trie.items()):
-            above, held = self.below[edge >> 8], self.below[after]
-            if above is not None:
-                more = None if held is None else [*above, *held] if self.spells[after] is None else [*above, *held, self.spells[after]]
-                self.below[edge >> 8] = None if more is None or len(more) > FEW else more
-        self.restart()
-
-    def restart(self) -> None:
-        """Forget the states."""
-        start = ((0, ANY, ()),)
-        self.numbers, self.states, self.ends = {start: 0}, [start], [()]
-        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
-        self.matters: dict[tuple[int, int], int] = {}
+        self.moves: dict[int, int] = {}
+        self.ending: list[tuple[tuple[int, int], ...] | None] = [None] * len(self.spells)
+        self.suffixes: list[int | None] = [0, *[None] * (len(self.spells) - 1)]
 
     def spine(self, token: int, right: bool) -> list[int]:
         """The tokens at the left (or right) end of token while it is merged, from its first (last) byte to itself, and NEVER; only that if merges don't lead to it."""
@@ -120,25 +109,10 @@ class Transducer:
         return found
 
     def adjacent(self, left: int, right: int) -> bool:
-        """Whether left and right stay apart: at no time does a merge across their border come before the next merge on either side of it."""
-        if left == ANY:
-            return len(self.spine(right, False)) > 1
-        key = (left, right)
-        found = self.neighbours.get(key)
-        if found is None:
-            if len(self.neighbours) >= self.most_states:
-                self.neighbours.clear()
-            a, b = self.spine(left, True), self.spine(right, False)
-            found = self.neighbours[key] = len(a) > 1 and len(b) > 1 and self._stay_apart(a, b)
-        return found
-
-    def last_at(self, node: int, last: int) -> int:
-        """last, or ANY if it stays apart from all tokens below node: fewer states."""
-        key = (node, last)
-        found = self.matters.get(key)
-        if found is None:
-            below = self.below[node]
-            found = self.matters[key] = last if below is None or not all(self.adjacent(last, token) for token in below) else ANY
+        """Whether left and right stay apart: at no time does a merge across their border come before the next merge on either side of it. Remembered."""
+        if len(self.neighbours) >= MOST_PAIRS:
+            self.neighbours.clear()
+        found = self.neighbours[left << 20 | right] = self._stay_apart(self.spine(left, True), self.spine(right, False))
         return found
 
     def _stay_apart(self, a: list[int], b: list[int]) -> bool:
@@ -156,33 +130,32 @@ class Transducer:
             else:
                 j += 1
 
-    def move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """The state after byte and the tokens put out on the way; kept for the next time."""
-        trie, spells, below = self.trie, self.spells, self.below
-        alive, reached = [], None
-        for node, last, pending in self.states[state]:
-            after = trie.get(node << 8 | byte)
-            if after is None:
-                continue
-            if below[after] != []:
-                alive.append((after, last if last == ANY else self.last_at(after, last), pending))
-            if reached is None and (token := spells[after]) is not None and self.adjacent(last, token):
-                reached = (0, token, (*pending, token))
-        alive.append(reached)  # single bytes are tokens: one hypothesis ends here
-        agreed, first = 0, alive[0][2]
-        for token in first:  # mostly, the oldest has put out all it has
-            if any(len(h[2]) <= agreed or h[2][agreed] != token for h in alive):
-                break
-            agreed += 1
-        if agreed:
-            alive = [(node, last, pending[agreed:]) for node, last, pending in alive]
-        hypotheses = tuple(alive)
-        number = self.numbers.get(hypotheses)
-        if number is None:
-            number = self.numbers[hypotheses] = len(self.states)
-            self.states.append(hypotheses)
-            self.ends.append(hypotheses[-1][2])
-        found = self.moves[state << 8 | byte] = number, first[:agreed]
+    def suffix(self, node: int) -> int:
+        """The longest open node of a state but its first."""
+        found = self.suffixes[node]
+        if found is None:
+            above, byte = self.above[node] >> 8, self.above[node] & 255
+            found = self.suffixes[node] = self.move(self.suffix(above), byte) if above else 0
+        return found
+
+    def move(self, node: int, byte: int) -> int:
+        """The state after byte."""
+        key = node << 8 | byte
+        found = self.moves.get(key)
+        if found is None:
+            found = self.trie.get(key)
+            if found is None:
+                found = self.move(self.suffix(node), byte)
+            self.moves[key] = found
+        return found
+
+    def ends(self, node: int) -> tuple[tuple[int, int], ...]:
+        """The tokens that end in a state, the longest first, and their lengths; those that merges don't lead to are none."""
+        found = self.ending[node]
+        if found is None:
+            token = self.spells[node]
+            own = ((token, self.lengths[token]),) if token is not None and len(self.spine(token, True)) > 1 else ()
+            found = self.ending[node] = own + (self.ends(self.suffix(node)) if node else ())
         return found
 
     def encode(self, piece: bytes) -> list[int]:
@@ -190,15 +163,49 @@ class Transducer:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if len(self.states) > self.most_states:
-            self.restart()
-        state, found, known = 0, [], self.moves.get
+        known, ending, apart = self.moves.get, self.ending, self.neighbours.get
+        out: list[int] = []
+        last, at, node = [-1], 0, 0  # last[i] is the last token up to byte i; the first one may be any
         for byte in piece:
-            state, out = known(state << 8 | byte) or self.move(state, byte)
-            if out:
-                found += out
-        found += self.ends[state]
-        return found
+            at += 1
+            after = known(node << 8 | byte)
+            node = self.move(node, byte) if after is None else after
+            for token, length in ending[node] or self.ends(node):
+                left = last[at - length]
+                if left < 0:
+                    break
+                fits = apart(left << 20 | token)
+                if self.adjacent(left, token) if fits is None else fits:
+                    break
+            last.append(token)
+            if not at % CHUNK:
+                last, at = self._put_out(last, node, out)
+        return out + self._path(last, at)
+
+    def _path(self, last: list[int], at: int) -> list[int]:
+        """The tokens up to byte at, but for one before the first byte of last."""
+        found = []
+        while at > 0:
+            found.append(last[at])
+            at -= self.lengths[last[at]]
+        return found[::-1]
+
+    def _put_out(self, last: list[int], node: int, out: list[int]) -> tuple[list[int], int]:
+        """Put out what all places where a token may still begin agree on; what is left of last begins after that."""
+        depth = 0
+        while node:
+            node, depth = self.above[node] >> 8, depth + 1
+        open_at = range(len(last) - 1 - depth, len(last))
+        borders = None
+        for at in open_at:
+            met = set()
+            while at > 0:
+                met.add(at)
+                at -= self.lengths[last[at]]
+            borders = met if borders is None else borders & met
+        agreed = max(borders, default=0)
+        out += self._path(last, agreed)
+        return last[agreed:], len(last) - 1 - agreed
 
 
 class Pieces(dict):

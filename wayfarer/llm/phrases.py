@@ -1,7 +1,7 @@
 """Phrase collocations by position bitmaps.
 
 Texts are cut into shards of positions inside the tasks that read them. A shard keeps for each word a compressed bitmap of its positions:
-the 16-bit blocks that have a bit, in two orders, by word and by block. A phrase's bitmap (of its last words' positions) is shifted by one
+the 8-bit blocks that have a bit, in two orders, by word and by block. A phrase's bitmap (of its last words' positions) is shifted by one
 and ANDed with the bitmaps of all words that have a bit in its blocks; what is left are the bitmaps of the longer phrases, their
 popcounts how often each occurs. Ends of pieces take a position that no word has, so that no phrase crosses them. The search goes depth-first over
 runs of first words of bounded size. Popcounts are summed over shards by Spark.
@@ -33,9 +33,9 @@ from .decontamination import bit_map
 
 LEAST, TOP, MOST_WORDS, ABSORBED = 10, 2000, 3, 50
 UNKNOWN = "und"
-COUNTS = "lang string, phrase string, k int, n long"
-#: Positions of a shard (2^22 at most), entries of first words that are extended at once, and bits of a block.
-POSITIONS, ENTRIES, BLOCK = 1 << 21, 1 << 16, 16
+COUNTS = "lang string, phrase string, n long"
+#: Positions of a shard (2^22 at most), entries of first words that are extended at once, bits of a block and bits of a place in it.
+POSITIONS, ENTRIES, BLOCK, BLOCK_BITS = 1 << 21, 1 << 16, 8, 3
 #: Bits of a map for each frequent word or phrase, and the least and most bits (a power of two: 32 MB at most).
 BITS_EACH, LEAST_BITS, MOST_BITS = 16, 16, 28
 #: Parts that a language's candidates are dealt to for their first ranking.
@@ -98,12 +98,13 @@ class Bitmaps:
         places = np.flatnonzero(ids >= 0)
         key = ids[places].astype(np.int64) << 22 | places
         key.sort()
-        cell = key >> 4  # word and block
+        cell = key >> BLOCK_BITS  # word and block
         first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.empty(0, np.int64)
         bits = np.left_shift(1, key & (BLOCK - 1), dtype=np.int32)
         self.bits = np.bitwise_or.reduceat(bits, first) if len(first) else bits
         cell = cell[first]
-        self.word, self.block = (cell >> 18).astype(np.int32), (cell & ((1 << 18) - 1)).astype(np.int32)
+        of_block = 22 - BLOCK_BITS
+        self.word, self.block = (cell >> of_block).astype(np.int32), (cell & ((1 << of_block) - 1)).astype(np.int32)
         key = self.block.astype(np.int64) << 40 | self.word.astype(np.int64) << BLOCK | self.bits
         key.sort()
         self.by_block = (key >> BLOCK & ((1 << 24) - 1)).astype(np.int32), (key & ((1 << BLOCK) - 1)).astype(np.int32)
@@ -215,7 +216,7 @@ def _shards(batches: Iterator[pa.RecordBatch], positions: int) -> Iterator[tuple
 
 def _rows(lang: str, parts: list[pa.Array], n: np.ndarray) -> pa.RecordBatch:
     phrase = parts[0] if len(parts) == 1 else pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.binary()))
-    return pa.record_batch([pa.repeat(lang, len(n)), phrase.cast(pa.string()), pa.repeat(pa.scalar(len(parts), pa.int32()), len(n)), pa.array(n)], names=["lang", "phrase", "k", "n"])
+    return pa.record_batch([pa.repeat(lang, len(n)), phrase.cast(pa.string()), pa.array(n)], names=["lang", "phrase", "n"])
 
 
 def _bodies(docs: DataFrame) -> DataFrame:
@@ -223,7 +224,7 @@ def _bodies(docs: DataFrame) -> DataFrame:
 
 
 def word_counts(docs: DataFrame, positions: int) -> DataFrame:
-    """lang, phrase (a word), k (1) and n of docs (lang, text)."""
+    """lang, phrase (a word) and n of docs (lang, text)."""
 
     def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, names, ids, context in _shards(batches, positions):
@@ -233,7 +234,7 @@ def word_counts(docs: DataFrame, positions: int) -> DataFrame:
             if len(some):
                 yield _rows(lang, [pa.array(names, pa.binary()).take(pa.array(some))], n[some])
 
-    return _bodies(docs).mapInArrow(mine, COUNTS).groupBy("lang", "phrase", "k").agg(F.sum("n").alias("n"))
+    return _bodies(docs).mapInArrow(mine, COUNTS).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
 def _frequent_shards(batches: Iterator[pa.RecordBatch], positions: int, words: Filter) -> Iterator[tuple[str, list[bytes], np.ndarray, np.ndarray, int]]:
@@ -257,7 +258,7 @@ def pair_counts(docs: DataFrame, words: tuple[int, np.ndarray], positions: int)
 
 
 def phrase_counts(docs: DataFrame, words: tuple[int, np.ndarray], pairs: tuple[int, np.ndarray], positions: int) -> DataFrame:
-    """lang, phrase, k (two or three words) and n of phrases whose words and pairs the maps have."""
+    """lang, phrase (two or three words) and n of phrases whose words and pairs the maps have."""
     maps = docs.sparkSession.sparkContext.broadcast((words, pairs))
 
     def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,7 +269,7 @@ def phrase_counts(docs: DataFrame, words: tuple[int, np.ndarray], pairs: tuple[i
                 if len(n):
                     yield _rows(lang, [texts.take(pa.array(w)) for w in parts], n)
 
-    return _bodies(docs).mapInArrow(mine, COUNTS).groupBy("lang", "phrase", "k").agg(F.sum("n").alias("n"))
+    return _bodies(docs).mapInArrow(mine, COUNTS).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
 def _map(rows: DataFrame, h: Column) -> tuple[int, np.ndarray]:
@@ -286,7 +287,8 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     pairs = materialize(pair_counts(rows, of_words, positions).where(F.col("n") >= least), "pairs")
     longer = materialize(phrase_counts(rows, of_words, _map(pairs, F.col("h")), positions).where(F.col("n") >= least), "phrases")
     totals = words.groupBy("lang").agg(F.sum("n").alias("total"))
-    return ranked(scored(frequent, longer.where("k = 2"), longer.where("k = 3")), totals, top)
+    of = lambda k: longer.where(F.size(F.split("phrase", " ")) == k)
+    return ranked(scored(frequent, of(2), of(3)), totals, top)
 
 
 def _score(a: str, left: str, right: str) -> Column:

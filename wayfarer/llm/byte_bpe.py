@@ -320,10 +320,12 @@ def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN,
         pieces = _once("pieces", ranks.value, lambda found: Pieces(Transducer(found)))
         cut, tokens_of = regex.compile(pattern).findall, pieces.__getitem__
         for batch in texts:
+            flat, ends = bytearray(), [0]
             with _uncollected():
-                found = [b"".join(map(tokens_of, cut(body.as_py()))) for body in batch]
-            ends = np.cumsum([0, *[len(x) // 4 for x in found]], dtype=np.int32)
-            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), np.int32)))
+                for body in batch:
+                    flat += b"".join(map(tokens_of, cut(body.as_py())))
+                    ends.append(len(flat) // 4)
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32)))
 
     return docs.withColumn(ids, tokens(text_of(text)))
 
@@ -336,7 +338,9 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", text: str = "text") ->
     def texts(lists: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tokens, whole = _once("tokens", ranks.value, lambda found: ({rank: token for token, rank in found.items()}, whole_tokens(found)))
         for batch in lists:
-            yield pa.array([decode_ids(found.as_py() or [], tokens, whole) for found in batch], pa.string())
+            flat, ends = batch.values.to_numpy(), batch.offsets.to_numpy().tolist()
+            spans = zip(ends[:-1], ends[1:], batch.is_null().to_pylist(), strict=True)
+            yield pa.array([decode_ids([] if null else flat[i:j].tolist(), tokens, whole) for i, j, null in spans], pa.string())
 
     return rows.withColumn(text, texts(F.col(ids)))
 

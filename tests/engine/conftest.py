@@ -3,6 +3,7 @@ from datetime import UTC, datetime, timedelta
 import pytest
 
 from wayfarer.plans import schemas
+from wayfarer.streaming import sessions as streams
 
 T0 = datetime(2026, 1, 5, 9, 0, tzinfo=UTC)
 
@@ -36,3 +37,13 @@ def make(spark):
         return spark.createDataFrame([tuple(value(r, c) for c in columns) for r in rows], ddl)
 
     return table
+
+
+@pytest.fixture
+def keyed_state(spark):
+    """The state store for lists and timers, for one test."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    streams.use_keyed_state(spark)
+    yield
+    spark.conf.set(name, before)

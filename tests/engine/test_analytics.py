@@ -148,9 +148,9 @@ SALE = Step("event", (StepFilter("event", event_type="sale"),), "buy")
 def total(make, steps, e, v=("x", "y"), days=30, **more):
     table = make("events", e), make("visitors", [visitor(i) for i in v])
     funnel = Funnel("f", steps, days, **more)
-    fold, joins = (sorted(rows(funnels.summary(*table, funnel, DAY, fold=k), "step_index", "visitor_count", "median_time")) for k in (True, False))
-    assert fold == joins
-    return [c for _, c, _ in fold]
+    windows, fold, joins = (sorted(rows(funnels.summary(*table, funnel, DAY, form=form), "step_index", "visitor_count", "median_time")) for form in ("windows", "fold", "joins"))
+    assert windows == fold == joins
+    return [c for _, c, _ in windows]
 
 
 def test_funnel_of_a_page_and_a_sale(make):

@@ -11,9 +11,10 @@ from wayfarer.functions import devices, traffic, urls, values
 from wayfarer.operators import clicks, connectors, identity, people, sessions
 from wayfarer.operators.base import scan_events
 from wayfarer.plans.filters import Funnel, SourceFilter, Step, StepFilter
-from wayfarer.plans.schemas import CONVERSION_TYPES, DEFAULT_WORKSPACE, INTERACTIVE_TYPES
+from wayfarer.plans.schemas import CONVERSION_TYPES, DEFAULT_WORKSPACE, DISPATCHES, INTERACTIVE_TYPES
 from wayfarer.plans.windows import TimeWindow
 from wayfarer.sources import records, tables
+from wayfarer.sources.batches import Batches
 from wayfarer.streaming import sessions as streams
 
 from .conftest import T0
@@ -327,8 +328,10 @@ def test_event_files_are_pruned_by_month(spark, make, tmp_path):
 
 def test_engagement_settings_and_geo(spark, make):
     s = make("sessions", [{"id": "s1", "visitor_id": "a", "started_at": 0, "last_event_at": 10}])
-    e = make("events", [event(1, "a", "engagement", at=40), event(2, "a", "engagement", at=41), event(3, "b", "engagement", at=5)]).drop("source", "properties")
-    assert rows(tables.attach_engagement(e, s), "id", "session_id") == [("1", "s1")]
+    e = make("events", [event(1, "a", "engagement", at=41), event(2, "a", "engagement", at=42), event(3, "b", "engagement", at=5), event(4, "a", "engagement", at=40 + 1 / 60 / 1e6)])
+    assert rows(tables.attach_engagement(e, s), "id", "session_id") == []
+    e = make("events", [event(1, "a", "engagement", at=40), event(2, "a", "engagement", at=41), event(3, "b", "engagement", at=5), event(4, "a", "engagement", at=72), event(5, "a", "engagement", at=80), event(6, "a", "engagement", at=-1), event(7, "a", "engagement", at=40)])
+    assert sorted(rows(tables.attach_engagement(e, s), "id", "session_id")) == [("1", "s1"), ("2", "s1"), ("7", "s1")]  # a beacon keeps the session live
     change = spark.createDataFrame([("w", "k", "1", T0), ("w", "k", "2", T0 + timedelta(1)), ("w", "j", '{"a":1}', T0)], "workspace_id string, key string, value string, updated_at timestamp")
     held = tables.upsert_settings(change.limit(0), change)
     assert tables.setting(held, "w", "k").first().value == "2" and tables.setting(held, "w", "j").first().value == '{"a":1}'
@@ -376,7 +379,7 @@ def run(query_source, path, mode="append"):
     return query_source.sparkSession.table(name).collect()
 
 
-def test_streamed_sessions_equal_batch(spark, make, tmp_path):
+def test_streamed_sessions_equal_batch(spark, make, tmp_path, keyed_state):
     given = random_events(3, 8)
     end = max(e["inserted_at"] for e in given) + timedelta(days=1)
     df = make("events", [e | {"id": e["id"].zfill(6)} for e in given] + [{"id": "z1", "visitor_id": "late", "event_type": "pageview", "inserted_at": end}]).coalesce(1)
@@ -432,12 +435,13 @@ def test_sessions_move_with_their_counts(make):
 
 def test_dispatches_are_appended_after_commit(spark, make, tmp_path):
     out = str(tmp_path / "data")
-    each_batch = connectors.after_commit(("google",), lambda df: tables.write(df, out, "dispatches", "append"))
+    sink = Batches(out, "dispatches", DISPATCHES)
+    each_batch = connectors.after_commit(("google",), sink)
     e = make("events", [event(1, "v", "sale"), event(2, "v", "pageview"), event(3, "v", "lead"), event(4, "v", "lead")])
     e = e.withColumns({"signals": F.when(F.col("id") != "4", F.create_map(F.lit("gclid"), F.lit("g"))), "consent": F.lit("consented")})
     source = stream_of(spark, e, tmp_path / "in")
     streams.deliver(source, each_batch, str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
-    held = tables.read(spark, out, "dispatches")
+    held = sink.read(spark)
     assert sorted(rows(held, "event_id", "connector_type", "status", "attempts", "max_attempts")) == [("1", "google", "pending", 0, 5), ("3", "google", "pending", 0, 5)]
     assert len(rows(connectors.list_by_event(held, "1"), "id")) == 1
     assert len(rows(connectors.list_by_workspace(held, DEFAULT_WORKSPACE, "google", ("pending",)), "id")) == 2

@@ -22,8 +22,8 @@ def within(column: str, window: TimeWindow, closed: bool = False) -> Column:
 
 
 def months(window: TimeWindow) -> list[str]:
-    """The event_month values that a window touches."""
-    found, day = [], window.start_at.replace(day=1)
+    """The event_month values (UTC) that a window touches."""
+    found, day = [], window.start_at.replace(day=1, hour=0, minute=0, second=0, microsecond=0)
     while day <= window.end_at:
         found.append(day.strftime("%Y-%m"))
         day = (day + timedelta(days=32)).replace(day=1)

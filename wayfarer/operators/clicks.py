@@ -34,12 +34,21 @@ def mark_unique(clicks: DataFrame, ttl_seconds: int = TTL_SECONDS) -> DataFrame:
     return found.withColumn("is_unique", (F.col("n") == 1) | F.col("c_place").isNotNull()).select(*clicks.columns, "is_unique")
 
 
-def link_stats(clicks: DataFrame, events: DataFrame | None = None) -> DataFrame:
-    """link_id with total_clicks, unique_clicks and, from events of the link, total_leads, total_sales, total_revenue_cents."""
-    found = mark_unique(clicks).groupBy("link_id").agg(F.count("*").alias("total_clicks"), F.count_if("is_unique").alias("unique_clicks"))
-    if events is None:
-        return found
-    sale = F.col("event_type") == "sale"
-    made = events.where(F.col("link_id").isNotNull()).groupBy("link_id").agg(F.count_if(F.col("event_type") == "lead").alias("total_leads"), F.count_if(sale).alias("total_sales"), F.coalesce(F.sum(F.when(sale, F.col("amount_cents"))), F.lit(0)).alias("total_revenue_cents"))
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
-    return found.join(made, "link_id", "left").select("link_id", "total_clicks", "unique_clicks", zero("total_leads"), zero("total_sales"), zero("total_revenue_cents"))
+def link_stats(clicks: DataFrame, events: DataFrame | None = None, links: DataFrame | None = None) -> DataFrame:
+    """link_id with total_clicks, unique_clicks and, with events, total_leads, total_sales, total_revenue_cents of the link.
+
+    A link has a row if it has clicks, leads or sales, or is one of links (id). Counts of each kind are made by themselves and added up.
+    """
+    parts = [mark_unique(clicks).groupBy("link_id").agg(F.count("*").alias("total_clicks"), F.count_if("is_unique").alias("unique_clicks"))]
+    columns = ["total_clicks", "unique_clicks"]
+    if events is not None:
+        sale, lead = F.col("event_type") == "sale", F.col("event_type") == "lead"
+        made = events.where(F.col("link_id").isNotNull() & (sale | lead)).groupBy("link_id")
+        parts.append(made.agg(F.count_if(lead).alias("total_leads"), F.count_if(sale).alias("total_sales"), F.coalesce(F.sum(F.when(sale, F.col("amount_cents"))), F.lit(0)).alias("total_revenue_cents")))
+        columns += ["total_leads", "total_sales", "total_revenue_cents"]
+    if links is not None:
+        parts.append(links.select(F.col("id").alias("link_id")))
+    both = parts[0]
+    for part in parts[1:]:
+        both = both.unionByName(part, allowMissingColumns=True)
+    return both.groupBy("link_id").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in columns])

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from wayfarer.functions.values import backoff_seconds, connector_event_id, error_class, json_text
 from wayfarer.operators.base import at, newest_first
 from wayfarer.plans.schemas import DISPATCHES
+from wayfarer.sources.batches import Batches
 
 MAX_SIGNAL, MAX_PAYLOAD, REPLAY_LIMIT = 512, 1_000_000, 1000
 #: Signal keys.
@@ -197,25 +198,26 @@ def after_delivery(dispatches: DataFrame, now: Column) -> DataFrame:
 
 
 def dispatch_rows(planned: DataFrame, now: Column, max_attempts: int = 5) -> DataFrame:
-    """Rows of the table of dispatches for what plan lets go: pending, not tried yet. tables.write(..., "append") adds them, all or none."""
+    """Rows of the table of dispatches for what plan lets go: pending, not tried yet. Ids follow from connector_event_id: planned again they are the same."""
     held = planned.columns
     value = lambda c, kind="string": F.col(c).cast(kind) if c in held else F.lit(None).cast(kind)
-    fresh = {"id": F.expr("uuid()"), "event_id": F.col("id").cast("string"), "event_inserted_at": F.col("inserted_at"), "payload_snapshot": value("payload"), "source_context": value("connector_source_context"), "status": F.lit("pending"), "attempts": F.lit(0), "max_attempts": F.lit(max_attempts), "inserted_at": now, "updated_at": now}
+    fresh = {"id": F.regexp_replace(F.substring(F.sha2("connector_event_id", 256), 1, 32), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), "event_id": F.col("id").cast("string"), "event_inserted_at": F.col("inserted_at"), "payload_snapshot": value("payload"), "source_context": value("connector_source_context"), "status": F.lit("pending"), "attempts": F.lit(0), "max_attempts": F.lit(max_attempts), "inserted_at": now, "updated_at": now}
     columns = [x.split() for x in DISPATCHES.split(", ")]
     kept = ("workspace_id", "connector_type", "connector_event_id", "visitor_id")
     rows = planned.where(F.col("skip_reason").isNull())
     return rows.select(*[(fresh[c] if c in fresh else value(c) if c in kept else F.lit(None)).cast(kind).alias(c) for c, kind in columns])
 
 
-def after_commit(enabled: Mapping[str, tuple[str, ...]] | tuple[str, ...], append: Callable[[DataFrame], None], connectors: tuple[Connector, ...] = CONNECTORS) -> Callable[[DataFrame, int], None]:
-    """A handler for streaming.deliver: plans each committed batch's events of types that connectors take, and appends their dispatches.
+def after_commit(enabled: Mapping[str, tuple[str, ...]] | tuple[str, ...], sink: Batches, connectors: tuple[Connector, ...] = CONNECTORS) -> Callable[[DataFrame, int], None]:
+    """A handler for streaming.deliver: plans each committed batch's events of types that connectors take, and appends their dispatches to sink.
 
-    connector_event_id is a function of event and connector: a batch that comes again after a failure makes the same ones.
+    A connector_event_id is there once for each connector, whether its event comes again in the same batch, in a batch that is given again, or in another one.
     """
     types = sorted({t for c in connectors for t in c.event_types})
 
     def each(batch: DataFrame, number: int) -> None:
-        append(dispatch_rows(plan(batch.where(F.col("event_type").isin(*types)), enabled, connectors), F.current_timestamp()))
+        planned = plan(batch.where(F.col("event_type").isin(*types)), enabled, connectors)
+        sink.append(dispatch_rows(planned, F.current_timestamp()), number, unique=("connector_type", "connector_event_id"), near="event_inserted_at")
 
     return each
 

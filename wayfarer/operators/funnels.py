@@ -1,8 +1,7 @@
 """Funnels: who gets through 2 to 8 steps in order, within days of the first.
 
-Both forms below give the same rows. The fold needs one shuffle by visitor: each visitor's matching events become a
-sorted array that is walked once. A visitor with very many matching events makes a long array; the join form,
-one join and one minimum for each step, has no such array and is the one to take then.
+Three forms give the same rows. Windows, the usual one: one shuffle and one sort by visitor; each step's time is a running minimum over the visitor's matching events, so that
+nothing grows with them but the sort, which spills. The fold walks a sorted array of a visitor's events; joins take one join and one minimum a step. The median is exact and found by rank.
 """
 
 from __future__ import annotations
@@ -10,15 +9,18 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayfarer.operators import selection
 from wayfarer.operators.base import scan_events, with_visitors
 from wayfarer.plans.filters import Funnel
 from wayfarer.plans.schemas import DEFAULT_WORKSPACE
 from wayfarer.plans.windows import TimeWindow
 
 DAY = 86_400_000_000
+#: A funnel's last step is within 90 days of its first: fewer microseconds than 2^44.
+MEDIAN_BITS = 44
 
 
 def _matches(events: DataFrame, visitors: DataFrame, funnel: Funnel, window: TimeWindow, workspace: str) -> DataFrame:
@@ -29,12 +31,35 @@ def _matches(events: DataFrame, visitors: DataFrame, funnel: Funnel, window: Tim
     return with_visitors(rows, visitors)
 
 
+def _reached(times: DataFrame, n: int) -> DataFrame:
+    """One row: c1, c2, ... (visitors at each step) and median, seconds from first to last step, null if nobody got there.
+
+    Visitors are counted by last step and duration first; both results come from these counts.
+    """
+    steps = sum((F.col(f"t{i}").isNotNull().cast("int") for i in range(1, n + 1)), F.lit(0))
+    counts = times.groupBy(steps.alias("steps"), F.when(F.col(f"t{n}").isNotNull(), F.col(f"t{n}") - F.col("t1")).alias("us")).agg(F.count("*").alias("n"))
+    reached = [F.coalesce(F.sum(F.when(F.col("steps") >= i, F.col("n"))), F.lit(0)).alias(f"c{i}") for i in range(1, n + 1)]
+    median = selection.middle(counts.where(F.col("steps") == n), "us", "n", MEDIAN_BITS).select((0.5 * (F.col("lower") / 1e6) + 0.5 * (F.col("upper") / 1e6)).alias("median"))
+    both = counts.agg(*reached).unionByName(median, allowMissingColumns=True)
+    return both.agg(*[F.max(f"c{i}").alias(f"c{i}") for i in range(1, n + 1)], F.max("median").alias("median"))
+
+
 def _summary(times: DataFrame, n: int) -> DataFrame:
     """step_index, visitor_count and median_time (of the last step) from t1, t2, ... of each visitor."""
-    last = F.when(F.col(f"t{n}").isNotNull(), (F.col(f"t{n}") - F.col("t1")) / 1e6)
-    one = times.agg(*[F.count(f"t{i}").alias(f"c{i}") for i in range(1, n + 1)], F.percentile(last, F.lit(0.5)).alias("median"))
     rows = F.array(*[F.struct(F.lit(i).alias("step_index"), F.col(f"c{i}").alias("visitor_count"), (F.col("median") if i == n else F.lit(None).cast("double")).alias("median_time")) for i in range(1, n + 1)])
-    return one.select(F.inline(rows))
+    return _reached(times, n).select(F.inline(rows))
+
+
+def step_times(events: DataFrame, visitors: DataFrame, funnel: Funnel, window: TimeWindow, workspace: str = DEFAULT_WORKSPACE) -> DataFrame:
+    """canonical_id and the time (microseconds) at which each step was reached first, null if never. Rows are of visitors with a matching event."""
+    rows, n = _matches(events, visitors, funnel, window, workspace), len(funnel.steps)
+    upto = Window.partitionBy("canonical_id").orderBy("us").rowsBetween(Window.unboundedPreceding, 0)
+    us = F.col("us")
+    rows = rows.withColumn("t1", F.min(F.when(F.col("m1"), us)).over(upto))
+    for i in range(2, n + 1):
+        reached = F.col(f"m{i}") & (us > F.col(f"t{i - 1}")) & (us <= F.col("t1") + funnel.window_days * DAY)
+        rows = rows.withColumn(f"t{i}", F.min(F.when(reached, us)).over(upto))
+    return rows.groupBy("canonical_id").agg(*[F.min(f"t{i}").alias(f"t{i}") for i in range(1, n + 1)])
 
 
 def step_times_by_fold(events: DataFrame, visitors: DataFrame, funnel: Funnel, window: TimeWindow, workspace: str = DEFAULT_WORKSPACE) -> DataFrame:
@@ -66,22 +91,22 @@ def step_times_by_joins(events: DataFrame, visitors: DataFrame, funnel: Funnel,
     return found
 
 
-def summary(events: DataFrame, visitors: DataFrame, funnel: Funnel, window: TimeWindow, workspace: str = DEFAULT_WORKSPACE, fold: bool = True) -> DataFrame:
+FORMS = {"windows": step_times, "fold": step_times_by_fold, "joins": step_times_by_joins}
+
+
+def summary(events: DataFrame, visitors: DataFrame, funnel: Funnel, window: TimeWindow, workspace: str = DEFAULT_WORKSPACE, form: str = "windows") -> DataFrame:
     """step_index, visitor_count, median_time: seconds from first to last step, exact, null but for the last step."""
-    times = (step_times_by_fold if fold else step_times_by_joins)(events, visitors, funnel, window, workspace)
-    return _summary(times, len(funnel.steps))
+    return _summary(FORMS[form](events, visitors, funnel, window, workspace), len(funnel.steps))
 
 
-def analyze(events: DataFrame, visitors: DataFrame, funnel: Funnel, window: TimeWindow, workspace: str = DEFAULT_WORKSPACE, fold: bool = True) -> DataFrame:
+def analyze(events: DataFrame, visitors: DataFrame, funnel: Funnel, window: TimeWindow, workspace: str = DEFAULT_WORKSPACE, form: str = "windows") -> DataFrame:
     """A row for each step: label, count, conversions, drop_off; overall_conversion is null without visitors."""
     n = len(funnel.steps)
-    times = (step_times_by_fold if fold else step_times_by_joins)(events, visitors, funnel, window, workspace)
-    last = F.when(F.col(f"t{n}").isNotNull(), (F.col(f"t{n}") - F.col("t1")) / 1e6)
-    one = times.agg(*[F.count(f"t{i}").alias(f"c{i}") for i in range(1, n + 1)], F.percentile(last, F.lit(0.5)).alias("median_time_seconds"))
+    one = _reached(FORMS[form](events, visitors, funnel, window, workspace), n)
     share = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     rows = []
     for i, step in enumerate(funnel.steps, 1):
         count, before = F.col(f"c{i}"), F.col(f"c{max(1, i - 1)}")
         rows.append(F.struct(F.lit(i).alias("step_index"), F.lit(step.label).alias("label"), count.alias("count"), share(count, F.col("c1")).alias("conversion_to_step_1"), share(count, before).alias("conversion_to_prev"), (before - count).alias("drop_off")))
     overall = F.when(F.col("c1") > 0, F.col(f"c{n}") / F.col("c1"))
-    return one.select(F.inline(F.array(*rows)), overall.alias("overall_conversion"), "median_time_seconds")
+    return one.select(F.inline(F.array(*rows)), overall.alias("overall_conversion"), F.col("median").alias("median_time_seconds"))

@@ -26,16 +26,34 @@ def _keys(visitors: DataFrame) -> DataFrame:
     return live.select("workspace_id", F.col("id").alias("visitor_id"), "first_seen_at", F.explode(F.array_distinct(pairs)).alias("p")).select("workspace_id", "p.kind", "p.key", "visitor_id", "first_seen_at")
 
 
-def candidates(signals: DataFrame, visitors: DataFrame) -> DataFrame:
-    """request_id and candidates (visitor ids, oldest first) of each row of signals: one equi-join on (kind, value)."""
+def _asked(signals: DataFrame) -> DataFrame:
+    """request_id, workspace_id, kind, key: a row for each signal of a request."""
     given = [k for k in HELD_IN if k in signals.columns]
     asked = F.filter(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).cast("string").alias("key")) for k in given]), lambda x: x["key"].isNotNull())
-    asked = signals.select("request_id", "workspace_id", F.explode(asked).alias("p")).select("request_id", "workspace_id", "p.kind", "p.key")
-    found = asked.join(_keys(visitors), ["workspace_id", "kind", "key"]).select("request_id", "visitor_id", "first_seen_at").distinct()
-    listed = found.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("first_seen_at", "visitor_id"))).alias("c"))
+    return signals.select("request_id", "workspace_id", F.explode(asked).alias("p")).select("request_id", "workspace_id", "p.kind", "p.key")
+
+
+def candidate_rows(signals: DataFrame, visitors: DataFrame) -> DataFrame:
+    """request_id, visitor_id, first_seen_at: a row for each visitor that a request's signals match, by one equi-join on (kind, value)."""
+    return _asked(signals).join(_keys(visitors), ["workspace_id", "kind", "key"]).select("request_id", "visitor_id", "first_seen_at").distinct()
+
+
+def candidates(signals: DataFrame, visitors: DataFrame) -> DataFrame:
+    """request_id and candidates (visitor ids, oldest first) of each row of signals. For signals that very many visitors share, take oldest or candidate_rows."""
+    listed = candidate_rows(signals, visitors).groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("first_seen_at", "visitor_id"))).alias("c"))
     return signals.select("request_id").join(listed, "request_id", "left").select("request_id", F.coalesce(F.transform("c", lambda x: x["visitor_id"].cast("string")), F.array().cast("array<string>")).alias("candidates"))
 
 
+def oldest(signals: DataFrame, visitors: DataFrame) -> DataFrame:
+    """request_id and visitor_id, the oldest candidate, of requests that have one.
+
+    Visitors of one signal are reduced to the oldest by partial aggregation before requests meet them, so that a signal that any number of visitors share is one row.
+    """
+    first = _keys(visitors).groupBy("workspace_id", "kind", "key").agg(F.min(F.struct("first_seen_at", "visitor_id")).alias("first"))
+    found = _asked(signals).join(first, ["workspace_id", "kind", "key"]).groupBy("request_id").agg(F.min("first").alias("first"))
+    return found.select("request_id", F.col("first.visitor_id").alias("visitor_id"))
+
+
 def merge_allowed(columns: list[str]) -> Column:
     """A strong signal, or two weak ones, in the request."""
     given = lambda names: sum((F.col(c).isNotNull().cast("int") for c in names if c in columns), F.lit(0))
@@ -43,12 +61,17 @@ def merge_allowed(columns: list[str]) -> Column:
 
 
 def resolve(signals: DataFrame, visitors: DataFrame) -> DataFrame:
-    """request_id, action (create, update, merge), visitor_id (the oldest candidate) and merged_ids of each request."""
-    found = signals.join(candidates(signals, visitors), "request_id")
-    n, allowed = F.size("candidates"), merge_allowed(signals.columns)
-    action = F.when(n == 0, "create").when((n > 1) & allowed, "merge").otherwise("update")
-    rest = F.when((n > 1) & allowed, F.slice("candidates", 2, F.greatest(n - 1, F.lit(1)))).otherwise(F.array().cast("array<string>"))
-    return found.select("request_id", action.alias("action"), F.when(n > 0, F.get("candidates", F.lit(0))).alias("visitor_id"), rest.alias("merged_ids"))
+    """request_id, action (create, update, merge), visitor_id (the oldest candidate) and merged_ids of each request.
+
+    Candidates are listed only for requests that may merge them.
+    """
+    may = signals.where(merge_allowed(signals.columns))
+    rest = candidate_rows(may, visitors).join(oldest(may, visitors).withColumnRenamed("visitor_id", "first_id"), "request_id").where("visitor_id != first_id")
+    merged = rest.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("first_seen_at", "visitor_id"))).alias("c"))
+    found = signals.select("request_id").join(oldest(signals, visitors), "request_id", "left").join(merged, "request_id", "left")
+    action = F.when(F.col("visitor_id").isNull(), "create").when(F.col("c").isNotNull(), "merge").otherwise("update")
+    ids = F.coalesce(F.transform("c", lambda x: x["visitor_id"].cast("string")), F.array().cast("array<string>"))
+    return found.select("request_id", action.alias("action"), F.col("visitor_id").cast("string").alias("visitor_id"), ids.alias("merged_ids"))
 
 
 def create_visitors(signals: DataFrame, ids: Column, now: Column) -> DataFrame:

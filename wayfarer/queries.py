@@ -320,7 +320,7 @@ def _funnel_sql(steps: list[str], days: int) -> str:
 
 for _name, (_funnel, _steps) in FUNNELS.items():
     query(_name, _funnel_sql(_steps, _funnel.window_days))(lambda t, f=_funnel: funnels.summary(t.events, t.visitors, f, WINDOW))
-query("funnel_by_joins", _funnel_sql(FUNNELS["funnel_3step"][1], 3))(lambda t: funnels.summary(t.events, t.visitors, FUNNELS["funnel_3step"][0], WINDOW, fold=False))
+query("funnel_by_joins", _funnel_sql(FUNNELS["funnel_3step"][1], 3))(lambda t: funnels.summary(t.events, t.visitors, FUNNELS["funnel_3step"][0], WINDOW, form="joins"))
 
 
 @query(

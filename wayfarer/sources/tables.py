@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from wayfarer.functions import devices, traffic, urls
 from wayfarer.functions.values import event_name_guard, id_guard, sanitized_properties, source_text, url_guard
+from wayfarer.operators.sessions import attach as attach_engagement
 from wayfarer.plans import schemas
 from wayfarer.plans.schemas import EVENT_TYPES, INGEST_TYPES
+from wayfarer.plans.scratch import written
 
 MAX_BATCH = 100
 #: Tables in a data folder, and their columns.
@@ -23,13 +25,25 @@ def read(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.schema(ddl).parquet(f"{path}/{name}")
 
 
+def changes(spark: SparkSession, path: str, files_a_batch: int | None = None) -> DataFrame:
+    """The events table as a stream: what write_events has appended and will append, folder by folder, with the declared columns."""
+    reader = spark.readStream.schema(f"{LOGICAL['events']}, event_month string")
+    reader = reader if files_a_batch is None else reader.option("maxFilesPerTrigger", files_a_batch)
+    return reader.parquet(f"{path}/events")
+
+
+def event_month(at: Column) -> Column:
+    """The month of a time in UTC, as base.months names it."""
+    return F.substring(F.date_from_unix_date(F.floor(F.unix_micros(at) / 86_400_000_000).cast("int")).cast("string"), 1, 7)
+
+
 def write_events(events: DataFrame, path: str, mode: str = "append") -> None:
-    """Append events, one folder for each month (event_month), rows in order of workspace and time in each file.
+    """Append events, one folder for each month (event_month, in UTC whatever the session's zone), rows in order of workspace and time in each file.
 
     Statistics of row groups then prune by time. A month's rows are spread over as many tasks as its size needs:
     rebalancing splits large months.
     """
-    rows = events.withColumn("event_month", F.date_format("inserted_at", "yyyy-MM"))
+    rows = events.withColumn("event_month", event_month(F.col("inserted_at")))
     rows = rows.hint("rebalance", "event_month").sortWithinPartitions("event_month", "workspace_id", "inserted_at")
     rows.write.mode(mode).partitionBy("event_month").parquet(f"{path}/events")
 
@@ -150,16 +164,6 @@ def ingest_batch(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return ingest(raw)
 
 
-def attach_engagement(beacons: DataFrame, sessions: DataFrame, gap_seconds: int = 1800) -> DataFrame:
-    """Engagement beacons with the session that is live at their time; those without one are left out."""
-    live = sessions.select(F.col("id").alias("session_id"), "workspace_id", "visitor_id", "started_at", "last_event_at")
-    joined = beacons.drop("session_id").join(live, ["workspace_id", "visitor_id"])
-    until = F.timestamp_micros(F.unix_micros("last_event_at") + gap_seconds * 1_000_000)
-    inside = joined.where((F.col("inserted_at") >= F.col("started_at")) & (F.col("inserted_at") <= until))
-    latest = F.max_by("session_id", F.struct("last_event_at", "session_id")).alias("session_id")
-    return inside.groupBy(*[c for c in beacons.columns if c != "session_id"]).agg(latest)
-
-
 def resolve_visitors(requests: DataFrame, visitors: DataFrame) -> DataFrame:
     """requests (visitor_id, external_id, signal_visitor_id) with resolved_id, or error: an id comes before an external id, that before signals."""
     known = visitors.select(F.col("workspace_id").alias("k_ws"), F.col("id").alias("k_id"))
@@ -200,18 +204,17 @@ def setting(settings: DataFrame, workspace: str, key: str) -> DataFrame:
 def enrich_geo(rows: DataFrame, ranges: DataFrame) -> DataFrame:
     """rows (id, ip_address) with geo, the map of the range that holds the address.
 
-    ranges (low, high: 32 hex digits as of devices.address_key; geo) don't overlap. An as-of join by one sort: addresses
-    and range starts of one /16 network (IPv6: /32) are put in order, and each address takes the last start before it.
-    Ranges are listed in every network they touch, those of more than 65536 networks raise an error.
+    ranges (low, high: 32 hex digits as of devices.address_key; geo) don't overlap and may be of any width. An as-of sweep: different addresses and the starts of ranges are
+    dealt out by ranges of keys and written; within a partition an address takes the last start before it, and where there is none the last start of the
+    partitions before, which is one row a partition.
     """
-    network = lambda key: F.conv(F.when(F.substring(key, 1, 24) == "00000000000000000000ffff", F.concat(F.lit("f"), F.substring(key, 25, 4))).otherwise(F.substring(key, 1, 8)), 16, 10).cast("long")
-    low, high = network(F.col("low")), network(F.col("high"))
-    wide = F.when(high - low > 65_536, F.raise_error(F.lit("a range spans too many networks")).cast("long")).otherwise(high)
-    starts = ranges.select(F.explode(F.sequence(low, wide)).alias("net"), F.col("low").alias("key"), F.lit(0).alias("kind"), "high", "geo")
+    starts = ranges.select(F.col("low").alias("key"), F.lit(0).alias("kind"), F.struct("high", "geo").alias("range"))
     asked = rows.select("ip_address").distinct().withColumn("key", devices.address_key("ip_address")).where(F.col("key").isNotNull())
-    asked = asked.select(network(F.col("key")).alias("net"), "key", F.lit(1).alias("kind"), "ip_address")
-    both = starts.unionByName(asked, allowMissingColumns=True)
-    before = Window.partitionBy("net").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    held = F.last(F.when(F.col("kind") == 0, F.struct("high", "geo")), ignorenulls=True).over(before)
-    found = both.withColumn("r", held).where("kind = 1").select("ip_address", F.when(F.col("key") <= F.col("r.high"), F.col("r.geo")).alias("geo"))
+    both = starts.unionByName(asked.select("key", F.lit(1).alias("kind"), "ip_address"), allowMissingColumns=True)
+    both = written(both.repartitionByRange("key", "kind").withColumn("part", F.spark_partition_id()), "addresses")
+    lasts = both.groupBy("part").agg(F.max_by("range", F.when(F.col("kind") == 0, F.col("key"))).alias("last"))
+    carried = lasts.select("part", F.last("last", ignorenulls=True).over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    before = Window.partitionBy("part").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("held", F.last("range", ignorenulls=True).over(before)).where("kind = 1").join(carried, "part").withColumn("held", F.coalesce("held", "carried"))
+    found = found.select("ip_address", F.when(F.col("key") <= F.col("held.high"), F.col("held.geo")).alias("geo"))
     return rows.drop("geo").join(found, "ip_address", "left")

@@ -5,16 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from wayfarer.operators.sessions import ENGAGED_PAGEVIEWS, ENGAGED_SECONDS, GAP_SECONDS, HOP_SECONDS, TUPLE, acquisition, page_path
 from wayfarer.plans.schemas import CONVERSION_TYPES, INTERACTIVE_TYPES
+from wayfarer.sources.batches import Batches
 
 SESSION = "workspace_id string, visitor_id string, first_event_id string, started_at timestamp, last_event_at timestamp, entry_page string, exit_page string, pageviews long, events long, duration_seconds long, engaged_seconds long, is_bounce boolean, is_engaged boolean, acquisition string"
 STATE = "first_event_id string, started long, last long, entry_page string, exit_page string, pageviews long, events long, duration long, engaged long, acted boolean, sold boolean, acquisition string"
 FIELDS = [x.split()[0] for x in STATE.split(", ")]
+WAITING = "id string, event_type string, us long, page string, acq string, engaged long"
 
 
 def prepared(events: DataFrame) -> DataFrame:
@@ -25,62 +29,97 @@ def prepared(events: DataFrame) -> DataFrame:
     return rows.select(F.coalesce("workspace_id", F.lit("")).alias("workspace_id"), F.col("visitor_id").cast("string").alias("visitor_id"), F.col("id").cast("string").alias("id"), "event_type", "inserted_at", F.unix_micros("inserted_at").alias("us"), page_path().alias("page"), acquisition().alias("acq"), engaged.alias("engaged"))
 
 
-def sessionize(events: DataFrame, gap_seconds: int = GAP_SECONDS, watermark: str = "30 minutes") -> DataFrame:
-    """A row for each session when it ends: by a gap that the watermark has passed, or by a new source.
+class _Fold:
+    """The session rules, row by row, for rows of one visitor in order of time."""
 
-    The same rules as in batch for rows that come in order of time within a visitor; the state of a visitor is one
-    session, and rows of one trigger are put in order before they are added.
-    """
-    gap = gap_seconds * 1_000_000
+    def __init__(self, gap_seconds: int):
+        self.gap, self.most = gap_seconds * 1_000_000, max(HOP_SECONDS, gap_seconds)
 
-    def row(key: tuple, s: dict) -> dict:
+    def row(self, key: tuple, s: dict) -> dict:
         at = lambda us: pd.Timestamp(us, unit="us")
         engaged = s["pageviews"] >= ENGAGED_PAGEVIEWS or s["sold"] or s["engaged"] >= ENGAGED_SECONDS
         return {"workspace_id": key[0], "visitor_id": key[1], "first_event_id": s["first_event_id"], "started_at": at(s["started"]), "last_event_at": at(s["last"]), "entry_page": s["entry_page"], "exit_page": s["exit_page"], "pageviews": s["pageviews"], "events": s["events"], "duration_seconds": s["duration"], "engaged_seconds": s["engaged"], "is_bounce": not s["acted"] and s["pageviews"] < 2, "is_engaged": bool(engaged), "acquisition": s["acquisition"]}
 
-    def add(s: dict | None, e: object) -> tuple[dict | None, dict | None]:
-        """(session that ended, live session) after event e."""
-        live = s is not None and e.us - s["last"] <= gap
+    def add(self, s: dict | None, event: tuple) -> tuple[dict | None, dict | None]:
+        """(session that ended, live session) after event: id, event_type, us, page, acq, engaged."""
+        number, kind, us, page, acq, engaged = event
+        live = s is not None and us - s["last"] <= self.gap
         ended = None if live or s is None else s
-        acq = e.acq if isinstance(e.acq, str) else None
-        page = e.page if isinstance(e.page, str) else None
-        view = e.event_type == "pageview"
-        if e.event_type == "engagement":
-            if not live:
-                return ended, None
-            hop = min(max((e.us - s["last"]) // 1_000_000, 0), max(HOP_SECONDS, gap_seconds))
-            return ended, s | {"last": max(s["last"], e.us), "duration": s["duration"] + hop, "engaged": s["engaged"] + int(e.engaged)}
+        hop = min(max((us - s["last"]) // 1_000_000, 0), self.most) if live else 0
+        if kind == "engagement":
+            return ended, s | {"last": us, "duration": s["duration"] + hop, "engaged": s["engaged"] + engaged} if live else None
         if live and acq and s["acquisition"] and acq != s["acquisition"]:
             ended, live = s, False
+        view, acts, sells = kind == "pageview", kind in INTERACTIVE_TYPES, kind in CONVERSION_TYPES
         if not live:
-            return ended, {"first_event_id": e.id, "started": e.us, "last": e.us, "entry_page": page, "exit_page": page, "pageviews": int(view), "events": 1, "duration": 0, "engaged": 0, "acted": e.event_type in INTERACTIVE_TYPES, "sold": e.event_type in CONVERSION_TYPES, "acquisition": acq}
-        hop = min(max((e.us - s["last"]) // 1_000_000, 0), max(HOP_SECONDS, gap_seconds))
-        late = e.us < s["last"]  # within the watermark: it counts, but the session's end and exit page stay
-        return ended, s | {"last": max(s["last"], e.us), "exit_page": page if view and page and not late else s["exit_page"], "pageviews": s["pageviews"] + view, "events": s["events"] + 1, "duration": s["duration"] + hop, "acted": s["acted"] or e.event_type in INTERACTIVE_TYPES, "sold": s["sold"] or e.event_type in CONVERSION_TYPES, "acquisition": s["acquisition"] or acq}
+            return ended, {"first_event_id": number, "started": us, "last": us, "entry_page": page, "exit_page": page, "pageviews": int(view), "events": 1, "duration": 0, "engaged": 0, "acted": acts, "sold": sells, "acquisition": acq}
+        return ended, s | {"last": us, "exit_page": page if view and page else s["exit_page"], "pageviews": s["pageviews"] + view, "events": s["events"] + 1, "duration": s["duration"] + hop, "acted": s["acted"] or acts, "sold": s["sold"] or sells, "acquisition": s["acquisition"] or acq}
 
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = dict(zip(FIELDS, state.get, strict=True)) if state.exists else None
+
+class _Sessions(StatefulProcessor):
+    """Keeps a visitor's rows until the watermark has passed them, folds them in order, and ends sessions whose gap it has passed."""
+
+    def __init__(self, gap_seconds: int):
+        self.fold = _Fold(gap_seconds)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", WAITING)
+        self.live = handle.getValueState("live", STATE)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        text = lambda v: v if isinstance(v, str) else None
+        given = [(text(e.id), text(e.event_type), int(e.us), text(e.page), text(e.acq), int(e.engaged)) for frame in rows for e in frame.itertuples()]
+        self.waiting.appendList(given)
+        self._wake(min(e[2] for e in given))
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000  # no row up to then will come
+        waiting = [tuple(e) for e in self.waiting.get()] if self.waiting.exists() else []
+        ready, rest = [e for e in waiting if e[2] <= passed], [e for e in waiting if e[2] > passed]
+        live = dict(zip(FIELDS, self.live.get(), strict=True)) if self.live.exists() else None
         out = []
-        if state.hasTimedOut:
-            out = [row(key, held)] if held else []
-            state.remove()
+        for event in sorted(ready, key=lambda e: (e[2], e[0] or "")):
+            ended, live = self.fold.add(live, event)
+            out += [self.fold.row(key, ended)] if ended else []
+        if live and live["last"] + self.fold.gap < passed:
+            out.append(self.fold.row(key, live))
+            live = None
+        if rest:
+            self.waiting.put(rest)
+            self._wake(min(e[2] for e in rest))
+        else:
+            self.waiting.clear()
+        if live:
+            self.live.update(tuple(live[f] for f in FIELDS))
+            self._wake(live["last"] + self.fold.gap + 1000)
         else:
-            rows = pd.concat(list(frames)).sort_values(["us", "id"], kind="stable")
-            for e in rows.itertuples():
-                ended, held = add(held, e)
-                out += [row(key, ended)] if ended else []
-            if held is None:
-                if state.exists:
-                    state.remove()
-            else:
-                plain = lambda v: v.item() if hasattr(v, "item") else v
-                state.update(tuple(plain(held[f]) for f in FIELDS))
-                state.setTimeoutTimestamp(max(held["last"] // 1000 + gap_seconds * 1000 + 1, state.getCurrentWatermarkMs() + 1))
+            self.live.clear()
         if out:
             yield pd.DataFrame(out)
 
+    def _wake(self, us: int) -> None:
+        """Come again once the watermark has passed us."""
+        self.handle.registerTimer(us // 1000 + 1)
+
+    def close(self) -> None:
+        pass
+
+
+def use_keyed_state(spark: SparkSession) -> None:
+    """The state store that sessionize needs: lists and timers by key."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def sessionize(events: DataFrame, gap_seconds: int = GAP_SECONDS, watermark: str = "30 minutes") -> DataFrame:
+    """A row for each session when it ends: by a gap that the watermark has passed, or by a new source.
+
+    The same rows as in batch, by visitor, in whatever order events come within the watermark; what comes later is dropped. The state of a visitor is one session and the
+    events the watermark hasn't passed. Call use_keyed_state first.
+    """
     rows = prepared(events.withWatermark("inserted_at", watermark))
-    return rows.groupBy("workspace_id", "visitor_id").applyInPandasWithState(fold, SESSION, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return rows.groupBy("workspace_id", "visitor_id").transformWithStateInPandas(_Sessions(gap_seconds), SESSION, "append", "EventTime")
 
 
 def unique_clicks(clicks: DataFrame, ttl_seconds: int = 3600, watermark: str = "1 hour") -> DataFrame:
@@ -129,3 +168,13 @@ def deliver(stream: DataFrame, handler: Callable[[DataFrame, int], None], checkp
             hook(number)
 
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(each)
+
+
+def fan_out(stream: DataFrame, feed: Batches, checkpoint: str):
+    """A query that hands a stream of events on to feed, each event once, in files of one workspace; subscribers read theirs."""
+    return deliver(stream, lambda batch, number: feed.append(batch.repartition("workspace_id").sortWithinPartitions("workspace_id", "inserted_at").drop("event_month"), number), checkpoint)
+
+
+def subscription(spark: SparkSession, feed: Batches, workspace: str, after: int = -1) -> DataFrame:
+    """A workspace's events of the batches after one that it knows, with batch."""
+    return feed.read(spark).where((F.col("workspace_id") == workspace) & (F.col("batch") > after))

@@ -28,13 +28,16 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import table, text_of
+from .common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 MOST_RANKS = 1 << 20
 #: Pairs of tokens and pieces that a task's process remembers.
-MOST_PAIRS, MOST_PIECES = 1 << 19, 1 << 18
+MOST_PAIRS, MOST_PIECES = 1 << 18, 1 << 18
+#: Rows that are worked on at once.
+ROWS = 512
 #: Bytes of a piece after which what is agreed on is put out.
 CHUNK = 4096
 NEVER = 1 << 60
@@ -311,43 +314,54 @@ def _uncollected() -> Iterator[None]:
         gc.enable()
 
 
-def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, text: str = "text", ids: str = "ids") -> DataFrame:
-    """docs with ids, the tokens of each text."""
-    ranks = _broadcast(docs.sparkSession, path)
+def _added(rows: DataFrame, column: str, kind: T.DataType, made: Callable[[pa.RecordBatch], pa.Array], without: str | None = None) -> DataFrame:
+    """rows with a column that made gives for a few rows at a time, less the column without."""
+    rows = rows.drop(column)
+    kept = [i for i, c in enumerate(rows.columns) if c != without]
+    schema = T.StructType([*[rows.schema.fields[i] for i in kept], T.StructField(column, kind)])
 
-    @F.arrow_udf("array<int>")
-    def tokens(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, ROWS):
+                part = batch.slice(i, ROWS)
+                yield pa.RecordBatch.from_arrays([*[part.column(k) for k in kept], made(part)], schema.names)
+
+    return rows.mapInArrow(each, schema)
+
+
+def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, text: str = "text", ids: str = "ids", keep_text: bool = True) -> DataFrame:
+    """docs with ids, the tokens of each text (an array of int), in the place of a column of that name; without the text if it isn't kept."""
+    ranks, at = _broadcast(docs.sparkSession, path), docs.drop(ids).columns.index(text)
+
+    def made(part: pa.RecordBatch) -> pa.Array:
         pieces = _once("pieces", ranks.value, lambda found: Pieces(Transducer(found)))
-        cut, tokens_of = regex.compile(pattern).findall, pieces.__getitem__
-        for batch in texts:
-            flat, ends = bytearray(), [0]
-            with _uncollected():
-                for body in batch:
-                    flat += b"".join(map(tokens_of, cut(body.as_py())))
-                    ends.append(len(flat) // 4)
-            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32)))
+        cut, tokens_of, flat, ends = regex.compile(pattern).findall, pieces.__getitem__, bytearray(), [0]
+        with _uncollected():
+            for body in part.column(at):
+                flat += b"".join(map(tokens_of, cut(body.as_py() or "")))
+                ends.append(len(flat) // 4)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32)))
 
-    return docs.withColumn(ids, tokens(text_of(text)))
+    return _added(docs, ids, T.ArrayType(T.IntegerType()), made, None if keep_text else text)
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids", text: str = "text") -> DataFrame:
-    """rows with text, what ids spell."""
-    ranks = _broadcast(rows.sparkSession, path)
+    """rows with text, what ids spell, in the place of a column of that name."""
+    ranks, at = _broadcast(rows.sparkSession, path), rows.drop(text).columns.index(ids)
 
-    @F.arrow_udf("string")
-    def texts(lists: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def made(part: pa.RecordBatch) -> pa.Array:
         tokens, whole = _once("tokens", ranks.value, lambda found: ({rank: token for token, rank in found.items()}, whole_tokens(found)))
-        for batch in lists:
-            flat, ends = batch.values.to_numpy(), batch.offsets.to_numpy().tolist()
-            spans = zip(ends[:-1], ends[1:], batch.is_null().to_pylist(), strict=True)
-            yield pa.array([decode_ids([] if null else flat[i:j].tolist(), tokens, whole) for i, j, null in spans], pa.string())
+        lists = part.column(at)
+        flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy().tolist()
+        spans = zip(ends[:-1], ends[1:], lists.is_null().to_pylist(), strict=True)
+        return pa.array([decode_ids([] if null else flat[i:j].tolist(), tokens, whole) for i, j, null in spans], pa.string())
 
-    return rows.withColumn(text, texts(F.col(ids)))
+    return _added(rows, text, T.StringType(), made)
 
 
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(VOCABULARY)
-    encoded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text")
+    encoded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, keep_text=False)
     decoded = decode(encoded, path)
     digest = lambda text: F.sha2(text.cast("binary"), 256)
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"), digest(F.col("text")).alias("decoded_sha256"))

@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 
 from wayfarer.functions import devices, traffic, urls, values
 from wayfarer.operators import audience, clicks, connectors, events, funnels, identity, kpis, people, sessions, timeseries
-from wayfarer.operators.base import with_visitors
+from wayfarer.operators.base import scan_events, with_visitors
 from wayfarer.plans import adapter
 from wayfarer.plans.adapter import GAP_SECONDS, Tables
 from wayfarer.plans.filters import Funnel, SourceFilter, Step, StepFilter
+from wayfarer.plans.schemas import DEFAULT_WORKSPACE, DISPATCHES
+from wayfarer.plans.scratch import scratch_path
 from wayfarer.plans.windows import TimeWindow
 from wayfarer.sources import tables
+from wayfarer.sources.batches import Batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,33 +28,34 @@ WHOLE = TimeWindow(datetime(2020, 1, 1, tzinfo=UTC), datetime(2030, 1, 1, tzinfo
 NOW = datetime(2024, 1, 29, tzinfo=UTC)
 
 # What oracles build on.
-_EV = adapter.EVENTS.replace("{events}", "events").replace("{pages}", "pages")
-_VI = adapter.VISITORS.replace("{events}", "events")
+_EV = adapter.EVENTS.format(events="events", pages="pages")
+_VI = adapter.VISITORS.format(events="events")
 IN = "e.inserted_at >= TIMESTAMP '2024-01-08' AND e.inserted_at < TIMESTAMP '2024-01-22'"
 SES_IN = "started_at >= TIMESTAMP '2024-01-08' AND started_at < TIMESTAMP '2024-01-22'"
 
 
-def stamp_sql(gap: int) -> str:
-    """The tables that lead from events to sessions, with a gap of so many seconds."""
+def stamp_sql(gap: int, rows: str = "a_events", tag: str = "") -> str:
+    """The tables that lead from events (rows) to sessions, with a gap of so many seconds; tag comes before their names."""
     return f"""
-s1 AS (SELECT *, epoch_us(inserted_at) AS us, lag(epoch_us(inserted_at)) OVER (PARTITION BY visitor_id ORDER BY inserted_at, id) AS prev,
+{tag}s1 AS (SELECT *, epoch_us(inserted_at) AS us, lag(epoch_us(inserted_at)) OVER (PARTITION BY visitor_id ORDER BY inserted_at, id) AS prev,
   CASE WHEN coalesce(nullif(nullif(source_platform, ''), 'direct'), nullif(nullif(source_medium, ''), 'direct'), source_campaign, click_id) IS NOT NULL
-    THEN concat_ws('|', coalesce(nullif(source_platform, 'direct'), ''), coalesce(nullif(source_medium, 'direct'), ''), coalesce(source_campaign, ''), coalesce(click_id, '')) END AS acq FROM a_events),
-s2 AS (SELECT *, CASE WHEN prev IS NULL OR us - prev > {gap}000000 THEN 1 ELSE 0 END AS fresh FROM s1),
-s3 AS (SELECT *, sum(fresh) OVER (PARTITION BY visitor_id ORDER BY inserted_at, id ROWS UNBOUNDED PRECEDING) AS island FROM s2),
-s4 AS (SELECT *, last_value(acq IGNORE NULLS) OVER (PARTITION BY visitor_id, island ORDER BY inserted_at, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was FROM s3),
-s5 AS (SELECT *, CASE WHEN fresh = 1 OR (acq IS NOT NULL AND was IS NOT NULL AND acq <> was) THEN 1 ELSE 0 END AS starts FROM s4),
-stamped AS (SELECT *, sum(starts) OVER (PARTITION BY visitor_id ORDER BY inserted_at, id ROWS UNBOUNDED PRECEDING) AS n,
-  CASE WHEN starts = 1 THEN 0 ELSE least((us - prev) // 1000000, {gap}) END AS hop FROM s5),
-a_sessions AS (SELECT visitor_id, min(inserted_at) AS started_at, max(inserted_at) AS last_event_at, min_by(path, (us, id)) AS entry_page,
+    THEN concat_ws('|', coalesce(nullif(source_platform, 'direct'), ''), coalesce(nullif(source_medium, 'direct'), ''), coalesce(source_campaign, ''), coalesce(click_id, '')) END AS acq FROM {rows}),
+{tag}s2 AS (SELECT *, CASE WHEN prev IS NULL OR us - prev > {gap}000000 THEN 1 ELSE 0 END AS fresh FROM {tag}s1),
+{tag}s3 AS (SELECT *, sum(fresh) OVER (PARTITION BY visitor_id ORDER BY inserted_at, id ROWS UNBOUNDED PRECEDING) AS island FROM {tag}s2),
+{tag}s4 AS (SELECT *, last_value(acq IGNORE NULLS) OVER (PARTITION BY visitor_id, island ORDER BY inserted_at, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was FROM {tag}s3),
+{tag}s5 AS (SELECT *, CASE WHEN fresh = 1 OR (acq IS NOT NULL AND was IS NOT NULL AND acq <> was) THEN 1 ELSE 0 END AS starts FROM {tag}s4),
+{tag}stamped AS (SELECT *, sum(starts) OVER (PARTITION BY visitor_id ORDER BY inserted_at, id ROWS UNBOUNDED PRECEDING) AS n,
+  CASE WHEN starts = 1 THEN 0 ELSE least((us - prev) // 1000000, {gap}) END AS hop FROM {tag}s5),
+{tag}a_sessions AS (SELECT visitor_id, min(inserted_at) AS started_at, max(inserted_at) AS last_event_at, min_by(path, (us, id)) AS entry_page,
   max_by(path, (us, id)) FILTER (WHERE event_type = 'pageview' OR starts = 1) AS exit_page,
   count(*) FILTER (WHERE event_type = 'pageview') AS pageviews, count(*) AS events, sum(hop)::BIGINT AS duration_seconds,
   (count(*) FILTER (WHERE event_type <> 'pageview') = 0 AND count(*) FILTER (WHERE event_type = 'pageview') < 2) AS is_bounce,
   (count(*) FILTER (WHERE event_type = 'pageview') >= 2 OR count(*) FILTER (WHERE event_type IN ('lead', 'sale')) > 0) AS is_engaged,
   arg_min_null(nullif(source_platform, 'direct'), (us, id)) FILTER (WHERE acq IS NOT NULL) AS source_platform,
   arg_min_null(nullif(source_medium, 'direct'), (us, id)) FILTER (WHERE acq IS NOT NULL) AS source_medium,
+  arg_min_null(source_campaign, (us, id)) FILTER (WHERE acq IS NOT NULL) AS source_campaign, arg_min_null(click_id, (us, id)) FILTER (WHERE acq IS NOT NULL) AS click_id,
   arg_min_null(device_type, (us, id)) AS device_type, arg_min_null(browser, (us, id)) AS browser
-FROM stamped GROUP BY visitor_id, n)"""
+FROM {tag}stamped GROUP BY visitor_id, n)"""
 
 
 STAMP = stamp_sql(GAP_SECONDS)
@@ -59,22 +63,24 @@ ACTIVE = "v AS (SELECT id AS visitor_id, coalesce(merged_into_id, id) AS c, iden
 
 
 def oracle(sql: str, stamp: str = STAMP) -> str:
-    """sql with the logical tables before it, as far as it names them."""
+    """sql with the logical tables before it, as far as it names them: a_events, a_visitors, a_sessions and what leads to them (s3, stamped), visitors' events (j)."""
     parts = [f"a_events AS ({_EV})", f"a_visitors AS ({_VI})"]
-    if "a_sessions" in sql or "stamped" in sql:
+    if "a_sessions" in sql or "stamped" in sql or "FROM s3" in sql:
         parts.append(stamp.strip())
     if " j " in f"{sql} " or " v " in f"{sql} ":
         parts.append(ACTIVE)
+    kind = "RECURSIVE " if sql.startswith("WITH RECURSIVE ") else ""
     if sql.startswith("WITH "):
-        sql = ", " + sql.removeprefix("WITH ")
-    return f"WITH {', '.join(parts)} {sql}"
+        sql = ", " + sql.removeprefix("WITH ").removeprefix("RECURSIVE ")
+    return f"WITH {kind}{', '.join(parts)} {sql}"
 
 
-def query(name: str, sql: str | None = None) -> Callable:
+def query(name: str, sql: str, stamp: str = STAMP) -> Callable:
+    """Registers a function of the tables under a name, with the SQL that gives the same rows."""
+
     def add(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
         QUERIES[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
-        if sql is not None:
-            ORACLES[name] = oracle(sql)
+        ORACLES[name] = oracle(sql, stamp)
         return f
 
     return add
@@ -124,12 +130,12 @@ def _(t: Tables) -> DataFrame:
 FILTERS = [("source_platform", "in", ["google", "facebook"]), ("source_campaign", "ilike", "50%OFF"), ("event_type", "neq", "custom"), ("nonsense", "x"), ("url", "eq", "")]
 
 
-@query("kpis_filtered", KPI.format(in_events=f"{IN} AND source_platform IN ('google', 'facebook') AND source_campaign ILIKE '%50$%off%' ESCAPE '$' AND event_type <> 'custom'", in_sessions=f"{SES_IN} AND source_platform IN ('google', 'facebook') AND false").replace("AND false", "AND source_campaign_held"))
-def _(t: Tables) -> DataFrame:
-    return kpis.kpis(t.events, t.visitors, t.sessions, WINDOW, filters=FILTERS)
+CHOSEN = "source_platform IN ('google', 'facebook') AND source_campaign ILIKE '%50$%off%' ESCAPE '$'"
 
 
-ORACLES["kpis_filtered"] = ORACLES["kpis_filtered"].replace("source_campaign_held", "source_campaign ILIKE '%50$%off%' ESCAPE '$'").replace("arg_min_null(device_type", "arg_min_null(source_campaign, (us, id)) FILTER (WHERE acq IS NOT NULL) AS source_campaign, arg_min_null(device_type")
+@query("kpis_filtered", KPI.format(in_events=f"{IN} AND {CHOSEN} AND event_type <> 'custom'", in_sessions=f"{SES_IN} AND {CHOSEN}"))
+def _(t: Tables) -> DataFrame:
+    return kpis.kpis(t.events, t.visitors, t.sessions, WINDOW, filters=FILTERS)
 
 
 @query("new_visitors", f"SELECT count(DISTINCT c) AS new_visitors FROM j e WHERE {IN} AND first_seen_at >= TIMESTAMP '2024-01-08' AND first_seen_at < TIMESTAMP '2024-01-22'")
@@ -160,7 +166,7 @@ for _dimension in kpis.CONVERSION_DIMENSIONS:
     query(
         f"conversion_{_dimension}",
         f"""SELECT *, round(revenue_cents / sum(revenue_cents) OVER () * 100, 2) AS percentage, sales / visitors AS conversion_rate FROM
-        (SELECT coalesce({_dimension}, '(not set)') AS value, count(*) AS sales, count(DISTINCT c) AS visitors, coalesce(sum(amount_cents), 0)::BIGINT AS revenue_cents FROM j e WHERE {IN} AND event_type = 'sale' AND link_id IS NULL AND NOT coalesce(source_medium = 'social', true) GROUP BY 1) x""".replace(" AND link_id IS NULL", ""),
+        (SELECT coalesce({_dimension}, '(not set)') AS value, count(*) AS sales, count(DISTINCT c) AS visitors, coalesce(sum(amount_cents), 0)::BIGINT AS revenue_cents FROM j e WHERE {IN} AND event_type = 'sale' AND NOT coalesce(source_medium = 'social', true) GROUP BY 1) x""",
     )(lambda t, d=_dimension: kpis.conversion_breakdown(t.events, t.visitors, d, WINDOW, filters=[("source_medium", "not_in", ["social"]), ("inserted_at", "eq", "x")]))
 
 
@@ -255,14 +261,11 @@ def _(t: Tables) -> DataFrame:
     return events.list_events(t.events, NOW, WINDOW, limit=200, search="FORM_2").select("id", "event_name")
 
 
-@query("filter_options", "SELECT DISTINCT unnest(['event_type', 'source_platform']) AS option, unnest([event_type, source_platform]) AS value FROM a_events WHERE inserted_at >= TIMESTAMP '2023-10-31' QUALIFY value IS NOT NULL".replace(" QUALIFY value IS NOT NULL", ""))
+@query("filter_options", "SELECT DISTINCT 'event_type' AS option, event_type AS value FROM a_events WHERE inserted_at >= TIMESTAMP '2023-10-31' UNION SELECT DISTINCT 'source_platform', source_platform FROM a_events WHERE inserted_at >= TIMESTAMP '2023-10-31' AND source_platform IS NOT NULL")
 def _(t: Tables) -> DataFrame:
     return events.filter_options(t.events, NOW)
 
 
-ORACLES["filter_options"] = oracle("SELECT DISTINCT 'event_type' AS option, event_type AS value FROM a_events WHERE inserted_at >= TIMESTAMP '2023-10-31' UNION SELECT DISTINCT 'source_platform', source_platform FROM a_events WHERE inserted_at >= TIMESTAMP '2023-10-31' AND source_platform IS NOT NULL")
-
-
 @query("last_event", "SELECT visitor_id, arg_max(id, (inserted_at, id)) AS id, max(inserted_at) AS inserted_at FROM a_events WHERE event_type = 'sale' GROUP BY 1")
 def _(t: Tables) -> DataFrame:
     return events.last_events(t.events, "sale")
@@ -325,7 +328,9 @@ query("funnel_by_joins", _funnel_sql(FUNNELS["funnel_3step"][1], 3))(lambda t: f
 
 @query(
     "funnel_analysis",
-    _funnel_sql(FUNNELS["funnel_3step"][1], 3).replace(" SELECT 1 AS step_index", " SELECT step_index, visitor_count AS count, visitor_count / first_value(visitor_count) OVER o AS conversion_to_step_1, visitor_count / lag(visitor_count, 1, visitor_count) OVER o AS conversion_to_prev, lag(visitor_count, 1, visitor_count) OVER o - visitor_count AS drop_off FROM (SELECT 1 AS step_index", 1) + ") WINDOW o AS (ORDER BY step_index)",
+    f"""WITH rows_of AS ({_funnel_sql(FUNNELS["funnel_3step"][1], 3)})
+    SELECT step_index, visitor_count AS count, visitor_count / first_value(visitor_count) OVER o AS conversion_to_step_1, visitor_count / lag(visitor_count, 1, visitor_count) OVER o AS conversion_to_prev,
+      lag(visitor_count, 1, visitor_count) OVER o - visitor_count AS drop_off FROM rows_of WINDOW o AS (ORDER BY step_index)""",
 )
 def _(t: Tables) -> DataFrame:
     return funnels.analyze(t.events, t.visitors, FUNNELS["funnel_3step"][0], WINDOW).drop("label", "overall_conversion", "median_time_seconds")
@@ -341,7 +346,10 @@ def _(t: Tables) -> DataFrame:
     return t.sessions.select(*SESSION_COLUMNS)
 
 
-@query("session_ids", "SELECT id, min(id) OVER (PARTITION BY visitor_id, n) AS session_start, starts = 1 AS starts, hop FROM stamped".replace("min(id) OVER (PARTITION BY visitor_id, n)", "first_value(id) OVER (PARTITION BY visitor_id, n ORDER BY inserted_at, id)"))
+SESSION_IDS = "SELECT id, first_value(id) OVER (PARTITION BY visitor_id, n ORDER BY inserted_at, id) AS session_start, starts = 1 AS starts, hop FROM stamped"
+
+
+@query("session_ids", SESSION_IDS)
 def _(t: Tables) -> DataFrame:
     rows = sessions.stamp(t.events, GAP_SECONDS)
     first = F.first("id").over(Window.partitionBy("session_id").orderBy("inserted_at", "id"))
@@ -352,21 +360,17 @@ def _(t: Tables) -> DataFrame:
 HALF_HOUR = stamp_sql(sessions.GAP_SECONDS)
 
 
-@query("sessions_30min")
+@query("sessions_30min", f"SELECT {', '.join(SESSION_COLUMNS)} FROM a_sessions", HALF_HOUR)
 def _(t: Tables) -> DataFrame:
     return sessions.sessions(t.events).select(*SESSION_COLUMNS)
 
 
-@query("session_ids_30min")
+@query("session_ids_30min", SESSION_IDS, HALF_HOUR)
 def _(t: Tables) -> DataFrame:
     rows = sessions.stamp(t.events)
     return rows.select("id", F.first("id").over(Window.partitionBy("session_id").orderBy("inserted_at", "id")).alias("session_start"), "starts", "hop")
 
 
-ORACLES["sessions_30min"] = oracle(f"SELECT {', '.join(SESSION_COLUMNS)} FROM a_sessions", HALF_HOUR)
-ORACLES["session_ids_30min"] = oracle("SELECT id, first_value(id) OVER (PARTITION BY visitor_id, n ORDER BY inserted_at, id) AS session_start, starts = 1 AS starts, hop FROM stamped", HALF_HOUR)
-
-
 @query("sessions_of_nobody", "SELECT count(*) AS sessions, count(DISTINCT id) AS events FROM a_events WHERE visitor_id % 4 = 1")
 def _(t: Tables) -> DataFrame:
     nobody = t.events.where("visitor_id % 4 = 1").withColumn("visitor_id", F.lit(None).cast("long"))
@@ -378,7 +382,69 @@ def _(t: Tables) -> DataFrame:
     return sessions.by_gap(t.events, GAP_SECONDS).select("visitor_id", "started_at", "last_event_at", "events")
 
 
-ORACLES["sessions_by_gap"] = oracle("SELECT visitor_id, min(inserted_at) AS started_at, max(inserted_at) AS last_event_at, count(*) AS events FROM s3 /* stamped */ GROUP BY visitor_id, island")
+@query("sessions_backfill", f"SELECT {', '.join(SESSION_COLUMNS)} FROM a_sessions")
+def _(t: Tables) -> DataFrame:
+    """Events up to a moment have sessions, the others are backfilled: the same as in one pass."""
+    early = F.col("inserted_at") < F.lit(datetime(2024, 1, 15, 12, tzinfo=UTC))
+    held = sessions.sessions(t.events.where(early), GAP_SECONDS, online=False)
+    _, changed = sessions.backfill(t.events.where(~early), held, GAP_SECONDS)
+    return sessions.replaced(held, changed).select(*SESSION_COLUMNS)
+
+
+SESSION_SOURCE = "CASE WHEN coalesce(source_platform, source_medium, source_campaign, click_id) IS NOT NULL THEN concat_ws('|', coalesce(source_platform, ''), coalesce(source_medium, ''), coalesce(source_campaign, ''), coalesce(click_id, '')) END"
+
+
+@query(
+    "backfill_events",
+    f"""WITH h_events AS (SELECT * FROM a_events WHERE id % 3 <> 0), {stamp_sql(GAP_SECONDS, 'h_events', 'h_').strip()},
+    m AS (SELECT visitor_id, epoch_us(inserted_at) AS us, 1 AS kind, id, acq FROM s1 WHERE id % 3 = 0 UNION ALL SELECT visitor_id, epoch_us(last_event_at), 0, NULL, {SESSION_SOURCE} FROM h_a_sessions),
+    m1 AS (SELECT *, lag(us) OVER (PARTITION BY visitor_id ORDER BY us, kind, id) AS prev FROM m),
+    m2 AS (SELECT *, kind = 0 OR prev IS NULL OR us - prev > {GAP_SECONDS}000000 AS fresh FROM m1),
+    m3 AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY visitor_id ORDER BY us, kind, id ROWS UNBOUNDED PRECEDING) AS island FROM m2),
+    m4 AS (SELECT *, last_value(acq IGNORE NULLS) OVER (PARTITION BY visitor_id, island ORDER BY us, kind, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was FROM m3),
+    m5 AS (SELECT *, fresh OR coalesce(acq <> was, false) AS starts FROM m4)
+    SELECT id, starts, CASE WHEN starts THEN 0 ELSE least((us - prev) // 1000000, {GAP_SECONDS}) END AS hop, grown FROM
+      (SELECT *, last_value(CASE WHEN starts THEN kind END IGNORE NULLS) OVER (PARTITION BY visitor_id ORDER BY us, kind, id ROWS UNBOUNDED PRECEDING) = 0 AS grown FROM m5) x WHERE kind = 1 /* a_sessions */""",
+)
+def _(t: Tables) -> DataFrame:
+    """Two thirds of the events have sessions, the others lie between them: which of those go on with one."""
+    old = F.col("id") % 3 != 0
+    held = sessions.sessions(t.events.where(old), GAP_SECONDS, online=False)
+    stamped, _ = sessions.backfill(t.events.where(~old), held, GAP_SECONDS)
+    known = held.select(F.col("id").alias("session_id"), F.lit(True).alias("held"))
+    return stamped.join(known, "session_id", "left").select("id", "starts", "hop", F.coalesce("held", F.lit(False)).alias("grown"))
+
+
+@query(
+    "engagement_attached",
+    f"""WITH p AS (SELECT visitor_id, epoch_us(started_at) AS us, epoch_us(last_event_at) AS last, NULL AS id FROM a_sessions UNION ALL SELECT visitor_id, epoch_us(inserted_at + INTERVAL '4 hours'), NULL, id FROM a_events WHERE event_type = 'custom'),
+    q AS (SELECT *, max(CASE WHEN last IS NOT NULL THEN [last, us] END) OVER (PARTITION BY visitor_id ORDER BY us, id IS NOT NULL ROWS UNBOUNDED PRECEDING) AS s FROM p),
+    r AS (SELECT *, us - greatest(s[1], coalesce(lag(us) OVER (PARTITION BY visitor_id, s ORDER BY us, id), s[1])) > {GAP_SECONDS}000000 AS late FROM q WHERE id IS NOT NULL AND s IS NOT NULL)
+    SELECT id, make_timestamp(s[2]) AS started_at FROM (SELECT *, bool_or(late) OVER (PARTITION BY visitor_id, s ORDER BY us, id ROWS UNBOUNDED PRECEDING) AS dead FROM r) x WHERE NOT dead""",
+)
+def _(t: Tables) -> DataFrame:
+    beacons = t.events.where("event_type = 'custom'").select("id", "workspace_id", "visitor_id", (F.col("inserted_at") + F.expr("INTERVAL 4 HOURS")).alias("inserted_at"), "engaged_ms")
+    attached = sessions.attach(beacons, t.sessions, GAP_SECONDS)
+    return attached.join(t.sessions.select(F.col("id").alias("session_id"), "started_at"), "session_id").select("id", "started_at")
+
+
+@query("sessions_linked", "SELECT 'n' || visitor_id AS anonymous_id, max(visitor_id) FILTER (WHERE id % 2 = 1) AS visitor_id, min(inserted_at) AS started_at, max(inserted_at) AS last_event_at, count(*) AS events, count(*) FILTER (WHERE event_type = 'pageview') AS pageviews FROM s3 GROUP BY s3.visitor_id, island")
+def _(t: Tables) -> DataFrame:
+    """Every other event has its visitor's anonymous id alone, and no event a source: visitors' sessions all the same."""
+    anonymous = F.concat(F.lit("n"), F.col("visitor_id").cast("string"))
+    found = t.events.select("id", "workspace_id", "inserted_at", "event_type", anonymous.alias("anonymous_id"), F.when(F.col("id") % 2 == 1, F.col("visitor_id")).alias("visitor_id"), *[F.lit(None).cast("string").alias(c) for c in sessions.TUPLE])
+    return sessions.sessions(found, GAP_SECONDS).select("anonymous_id", "visitor_id", "started_at", "last_event_at", "events", "pageviews")
+
+
+@query("month_folders", "SELECT event_type, strftime(moved, '%Y-%m') AS event_month, count(*) AS events FROM (SELECT *, inserted_at + to_days((id % 5)::INT * 29) AS moved FROM a_events) x WHERE moved >= TIMESTAMP '2024-01-31 22:00:00' AND moved < TIMESTAMP '2024-04-01 04:00:00' GROUP BY 1, 2")
+def _(t: Tables) -> DataFrame:
+    """Events spread over months, written to their folders and read for a window over two edges of months."""
+    moved = t.events.select("id", "workspace_id", "visitor_id", "event_type", F.timestamp_micros(F.unix_micros("inserted_at") + F.col("id") % 5 * 29 * 86_400_000_000).alias("inserted_at"))
+    path = scratch_path(t.spark, "months")
+    tables.write_events(moved, path)
+    back = t.spark.read.schema(moved.withColumn("event_month", F.lit("")).schema).parquet(f"{path}/events")
+    window = TimeWindow(datetime(2024, 1, 31, 22, tzinfo=UTC), datetime(2024, 4, 1, 4, tzinfo=UTC))
+    return scan_events(back, window).groupBy("event_type", "event_month").agg(F.count("*").alias("events"))
 
 
 @query("visitor_rollups", "SELECT e.visitor_id, total_events, total_pageviews, ltv_cents, total_sessions, total_time_seconds FROM (SELECT visitor_id, count(*) AS total_events, count(*) FILTER (WHERE event_type = 'pageview') AS total_pageviews, coalesce(sum(amount_cents) FILTER (WHERE event_type = 'sale'), 0)::BIGINT AS ltv_cents FROM a_events GROUP BY 1) e JOIN (SELECT visitor_id, count(*) AS total_sessions, sum(duration_seconds)::BIGINT AS total_time_seconds FROM a_sessions GROUP BY 1) s USING (visitor_id)")
@@ -396,7 +462,7 @@ def _(t: Tables) -> DataFrame:
     return found.withColumn("top_pages", F.array_join(F.transform("top_pages", lambda x: F.concat_ws(" ", x["path"], x["pageviews"])), ", "))
 
 
-@query("session_paths", "SELECT array_to_string(list(path ORDER BY inserted_at, id), ' ') AS paths, count(*) AS n FROM stamped WHERE event_type IN ('pageview', 'lead', 'sale') GROUP BY visitor_id, stamped.n".replace("count(*) AS n", "count(*) AS steps"))
+@query("session_paths", "SELECT array_to_string(list(path ORDER BY inserted_at, id), ' ') AS paths, count(*) AS steps FROM stamped WHERE event_type IN ('pageview', 'lead', 'sale') GROUP BY visitor_id, n")
 def _(t: Tables) -> DataFrame:
     found = people.session_paths(sessions.stamp(t.events, GAP_SECONDS))
     return found.select(F.array_join("paths", " ").alias("paths"), F.size("paths").cast("long").alias("steps"))
@@ -449,33 +515,42 @@ def _(t: Tables) -> DataFrame:
 # Clicks, links, partners.
 
 
-@query(
-    "click_dedup",
-    """WITH RECURSIVE k AS (SELECT id, ip_address, link_id, inserted_at, row_number() OVER (PARTITION BY ip_address, link_id ORDER BY inserted_at, id) AS n FROM a_events WHERE event_type = 'link_click'),
+def _counted_clicks(ids: str) -> str:
+    """Clicks of a_events in order, and (w) whether each counts; ids is an expression for a click's id."""
+    return f"""WITH RECURSIVE k AS (SELECT id, ip_address, link_id, inserted_at, row_number() OVER (PARTITION BY ip_address, link_id ORDER BY inserted_at, id) AS n FROM (SELECT * REPLACE ({ids} AS id) FROM a_events) WHERE event_type = 'link_click'),
     w AS (SELECT id, ip_address, link_id, n, inserted_at AS counted, true AS is_unique FROM k WHERE n = 1 UNION ALL
-      SELECT k.id, k.ip_address, k.link_id, k.n, CASE WHEN k.inserted_at >= w.counted + INTERVAL '1 hour' THEN k.inserted_at ELSE w.counted END, k.inserted_at >= w.counted + INTERVAL '1 hour' FROM w JOIN k ON k.ip_address = w.ip_address AND k.link_id = w.link_id AND k.n = w.n + 1)
-    SELECT id, is_unique FROM w""",
-)
+      SELECT k.id, k.ip_address, k.link_id, k.n, CASE WHEN k.inserted_at >= w.counted + INTERVAL '1 hour' THEN k.inserted_at ELSE w.counted END, k.inserted_at >= w.counted + INTERVAL '1 hour' FROM w JOIN k ON k.ip_address = w.ip_address AND k.link_id = w.link_id AND k.n = w.n + 1)"""
+
+
+@query("click_dedup", f"{_counted_clicks('id')} SELECT id, is_unique FROM w")
 def _(t: Tables) -> DataFrame:
     return clicks.mark_unique(t.events.where("event_type = 'link_click'").select("id", "ip_address", "link_id", "inserted_at")).select("id", "is_unique")
 
 
-ORACLES["click_dedup"] = ORACLES["click_dedup"].replace("WITH a_events", "WITH RECURSIVE a_events", 1).replace(", RECURSIVE k", ", k", 1)
-ORACLES["link_stats"] = ORACLES["click_dedup"].replace("SELECT id, is_unique FROM w", "SELECT link_id, count(*) AS total_clicks, count(*) FILTER (WHERE is_unique) AS unique_clicks FROM w GROUP BY 1")
+@query("click_dedup_text_ids", f"""{_counted_clicks("'c-' || id")} SELECT w.id, w.ip_address, w.link_id, k.inserted_at, w.is_unique FROM w JOIN k USING (id)""")
+def _(t: Tables) -> DataFrame:
+    rows = t.events.where("event_type = 'link_click'").select(F.concat(F.lit("c-"), F.col("id").cast("string")).alias("id"), "ip_address", "link_id", "inserted_at")
+    return clicks.mark_unique(rows)
 
 
-@query("link_stats", None)
+@query("link_stats", f"{_counted_clicks('id')} SELECT link_id, count(*) AS total_clicks, count(*) FILTER (WHERE is_unique) AS unique_clicks FROM w GROUP BY 1")
 def _(t: Tables) -> DataFrame:
     return clicks.link_stats(t.events.where("event_type = 'link_click'").select("id", "ip_address", "link_id", "inserted_at"))
 
 
-@query("click_dedup_text_ids")
+@query(
+    "link_conversions",
+    f"""{_counted_clicks('id')}, l AS (SELECT DISTINCT user_id % 40 AS link_id FROM events),
+    x AS (SELECT link_id, count(*) AS total_clicks, count(*) FILTER (WHERE is_unique) AS unique_clicks FROM w GROUP BY 1),
+    y AS (SELECT id % 30 AS link_id, count(*) FILTER (WHERE event_type = 'lead') AS total_leads, count(*) FILTER (WHERE event_type = 'sale') AS total_sales, sum(amount_cents)::BIGINT AS total_revenue_cents FROM a_events WHERE event_type IN ('lead', 'sale') GROUP BY 1)
+    SELECT link_id, coalesce(total_clicks, 0) AS total_clicks, coalesce(unique_clicks, 0) AS unique_clicks, coalesce(total_leads, 0) AS total_leads, coalesce(total_sales, 0) AS total_sales, coalesce(total_revenue_cents, 0)::BIGINT AS total_revenue_cents
+    FROM l FULL JOIN x USING (link_id) FULL JOIN y USING (link_id)""",
+)
 def _(t: Tables) -> DataFrame:
-    rows = t.events.where("event_type = 'link_click'").select(F.concat(F.lit("c-"), F.col("id").cast("string")).alias("id"), "ip_address", "link_id", "inserted_at")
-    return clicks.mark_unique(rows)
-
-
-ORACLES["click_dedup_text_ids"] = ORACLES["click_dedup"].replace("SELECT id, ip_address, link_id, inserted_at, row_number() OVER (PARTITION BY ip_address, link_id ORDER BY inserted_at, id) AS n FROM a_events", "SELECT id, ip_address, link_id, inserted_at, row_number() OVER (PARTITION BY ip_address, link_id ORDER BY inserted_at, id) AS n FROM (SELECT * REPLACE ('c-' || id AS id) FROM a_events)").replace("SELECT id, is_unique FROM w", "SELECT w.id, w.ip_address, w.link_id, k.inserted_at, w.is_unique FROM w JOIN k USING (id)")
+    """Clicks are of links 0 to 19, leads and sales of 0 to 29, and there are links up to 39."""
+    sold = t.events.where("event_type IN ('lead', 'sale')").withColumn("link_id", F.col("id") % 30)
+    links = t.raw("events").select((F.col("user_id") % 40).alias("id")).distinct()
+    return clicks.link_stats(t.events.where("event_type = 'link_click'").select("id", "ip_address", "link_id", "inserted_at"), sold, links)
 
 
 @query("first_last_partner", "SELECT visitor_id, arg_min(partner_id, (inserted_at, id)) AS first_partner_id, arg_max(partner_id, (inserted_at, id)) AS last_partner_id FROM a_events WHERE partner_id IS NOT NULL GROUP BY 1")
@@ -563,12 +638,23 @@ def _(t: Tables) -> DataFrame:
     return connectors.reconcile(_signalled(t), t.dispatches, ("meta", "google"), datetime(2024, 1, 15, tzinfo=UTC)).select("event_id", "connector_type")
 
 
+@query("dispatch_batches", f"SELECT id AS event_id, c AS connector_type, count(*) AS dispatches FROM a_events, (SELECT unnest(['meta', 'google', 'linkedin']) AS c) WHERE {REASONS} IS NULL GROUP BY 1, 2")
+def _(t: Tables) -> DataFrame:
+    """A batch of the early events, the same batch again, and one of all events: each event is dispatched once to each connector."""
+    sink = Batches(scratch_path(t.spark, "sink"), "dispatches", DISPATCHES)
+    handler = connectors.after_commit(("meta", "google", "linkedin"), sink)
+    early = _signalled(t).where(F.col("inserted_at") < F.lit(datetime(2024, 1, 15, tzinfo=UTC)))
+    for number, batch in ((0, early), (0, early), (1, _signalled(t))):
+        handler(batch, number)
+    return sink.read(t.spark).groupBy(F.col("event_id").cast("long").alias("event_id"), "connector_type").agg(F.count("*").alias("dispatches"))
+
+
 # Identity.
 
 
 @query(
     "identity_merge",
-    """WITH k AS (SELECT id, first_seen_at, 'e' || person_email AS k FROM a_visitors WHERE status <> 'merged' AND person_email IS NOT NULL UNION ALL SELECT id, first_seen_at, 'x' || person_external_id FROM a_visitors WHERE status <> 'merged' AND person_external_id IS NOT NULL),
+    """WITH RECURSIVE k AS (SELECT id, first_seen_at, 'e' || person_email AS k FROM a_visitors WHERE status <> 'merged' AND person_email IS NOT NULL UNION ALL SELECT id, first_seen_at, 'x' || person_external_id FROM a_visitors WHERE status <> 'merged' AND person_external_id IS NOT NULL),
     r AS (SELECT id AS a, id AS b FROM a_visitors WHERE status <> 'merged' UNION SELECT r.a, y.id FROM r JOIN k x ON x.id = r.b JOIN k y ON y.k = x.k)
     SELECT a AS visitor_id, arg_min(b, (m.first_seen_at, b)) AS survivor_id FROM r JOIN a_visitors m ON m.id = r.b GROUP BY 1""",
 )
@@ -576,9 +662,6 @@ def _(t: Tables) -> DataFrame:
     return identity.components(t.visitors)
 
 
-ORACLES["identity_merge"] = ORACLES["identity_merge"].replace("WITH a_events", "WITH RECURSIVE a_events", 1)
-
-
 @query("identity_candidates", "SELECT o.order_id AS request_id, array_to_string(list(x.id ORDER BY x.first_seen_at, x.id), ' ') AS candidates FROM (SELECT o_orderkey AS order_id, o_custkey FROM orders) o JOIN a_visitors x ON x.status <> 'merged' AND (x.person_email = 'u' || (o.o_custkey % 150) || '@example.org' OR x.person_external_id = 'x' || (o.o_custkey % 90)) GROUP BY 1")
 def _(t: Tables) -> DataFrame:
     zero = F.lit("00000000-0000-0000-0000-000000000000").alias("workspace_id")
@@ -599,6 +682,22 @@ def _(t: Tables) -> DataFrame:
     return kept.groupBy("event_type").agg(F.count("*").alias("events"))
 
 
+@query("forgotten_visitors", "SELECT id, CASE WHEN id % 5 = 0 THEN 'anonymous' ELSE status END AS status, CASE WHEN id % 5 <> 0 THEN person_email END AS person_email, CASE WHEN id % 5 <> 0 THEN identified_at END AS identified_at, CASE WHEN id % 5 = 0 THEN TIMESTAMP '1970-01-01' ELSE last_seen_at END AS last_seen_at FROM a_visitors")
+def _(t: Tables) -> DataFrame:
+    gone = t.visitors.where("id % 5 = 0").select(F.col("id").alias("visitor_id"))
+    left, _events = people.forget(t.visitors, t.events, gone)
+    return left.select("id", "status", "person_email", "identified_at", "last_seen_at")
+
+
+@query("identity_actions", "SELECT request_id, CASE WHEN n = 0 THEN 'create' WHEN n > 1 AND strong THEN 'merge' ELSE 'update' END AS action, visitor_id FROM (SELECT o_orderkey AS request_id, count(DISTINCT x.id) AS n, any_value(o_orderkey % 3 = 0) AS strong, arg_min(x.id, (x.first_seen_at, x.id)) AS visitor_id FROM orders LEFT JOIN a_visitors x ON x.status <> 'merged' AND ((o_orderkey % 3 <> 0 AND x.id % 7 = o_custkey % 9) OR (o_orderkey % 3 = 0 AND x.person_email = 'u' || (o_custkey % 150) || '@example.org')) GROUP BY 1) y")
+def _(t: Tables) -> DataFrame:
+    """A seventh of the visitors shares each of seven fingerprints; a third of the requests has an e-mail instead and may merge."""
+    held = t.visitors.withColumn("fingerprints", F.array(F.concat(F.lit("f"), (F.col("id") % 7).cast("string"))))
+    email = F.when(F.col("o_orderkey") % 3 == 0, F.format_string("u%d@example.org", F.col("o_custkey") % 150))
+    asked = t.raw("orders").select(F.col("o_orderkey").alias("request_id"), F.lit(DEFAULT_WORKSPACE).alias("workspace_id"), F.when(email.isNull(), F.concat(F.lit("f"), (F.col("o_custkey") % 9).cast("string"))).alias("fingerprint"), email.alias("person_email"))
+    return identity.resolve(asked, held).select("request_id", "action", F.col("visitor_id").cast("long").alias("visitor_id"))
+
+
 # Ingest.
 
 
@@ -643,3 +742,13 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     params = urls.query_params(F.concat(F.lit("https://x.org/?"), F.coalesce(F.expr(EXTRA), F.lit(""))))
     return t.raw("pages").select(F.size(traffic.captured_click_ids(params)).alias("captured")).groupBy("captured").agg(F.count("*").alias("pages"))
+
+
+@query("geo_ranges", "SELECT o_orderkey AS id, c_nationkey::VARCHAR AS country_code FROM orders LEFT JOIN customer ON c_custkey = o_orderkey // 64 AND o_orderkey % 64 < 32")
+def _(t: Tables) -> DataFrame:
+    """Orders as addresses, customers as ranges of 32 of 64 addresses."""
+    address = lambda n: F.concat_ws(".", *[F.shiftright(n, k).bitwiseAND(F.lit(255)).cast("string") for k in (24, 16, 8, 0)])
+    low = F.col("c_custkey") * 64
+    ranges = t.raw("customer").select(devices.address_key(address(low)).alias("low"), devices.address_key(address(low + 31)).alias("high"), F.create_map(F.lit("country_code"), F.col("c_nationkey").cast("string")).alias("geo"))
+    asked = t.raw("orders").select(F.col("o_orderkey").alias("id"), address(F.col("o_orderkey")).alias("ip_address"))
+    return tables.enrich_geo(asked, ranges).select("id", F.col("geo")["country_code"].alias("country_code"))

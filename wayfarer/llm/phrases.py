@@ -35,7 +35,7 @@ LEAST, TOP, MOST_WORDS, ABSORBED = 10, 2000, 3, 50
 UNKNOWN = "und"
 COUNTS = "lang string, phrase string, n long"
 #: Positions of a shard (2^22 at most), entries of first words that are extended at once, bits of a block and bits of a place in it.
-POSITIONS, ENTRIES, BLOCK, BLOCK_BITS = 1 << 21, 1 << 16, 8, 3
+POSITIONS, ENTRIES, BLOCK, BLOCK_BITS = 3 << 19, 1 << 15, 8, 3
 #: Bits of a map for each frequent word or phrase, and the least and most bits (a power of two: 32 MB at most).
 BITS_EACH, LEAST_BITS, MOST_BITS = 16, 16, 28
 #: The highest score, cells that scores are counted in, and parts that a language's best candidates are dealt to for their first ranking.
@@ -95,20 +95,22 @@ class Bitmaps:
 
     def __init__(self, ids: np.ndarray):
         """ids[p] is the word at position p, or -1 where there is none."""
-        places = np.flatnonzero(ids >= 0)
-        key = ids[places].astype(np.int64) << 22 | places
+        key = np.flatnonzero(ids >= 0)
+        key |= ids[key].astype(np.int64) << 22
         key.sort()
-        cell = key >> BLOCK_BITS  # word and block
-        first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.empty(0, np.int64)
-        bits = np.left_shift(1, key & (BLOCK - 1), dtype=np.int32)
+        bits = np.left_shift(1, (key & (BLOCK - 1)).astype(np.int32))
+        key >>= BLOCK_BITS  # word and block
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else key
         self.bits = np.bitwise_or.reduceat(bits, first) if len(first) else bits
-        cell = cell[first]
-        of_block = 22 - BLOCK_BITS
-        self.word, self.block = (cell >> of_block).astype(np.int32), (cell & ((1 << of_block) - 1)).astype(np.int32)
-        key = self.block.astype(np.int64) << 40 | self.word.astype(np.int64) << BLOCK | self.bits
+        key, of_block = key[first], 22 - BLOCK_BITS
+        self.word, self.block = (key >> of_block).astype(np.int32), (key & ((1 << of_block) - 1)).astype(np.int32)
+        key = self.block.astype(np.int64) << 40
+        key |= self.word.astype(np.int64) << BLOCK
+        key |= self.bits
         key.sort()
         self.by_block = (key >> BLOCK & ((1 << 24) - 1)).astype(np.int32), (key & ((1 << BLOCK) - 1)).astype(np.int32)
-        self.starts = np.searchsorted(key >> 40, np.arange(len(ids) // BLOCK + 3)).astype(np.int32)
+        key >>= 40
+        self.starts = np.searchsorted(key, np.arange(len(ids) // BLOCK + 3)).astype(np.int32)
 
     def extend(self, phrase: np.ndarray, block: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(phrase, word, block, bits): the bitmaps of phrases, shifted, ANDed with those of all words in their blocks."""
@@ -194,7 +196,7 @@ def _shards(batches: Iterator[pa.RecordBatch], positions: int) -> Iterator[tuple
             body = text.as_buffer().to_pybytes().translate(TABLE).replace(b"\n", b" \n ")
             shard = held[lang]
             words = [*body.split(b" "), b"\n"]
-            ids = np.fromiter(map(shard[0].__getitem__, words), np.int64, len(words))
+            ids = np.fromiter(map(shard[0].__getitem__, words), np.int32, len(words))
             ids = ids[ids > -2]
             while shard[2] + len(ids) > positions:
                 room = positions - shard[2]
@@ -204,7 +206,7 @@ def _shards(batches: Iterator[pa.RecordBatch], positions: int) -> Iterator[tuple
                 # What goes on gets numbers of its own, after the last words of what was cut.
                 rest = np.r_[tail, ids[room:]]
                 fresh = held[lang]
-                ids = np.array([fresh[0][names[i]] if i >= 0 else -1 for i in rest.tolist()], np.int64)
+                ids = np.array([fresh[0][names[i]] if i >= 0 else -1 for i in rest.tolist()], np.int32)
                 fresh[3], shard = len(tail), fresh
             shard[1].append(ids)
             shard[2] += len(ids)
@@ -242,7 +244,7 @@ def _frequent_shards(batches: Iterator[pa.RecordBatch], positions: int, words: F
     for lang, names, ids, context in _shards(batches, positions):
         if names:
             hashes = _word_hashes(lang, names)
-            yield lang, names, np.where(np.r_[words.has(hashes), False][ids], ids, -1), hashes, context
+            yield lang, names, np.where(np.r_[words.has(hashes), False][ids], ids, np.int32(-1)), hashes, context
 
 
 def pair_counts(docs: DataFrame, words: tuple[int, np.ndarray], positions: int) -> DataFrame:

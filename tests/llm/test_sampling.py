@@ -65,6 +65,21 @@ def test_mix_repeats_rows(make_docs):
     assert Counter(r.doc_id for r in mixed.collect()) == Counter({k: v for k, v in times.items() if v})
 
 
+@pytest.mark.parametrize("per_cell", [1, 5, 100_000])
+def test_documents_of_size_0_are_treated_alike(make_docs, monkeypatch, per_cell):
+    """A source without words, one at its limit with empty texts among its own, and one with a rest; cells sorted whole or narrowed down."""
+    monkeypatch.setattr(mixing, "PER_CELL", per_cell)
+    rows = [(i, "", "empty") for i in range(40)] + [(100 + i, "" if i % 2 else "a b", "few") for i in range(40)] + [(200 + i, "" if i % 3 == 0 else "w " * (i + 1), "many") for i in range(60)]
+    docs = make_docs(rows)
+    times = Counter(r.doc_id for r in mixing.mix(docs).collect())
+    taken = {r.doc_id: r for r in mixing.digest(docs).collect()}
+    assert not any(times[i] for i in range(40))
+    assert {times[100 + i] for i in range(40)} == {mixing.MOST_EPOCHS}  # the source is at its limit: three epochs and nothing more
+    assert all(times[i] <= mixing.MOST_EPOCHS and times[i] * r.size == r.taken for i, r in taken.items())
+    monkeypatch.setattr(mixing, "PER_CELL", 7)
+    assert times == Counter(r.doc_id for r in mixing.mix(docs).collect())
+
+
 def test_better_documents_come_first(make_docs):
     rows = [(i, "good words here " * 5 if i % 2 else "!!! ### 123 %%% *** " * 4, "a") for i in range(600)] + [(9000 + i, "x " * 15, "b") for i in range(600)] + [(19000 + i, "x " * 15, "c") for i in range(600)]
     taken = {r.doc_id: r.taken > 0 for r in mixing.digest(make_docs(rows)).collect()}

@@ -2,7 +2,8 @@
 
 A document's key is -ln(u) / quality, u a hash of its id and text: the order of the keys is a weighted random
 order. Each source has a budget of words. As many complete epochs as fit are taken first; the rest of the
-budget takes the documents whose words, summed in key order, come nearest to it. Null texts and texts without
+budget, where there is any, takes the documents whose words, summed in key order, come nearest to it: of a source whose complete epochs are its target, and of one without
+words, it takes nothing. Null texts and texts without
 words have size 0; a null source is a source of its own, last in order. Equal rows (same id and text) are
 taken together. Empty tables give empty results. Reruns agree: nothing depends on files or partitions.
 """
@@ -68,7 +69,7 @@ def _thresholds(keyed: DataFrame) -> DataFrame:
     plan = targets(sizes)
     epochs = F.when(F.col("source_size") == 0, 0).otherwise(F.floor(F.col("target") / F.col("source_size"))).cast("long")
     plan = plan.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-    plan = plan.withColumns({"cell": F.lit(0).cast("long"), "base": F.lit(0).cast("long"), "here": F.col("rows")})
+    plan = plan.withColumns({"cell": F.lit(0).cast("long"), "base": F.lit(0).cast("long"), "here": F.when(F.col("rest") > 0, F.col("rows")).otherwise(0)})
     plan = materialize(plan, "plan")
     shift = KEY_BITS
     while shift > 0 and (plan.agg(F.max("here")).first()[0] or 0) > PER_CELL:
@@ -79,7 +80,7 @@ def _thresholds(keyed: DataFrame) -> DataFrame:
         cells = cells.withColumn("until", until).where((F.col("until") > F.col("rest")) & (F.col("until") - F.col("s") <= F.col("rest")))
         found = cells.groupBy(F.col("source").alias("s_source")).agg(F.min("fine").alias("fine"), F.min(F.col("until") - F.col("s")).alias("from"), F.min_by("n", "fine").alias("n"))
         plan = plan.join(found, plan["source"].eqNullSafe(found["s_source"]), "left")
-        # A source without words has no such cell: nothing of it is taken.
+        # A source without words has no such cell.
         plan = materialize(plan.select("source", "rows", "source_size", "weight", "target", "epochs", "rest", F.coalesce("fine", F.lit(0)).alias("cell"), F.coalesce("from", "base").alias("base"), F.coalesce("n", F.lit(0)).alias("here")), "plan")
         shift = finer
     inside = keyed.join(plan, keyed["__source"].eqNullSafe(plan["source"]) & (F.shiftright("__cell", shift) == plan["cell"]))
@@ -88,14 +89,14 @@ def _thresholds(keyed: DataFrame) -> DataFrame:
     last = ties.withColumn("until", until).where(F.col("until") - F.col("s") / 2 <= F.col("rest"))
     last = last.groupBy(F.col("source").alias("s_source")).agg(F.max(F.struct("__key", "__tie")).alias("last"))
     plan = plan.join(last, plan["source"].eqNullSafe(last["s_source"]), "left")
-    named = {"__p_source": "source", "__source_size": "source_size", "__target": "target", "__epochs": "epochs", "__last_key": "last.__key", "__last_tie": "last.__tie"}
+    named = {"__p_source": "source", "__source_size": "source_size", "__target": "target", "__epochs": "epochs", "__rest": "rest", "__last_key": "last.__key", "__last_tie": "last.__tie"}
     named = [F.col(c).alias(k) for k, c in named.items()]  # names that an input's other columns don't have
     return materialize(plan.select(*named, (F.col("cell") * F.lit(1 << shift)).cast("long").alias("__cell_from")), "plan")
 
 
 def _times(keyed: DataFrame, plan: DataFrame) -> DataFrame:
     upto = (F.col("__cell") < F.col("__cell_from")) | (F.col("__key") < F.col("__last_key")) | ((F.col("__key") == F.col("__last_key")) & (F.col("__tie") <= F.col("__last_tie")))
-    once_more = F.when(F.coalesce(upto, F.lit(False)), 1).otherwise(0)
+    once_more = F.when((F.col("__rest") > 0) & F.coalesce(upto, F.lit(False)), 1).otherwise(0)
     return keyed.join(plan, keyed["__source"].eqNullSafe(plan["__p_source"])).withColumn("__times", F.col("__epochs") + once_more)
 
 
@@ -142,7 +143,7 @@ budgets AS (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE floor(target / sourc
 running AS (
   SELECT *, sum(size) OVER (PARTITION BY source ORDER BY k, tie) - sum(size) OVER (PARTITION BY source, k, tie) / 2.0 AS middle FROM drawn)
 SELECT r.doc_id, r.source, r.size, b.source_size, b.target,
-  (r.size * (b.epochs + CASE WHEN r.middle <= b.target - b.epochs * b.source_size THEN 1 ELSE 0 END))::BIGINT AS taken
+  (r.size * (b.epochs + CASE WHEN b.target > b.epochs * b.source_size AND r.middle <= b.target - b.epochs * b.source_size THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM running r JOIN budgets b ON r.source IS NOT DISTINCT FROM b.source
 """
 

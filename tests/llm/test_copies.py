@@ -308,3 +308,15 @@ def test_odd_rows(spark, odd_docs, no_docs):
     for f in (exact_dedup.find_copies, simhash.find_near, simhash.drop_near, substring_dedup.find_passages):
         assert not f(no_docs).collect()
     assert not decontamination.find_items(no_docs, items).collect()
+
+
+def test_items_and_documents_with_text_keys(spark):
+    item = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([("d1", f"so {item} end"), (None, item), ("d2", "nothing here at all to find"), ("9007199254740993", item)], "doc_id string, text string")
+    items = spark.createDataFrame([("b", item), ("a", item), (None, "other words that are in no document of these")], "item_id string, text string")
+    found = decontamination.find_items(docs, items)
+    assert sorted(((r.doc_id, r.item_id) for r in found.collect()), key=repr) == [("9007199254740993", "a"), ("d1", "a"), (None, "a")]
+    assert [r.doc_id for r in decontamination.drop_contaminated(docs, items).collect()] == ["d2"]
+    # Large numbers next to nulls stay as they are.
+    numbers = docs.withColumn("doc_id", F.when(F.col("doc_id").startswith("9"), F.col("doc_id").try_cast("long")))
+    assert {r.doc_id for r in decontamination.find_items(numbers, items).collect()} == {9007199254740993, None}

@@ -7,7 +7,7 @@ k above the shingles that a matching document may lack, one of them must occur i
 long the document is. Bit maps of the sketches and of all item shingles, of bounded size, are all that every
 task gets; what passes them is joined to the items by the shingles' text and counted exactly.
 Null texts and texts without words hold nothing; items without words are never found; equal items (same shingles)
-are reported once, under their least id. Rows of one id and text are one document. Keys of documents and items are integers. Without
+are reported once, under their least id. Rows of one id and text are one document. Keys of documents and items are of any type that has a text and an order. Without
 documents or items nothing is found; drop_contaminated passes all columns through, whatever their names.
 """
 
@@ -60,8 +60,8 @@ def _schema(*fields: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([T.StructField(*x) for x in fields])
 
 
-ITEM = _schema(("item_id", T.LongType()), ("width", T.IntegerType()), ("size", T.IntegerType()), ("same", T.LongType()), ("shingle", T.StringType()), ("h", T.LongType()), ("sketch", T.BooleanType()))
-FOUND = _schema(("doc_id", T.LongType()), ("text_hash", T.LongType()), ("shingle", T.StringType()))
+ITEM = _schema(("item_id", T.StringType()), ("width", T.IntegerType()), ("size", T.IntegerType()), ("same", T.LongType()), ("shingle", T.StringType()), ("h", T.LongType()), ("sketch", T.BooleanType()))
+FOUND = _schema(("doc_id", T.StringType()), ("text_hash", T.LongType()), ("shingle", T.StringType()))
 
 
 def item_shingles(items: DataFrame, words: int, threshold: float) -> DataFrame:
@@ -78,8 +78,7 @@ def item_shingles(items: DataFrame, words: int, threshold: float) -> DataFrame:
                 least = set(order[: sketch_size(len(order), threshold)])
                 same = xxhash.xxh64_intdigest(np.array(order, np.uint64).tobytes())
                 rows += [(item, width, len(order), np.uint64(same).astype(np.int64), found[h], np.uint64(h).astype(np.int64), h in least) for h in order]
-            out = pd.DataFrame(rows, columns=ITEM.names, dtype=object)  # plain objects: no text column in several chunks
-            yield out.astype({"item_id": "Int64"})
+            yield pd.DataFrame(rows, columns=ITEM.names, dtype=object)  # plain objects: no text column in several chunks
 
     return items.mapInPandas(each, ITEM)
 
@@ -97,7 +96,9 @@ def bit_map(shingles: DataFrame, bits: int) -> np.ndarray:
 def find_items(docs: DataFrame, items: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, text: str = "text", key: str = "doc_id", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, text_hash, item_id, item_shingles, shared and containment of each item that a document holds."""
     spark = docs.sparkSession
-    shingles = materialize(item_shingles(items.select(F.col(item_key).cast("long").alias("item_id"), F.col(item_text).alias("text")), words, threshold), "shingles")
+    # Keys pass through Python as text and get their type back.
+    shingles = item_shingles(items.select(F.col(item_key).cast("string").alias("item_id"), F.col(item_text).alias("text")), words, threshold)
+    shingles = materialize(shingles.withColumn("item_id", F.col("item_id").cast(items.schema[item_key].dataType)), "shingles")
     first = shingles.groupBy("same").agg(F.min("item_id").alias("item_id"))
     shingles = materialize(shingles.drop("item_id").distinct().join(first, "same"), "items")
     count, widths = shingles.agg(F.count("*"), F.collect_set("width")).first()
@@ -121,10 +122,11 @@ def find_items(docs: DataFrame, items: DataFrame, words: int = WORDS, threshold:
                     found += here
                     ids += [doc] * len(here)
                     texts += [text_hash] * len(here)
-            yield pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "text_hash": pd.array(texts, "Int64"), "shingle": pd.Series(found, dtype=object)})
+            yield pd.DataFrame({"doc_id": pd.Series(ids, dtype=object), "text_hash": pd.array(texts, "Int64"), "shingle": pd.Series(found, dtype=object)})
 
     body = text_of(text)
-    hits = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(body).alias("text_hash"), body.alias("text")).mapInPandas(search, FOUND)
+    hits = docs.select(F.col(key).cast("string").alias("doc_id"), F.xxhash64(body).alias("text_hash"), body.alias("text")).mapInPandas(search, FOUND)
+    hits = hits.withColumn("doc_id", F.col("doc_id").cast(docs.schema[key].dataType))
     pairs = hits.join(shingles.select("item_id", "size", "same", "shingle", "h", "sketch"), "shingle")
     counted = pairs.groupBy("doc_id", "text_hash", "same").agg(F.first("item_id").alias("item_id"), F.first("size").alias("item_shingles"), F.count_distinct("h").alias("shared"), F.max("sketch").alias("candidate"))
     held = counted.where(F.col("candidate") & (F.col("shared") >= threshold * F.col("item_shingles") - 1e-9))

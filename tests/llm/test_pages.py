@@ -346,3 +346,14 @@ def test_anchors_lose_no_match(spark):
     anchors = set(licenses.anchors(vectors, licenses.THRESHOLD))
     for _, v in vectors:
         assert sum(x * x for w, x in v.items() if w not in anchors) < licenses.THRESHOLD**2
+
+
+def test_archives_of_text_keys(spark, tmp_path):
+    long = "<p>" + "word " * 60_000 + "</p>"
+    rows = [("b\r\nX: 1", "u1", long), ("a%0D", "u2", long), ("", "u3", long), (None, "u4", long), ("é: x", "u5", "short"), ("2024-01", None, None)]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string")
+    warc.write_archives(pages, str(tmp_path / "w"))
+    found = {r.page_id: r for r in warc.read_archives(spark, str(tmp_path / "w"), key_type="string").collect()}
+    assert set(found) == {r[0] for r in rows}
+    assert found[""].record_type == "response" and found[""].payload == long  # the least key
+    assert all(found[k].record_type == "revisit" and found[k].refers_to == "" and found[k].payload_bytes == len(long) for k in ("b\r\nX: 1", "a%0D", None))

@@ -5,7 +5,7 @@ least page_id (null last) is a response and the others are revisits of it. Archi
 headers, the records' end "\\r\\n\\r\\n" as line separator, so that lost tasks are redone by its commit protocol; files
 are gzip streams of whole records. Reading puts records together by Content-Length, whatever the payload holds,
 and resolves revisits by a join on record ids. Null html is an empty payload; rows of one page_id and payload
-are one capture and get records of one type. Line breaks in addresses are percent-encoded. Empty tables make empty archives.
+are one capture and get records of one type. Keys are of any type that has a text and an order. Line breaks in addresses are percent-encoded. Empty tables make empty archives.
 """
 
 from __future__ import annotations
@@ -24,7 +24,9 @@ MIN_BYTES, DATE, PER_FILE = 100, "2024-01-01T00:00:00Z", 20_000
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 FIELDS = ("page_id", "record_id", "record_type", "url", "date", "payload_digest", "payload_bytes", "refers_to_id", "payload")
-RECORD = T.StructType([T.StructField(x, T.LongType() if x in ("page_id", "payload_bytes") else T.StringType()) for x in FIELDS])
+RECORD = T.StructType([T.StructField(x, T.LongType() if x == "payload_bytes" else T.StringType()) for x in FIELDS])
+#: What stands for characters that a header's value can't hold.
+ESCAPED = (("%", "%25"), ("\r", "%0D"), ("\n", "%0A"))
 
 
 def _record_id(key: Column, digest: Column) -> Column:
@@ -48,6 +50,12 @@ def records(resolved: DataFrame, date: str = DATE) -> DataFrame:
     line = lambda name, value: F.concat(F.lit(f"\r\n{name}: "), value)
     if_any = lambda c: F.coalesce(c, F.lit(""))
     address = lambda c: F.replace(F.replace(c, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+
+    def escaped(c: Column) -> Column:
+        for plain, code in ESCAPED:
+            c = F.replace(c, F.lit(plain), F.lit(code))
+        return c
+
     revisit = F.col("revisit")
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size").cast("string"), F.lit(END))
     block = F.when(revisit, http).otherwise(F.concat(http, F.col("html")))
@@ -59,7 +67,7 @@ def records(resolved: DataFrame, date: str = DATE) -> DataFrame:
         line("WARC-Date", F.lit(date)),
         if_any(line("WARC-Target-URI", address(F.col("url")))),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
-        if_any(line("X-Page-Id", F.col("page_id").cast("string"))),
+        if_any(line("X-Page-Id", escaped(F.col("page_id").cast("string")))),
         if_any(F.when(revisit, F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", F.col("original_id")), if_any(line("WARC-Refers-To-Target-URI", address(F.col("original_url"))))))),
         F.lit("\r\nContent-Type: application/http;msgtype=response"),
         line("Content-Length", length.cast("string")),
@@ -106,11 +114,13 @@ def parse(fragments: Iterator[str | None], payloads: bool = True) -> Iterator[tu
         if whole and fields["WARC-Payload-Digest"] != f"sha256:{digest}":
             raise ValueError(f"payload and digest of {fields['WARC-Record-ID']} differ")
         key = fields.get("X-Page-Id")
-        yield (int(key) if key is not None else None, fields["WARC-Record-ID"], fields["WARC-Type"], fields.get("WARC-Target-URI"), fields["WARC-Date"], digest, len(data) if whole else None, fields.get("WARC-Refers-To"), payload if payloads and whole else None)
+        for plain, code in reversed(ESCAPED):
+            key = key and key.replace(code, plain)
+        yield (key, fields["WARC-Record-ID"], fields["WARC-Type"], fields.get("WARC-Target-URI"), fields["WARC-Date"], digest, len(data) if whole else None, fields.get("WARC-Refers-To"), payload if payloads and whole else None)
 
 
-def read_archives(spark: SparkSession, path: str, payloads: bool = True, batch: int = 512) -> DataFrame:
-    """The records under path; those of revisits have the size, digest and key (refers_to) of their originals.
+def read_archives(spark: SparkSession, path: str, payloads: bool = True, batch: int = 512, key_type: str = "bigint") -> DataFrame:
+    """The records under path; those of revisits have the size, digest and key (refers_to) of their originals. key_type is the type that keys had.
 
     Gzip files are read by one task each, in order, so that pieces of a record stay together.
     """
@@ -126,10 +136,11 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True, batch:
 
     def frame(rows: list[tuple]) -> pd.DataFrame:
         out = pd.DataFrame(rows, columns=RECORD.names, dtype=object)
-        return out.astype({"page_id": "Int64", "payload_bytes": "Int64"})
+        return out.astype({"payload_bytes": "Int64"})
 
     pieces = spark.read.option("lineSep", END).text(path)
-    found = materialize(pieces.mapInPandas(read, RECORD), "records")
+    found = pieces.mapInPandas(read, RECORD)
+    found = materialize(found.withColumn("page_id", F.col("page_id").cast(key_type)), "records")
     originals = found.where("record_type = 'response'").groupBy(F.col("record_id").alias("refers_to_id")).agg(F.first("page_id").alias("refers_to"), F.first("payload_bytes").alias("original_bytes"))
     joined = found.join(originals, "refers_to_id", "left")
     return joined.withColumn("payload_bytes", F.coalesce("payload_bytes", "original_bytes")).drop("original_bytes")

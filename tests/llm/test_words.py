@@ -31,10 +31,13 @@ def collocations(docs, least=10, top=2000):
     for lang, f in counted(docs).items():
         total, best = sum(n for w, n in f.items() if len(w) == 1), []
         candidates = {w: n for w, n in f.items() if len(w) > 1 and n >= least}
+        longer = defaultdict(int)
+        for w, n in candidates.items():
+            for i in range(len(w) - 1):
+                longer[w[i : i + 2]] = max(longer[w[i : i + 2]], n * (len(w) > 2))
         for w, a in candidates.items():
             score, _, left, right = min((1_000_000 * a * a // (f[w[:k]] * f[w[k:]]), k, f[w[:k]], f[w[k:]]) for k in range(1, len(w)))
-            inside = [n for v, n in candidates.items() if len(v) > len(w) and any(v[i : i + len(w)] == w for i in range(len(v) - len(w) + 1))]
-            if not any(100 * n >= 50 * a for n in inside):
+            if len(w) > 2 or 100 * longer[w] < 50 * a:
                 best.append((-score, -a, " ".join(w).encode(), left, right))
         out += [(lang, i, p.decode(), -a, left, right, total, -s) for i, (s, a, p, left, right) in enumerate(sorted(best)[:top], 1)]
     return sorted(out)

@@ -38,8 +38,8 @@ COUNTS = "lang string, phrase string, n long"
 POSITIONS, ENTRIES, BLOCK, BLOCK_BITS = 3 << 19, 1 << 15, 8, 3
 #: Bits of a map for each frequent word or phrase, and the least and most bits (a power of two: 32 MB at most).
 BITS_EACH, LEAST_BITS, MOST_BITS = 16, 16, 28
-#: The highest score, cells that scores are counted in, and parts that a language's best candidates are dealt to for their first ranking.
-MOST_SCORE, SCORE_CELLS, RANK_PARTS = 1_000_000, 1000, 64
+#: Cells that scores are counted in, for each doubling, and parts that a language's best candidates are dealt to for their first ranking.
+SCORE_CELLS, RANK_PARTS = 64, 64
 #: A-Z to lower case, ends of pieces to line breaks, tabs to blanks. These are single bytes, and no byte of another character in UTF-8.
 TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
 
@@ -319,13 +319,14 @@ def scored(words: DataFrame, two: DataFrame, three: DataFrame) -> DataFrame:
 def ranked(found: DataFrame, totals: DataFrame, top: int) -> DataFrame:
     """The first top phrases of each language.
 
-    Scores are counted in SCORE_CELLS cells of a language; what lies below the cell of the top-th is left out. Of the rest each of RANK_PARTS parts is ranked, then what
+    Scores (a million at most) are counted in SCORE_CELLS cells for each doubling; what lies below the cell of a language's top-th is left out. Of the rest each of RANK_PARTS parts is ranked, then what
     these leave: top * RANK_PARTS rows at most, and that only where as many share a cell.
     """
-    cells = found.groupBy("lang", F.expr(f"score div {MOST_SCORE // SCORE_CELLS}").alias("cell")).agg(F.count("*").alias("held"))
+    found = found.withColumn("cell", F.floor(F.log2(F.col("score") + 1) * SCORE_CELLS))
+    cells = found.groupBy("lang", "cell").agg(F.count("*").alias("held"))
     above = F.sum("held").over(Window.partitionBy("lang").orderBy(F.col("cell").desc()).rowsBetween(Window.unboundedPreceding, -1))
-    least = cells.withColumn("above", F.coalesce(above, F.lit(0))).where(F.col("above") < top).groupBy("lang").agg((F.min("cell") * (MOST_SCORE // SCORE_CELLS)).alias("least"))
-    found = found.join(least, "lang").where("score >= least").drop("least")
+    least = cells.withColumn("above", F.coalesce(above, F.lit(0))).where(F.col("above") < top).groupBy("lang").agg(F.min("cell").alias("least"))
+    found = found.join(least, "lang").where("cell >= least").drop("cell", "least")
     order = (F.col("score").desc(), F.col("a").desc(), F.col("phrase"))
     dealt = found.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(RANK_PARTS)))
     first = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= top)

@@ -357,3 +357,47 @@ def test_archives_of_text_keys(spark, tmp_path):
     assert set(found) == {r[0] for r in rows}
     assert found[""].record_type == "response" and found[""].payload == long  # the least key
     assert all(found[k].record_type == "revisit" and found[k].refers_to == "" and found[k].payload_bytes == len(long) for k in ("b\r\nX: 1", "a%0D", None))
+
+
+PARAGRAPH = "<p>" + "This is a long paragraph, with words and commas, that says something of interest. " * 3 + "</p>"
+
+
+def article(part):
+    return f"<html><body><nav><a>Home</a></nav><article><h1>Title</h1>{PARAGRAPH * 4}{part}{PARAGRAPH}</article><footer>foot</footer></body></html>"
+
+
+@pytest.mark.parametrize(
+    ("part", "kept", "gone"),
+    [
+        ("<section id='related-work'><h2>Related work</h2><p>Others did this before.</p></section>", ["Related work", "Others did this"], []),
+        ("<div class='social-history'><p>The history of society, in short.</p></div>", ["The history of society"], []),
+        ("<section>Plain section text.</section>", ["Plain section text."], []),
+        ("<h2>References</h2><ul><li><a href=x>Smith 2001, On things</a></li><li><a href=y>Jones 2002</a></li></ul>", ["References", "Smith 2001", "Jones 2002"], []),
+        ("<ul><li><a href=x>Another post</a></li><li><a href=y>One more</a></li></ul>", [], ["Another post", "One more"]),
+        ("<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be so.</p>", ["Let x=2 be so."], []),
+        ("<aside class=pullquote>A quote to pull.</aside><aside>Not this.</aside>", ["A quote to pull."], ["Not this"]),
+        ("<p>Accept all cookies</p><div><p>Subscribe now</p></div><p>Subscribe now, they said, and nobody did.</p>", ["they said"], ["Accept all", "Subscribe now\n"]),
+        ("<section><h3>Reader responses</h3><p>Great post!</p><p>I agree.</p></section>", [], ["Great post", "Reader responses"]),
+        ("<section><h3>12 comments</h3><p>Great post!</p></section><section><h3>Comments on the text</h3><p>By the editor.</p></section>", ["By the editor."], ["Great post"]),
+        ("<div class=related-posts><p>Another post, with a teaser.</p></div><div id=cookie-notice><p>We use cookies.</p></div>", [], ["Another post", "We use"]),
+    ],
+)
+def test_parts_of_articles(part, kept, gone):
+    text = html_text.main_text(article(part))
+    assert all(x in text for x in kept) and not any(x in text for x in gone), text[-400:]
+    assert text.startswith("Title\n\nThis is") and "Home" not in text and "foot" not in text
+
+
+def test_an_article_in_two_elements():
+    page = f"<html><body><div id=page><div class=x>{PARAGRAPH * 12}</div><div class=y><p>The ending, which is told here, is in another element, and it is long enough.</p></div></div><div class=z><a>Imprint</a> <a>Contact, and more of it, at this address of ours for all to see</a></div></body></html>"
+    text = html_text.main_text(page)
+    assert "The ending" in text and "Imprint" not in text and "Contact" not in text
+
+
+@pytest.mark.parametrize("tag", ["noscript", "iframe", "svg", "template"])
+def test_raw_tags_that_do_not_end(tag):
+    import time
+
+    began = time.perf_counter()
+    assert "long paragraph" in html_text.main_text(f"<html><body>{PARAGRAPH}" + f"<{tag}>" * 60_000)
+    assert time.perf_counter() - began < 5

@@ -4,8 +4,9 @@ A page's text nodes are grouped by their root-to-leaf tag path (tags with class
 length and the punctuation per node are taken, smoothed over the nodes in page order, fused by their product
 and held against a share of the page's spread; paths above it are content. Inside their common container blocks of content paths
 stay, and those of elements that are short by nature (headings, list items, paragraphs, cells); text of other elements below the threshold and lists
-of links go. Elements whose tag never holds article text (menus, headers, footers, asides, forms, scripts) are left out first, and those whose
-class, id or role says so (notices, adverts), unless they hold most of the page's text; reader comments go in any case.
+of links go, but for lists under a heading that announces sources. Elements beside the container that are of its kind and hold sentences belong to it. Elements whose tag never holds article text (menus, headers, footers, asides, forms, scripts) are left out first, and those whose
+class, id or role says so (notices, adverts), unless they hold most of the page's text or the name goes on with a topic; reader comments go in any case, whether a name or a
+heading tells. Whole short blocks that call for a click go too.
 Null and empty pages give an empty text, and so do pages without one. Whole pages are read, in time that grows with their length; markup
 may be broken anywhere. Repeated rows get the same text each; an empty table gives an empty one; other columns pass through, but
 main_text is replaced.
@@ -30,9 +31,9 @@ HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|di
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 PUNCTUATION = re.compile(r"[.,;:!?…。，、！？]")
 
-RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "xmp", "noembed", "noframes"}
+RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "annotation", "annotation-xml", "object", "xmp", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"} | {"math", "semantics", "mi", "mn", "mo", "ms", "mtext", "mrow", "msub", "msup", "msubsup", "mfrac", "msqrt", "mroot", "mover", "munder", "munderover", "mfenced", "mstyle"}
 NEVER = {"nav", "footer", "aside", "form", "button", "select", "option", "menu", "dialog", "head", "canvas", "audio", "video", "fieldset", "datalist"}
 CLOSES_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
 CLOSED_BY_SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -40,14 +41,26 @@ SCOPES = {"ul", "ol", "dl", "table", "select", "article", "section", "main", "bo
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Class, id and role names of what is not article text.
 NOT_ARTICLE = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "commentlist", "complementary", "contentinfo", "cookie", "cookies", "consent", "disqus", "dialog", "footer", "form", "gdpr", "header", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notification", "pagination", "popup", "promo", "promoted", "promotion", "recommended", "related", "replies", "respond", "search", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "subscription", "toolbar", "widget"}
+#: Of these a name with words of another kind is a topic (related-work, social-history); a companion says no more than what is there (related-posts).
+TOPICS = {"banner", "form", "header", "login", "menu", "notice", "notification", "promotion", "recommended", "related", "respond", "search", "share", "sharing", "skip", "social", "subscription"}
+COMPANIONS = {"area", "articles", "aside", "bar", "block", "body", "bottom", "box", "button", "buttons", "card", "cards", "col", "column", "container", "content", "entries", "fixed", "global", "grid", "group", "icon", "icons", "inner", "item", "items", "js", "left", "link", "links", "list", "main", "media", "message", "mobile", "news", "outer", "page", "panel", "pages", "post", "posts", "primary", "right", "row", "secondary", "section", "site", "slot", "small", "sticky", "stories", "story", "text", "this", "tools", "top", "topics", "wrap", "wrapper"}
+#: An aside with such a name is a part of the article.
+QUOTES = {"pullquote", "quote", "blockquote"}
+#: Headings, in lower case: of lists of links that belong to the article, and of what readers wrote.
+SOURCES = re.compile(r"(?:[\d.]+\s*)?(?:(?:further|notes and|list of)\s+)?(?:references?|bibliography|sources?|footnotes?|notes|works cited|literature|reading|literatur|quellen|einzelnachweise|références|bibliographie|notes et références|referencias|bibliografía|fuentes)\W*")
+RESPONSES = re.compile(r"(?:\d+\s+)?(?:(?:reader|readers'?|user|your|latest)\s+)?(?:comments?|responses?|replies|kommentare?|leserkommentare|commentaires?|réactions|comentarios)(?:\s*\(?\d+\)?)?\W*")
+#: What a whole short block says that calls for a click.
+CALLS = re.compile(r"(?:please\s+)?(?:(?:accept|reject|allow|manage)\s+(?:all\s+)?cookies(?:\s+settings)?|cookie (?:settings|policy)|subscribe(?:\s+(?:now|today|here))?|sign (?:up|in)(?:\s+(?:now|today|here))?|log ?in|share(?:\s+this(?:\s+(?:article|page|post))?)?|advertisement|sponsored|alle cookies akzeptieren|accepter (?:tous )?les cookies|aceptar (?:todas las )?cookies)\W*")
 #: Such a name says what an element has or goes with, not what it is.
 ABOUT = {"has", "with", "no", "without", "not", "is"}
 #: Names of what never is the article, however much of the page it holds.
 READERS = {"comment", "comments", "commentlist", "disqus", "replies", "respond"}
 #: Elements whose text is kept inside the container whatever their path's score: parts of an article are often short.
-TEXTUAL = HEADINGS | {"", "address", "article", "blockquote", "body", "caption", "dd", "dt", "figcaption", "html", "li", "main", "p", "pre", "summary", "td", "th"}
+TEXTUAL = HEADINGS | {"", "address", "article", "blockquote", "body", "caption", "dd", "dt", "figcaption", "html", "li", "main", "p", "pre", "section", "summary", "td", "th"}
 #: Share of the standard deviation of fused ratios above which a path is content, and nodes smoothed over on each side.
 SPREAD, AROUND = 0.75, 1
+#: Characters of a text node, with punctuation, that is taken for sentences.
+SENTENCE = 60
 #: An element with a name of NOT_ARTICLE that holds this share of the page's text is no side matter.
 MOST = 0.5
 
@@ -58,7 +71,10 @@ def _name_words(names: str) -> set[str]:
     for name in names.split():
         words = [x.lower() for x in WORD.findall(name)]
         if words and words[0] not in ABOUT:
-            found.update(x for x in words if x in NOT_ARTICLE)
+            marks = {x for x in words if x in NOT_ARTICLE}
+            if marks <= TOPICS and any(len(x) > 2 and not x.isdigit() and x not in NOT_ARTICLE and x not in COMPANIONS for x in words):
+                continue
+            found.update(marks)
     return found
 
 
@@ -111,6 +127,7 @@ class Page:
 def parse(page: str) -> Page:
     found, stack, at, block = Page(), [0], 0, 0
     opened: dict[str, int] = defaultdict(int)
+    endless: set[str] = set()  # raw tags that don't end any more: looked for once
 
     def close(n: int) -> None:
         nonlocal block
@@ -140,7 +157,9 @@ def parse(page: str) -> Page:
             continue
         attributes = m[3] if m[3] is not None else m[6] or ""
         if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+            end = None if tag in endless else re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+            if end is None:
+                endless.add(tag)
             at = end.end() if end else (len(page) if tag in ("script", "style", "textarea", "title") else at)
             continue
         if tag in CLOSES_P and opened["p"]:
@@ -165,7 +184,8 @@ def parse(page: str) -> Page:
             continue
         names = " ".join(filter(None, (x for g in NAMES.findall(attributes) for x in g))) if attributes else ""
         parent, frame = stack[-1], tag in ("html", "body")
-        out = not frame and (tag in NEVER or tag == "header" and not found.inside[parent] or bool(attributes and HIDDEN.search(attributes)))
+        quote = tag == "aside" and any(x.lower() in QUOTES for x in WORD.findall(names))
+        out = not frame and (tag in NEVER and not quote or tag == "header" and not found.inside[parent] or bool(attributes and HIDDEN.search(attributes)))
         named = _name_words(names) if names and not frame and tag not in ("article", "main") else set()
         stack.append(found.open(tag, names, parent, out, named))
         opened[tag] += 1
@@ -197,16 +217,63 @@ def _content(paths: list[int], texts: list[str], links: list[bool]) -> set[int]:
     return {p for p, x in score.items() if x > 0 and x >= SPREAD * spread}
 
 
+def _headings(tree: Page, nodes: list[tuple[int, int, str]]) -> dict[int, str]:
+    """The text of each heading element, in lower case."""
+    found: dict[int, list[str]] = defaultdict(list)
+    for e, _, text in nodes:
+        while e and tree.tag[e] in INLINE:
+            e = tree.parent[e]
+        if tree.tag[e] in HEADINGS:
+            found[e].append(text)
+    return {e: " ".join("".join(x).split()).lower() for e, x in found.items()}
+
+
+def _titles(tree: Page, nodes: list[tuple[int, int, str]]) -> dict[int, str]:
+    """The heading that a section or div begins with."""
+    found, begun = {}, set()
+    headings = _headings(tree, nodes)
+    for e, _, text in nodes:
+        if text.isspace():
+            continue
+        heading = e
+        while heading and tree.tag[heading] in INLINE:
+            heading = tree.parent[heading]
+        up = tree.parent[heading] if heading in headings else heading
+        if heading in headings and up not in begun and tree.tag[up] in ("section", "div"):
+            found[up] = headings[heading]
+        while up and up not in begun:
+            begun.add(up)
+            up = tree.parent[up]
+    return found
+
+
+def _sources(tree: Page, nodes: list[tuple[int, int, str]]) -> set[int]:
+    """The lists that follow a heading of SOURCES, in its parent or alone in an element there."""
+    under = {tree.parent[e] for e, text in _headings(tree, nodes).items() if SOURCES.fullmatch(text)}
+    found, last = set(), {}
+    headings = _headings(tree, nodes)
+    for e, tag in enumerate(tree.tag):
+        if e in headings:
+            last[tree.parent[e]] = headings[e]
+        elif tag in ("ul", "ol"):
+            near = [tree.parent[e], tree.parent[tree.parent[e]]] if tree.parent[e] > 0 else [tree.parent[e]]
+            if any(p in under and SOURCES.fullmatch(last.get(p, "")) for p in near):
+                found.add(e)
+    return found
+
+
 def main_text(page: str | None) -> str:
     """The article's blocks in page order, joined by two line feeds."""
     if not page:
         return ""
     tree = parse(page)
     everything = [(e, b, entities.unescape(t)) for e, b, t in tree.nodes if not tree.out[e]]
-    readers, size = tree.inherited([bool(w & READERS) for w in tree.named]), [0] * len(tree.tag)
+    titles = _titles(tree, everything)
+    readers, size = tree.inherited([bool(w & READERS) or bool(RESPONSES.fullmatch(titles.get(e, ""))) for e, w in enumerate(tree.named)]), [0] * len(tree.tag)
     for e, _, text in everything:
         size[e] += len(text.strip()) * (not readers[e])
     size = tree.sums(size)
+    readers = tree.inherited([bool(w & READERS) or (bool(RESPONSES.fullmatch(titles.get(e, ""))) and size[e] == 0 < size[0]) for e, w in enumerate(tree.named)])
     side = tree.inherited([readers[e] or bool(w) and size[e] < MOST * size[0] for e, w in enumerate(tree.named)])
     nodes = [x for x in everything if not side[x[0]]]
     if not any(t.strip() for _, _, t in nodes):  # names may mislead where they leave nothing
@@ -233,21 +300,33 @@ def main_text(page: str | None) -> str:
     else:
         while container and tree.tag[container] in INLINE | {"p", "li", "td"} and tree.parent[container] > 0:
             container = tree.parent[container]
+    # What stands beside the container in elements of its kind is part of it, if it reads like it: sentences in paragraphs or on content paths, few links.
+    beside: set[int] = set()
+    if container and not tree.inside[container]:
+        prose, linked_text = [0] * len(tree.tag), [0] * len(tree.tag)
+        for e, _, text in solid:
+            sentences = (tree.path[e] in chosen or tree.block_tag[e] in ("p", "blockquote")) and len(text) >= SENTENCE and PUNCTUATION.search(text) is not None
+            prose[e] += len(text) * (sentences and not tree.link[e])
+            linked_text[e] += len(text) * (not sentences)
+        prose, linked_text = tree.sums(prose), tree.sums(linked_text)
+        alike = [tree.parent[e] == tree.parent[container] and tree.tag[e] == tree.tag[container] and e != container and prose[e] > 2 * linked_text[e] for e in range(len(tree.tag))]
+        beside = {e for e, x in enumerate(tree.inherited(alike)) if x}
     # Inside, a block stays if its path is content, or as a part of an article that is short by nature; lists of links don't.
-    kept = {b for e, b, _ in solid if within(e) and (tree.path[e] in chosen or not chosen or tree.block_tag[e] in TEXTUAL)}
+    kept = {b for e, b, _ in solid if (within(e) or e in beside) and (tree.path[e] in chosen or not chosen or tree.block_tag[e] in TEXTUAL)}
     text_in, linked = [0] * len(tree.tag), [0] * len(tree.tag)
     for e, _, text in solid:
         text_in[e] += len(text.strip())
         linked[e] += len(text.strip()) * tree.link[e]
     text_in, linked = tree.sums(text_in), tree.sums(linked)
-    menu = tree.inherited([t in ("ul", "ol") and n > 0 and k > 0.9 * n for t, n, k in zip(tree.tag, text_in, linked, strict=True)])
+    sources = _sources(tree, everything)
+    menu = tree.inherited([e not in sources and t in ("ul", "ol") and n > 0 and k > 0.9 * n for e, (t, n, k) in enumerate(zip(tree.tag, text_in, linked, strict=True))])
     kept -= {b for e, b, _ in solid if menu[e]}
     blocks: dict[int, list[str]] = {}
     for _, b, text in nodes:
         if b in kept:
             blocks.setdefault(b, []).append(text)
     joined = (" ".join("".join(x).split()) for _, x in sorted(blocks.items()))
-    return "\n\n".join(x for x in joined if x)
+    return "\n\n".join(x for x in joined if x and not (len(x) < 60 and CALLS.fullmatch(x.lower())))
 
 
 @F.pandas_udf(T.StringType())

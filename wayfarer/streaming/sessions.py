@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
+from wayfarer.operators import replay
 from wayfarer.operators.sessions import ENGAGED_PAGEVIEWS, ENGAGED_SECONDS, GAP_SECONDS, HOP_SECONDS, TUPLE, acquisition, page_path
 from wayfarer.plans.schemas import CONVERSION_TYPES, INTERACTIVE_TYPES
 from wayfarer.sources.batches import Batches
@@ -178,3 +179,33 @@ def fan_out(stream: DataFrame, feed: Batches, checkpoint: str):
 def subscription(spark: SparkSession, feed: Batches, workspace: str, after: int = -1) -> DataFrame:
     """A workspace's events of the batches after one that it knows, with batch."""
     return feed.read(spark).where((F.col("workspace_id") == workspace) & (F.col("batch") > after))
+
+
+def resolve_identities(requests: DataFrame, path: str, checkpoint: str, query: str = "identity"):
+    """A query that resolves a stream of requests (request_id, workspace_id, at, signals): each batch in order of time against what the batches before left.
+
+    The state is a table of changes: a batch appends the visitors that it made or changed, and what became of its requests; identities and actions read them. A batch that comes
+    again finds the same state, as its own changes are committed last and once.
+    """
+    changes, actions = identity_tables(path, query)
+
+    def each(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        if changes.has(spark, number):
+            return
+        made, changed = replay.replay(batch, identities(spark, path, query, before=number))
+        actions.append(made, number)
+        changes.append(changed, number)
+
+    return deliver(requests, each, checkpoint)
+
+
+def identity_tables(path: str, query: str = "identity") -> tuple[Batches, Batches]:
+    """(changes of visitors, actions of requests) that resolve_identities appends."""
+    return Batches(path, "identities", replay.IDENTITIES, query), Batches(path, "identity_actions", "request_id string, action string, visitor_id string, merged_ids array<string>", query)
+
+
+def identities(spark: SparkSession, path: str, query: str = "identity", before: int | None = None) -> DataFrame:
+    """The visitors as the committed batches (those before a number) have left them."""
+    held = identity_tables(path, query)[0].read(spark)
+    return replay.latest(held if before is None else held.where(F.col("batch") < before))

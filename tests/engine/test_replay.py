@@ -122,3 +122,15 @@ def test_identities_on_a_stream(spark, make, tmp_path):
     held = streams.identities(spark, str(tmp_path / "state"))
     compare(actions.read(spark).collect(), held.collect(), one_by_one(given, []))
     assert held.select("id").distinct().count() == held.count()
+
+
+def test_merged_lists_and_touchpoints(spark, make):
+    points = lambda *at: [{"p": t, "timestamp": t} for t in at]
+    days = [f"2026-01-{d:02}T00:00:00Z" for d in range(1, 31)]
+    v = make("visitors", [visitor("a", first_seen_at=0, fingerprints=["x", "y"], anonymous_ids=None, attribution_path=points(*days[:20], "odd")), visitor("b", first_seen_at=1, fingerprints=["y", "z"], anonymous_ids=["n"], attribution_path=points(*days[10:], "2025-12-31T00:00:00Z")), visitor("c", first_seen_at=2, fingerprints=["z", "w"], attribution_path=points(*[f"2026-02-{d:02}T00:00:00Z" for d in range(1, 29)])), visitor("d", first_seen_at=3, fingerprints=["q"])])
+    groups = v.select(F.col("id").alias("visitor_id"), F.when(F.col("id") == "d", "d").otherwise("a").alias("survivor_id"))
+    after = {r.id: r for r in identity.merge(v, groups).collect()}
+    assert after["a"].fingerprints == ["x", "y", "z", "w"] and after["a"].anonymous_ids == ["n"] and after["d"].fingerprints == ["q"]
+    times = [p["timestamp"] for p in after["a"].attribution_path]
+    every = sorted({*days, "2025-12-31T00:00:00Z", *[f"2026-02-{d:02}T00:00:00Z" for d in range(1, 29)]}) + ["odd"]
+    assert times == every[-50:]

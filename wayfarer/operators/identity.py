@@ -1,8 +1,8 @@
 """Identity: candidates for signals, merges, people with one external id or e-mail, attribution.
 
 Online, each request merges what it matches. In batch, visitors that share a strong key (external id, ga_id, e-mail)
-in a workspace form components; each collapses into its oldest member. Cases in which the order of requests
-with weak signals decides differ from the online form.
+in a workspace form components; each collapses into its oldest member. Where the order of requests with weak signals decides, replay.replay
+gives what the online form does.
 """
 
 from __future__ import annotations
@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfarer.functions.values import add_unique, append_touchpoint, concat_unique, empty_map, last_touchpoints, merge_maps, merge_touchpoints
+from wayfarer.functions.values import MAX_TOUCHPOINTS, add_unique, append_touchpoint, concat_unique, empty_map, last_touchpoints, merge_maps
+from wayfarer.operators import graph
 
 STRONG, WEAK = ("person_external_id", "ga_id", "person_email"), ("fingerprint", "anonymous_id")
 #: Signal: visitor column it is looked for in, and whether that is a list.
@@ -118,35 +119,47 @@ def update_visitors(visitors: DataFrame, signals: DataFrame, now: Column) -> Dat
     return joined.withColumns(new).select(*visitors.columns)
 
 
-def components(visitors: DataFrame, kinds: tuple[str, ...] = STRONG, checkpoint=None, most_rounds: int = 40) -> DataFrame:
+def components(visitors: DataFrame, kinds: tuple[str, ...] = STRONG) -> DataFrame:
     """(visitor_id, survivor_id): visitors that share keys of these kinds, directly or through others; the oldest survives.
 
-    Each round every visitor takes the least (first_seen_at, id) among those it shares a key with, by way of the keys: a
-    group of any size meets in partial aggregates only. checkpoint(df) cuts the lineage; default: df.checkpoint()
-    where a folder is set.
+    Components come from graph.components by way of the keys: a group of any size meets in partial aggregates only. Who shares no key is a group alone.
     """
-    spark = visitors.sparkSession
-    if checkpoint is None:
-        if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-            spark.sparkContext.setCheckpointDir("/tmp/checkpoints/wayfarer-identity")
-        checkpoint = lambda df: df.checkpoint()
-    links = checkpoint(_keys(visitors).where(F.col("kind").isin(*kinds)).select(F.xxhash64("workspace_id", "kind", "key").alias("h"), "workspace_id", "kind", "key", "visitor_id"))
     live = visitors.where(F.coalesce(F.col("status"), F.lit("")) != "merged")
-    labels = checkpoint(live.select(F.col("id").alias("visitor_id"), F.struct(F.coalesce("first_seen_at", F.lit("9999-12-31").cast("timestamp")).alias("at"), F.col("id").alias("id")).alias("label")))
-    for _ in range(most_rounds):
-        by_key = links.join(labels, "visitor_id").groupBy("workspace_id", "kind", "key").agg(F.min("label").alias("label"))
-        best = links.join(by_key, ["workspace_id", "kind", "key"]).groupBy("visitor_id").agg(F.min("label").alias("best"))
-        moved = labels.join(best, "visitor_id", "left").select("visitor_id", F.col("label").alias("was"), F.least("label", F.coalesce("best", "label")).alias("label"))
-        # Pointer jumping: the label of one's label, so that chains shorten twofold each round.
-        jump = moved.select(F.col("visitor_id").alias("j_id"), F.col("label").alias("j_label"))
-        moved = moved.join(jump, F.col("label.id") == F.col("j_id"), "left").select("visitor_id", "was", F.least("label", F.coalesce("j_label", "label")).alias("label"))
-        moved = checkpoint(moved)
-        labels = moved.select("visitor_id", "label")
-        if not moved.where(F.col("was") != F.col("label")).limit(1).count():
-            return labels.select("visitor_id", F.col("label.id").alias("survivor_id"))
-    raise RuntimeError(f"identities did not settle in {most_rounds} rounds")
+    order = F.struct(F.coalesce("first_seen_at", F.lit("9999-12-31").cast("timestamp")).alias("at"), F.col("id").alias("id"))
+    keys = _keys(visitors).where(F.col("kind").isin(*kinds))
+    seen = F.struct(F.coalesce("first_seen_at", F.lit("9999-12-31").cast("timestamp")).alias("at"), F.col("visitor_id").alias("id"))
+    roots = graph.components(keys.select(seen.alias("member"), F.struct("workspace_id", "kind", "key").alias("hub")))
+    named = roots.select(F.col("member.id").alias("visitor_id"), F.col("root.id").alias("root_id"))
+    found = live.select(F.col("id").alias("visitor_id"), order.alias("own")).join(named, "visitor_id", "left")
+    return found.select("visitor_id", F.coalesce("root_id", "own.id").alias("survivor_id"))
+
+
+LISTS = ("fingerprints", "anonymous_ids", "click_ids")
+
+
+def _united_lists(members: DataFrame, columns: list[str]) -> DataFrame:
+    """survivor_id and m_ columns: the different values of the members' lists, those of older members first.
+
+    A value that many members share is one row before lists are made.
+    """
+
+    def values(c: str) -> Column:
+        return F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x, i: F.struct(F.lit(c).alias("c"), i.alias("i"), x.alias("x")))
+
+    each = members.select("survivor_id", "first_seen_at", "id", F.explode(F.concat(*[values(c) for c in columns])).alias("v"))
+    once = each.groupBy("survivor_id", "v.c", "v.x").agg(F.min(F.struct("first_seen_at", "id", "v.i")).alias("o"))
+    listed = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col("c") == c, F.struct("o", "x")))), lambda y: y["x"]).alias(f"m_{c}")
+    return once.groupBy("survivor_id").agg(*[listed(c) for c in columns])
+
+
+def _united_paths(members: DataFrame, most: int = MAX_TOUCHPOINTS) -> DataFrame:
+    """survivor_id and m_attribution_path: the members' different touchpoints by time, unreadable times last, the last fifty."""
+    each = members.select("survivor_id", "first_seen_at", "id", F.posexplode("attribution_path").alias("i", "x"))
+    at = F.try_to_timestamp(F.col("x")["timestamp"])
+    once = each.groupBy("survivor_id", F.to_json("x").alias("j")).agg(F.min_by(F.struct(at.isNull().alias("no"), at.alias("at"), "first_seen_at", "id", "i", "x"), F.struct(at.isNull().alias("no"), at.alias("at"), "first_seen_at", "id", "i")).alias("p"))
+    newest = Window.partitionBy("survivor_id").orderBy(*[F.col(f"p.{c}").desc_nulls_last() for c in ("no", "at", "first_seen_at", "id", "i")])
+    last = once.withColumn("n", F.row_number().over(newest)).where(F.col("n") <= most)
+    return last.groupBy("survivor_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "p.x")), lambda x, y: y["n"] - x["n"]), lambda y: y["x"]).alias("m_attribution_path"))
 
 
 def merge(visitors: DataFrame, groups: DataFrame) -> DataFrame:
@@ -161,13 +174,7 @@ def merge(visitors: DataFrame, groups: DataFrame) -> DataFrame:
     members = rows.join(touched, "survivor_id", "left_semi")
     order = F.struct("first_seen_at", "id")
     columns = set(visitors.columns)
-    # Unions are made of single values, pre-aggregated, so that a large group's lists are never gathered twice.
     made: list[Column] = []
-    for c in ("fingerprints", "anonymous_ids", "click_ids"):
-        if c in columns:
-            made.append(F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), F.col(c).alias("v")))), lambda x: F.coalesce(x["v"], F.array().cast("array<string>"))))).alias(f"m_{c}"))
-    if "attribution_path" in columns:
-        made.append(F.flatten(F.collect_list("attribution_path")).alias("m_attribution_path"))
     if "geo" in columns:
         made.append(F.min_by("geo", F.when(~empty_map(F.col("geo")), order)).alias("m_geo"))
     partner = {"first": ("first_partner_id", "first_referral_link_id", "first_referral_click_id"), "last": ("last_partner_id", "last_referral_link_id", "last_referral_click_id")}
@@ -178,13 +185,12 @@ def merge(visitors: DataFrame, groups: DataFrame) -> DataFrame:
             made += [pick(c).alias(f"m_{c}") for c in names if c in columns]
     made.append(F.max("last_seen_at").alias("m_last_seen_at"))
     united = members.groupBy("survivor_id").agg(*made)
+    if lists := [c for c in LISTS if c in columns]:
+        united = united.join(_united_lists(members, lists), "survivor_id", "left")
+    if "attribution_path" in columns:
+        united = united.join(_united_paths(members), "survivor_id", "left")
     out = rows.join(united.withColumnRenamed("survivor_id", "u_id"), F.col("id") == F.col("u_id"), "left")
-    new = {}
-    for c in [x.removeprefix("m_") for x in united.columns if x.startswith("m_")]:
-        merged = F.col(f"m_{c}")
-        if c == "attribution_path":
-            merged = merge_touchpoints(merged)
-        new[c] = F.when(F.col("u_id").isNotNull(), F.coalesce(merged, F.col(c))).otherwise(F.col(c))
+    new = {c: F.when(F.col("u_id").isNotNull(), F.coalesce(f"m_{c}", c)).otherwise(F.col(c)) for c in (x.removeprefix("m_") for x in united.columns if x.startswith("m_"))}
     gone = F.col("survivor_id") != F.col("id")
     new |= {"status": F.when(gone, "merged").otherwise(F.col("status")), "merged_into_id": F.when(gone, F.col("survivor_id")).otherwise(F.col("merged_into_id"))}
     return out.withColumns(new).select(*visitors.columns)
@@ -209,7 +215,7 @@ def move_sessions(visitors: DataFrame, sessions: DataFrame, groups: DataFrame) -
     return counted.select(*visitors.columns), repoint(sessions, groups)
 
 
-def identify(visitors: DataFrame, persons: DataFrame, now: Column, checkpoint=None) -> tuple[DataFrame, DataFrame]:
+def identify(visitors: DataFrame, persons: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
     """(visitors, groups) after persons (visitor_id and person_* columns) became known.
 
     Whoever already has the external id or the e-mail is merged with the visitor, into the older of the two; the survivor gets
@@ -220,7 +226,7 @@ def identify(visitors: DataFrame, persons: DataFrame, now: Column, checkpoint=No
     known = F.coalesce(*[F.col(f"p_{c}").cast("string") for c in given]).isNotNull()
     new = {c: F.coalesce(F.col(f"p_{c}"), F.col(c)) for c in given if c in visitors.columns}
     named = joined.withColumns(new | {"identified_at": F.when(known, now).otherwise(F.col("identified_at")), "status": F.when(known, "identified").otherwise(F.col("status"))}).select(*visitors.columns)
-    groups = components(named, ("person_external_id", "person_email"), checkpoint)
+    groups = components(named, ("person_external_id", "person_email"))
     merged = merge(named, groups)
     # The attributes of the newest given person go to the survivor.
     last = Window.partitionBy("survivor_id").orderBy(F.col("first_seen_at").desc(), F.col("id").desc())

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayfarer.functions import devices, traffic, urls, values
-from wayfarer.operators import audience, clicks, connectors, events, funnels, identity, kpis, people, sessions, timeseries
+from wayfarer.operators import audience, clicks, connectors, events, funnels, identity, kpis, people, replay, sessions, timeseries
 from wayfarer.operators.base import scan_events, with_visitors
 from wayfarer.plans import adapter
 from wayfarer.plans.adapter import GAP_SECONDS, Tables
@@ -670,6 +670,21 @@ def _(t: Tables) -> DataFrame:
     return found.select("request_id", F.array_join(F.concat(F.array("visitor_id"), "merged_ids"), " ").alias("candidates"))
 
 
+@query(
+    "identity_replay",
+    """WITH r AS (SELECT id, visitor_id, inserted_at, event_type = 'sale' OR id % 2 = 0 AS p, event_type = 'sale' OR id % 2 = 1 AS q FROM a_events),
+    s AS (SELECT *, coalesce(bool_or(p) OVER w, false) AS had_p, coalesce(bool_or(q) OVER w, false) AS had_q, coalesce(bool_or(p AND q) OVER w, false) AS tied FROM r
+      WINDOW w AS (PARTITION BY visitor_id ORDER BY inserted_at, id::VARCHAR ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+    SELECT id AS request_id, CASE WHEN NOT ((p AND had_p) OR (q AND had_q)) THEN 'create' WHEN p AND q AND had_p AND had_q AND NOT tied THEN 'merge' ELSE 'update' END AS action FROM s""",
+)
+def _(t: Tables) -> DataFrame:
+    """Events as requests: a fingerprint or an anonymous id of the visitor, sales with both, which ties them together."""
+    signal = lambda k, n: F.when((F.col("event_type") == "sale") | (F.col("id") % 2 == n), F.concat(F.lit(k), F.col("visitor_id").cast("string")))
+    asked = t.events.select(F.col("id").alias("request_id"), "workspace_id", F.col("inserted_at").alias("at"), signal("f", 0).alias("fingerprint"), signal("n", 1).alias("anonymous_id"))
+    actions, _changed = replay.replay(asked, t.visitors.limit(0))
+    return actions.select("request_id", "action")
+
+
 @query("canonical_visitors", "SELECT c AS canonical_id, count(*) AS events FROM j e GROUP BY 1")
 def _(t: Tables) -> DataFrame:
     return with_visitors(t.events, t.visitors).groupBy("canonical_id").agg(F.count("*").alias("events"))

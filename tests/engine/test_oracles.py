@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from wayfarer import queries
+from wayfarer import more_queries, queries
 
 FOLDER = Path("/root/testdata/sf0.001")
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages")
@@ -32,6 +32,9 @@ def plain(value):
     return value
 
 
+assert more_queries.QUERIES is queries.QUERIES  # registers further queries
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_and_sql_agree(spark, duck, name):
     found = queries.QUERIES[name](spark, str(FOLDER))

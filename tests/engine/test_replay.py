@@ -1,17 +1,18 @@
 """Identity in order of requests, in batch and on streams, against the rules applied one request at a time."""
 
 import random
+import time
 from datetime import timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from wayfarer.operators import identity, replay
+from wayfarer.streaming import hooks
 from wayfarer.streaming import sessions as streams
 
 from .conftest import T0
-from .test_analytics import visitor
-from .test_rest import run  # noqa: F401
+from .test_analytics import event, visitor
 
 SIGNALS = ("person_external_id", "ga_id", "person_email", "fingerprint", "anonymous_id", "click_id")
 REQUESTS = "request_id string, workspace_id string, at timestamp, " + ", ".join(f"{s} string" for s in SIGNALS)
@@ -134,3 +135,22 @@ def test_merged_lists_and_touchpoints(spark, make):
     times = [p["timestamp"] for p in after["a"].attribution_path]
     every = sorted({*days, "2025-12-31T00:00:00Z", *[f"2026-02-{d:02}T00:00:00Z" for d in range(1, 29)]}) + ["odd"]
     assert times == every[-50:]
+
+
+def test_hooks_by_event_type(spark, make, tmp_path):
+    e = make("events", [event(1, "a", "sale", amount_cents=5), event(2, "a", "lead"), event(3, "gone", "sale", amount_cents=7), event(4, "a", "share")])
+    seen = []
+    registry = hooks.Hooks(make("visitors", [visitor("a"), visitor("b", merged_into_id="a")]), budget_seconds=20)
+    registry.register("sale", lambda rows, n: (n, [r.id for r in rows.collect()]))
+    registry.register("sale", lambda rows, n: 1 / 0)  # stops nothing
+    registry.register("lead", lambda rows, n: seen.append((n, rows.count())), detached=True)
+    registry.register("identify", lambda rows, n: seen.append("never"))
+    assert registry(e, 7) == {"sale": [(7, ["1"])]} and seen == [(7, 1)]  # an event without a visitor goes to no hook
+    slow = hooks.Hooks(budget_seconds=0.2)
+    slow.register("sale", lambda rows, n: time.sleep(1))
+    slow.register("sale", lambda rows, n: "in time")
+    assert slow(e, 0) == {"sale": ["in time"]}
+    e.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(e.schema).parquet(str(tmp_path / "in"))
+    streams.deliver(stream, registry, str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+    assert seen[1:] == [(0, 1)]

@@ -23,85 +23,96 @@ CLICK_IDS = {
 #: Referring hosts by medium and platform.
 REFERERS = {
     "social": {
-        "facebook": "facebook.com m.facebook.com l.facebook.com lm.facebook.com fb.com fb.me",
-        "instagram": "instagram.com l.instagram.com",
-        "twitter": "t.co twitter.com x.com",
-        "linkedin": "linkedin.com lnkd.in",
-        "youtube": "youtube.com youtu.be",
-        "reddit": "reddit.com old.reddit.com out.reddit.com",
-        "tiktok": "tiktok.com",
-        "pinterest": "pinterest.com",
-        "threads": "threads.net",
-        "bluesky": "bsky.app",
+        "facebook": ("facebook.com", "m.facebook.com", "l.facebook.com", "lm.facebook.com", "fb.com", "fb.me"),
+        "instagram": ("instagram.com", "l.instagram.com"),
+        "twitter": ("t.co", "twitter.com", "x.com"),
+        "linkedin": ("linkedin.com", "lnkd.in"),
+        "youtube": ("youtube.com", "youtu.be"),
+        "reddit": ("reddit.com", "old.reddit.com", "out.reddit.com"),
+        "tiktok": ("tiktok.com",),
+        "pinterest": ("pinterest.com",),
+        "threads": ("threads.net",),
+        "bluesky": ("bsky.app",),
+    },
+    "organic": {
+        "google": ("google.com", "google.co.uk"),
+        "bing": ("bing.com",),
+        "duckduckgo": ("duckduckgo.com",),
+        "yahoo": ("yahoo.com",),
+        "baidu": ("baidu.com",),
     },
-    "organic": {"google": "google.com google.co.uk", "bing": "bing.com", "duckduckgo": "duckduckgo.com", "yahoo": "yahoo.com", "baidu": "baidu.com"},
     "email": {
-        "gmail": "mail.google.com mail.googleusercontent.com",
-        "outlook": "outlook.live.com outlook.office.com outlook.office365.com outlook.com",
-        "yahoo_mail": "mail.yahoo.com mail.yahoo.co.jp",
-        "icloud_mail": "mail.icloud.com",
-        "aol_mail": "mail.aol.com",
-        "proton_mail": "mail.proton.me",
-        "zoho_mail": "mail.zoho.com",
-        "gmx": "mail.gmx.com mail.gmx.net mail.gmx.de",
-        "web_de": "mail.web.de",
-        "mailru": "e.mail.ru",
-        "yandex_mail": "mail.yandex.ru mail.yandex.com",
-        "naver_mail": "mail.naver.com",
-        "fastmail": "app.fastmail.com",
-        "tuta": "mail.tutanota.com",
-        "hey": "app.hey.com",
+        "gmail": ("mail.google.com", "mail.googleusercontent.com"),
+        "outlook": ("outlook.live.com", "outlook.office.com", "outlook.office365.com", "outlook.com"),
+        "yahoo_mail": ("mail.yahoo.com", "mail.yahoo.co.jp"),
+        "icloud_mail": ("mail.icloud.com",),
+        "aol_mail": ("mail.aol.com",),
+        "proton_mail": ("mail.proton.me",),
+        "zoho_mail": ("mail.zoho.com",),
+        "gmx": ("mail.gmx.com", "mail.gmx.net", "mail.gmx.de"),
+        "web_de": ("mail.web.de",),
+        "mailru": ("e.mail.ru",),
+        "yandex_mail": ("mail.yandex.ru", "mail.yandex.com"),
+        "naver_mail": ("mail.naver.com",),
+        "fastmail": ("app.fastmail.com",),
+        "tuta": ("mail.tutanota.com",),
+        "hey": ("app.hey.com",),
+    },
+    "messaging": {
+        "whatsapp": ("web.whatsapp.com",),
+        "telegram": ("web.telegram.org",),
+        "slack": ("slack.com", "app.slack.com"),
+        "discord": ("discord.com",),
     },
-    "messaging": {"whatsapp": "web.whatsapp.com", "telegram": "web.telegram.org", "slack": "slack.com app.slack.com", "discord": "discord.com"},
     "ai": {
-        "chatgpt": "chatgpt.com chat.openai.com chat-gpt.org openai.com",
-        "claude": "claude.ai anthropic.com",
-        "perplexity": "perplexity.ai",
-        "copilot": "copilot.microsoft.com edgeservices.bing.com turing.microsoft.com cosmos.microsoft.com",
-        "gemini": "gemini.google.com bard.google.com deepmind.com",
-        "grok": "grok.com grok.x.com x.ai",
-        "deepseek": "deepseek.com",
-        "you": "you.com",
-        "meta_ai": "meta.ai",
-        "mistral": "mistral.ai chat.mistral.ai",
-        "character_ai": "character.ai",
-        "huggingchat": "huggingface.co huggingchat.com",
-        "phind": "phind.com",
-        "pi": "pi.ai",
-        "zhipu": "zhipu.ai chatglm.cn",
-        "qwen": "qwenlm.ai chat.qwen.ai",
-        "felo": "felo.ai",
-        "komo": "komo.ai",
-        "iask": "iask.ai",
-        "sider": "sider.ai",
-        "venice": "venice.ai",
-        "duckai": "duck.ai",
-        "cohere": "cohere.ai",
-        "jasper": "jasper.ai",
-        "writesonic": "writesonic.com",
-        "quillbot": "quillbot.com",
-        "wordtune": "wordtune.com",
-        "copyai": "copy.ai",
-        "blackbox": "blackbox.ai",
-        "openchat": "openchat.so",
-        "open_assistant": "open-assistant.io",
-        "openrouter": "openrouter.ai",
-        "lmarena": "lmarena.ai",
-        "coze": "coze.com",
-        "exa": "exa.ai",
-        "forefront": "forefront.ai",
-        "reka": "reka.ai",
-        "ai21": "ai21.com",
-        "deepl": "deepl.com",
-        "suno": "chat.suno.com",
-        "neeva": "neeva.com",
-        "nimble": "nimble.ai",
-        "bnngpt": "bnngpt.com",
-        "adobe_firefly": "firefly.adobe.com",
+        "chatgpt": ("chatgpt.com", "chat.openai.com", "chat-gpt.org", "openai.com"),
+        "claude": ("claude.ai", "anthropic.com"),
+        "perplexity": ("perplexity.ai",),
+        "copilot": ("copilot.microsoft.com", "edgeservices.bing.com", "turing.microsoft.com", "cosmos.microsoft.com"),
+        "gemini": ("gemini.google.com", "bard.google.com", "deepmind.com"),
+        "grok": ("grok.com", "grok.x.com", "x.ai"),
+        "deepseek": ("deepseek.com",),
+        "you": ("you.com",),
+        "meta_ai": ("meta.ai",),
+        "mistral": ("mistral.ai", "chat.mistral.ai"),
+        "character_ai": ("character.ai",),
+        "huggingchat": ("huggingface.co", "huggingchat.com"),
+        "phind": ("phind.com",),
+        "pi": ("pi.ai",),
+        "zhipu": ("zhipu.ai", "chatglm.cn"),
+        "qwen": ("qwenlm.ai", "chat.qwen.ai"),
+        "felo": ("felo.ai",),
+        "komo": ("komo.ai",),
+        "iask": ("iask.ai",),
+        "sider": ("sider.ai",),
+        "venice": ("venice.ai",),
+        "duckai": ("duck.ai",),
+        "cohere": ("cohere.ai",),
+        "jasper": ("jasper.ai",),
+        "writesonic": ("writesonic.com",),
+        "quillbot": ("quillbot.com",),
+        "wordtune": ("wordtune.com",),
+        "copyai": ("copy.ai",),
+        "blackbox": ("blackbox.ai",),
+        "openchat": ("openchat.so",),
+        "open_assistant": ("open-assistant.io",),
+        "openrouter": ("openrouter.ai",),
+        "lmarena": ("lmarena.ai",),
+        "coze": ("coze.com",),
+        "exa": ("exa.ai",),
+        "forefront": ("forefront.ai",),
+        "reka": ("reka.ai",),
+        "ai21": ("ai21.com",),
+        "deepl": ("deepl.com",),
+        "suno": ("chat.suno.com",),
+        "neeva": ("neeva.com",),
+        "nimble": ("nimble.ai",),
+        "bnngpt": ("bnngpt.com",),
+        "adobe_firefly": ("firefly.adobe.com",),
     },
 }
 UTM = ("utm_source", "utm_medium", "utm_campaign", "utm_content", "utm_term")
-REFERER_HOSTS = {h: (platform, medium) for medium, platforms in REFERERS.items() for platform, hosts in platforms.items() for h in hosts.split()}
+REFERER_HOSTS = {h: (platform, medium) for medium, platforms in REFERERS.items() for platform, hosts in platforms.items() for h in hosts}
 
 
 def normalize_medium(medium: Column) -> Column:

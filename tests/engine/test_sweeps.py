@@ -233,6 +233,7 @@ def test_changes_are_fanned_out_once(spark, make, tmp_path):
 def test_middle_of_values(spark, values):
     df = spark.createDataFrame([(v,) for v in values], "x long").groupBy("x").agg(F.count("*").alias("n"))
     found = selection.middle(df, "x", "n", 44).first()
+    assert found == selection.middle(df, "x", "n", 44, rows=df.count()).first() == selection.middle(df, "x", "n", 44, step=5).first()
     assert (found.lower is None) if not values else ((found.lower + found.upper) / 2 == median(values))
 
 

@@ -16,11 +16,12 @@ from wayfarer.operators import selection
 from wayfarer.operators.base import scan_events, with_visitors
 from wayfarer.plans.filters import Funnel
 from wayfarer.plans.schemas import DEFAULT_WORKSPACE
+from wayfarer.plans.scratch import written
 from wayfarer.plans.windows import TimeWindow
 
 DAY = 86_400_000_000
-#: A funnel's last step is within 90 days of its first: fewer microseconds than 2^44.
-MEDIAN_BITS = 44
+#: A funnel's last step is within 90 days of its first: fewer microseconds than 2^45.
+MEDIAN_BITS = 45
 
 
 def _matches(events: DataFrame, visitors: DataFrame, funnel: Funnel, window: TimeWindow, workspace: str) -> DataFrame:
@@ -34,12 +35,13 @@ def _matches(events: DataFrame, visitors: DataFrame, funnel: Funnel, window: Tim
 def _reached(times: DataFrame, n: int) -> DataFrame:
     """One row: c1, c2, ... (visitors at each step) and median, seconds from first to last step, null if nobody got there.
 
-    Visitors are counted by last step and duration first; both results come from these counts.
+    Visitors are counted by last step and duration first, which runs a job; both results come from these counts.
     """
     steps = sum((F.col(f"t{i}").isNotNull().cast("int") for i in range(1, n + 1)), F.lit(0))
     counts = times.groupBy(steps.alias("steps"), F.when(F.col(f"t{n}").isNotNull(), F.col(f"t{n}") - F.col("t1")).alias("us")).agg(F.count("*").alias("n"))
+    counts = written(counts, "steps")  # read by each level of the median: made once
     reached = [F.coalesce(F.sum(F.when(F.col("steps") >= i, F.col("n"))), F.lit(0)).alias(f"c{i}") for i in range(1, n + 1)]
-    median = selection.middle(counts.where(F.col("steps") == n), "us", "n", MEDIAN_BITS).select((0.5 * (F.col("lower") / 1e6) + 0.5 * (F.col("upper") / 1e6)).alias("median"))
+    median = selection.middle(counts, "us", "n", MEDIAN_BITS, rows=counts.count()).select((0.5 * (F.col("lower") / 1e6) + 0.5 * (F.col("upper") / 1e6)).alias("median"))
     both = counts.agg(*reached).unionByName(median, allowMissingColumns=True)
     return both.agg(*[F.max(f"c{i}").alias(f"c{i}") for i in range(1, n + 1)], F.max("median").alias("median"))
 

@@ -14,7 +14,7 @@ table gives an empty result, and without any labelled row all is "und". Keep nam
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -47,20 +47,35 @@ def trigrams(text: str | None) -> Iterator[np.ndarray]:
         yield ((x[:-2] * np.uint32(0x9E3779B1)) ^ (x[1:-1] * np.uint32(0x85EBCA77)) ^ (x[2:] * np.uint32(0xC2B2AE3D))) >> np.uint32(16)
 
 
+def slot_counts(rows: Iterable[tuple[str, str]]) -> Iterator[tuple[str, int, int]]:
+    """(language, slot, n) of rows (language, text)."""
+    counts: dict[str, np.ndarray] = {}
+    for language, text in rows:
+        for slots in trigrams(text):
+            counts.setdefault(language, np.zeros(SLOTS, np.int64))
+            counts[language] += np.bincount(slots, minlength=SLOTS)
+    for language, n in counts.items():
+        yield from ((language, int(slot), int(n[slot])) for slot in np.flatnonzero(n))
+
+
 class TextModel:
     """Log likelihoods (slots x languages) of trigrams, and which slots occur in any labelled text."""
 
     def __init__(self, languages: list[str], logs: np.ndarray, seen: np.ndarray):
         self.languages, self.logs, self.seen = languages, logs, seen
 
+    @classmethod
+    def of_counts(cls, languages: list[str], counts: Iterable[tuple[str, int, int]]) -> TextModel:
+        """From how often each slot occurs in each language: (language, slot, n)."""
+        found = np.full((SLOTS, len(languages)), SMOOTH)
+        place = {x: i for i, x in enumerate(languages)}
+        for language, slot, n in counts:
+            found[slot, place[language]] += n
+        return cls(languages, np.log(found / found.sum(axis=0)).astype(np.float32), (found > SMOOTH).any(axis=1))
+
     @classmethod
     def fit(cls, rows: list[tuple[str, str]]) -> TextModel:
-        languages = sorted({x for x, _ in rows})
-        counts = np.full((SLOTS, len(languages)), SMOOTH)
-        for language, text in rows:
-            for slots in trigrams(text):
-                counts[:, languages.index(language)] += np.bincount(slots, minlength=SLOTS)
-        return cls(languages, np.log(counts / counts.sum(axis=0)).astype(np.float32), (counts > SMOOTH).any(axis=1))
+        return cls.of_counts(sorted({x for x, _ in rows}), slot_counts(rows))
 
     def score(self, text: str | None) -> tuple[bool, np.ndarray]:
         """Whether the text is in a known language at all, and its summed log likelihood under each language."""
@@ -75,7 +90,8 @@ class TextModel:
 def fit(labelled: DataFrame, text: str = "text", language: str = "lang", key: str = "doc_id", rows: int = FIT_ROWS) -> TextModel:
     """The text model of a sample of labelled: of every language the rows of least hash, rows at most.
 
-    All languages of the table are counted, so that none is missing; the driver gets rows times their number.
+    All languages of the table are counted, so that none is missing. Trigrams are counted where the rows are and summed by language and slot: the driver gets SLOTS counts
+    a language at most, and no text.
     """
     place = F.pmod(F.xxhash64(F.col(key), F.col(text), F.lit("fit")), F.lit(1 << 30))
     labelled = labelled.where(F.col(language).isNotNull() & F.col(text).isNotNull()).select(F.col(language).alias("language"), F.col(text).alias("text"), place.alias("place"))
@@ -85,7 +101,13 @@ def fit(labelled: DataFrame, text: str = "text", language: str = "lang", key: st
     chosen = labelled.join(F.broadcast(limits), "language").where("place <= limit")
     first = F.row_number().over(Window.partitionBy("language").orderBy("place", "text"))
     chosen = chosen.withColumn("i", first).where(F.col("i") <= rows)
-    return TextModel.fit([(x[0], x[1]) for x in chosen.select("language", "text").collect()])
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = (x for frame in frames for x in zip(frame["language"], frame["text"], strict=True))
+        yield pd.DataFrame(list(slot_counts(rows)), columns=["language", "slot", "n"])
+
+    counts = chosen.select("language", "text").mapInPandas(count, "language string, slot int, n long").groupBy("language", "slot").agg(F.sum("n").alias("n"))
+    return TextModel.of_counts(sorted(r[0] for r in limits.select("language").collect()), map(tuple, counts.collect()))
 
 
 def declared_in(html: Column) -> Column:

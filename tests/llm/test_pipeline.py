@@ -51,5 +51,5 @@ def test_empty_and_odd_tables(spark, make_docs, tmp_path):
 
 def test_a_query_for_each_operator():
     numbers = sorted(int(re.match(r"op(\d+)_", n)[1]) for n in registry.queries())
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert set(registry.oracle_sql()) <= set(registry.queries())

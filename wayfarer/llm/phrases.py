@@ -36,6 +36,8 @@ UNKNOWN = "und"
 COUNTS = "lang string, phrase string, n long"
 #: Positions of a shard (2^22 at most), entries of first words that are extended at once, bits of a block and bits of a place in it.
 POSITIONS, ENTRIES, BLOCK, BLOCK_BITS = 3 << 19, 1 << 15, 8, 3
+#: Bytes of text that are cut into words at once.
+AT_ONCE = 1 << 19
 #: Bits of a map for each frequent word or phrase, and the least and most bits (a power of two: 32 MB at most).
 BITS_EACH, LEAST_BITS, MOST_BITS = 16, 16, 28
 #: Cells that scores are counted in, for each doubling, and parts that a language's best candidates are dealt to for their first ranking.
@@ -182,37 +184,64 @@ class _Ids(dict):
         return len(self.words) - 1
 
 
+class _Shard:
+    """A language's positions so far: arrays of word numbers, how many, and how many of the first are context; texts that wait to be cut into words."""
+
+    def __init__(self) -> None:
+        self.names, self.parts, self.size, self.context = _Ids(), [], 0, 0
+        self.texts, self.bytes = [], 0
+
+    def words(self) -> np.ndarray:
+        """The numbers of the waiting texts' words; each text ends as a piece does."""
+        body = b"\n".join([*self.texts, b""]).translate(TABLE).replace(b"\n", b" \n ")
+        self.texts, self.bytes = [], 0
+        words = body.split(b" ")
+        ids = np.fromiter(map(self.names.__getitem__, words), np.int32, len(words))
+        return ids[ids > -2]
+
+    def add(self, ids: np.ndarray) -> None:
+        self.parts.append(ids)
+        self.size += len(ids)
+
+
 def _shards(batches: Iterator[pa.RecordBatch], positions: int) -> Iterator[tuple[str, list[bytes], np.ndarray, int]]:
-    """(lang, words, ids, context) of each shard; texts are separated like pieces."""
-    held: dict[str, list] = defaultdict(lambda: [_Ids(), [], 0, 0])  # ids by word, arrays of ids, how many, context
+    """(lang, words, ids, context) of each shard."""
+    held: dict[str, _Shard] = defaultdict(_Shard)
 
     def full(lang: str) -> tuple[str, list[bytes], np.ndarray, int]:
-        names, parts, _, context = held.pop(lang)
-        return lang, names.words, np.concatenate(parts), context
+        shard = held.pop(lang)
+        return lang, shard.names.words, np.concatenate(shard.parts), shard.context
+
+    def cut(lang: str) -> Iterator[tuple[str, list[bytes], np.ndarray, int]]:
+        """Take in a language's waiting texts; the shards that they fill."""
+        ids = held[lang].words()
+        while held[lang].size + len(ids) > positions:
+            shard = held[lang]
+            room = positions - shard.size
+            shard.add(ids[:room])
+            names, tail = shard.names.words, np.concatenate(shard.parts[-MOST_WORDS:])[-(MOST_WORDS - 1) :]
+            yield full(lang)
+            # What goes on gets numbers of its own, after the last words of what was cut.
+            fresh, rest = held[lang], np.r_[tail, ids[room:]]
+            seen, back = np.unique(rest, return_inverse=True)
+            ids = np.array([fresh.names[names[i]] if i >= 0 else -1 for i in seen.tolist()], np.int32)[back]
+            fresh.context = len(tail)
+        held[lang].add(ids)
 
     for batch in batches:
         langs, texts = batch.column(0).to_pylist(), batch.column(1)
         for lang, text in zip(langs, texts, strict=True):
-            body = text.as_buffer().to_pybytes().translate(TABLE).replace(b"\n", b" \n ")
             shard = held[lang]
-            words = [*body.split(b" "), b"\n"]
-            ids = np.fromiter(map(shard[0].__getitem__, words), np.int32, len(words))
-            ids = ids[ids > -2]
-            while shard[2] + len(ids) > positions:
-                room = positions - shard[2]
-                shard[1].append(ids[:room])
-                names, tail = shard[0].words, np.concatenate(shard[1][-MOST_WORDS:])[-(MOST_WORDS - 1) :]
-                yield full(lang)
-                # What goes on gets numbers of its own, after the last words of what was cut.
-                rest = np.r_[tail, ids[room:]]
-                fresh = held[lang]
-                ids = np.array([fresh[0][names[i]] if i >= 0 else -1 for i in rest.tolist()], np.int32)
-                fresh[3], shard = len(tail), fresh
-            shard[1].append(ids)
-            shard[2] += len(ids)
-        while sum(s[2] for s in held.values()) > 2 * positions:
-            yield full(max(held, key=lambda k: held[k][2]))
+            shard.texts.append(text.as_buffer().to_pybytes())
+            shard.bytes += len(shard.texts[-1]) + 1
+            if shard.bytes >= AT_ONCE:
+                yield from cut(lang)
+        while sum(s.size for s in held.values()) > 2 * positions:
+            lang = max(held, key=lambda k: held[k].size)
+            yield from cut(lang)
+            yield full(lang)
     for lang in list(held):
+        yield from cut(lang)
         yield full(lang)
 
 

@@ -15,7 +15,7 @@ from wayfarer.plans import adapter
 from wayfarer.plans.adapter import GAP_SECONDS, Tables
 from wayfarer.plans.filters import Funnel, SourceFilter, Step, StepFilter
 from wayfarer.plans.schemas import DEFAULT_WORKSPACE, DISPATCHES
-from wayfarer.plans.scratch import scratch_path
+from wayfarer.plans.scratch import scratch_path, written
 from wayfarer.plans.windows import TimeWindow
 from wayfarer.sources import tables
 from wayfarer.sources.batches import Batches
@@ -386,9 +386,9 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     """Events up to a moment have sessions, the others are backfilled: the same as in one pass."""
     early = F.col("inserted_at") < F.lit(datetime(2024, 1, 15, 12, tzinfo=UTC))
-    held = sessions.sessions(t.events.where(early), GAP_SECONDS, online=False)
+    held = written(sessions.sessions(t.events.where(early), GAP_SECONDS, online=False), "sessions")
     _, changed = sessions.backfill(t.events.where(~early), held, GAP_SECONDS)
-    return sessions.replaced(held, changed).select(*SESSION_COLUMNS)
+    return sessions.replaced(held, written(changed, "changed")).select(*SESSION_COLUMNS)
 
 
 SESSION_SOURCE = "CASE WHEN coalesce(source_platform, source_medium, source_campaign, click_id) IS NOT NULL THEN concat_ws('|', coalesce(source_platform, ''), coalesce(source_medium, ''), coalesce(source_campaign, ''), coalesce(click_id, '')) END"
@@ -409,7 +409,7 @@ SESSION_SOURCE = "CASE WHEN coalesce(source_platform, source_medium, source_camp
 def _(t: Tables) -> DataFrame:
     """Two thirds of the events have sessions, the others lie between them: which of those go on with one."""
     old = F.col("id") % 3 != 0
-    held = sessions.sessions(t.events.where(old), GAP_SECONDS, online=False)
+    held = written(sessions.sessions(t.events.where(old), GAP_SECONDS, online=False), "sessions")
     stamped, _ = sessions.backfill(t.events.where(~old), held, GAP_SECONDS)
     known = held.select(F.col("id").alias("session_id"), F.lit(True).alias("held"))
     return stamped.join(known, "session_id", "left").select("id", "starts", "hop", F.coalesce("held", F.lit(False)).alias("grown"))

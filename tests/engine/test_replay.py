@@ -119,7 +119,12 @@ def test_identities_on_a_stream(spark, make, tmp_path):
         spark.createDataFrame(given[i : i + 30], REQUESTS).coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(REQUESTS).parquet(source)
         streams.resolve_identities(stream, str(tmp_path / "state"), str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+        if i == 30:  # the last part goes on from a snapshot
+            before = sorted(streams.identities(spark, str(tmp_path / "state")).collect())
+            number = streams.snapshot_identities(spark, str(tmp_path / "state"))
+            assert number == streams.snapshot_identities(spark, str(tmp_path / "state")) and sorted(streams.identities(spark, str(tmp_path / "state")).collect()) == before
     _, actions = streams.identity_tables(str(tmp_path / "state"))
+    assert streams.snapshot_identities(spark, str(tmp_path / "nothing")) is None
     held = streams.identities(spark, str(tmp_path / "state"))
     compare(actions.read(spark).collect(), held.collect(), one_by_one(given, []))
     assert held.select("id").distinct().count() == held.count()

@@ -33,6 +33,16 @@ class Batches:
         """Whether a batch is committed."""
         return self._exists(spark, self._folder(f"{self.name}_commits", number), "_SUCCESS")
 
+    def last(self, spark: SparkSession, before: int | None = None) -> int | None:
+        """The highest number of the query's committed batches (below one that is given)."""
+        if not self._exists(spark, self._folder(f"{self.name}_commits")):
+            return None
+        done = self._commits(spark).where(F.col("query") == self.query)
+        return (done if before is None else done.where(F.col("batch") < before)).agg(F.max("batch")).first()[0]
+
+    def _commits(self, spark: SparkSession) -> DataFrame:
+        return spark.read.schema("committed int, query string, batch bigint").parquet(self._folder(f"{self.name}_commits")).select("query", "batch")
+
     def append(self, rows: DataFrame, number: int, unique: tuple[str, ...] = (), near: str | None = None) -> bool:
         """Append batch number, unless it is there; whether it was appended.
 
@@ -59,5 +69,4 @@ class Batches:
         ddl = f"{self.schema}, query string, batch bigint"
         if not self._exists(spark, self._folder(f"{self.name}_commits")):
             return spark.createDataFrame([], ddl)
-        done = spark.read.schema("committed int, query string, batch bigint").parquet(self._folder(f"{self.name}_commits")).select("query", "batch")
-        return spark.read.schema(ddl).parquet(self._folder(self.name)).join(done, ["query", "batch"], "left_semi")
+        return spark.read.schema(ddl).parquet(self._folder(self.name)).join(self._commits(spark), ["query", "batch"], "left_semi")

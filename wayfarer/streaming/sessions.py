@@ -205,7 +205,23 @@ def identity_tables(path: str, query: str = "identity") -> tuple[Batches, Batche
     return Batches(path, "identities", replay.IDENTITIES, query), Batches(path, "identity_actions", "request_id string, action string, visitor_id string, merged_ids array<string>", query)
 
 
+def _snapshots(path: str, query: str) -> Batches:
+    return Batches(path, "identity_snapshots", replay.IDENTITIES, query)
+
+
 def identities(spark: SparkSession, path: str, query: str = "identity", before: int | None = None) -> DataFrame:
-    """The visitors as the committed batches (those before a number) have left them."""
-    held = identity_tables(path, query)[0].read(spark)
-    return replay.latest(held if before is None else held.where(F.col("batch") < before))
+    """The visitors as the committed batches (those before a number) have left them: the last snapshot and the changes since."""
+    held, snapshots = identity_tables(path, query)[0].read(spark).where(F.col("query") == query), _snapshots(path, query)
+    held = held if before is None else held.where(F.col("batch") < before)
+    if (since := snapshots.last(spark, before)) is not None:
+        kept = snapshots.read(spark).where((F.col("query") == query) & (F.col("batch") == since))
+        held = held.where(F.col("batch") > since).unionByName(kept)
+    return replay.latest(held)
+
+
+def snapshot_identities(spark: SparkSession, path: str, query: str = "identity") -> int | None:
+    """Write the visitors as they are now, so that later reads need no older changes (whose folders may then go); the number of the batch it is of."""
+    last = identity_tables(path, query)[0].last(spark)
+    if last is not None:
+        _snapshots(path, query).append(identities(spark, path, query, before=last + 1), last)
+    return last

@@ -129,6 +129,13 @@ def test_links_cover_all_pairs(spark):
     assert found == want
 
 
+def test_balls_of_links_are_not_broadcast(spark):
+    prints = common.materialize(spark.createDataFrame([(i << 8,) for i in range(300)], "fp long"), "prints")  # of known size, unlike local rows
+    found = simhash.links(prints)
+    assert {frozenset((r.u >> 8, r.v >> 8)) for r in found.collect()} == {frozenset((a, b)) for a in range(300) for b in range(a) if (a ^ b).bit_count() <= 3}
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_components_of_long_chains(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 50)]
     stars = {r.node: r.root for r in common.connected(spark.createDataFrame(edges, "u long, v long")).collect()}

@@ -62,7 +62,8 @@ def links(prints: DataFrame, most: int = LINK_BITS) -> DataFrame:
     probes = halves.select(F.col("fp").alias("u"), "part", F.explode(F.array_compact(ball)).alias("value"), F.col("value").alias("own"))
     probes = probes.select("u", "part", "value", (F.col("own") == F.col("value")).alias("same"))
     near = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= most
-    found = probes.join(halves.withColumnRenamed("fp", "v"), ["part", "value"]).where(near & F.when(F.col("same"), F.col("u") < F.col("v")).otherwise(F.lit(True)))
+    # Spark takes a side for as large as the table it is made from, though the balls have 17 rows for each half: neither may be broadcast.
+    found = probes.join(halves.withColumnRenamed("fp", "v").hint("merge"), ["part", "value"]).where(near & F.when(F.col("same"), F.col("u") < F.col("v")).otherwise(F.lit(True)))
     return found.select("u", "v")
 
 

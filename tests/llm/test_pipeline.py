@@ -5,7 +5,7 @@ import re
 from pathlib import Path
 
 import corpus_pipeline
-from wayfarer.llm import common, registry
+from wayfarer.llm import common, registry, simhash
 
 
 def folder(spark, make_docs, path, rows, items):
@@ -42,6 +42,16 @@ def test_stages(spark, make_docs, tmp_path):
     assert sorted((r.doc_id, r.shard, r.slot) for r in again.collect()) == sorted((r.doc_id, r.shard, r.slot) for r in docs.collect())
 
 
+def test_near_dedup_broadcasts_no_balls(spark, make_docs, tmp_path, monkeypatch):
+    text = " ".join(f"w{i}" for i in range(400))
+    path = folder(spark, make_docs, tmp_path, [(i, f"{text} {i}", "s", "en") for i in range(9)] + [(9, "other words", "s", "en")], [(1, "x")])
+    plans, connected = [], simhash.connected
+    monkeypatch.setattr(simhash, "connected", lambda edges: plans.append(edges._jdf.queryExecution().executedPlan().toString()) or connected(edges))
+    kept = corpus_pipeline.drop_near_copies(spark, spark.read.parquet(f"{path}/documents.parquet"), path)
+    assert {r.doc_id for r in kept.collect()} == {r.component_id for r in simhash.find_near(spark.read.parquet(f"{path}/documents.parquet")).collect()}
+    assert plans and not any("Broadcast" in p for p in plans)
+
+
 def test_empty_and_odd_tables(spark, make_docs, tmp_path):
     path = folder(spark, make_docs, tmp_path / "a", [], [(1, "x")])
     assert corpus_pipeline.run(spark, path).count() == 0

@@ -7,6 +7,7 @@ from datetime import UTC, datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from wayfarer import more_queries
 from wayfarer.functions import devices, traffic, urls, values
 from wayfarer.operators import clicks, connectors, identity, people, sessions
 from wayfarer.operators.base import scan_events
@@ -42,6 +43,15 @@ def test_query_parameters(spark):
     assert each(spark, urls.query_params, "https://a.b/?a=1&b=x%20y+z&a=2&c&d==#a=9", "/x", None) == [{"a": "2", "b": "x y z", "c": "", "d": "="}, {}, {}]
 
 
+def test_query_parameters_are_cut_and_sorted_once(spark, tmp_path):
+    many = "https://a.b/?" + "&".join(f"k{i % 70}={i}" for i in range(200))
+    assert each(spark, urls.query_params, many, "https://a.b/?é=ü&%C3%A9=%zz&+=1=2&?a") == [{f"k{i % 70}": str(i) for i in range(200)}, {"é": "%zz", " ": "1=2", "?a": ""}]
+    plan = spark.createDataFrame([(many,)], "u string").select(urls.query_params(F.col("u")).alias("q"))._jdf.queryExecution().analyzed().toString()
+    assert (plan.count("split("), plan.count("array_sort(") + plan.count("sort_array("), plan.count("aggregate(")) == (1, 1, 0)
+    spark.range(9).withColumnRenamed("id", "event_id").write.parquet(f"{tmp_path}/events.parquet")
+    assert more_queries.QUERIES["url_parameters"](spark, str(tmp_path)).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def classified(spark, query, referer=None):
     df = spark.createDataFrame([(f"https://shop/?{query}", referer)], "u string, r string")
     return df.select(traffic.classify(urls.query_params(F.col("u")), F.col("r")).alias("c")).first().c

@@ -193,7 +193,8 @@ def _(t: Tables) -> DataFrame:
     n = F.col("event_id")
     twice = F.array_join(F.transform(F.sequence(F.lit(1), 58 + n % 20), lambda i: F.concat(F.lit("p"), i.cast("string"), F.lit("=old&p"), i.cast("string"), F.lit("=new"))), "&")
     url = F.concat(F.lit("https://x.org/?a=0&"), twice, F.lit("&b=x+y&a="), (n % 7).cast("string"), F.lit("#a=9"))
-    found = t.raw("events").select(n.alias("id"), urls.query_params(url).alias("q"))
+    ids = t.raw("events").select("event_id").repartition(int(t.spark.conf.get("spark.sql.shuffle.partitions")), "event_id")  # little to read, much to compute
+    found = ids.select(n.alias("id"), urls.query_params(url).alias("q"))
     return found.select("id", F.col("q")["a"].cast("long").alias("a"), F.col("q")["b"].alias("b"), F.size(F.map_filter("q", lambda k, v: (v == "new") | k.isin("a", "b"))).cast("long").alias("parameters"))
 
 

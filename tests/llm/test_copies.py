@@ -294,6 +294,29 @@ def test_similar_blocks_of_cells():
         assert set(substring_dedup.similar(*cells, range(15), 0.8)) == brute_similar(a, b)
 
 
+def test_windows_of_texts_taken_together(monkeypatch):
+    rng = random.Random(15)
+    texts = [" ".join(words(rng, rng.randint(0, 120))) for _ in range(60)] + ["", "Été_à ÉVRY! ΣΑΣ İx 中文 " * 20, "ab" * 40 + " c " + "d" * 9 + " e" * 70, "same word " * 90]
+    calls, digest = [], decontamination.xxhash.xxh64_intdigest
+    monkeypatch.setattr(decontamination.xxhash, "xxh64_intdigest", lambda *x: calls.append(x) or digest(*x))
+    found = list(substring_dedup.text_windows(texts, 46, 2))
+    assert [x[0] for x in found] == [len(decontamination.split(x)) for x in texts]
+    for text, (_, keys, spans) in zip(texts, found, strict=True):
+        [(_, alone, other)] = substring_dedup.text_windows([text], 46, 2)
+        assert (keys == alone).all() and (spans == other).all()
+        least = len(decontamination.split(text)) - 4 - 45
+        for j in range(2):
+            held = [(x >> 30 & (1 << 30) - 1, x & (1 << 30) - 1) for x in spans.tolist() if x >> 60 == j]
+            assert [i for lo, hi in held for i in range(lo, hi + 1)] == list(range(least))
+    assert len(calls) <= 2 * 2  # only of words over 64 bytes, and not of every word
+    together = list(substring_dedup.candidate_blocks(texts, [x[2] for x in found], 46, 2))
+    for text, row, (_, _, spans) in zip(texts, together, found, strict=True):
+        [alone] = substring_dedup.candidate_blocks([text], [spans], 46, 2)
+        assert all(list(x) == list(y) for x, y in zip(row, alone, strict=True))
+    a, b = (substring_dedup.word_hashes([x])[1].tolist() for x in ("one TWO drei_çinq ab", "AB çinq drei two One"))
+    assert a == b[::-1]
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     n = odd_docs.count()
     copies = exact_dedup.find_copies(odd_docs).collect()

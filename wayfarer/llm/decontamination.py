@@ -38,8 +38,12 @@ def split(text: str | None) -> list[str]:
 
 def hashes(words: list[str], width: int) -> np.ndarray:
     """A 64-bit hash for each run of width words."""
-    each = np.array([xxhash.xxh64_intdigest(x) for x in words], dtype=np.uint64)
-    n = len(words) - width + 1
+    return run_hashes(np.array([xxhash.xxh64_intdigest(x) for x in words], dtype=np.uint64), width)
+
+
+def run_hashes(each: np.ndarray, width: int) -> np.ndarray:
+    """A 64-bit hash for each run of width words from the words' hashes."""
+    n = len(each) - width + 1
     if n <= 0:
         return np.empty(0, np.uint64)
     found = np.zeros(n, np.uint64)

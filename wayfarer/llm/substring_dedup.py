@@ -22,16 +22,18 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
-from itertools import accumulate
+from functools import cache
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import materialize, table, text_of
-from .decontamination import WORD, hashes, split
+from .decontamination import WORD, run_hashes
 
 WORDS, BLOCK, HASHES, SIMILARITY = 5, 46, 2, 0.8
 #: Tokens between parts of a near-duplicate passage, and by how much its parts' diagonals may differ.
@@ -39,6 +41,67 @@ GAP, DRIFT = 15, 5
 MIX = (np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
 
 
+#: Characters of texts that are worked on together; a longer text is alone.
+PIECE = 1 << 17
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
+FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+@cache
+def _in_words() -> tuple[np.ndarray, bytes]:
+    """For each code point, whether WORD has it; the same of ASCII as a table of bytes."""
+    found = np.zeros(0x110000, bool)
+    found[[i for m in WORD.finditer("".join(map(chr, range(0x110000)))) for i in range(*m.span())]] = True
+    return found, found[:256].tobytes()
+
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The number of words (WORD in lower case) of each text, and a 64-bit hash of each word from its bytes, eight at a time."""
+    lower = [x.lower() for x in texts]
+    joined = "\n".join(lower)
+    raw = joined.encode("utf-8", "surrogatepass")
+    every, ascii_only = _in_words()
+    inside, at = np.zeros(len(joined) + 2, bool), None
+    if joined.isascii():
+        inside[1:-1] = np.frombuffer(raw.translate(ascii_only), bool)
+    else:
+        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
+        inside[1:-1] = every[codes]
+        at = np.zeros(len(codes) + 1, np.int64)
+        np.cumsum(1 + (codes > 0x7F).view(np.int8) + (codes > 0x7FF).view(np.int8) + (codes > 0xFFFF).view(np.int8), out=at[1:])
+    bounds = np.flatnonzero(inside[1:] != inside[:-1])
+    counts = np.diff(np.searchsorted(bounds[::2], np.cumsum([0] + [len(x) + 1 for x in lower])))
+    if at is not None:
+        bounds = at[bounds]
+    starts, sizes = bounds[::2], bounds[1::2] - bounds[::2]
+    eight = np.ndarray(len(raw) + 1, "<u8", raw + bytes(8), strides=(1,))  # the eight bytes from each place on
+    found = _mixed((eight[starts] & FIRST_BYTES[np.minimum(sizes, 8)]) ^ (sizes.astype(np.uint64) * MIX[2]), 0)
+    for done in range(8, LONG_WORD, 8):
+        more = np.flatnonzero(sizes > done)
+        if not len(more):
+            break
+        found[more] = _mixed((eight[starts[more] + done] & FIRST_BYTES[np.minimum(sizes[more] - done, 8)]) ^ found[more], 1)
+    for i in np.flatnonzero(sizes > LONG_WORD).tolist():
+        found[i] = xxhash.xxh64_intdigest(raw[starts[i] : starts[i] + sizes[i]])
+    return counts, found
+
+
+def text_tokens(texts: Iterable[str], width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of PIECE characters of texts at a time: each text's number of words, the tokens of all, where each text's begin and the last's end."""
+    texts, a = list(texts), 0
+    while a < len(texts):
+        b, size = a + 1, len(texts[a])
+        while b < len(texts) and (size := size + len(texts[b])) <= PIECE:
+            b += 1
+        counts, each = word_hashes(texts[a:b])
+        tokens, n = run_hashes(each, width), np.maximum(counts - width + 1, 0)
+        at = np.append(0, np.cumsum(n))
+        inside = np.arange(at[-1]) + np.repeat(np.cumsum(counts) - counts - at[:-1], n)
+        yield counts, tokens[inside], at
+        a = b
+
+
 def _mixed(tokens: np.ndarray, j: int) -> np.ndarray:
     x = tokens ^ MIX[j]
     x = (x ^ (x >> np.uint64(31))) * MIX[(j + 1) % len(MIX)]
@@ -54,16 +117,21 @@ def least_of(order: np.ndarray, block: int) -> np.ndarray:
     return np.minimum(found[: len(order) - block + 1], found[block - size :])
 
 
-def compact_windows(order: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(least token, first and last block start) of the Cartesian tree's nodes that hold blocks.
+def compact_windows(order: np.ndarray, at: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(least token, text, first and last block start) of the nodes of each text's Cartesian tree that hold blocks; at as in text_tokens.
 
     A node (l, c, r) holds the blocks in [l, r] around c, which are the blocks whose least token is c: a run of starts.
     Neighbouring runs with equal least tokens are one.
     """
-    least = least_of(order, block)
-    cuts = np.flatnonzero(least[1:] != least[:-1])
-    lo = np.r_[0, cuts + 1]
-    return least[lo], lo, np.r_[cuts, len(least) - 1]
+    n = np.maximum(np.diff(at) - block + 1, 0)
+    if not n.sum():
+        return np.empty(0, np.uint64), *[np.empty(0, np.int64)] * 3
+    text, ends = np.repeat(np.arange(len(n)), n), np.cumsum(n)
+    start = np.arange(ends[-1]) - np.repeat(ends - n, n)
+    least = least_of(order, block)[start + at[text]]
+    cuts = np.flatnonzero((least[1:] != least[:-1]) | (text[1:] != text[:-1]))
+    lo, hi = np.append(0, cuts + 1), np.append(cuts, len(least) - 1)
+    return least[lo], text[lo], start[lo], start[hi]
 
 
 #: spans: hash number, first and last start of the blocks a window covers, packed into one long.
@@ -71,18 +139,24 @@ WINDOWS = T.StructType([T.StructField("words", T.IntegerType()), T.StructField("
 STARTS = 30
 
 
-def text_windows(text: str | None, block: int, count: int, words: int = WORDS) -> tuple[int, np.ndarray, np.ndarray]:
-    """Words, and key and span of each compact window."""
-    parts = split(text)
-    tokens = hashes(parts, words)
-    if len(tokens) < block:
-        return len(parts), np.empty(0, np.int64), np.empty(0, np.int64)
-    keys, spans = [], []
-    for j in range(count):
-        least, lo, hi = compact_windows(_mixed(tokens, j), block)
-        keys.append((least ^ MIX[-1 - j]).view(np.int64))
-        spans.append((np.int64(j) << (2 * STARTS)) | (lo << STARTS) | hi)
-    return len(parts), np.concatenate(keys), np.concatenate(spans)
+def _by_text(text: np.ndarray, texts: int, *values: np.ndarray) -> list[list[np.ndarray]]:
+    """Each of values, whose entries are in the order of their texts, cut at the texts."""
+    cuts = np.searchsorted(text, np.arange(texts + 1)).tolist()
+    return [[x[a:b] for a, b in pairwise(cuts)] for x in values]
+
+
+def text_windows(texts: Iterable[str], block: int, count: int, words: int = WORDS) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Words, and key and span of each compact window, of each text."""
+    for sizes, tokens, at in text_tokens(texts, words):
+        keys, spans, owners = [], [], []
+        for j in range(count):
+            least, text, lo, hi = compact_windows(_mixed(tokens, j), at, block)
+            keys.append((least ^ MIX[-1 - j]).view(np.int64))
+            spans.append((np.int64(j) << (2 * STARTS)) | (lo << STARTS) | hi)
+            owners.append(text)
+        owner = np.concatenate(owners)
+        order = np.argsort(owner, kind="stable")
+        yield from zip(sizes.tolist(), *_by_text(owner[order], len(sizes), np.concatenate(keys)[order], np.concatenate(spans)[order]), strict=True)
 
 
 def block_hashes(tokens: np.ndarray, block: int) -> np.ndarray:
@@ -107,15 +181,14 @@ def block_hashes(tokens: np.ndarray, block: int) -> np.ndarray:
     return found ^ (found >> np.uint64(32))
 
 
-#: first: the least token's place under the first hash; tokens: 32 bits of each of the cell's tokens.
-CELL = T.StructType([T.StructField("key", T.LongType()), T.StructField("lo", T.IntegerType()), T.StructField("first", T.IntegerType()), T.StructField("tokens", T.BinaryType())])
-BLOCKS = T.StructType([T.StructField("starts", T.ArrayType(T.IntegerType())), T.StructField("blocks", T.ArrayType(T.LongType())), T.StructField("cells", T.ArrayType(CELL))])
+#: keys, los, firsts and tokens have an entry for each cell. firsts: the least token's place under the first hash; tokens: 32 bits of each of the cell's tokens.
+BLOCKS = T.StructType([T.StructField(name, T.ArrayType(kind)) for name, kind in (("starts", T.IntegerType()), ("blocks", T.LongType()), ("keys", T.LongType()), ("los", T.IntegerType()), ("firsts", T.IntegerType()), ("tokens", T.BinaryType()))])
 
 
-def cells_of(tokens: np.ndarray, starts: np.ndarray, block: int, count: int) -> list[tuple[int, int, int, bytes]]:
-    """CELL rows: runs of these starts, of block at most, whose blocks have the same least token under every hash function."""
+def cells_of(tokens: np.ndarray, starts: np.ndarray, block: int, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """The cells as in BLOCKS: runs of these starts, of block at most, whose blocks have the same least token under every hash function."""
     if not len(starts):
-        return []
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), []
     orders = [_mixed(tokens, j) for j in range(count)]
     least = [least_of(x, block)[starts] for x in orders]
     cut = np.diff(starts) > 1
@@ -123,31 +196,35 @@ def cells_of(tokens: np.ndarray, starts: np.ndarray, block: int, count: int) ->
     for x in least:
         cut |= x[1:] != x[:-1]
         key = key * np.uint64(0x9E3779B97F4A7C15) + x
-    first = np.r_[0, np.flatnonzero(cut) + 1]
-    ends = np.r_[first[1:], len(starts)]
-    first = np.concatenate([np.arange(a, b, block) for a, b in zip(first.tolist(), ends.tolist(), strict=True)])  # a least token that is repeated makes longer runs
-    last = np.r_[first[1:], len(starts)] - 1
-    raw, keys = (_mixed(tokens, 2) >> np.uint64(32)).astype("<u4").tobytes(), key.view(np.int64)[first].tolist()
-    found = []
-    for k, lo, hi, value in zip(keys, starts[first].tolist(), starts[last].tolist(), least[0][first], strict=True):
-        place = lo + int((orders[0][lo : lo + block] == value).argmax())
-        found.append((k, lo, place, raw[4 * lo : 4 * (hi + block)]))
-    return found
-
-
-def candidate_blocks(text: str | None, spans: np.ndarray, block: int, count: int, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, list]:
-    """Starts and hashes of the blocks that lie in a span of every hash function, and their cells."""
-    tokens = hashes(split(text), words)
-    n = len(tokens) - block + 1
-    if n <= 0:
-        return np.empty(0, np.int32), np.empty(0, np.int64), []
-    agree, mask = np.ones(n, bool), (1 << STARTS) - 1
-    for j in range(count):
-        mine = spans[spans >> (2 * STARTS) == j]
-        edge = np.bincount((mine >> STARTS) & mask, minlength=n + 1) - np.bincount((mine & mask) + 1, minlength=n + 1)
-        agree &= np.cumsum(edge[:n]) > 0
-    starts = np.flatnonzero(agree)
-    return starts.astype(np.int32), block_hashes(tokens, block)[starts].view(np.int64), cells_of(tokens, starts, block, count)
+    first = np.append(0, np.flatnonzero(cut) + 1)
+    ends = np.append(first[1:], len(starts))
+    if (ends - first).max() > block:  # a least token that is repeated makes longer runs
+        first = np.concatenate([np.arange(a, b, block) for a, b in zip(first.tolist(), ends.tolist(), strict=True)])
+    last = np.append(first[1:], len(starts)) - 1
+    lo, raw = starts[first], (_mixed(tokens, 2) >> np.uint64(32)).astype("<u4").tobytes()
+    place = lo + (orders[0][lo[:, None] + np.arange(block)] == least[0][first][:, None]).argmax(axis=1)
+    held = [raw[a:b] for a, b in zip((4 * lo).tolist(), (4 * (starts[last] + block)).tolist(), strict=True)]
+    return key.view(np.int64)[first], lo, place, held
+
+
+def candidate_blocks(texts: Iterable[str], spans: Iterable[np.ndarray], block: int, count: int, words: int = WORDS) -> Iterator[tuple]:
+    """A BLOCKS row of each text: starts and hashes of the blocks that lie in a span of every hash function, and their cells."""
+    spans, mask = iter(spans), (1 << STARTS) - 1
+    for sizes, tokens, at in text_tokens(texts, words):
+        agreed = []
+        for first, n, mine in zip(at[:-1].tolist(), np.maximum(np.diff(at) - block + 1, 0).tolist(), spans, strict=False):
+            agree, hash_number = np.ones(n, bool), mine >> (2 * STARTS)
+            for j in range(count if n else 0):
+                own = mine[hash_number == j]
+                edge = np.bincount((own >> STARTS) & mask, minlength=n + 1) - np.bincount((own & mask) + 1, minlength=n + 1)
+                agree &= np.cumsum(edge[:n]) > 0
+            agreed.append(np.flatnonzero(agree) + first)
+        starts = np.concatenate(agreed)  # of one text and the next there are block - 1 places between: no cell has both
+        keys, los, firsts, held = cells_of(tokens, starts, block, count)
+        hashed = block_hashes(tokens, block)[starts].view(np.int64) if len(starts) else np.empty(0, np.int64)
+        of_start, of_cell = (np.searchsorted(at, x, "right") - 1 for x in (starts, los))
+        blocks = _by_text(of_start, len(sizes), (starts - at[of_start]).astype(np.int32), hashed)
+        yield from zip(*blocks, *_by_text(of_cell, len(sizes), keys, (los - at[of_cell]).astype(np.int32), (firsts - at[of_cell]).astype(np.int32), held), strict=True)
 
 
 class Cell:
@@ -198,6 +275,8 @@ def similar(cell: Cell, other: Cell, starts: Iterable[int], similarity: float) -
     a, b = max(0, shift), min(cell.count, other.count + shift)
     single = cell.single and other.single
     need = 2 * similarity / (1 + similarity) * block - 1e-9
+    if single and len(cell.all & other.all) < need:
+        return found
     if b > a:
         same = cell.array[a : b + block - 1] == other.array[a - shift : b - shift + block - 1]
         if same.all():
@@ -211,7 +290,8 @@ def similar(cell: Cell, other: Cell, starts: Iterable[int], similarity: float) -
     if not rest:
         return found
     # So many of the block's tokens must be anywhere in other.
-    held = list(accumulate((x in other.all for x in cell.tokens), initial=0))
+    theirs = other.all
+    held = list(accumulate([x in theirs for x in cell.tokens], initial=0))
     rest = [s for s in rest if held[s + block] - held[s] >= (need if single else similarity * len(cell.at(s)) - 1e-9)]
     if not rest:
         return found
@@ -250,10 +330,13 @@ class Heads:
     PART, FEW = 1024, 8
 
     def __init__(self, similarity: float):
-        self.similarity, self.cells, self.parts, self.repeating = similarity, [], [], []
+        self.similarity, self.cells, self.parts, self.repeating, self.known = similarity, [], [], [], 0
 
     def add(self, cell: Cell) -> None:
-        n = len(self.cells) % self.PART
+        self.cells.append(cell)
+
+    def _put_in(self, cell: Cell) -> None:
+        n = self.known % self.PART
         if n == 0:
             self.parts.append({})
             self.repeating.append(0)
@@ -261,10 +344,15 @@ class Heads:
         for x in cell.all:
             part[x] = part.get(x, 0) | 1 << n
         self.repeating[-1] |= (not cell.single) << n
-        self.cells.append(cell)
+        self.known += 1
 
     def after(self, cell: Cell, left: list[int]) -> Iterator[Cell]:
-        """Those that share so many tokens with a block of the cell as a similar one must, in order; left is what the caller has left by then."""
+        """Those that share so many tokens with a block of the cell as a similar one must, or all if they are few, in order; left is what the caller has left by then."""
+        if len(self.cells) <= self.FEW:  # most keys never have more, and need no sets
+            yield from self.cells
+            return
+        for held in self.cells[self.known :]:
+            self._put_in(held)
         smallest = cell.block if cell.single else int(cell.contents()[1].sum(axis=0).min())
         need = max(1, math.ceil(self.similarity * smallest - 1e-9))
         for i, part in enumerate(self.parts):
@@ -333,11 +421,11 @@ def find_passages(docs: DataFrame, text: str = "text", key: str = "doc_id", bloc
 
     @F.pandas_udf(WINDOWS)
     def windows(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([text_windows(x, block, count, words) for x in texts], columns=["words", "keys", "spans"])
+        return pd.DataFrame(list(text_windows(texts, block, count, words)), columns=["words", "keys", "spans"])
 
     @F.pandas_udf(BLOCKS)
     def blocks(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([candidate_blocks(x, np.asarray(i, np.int64), block, count, words) for x, i in zip(texts, spans, strict=True)], columns=["starts", "blocks", "cells"])
+        return pd.DataFrame(list(candidate_blocks(texts, spans, block, count, words)), columns=BLOCKS.names)
 
     rows = docs.select(F.col(key).alias("doc_id"), F.xxhash64(body).alias("text_hash"), windows(body).alias("w"))
     rows = materialize(rows.select("doc_id", "text_hash", "w.words", "w.keys", "w.spans"), "windows")
@@ -350,7 +438,7 @@ def find_passages(docs: DataFrame, text: str = "text", key: str = "doc_id", bloc
     met = materialize(met.join(texts.select("text_hash", "rep"), "text_hash"), "met")
     source = docs.select(F.col(key).alias("doc_id"), F.xxhash64(body).alias("text_hash"), body.alias("text"))
     joined = source.join(met, (source["text_hash"] == met["text_hash"]) & source["doc_id"].eqNullSafe(met["rep"])).select(met["text_hash"], "rep", blocks("text", "spans").alias("b"))
-    held = materialize(joined.select("text_hash", "rep", "b.starts", "b.blocks", "b.cells"), "blocks")  # a repeated row's blocks come twice, which changes no run
+    held = materialize(joined.select("text_hash", "rep", "b.*"), "blocks")  # a repeated row's blocks come twice, which changes no run
     found = held.select("text_hash", "rep", F.explode(F.arrays_zip("starts", "blocks")).alias("x")).select("text_hash", "rep", F.col("x.starts").alias("start"), F.col("x.blocks").alias("block"))
     owner = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "text_hash", "start")).alias("o")
     classes = found.groupBy("block").agg(F.min("text_hash").alias("a"), F.max("text_hash").alias("b"), owner).where("a != b").select("block", F.col("o.rep").alias("owner_id"), F.col("o.text_hash").alias("owner_hash"), F.col("o.start").alias("owner_start"))
@@ -377,8 +465,8 @@ def find_passages(docs: DataFrame, text: str = "text", key: str = "doc_id", bloc
 
 def _similar_runs(held: DataFrame, block: int, similarity: float) -> DataFrame:
     """NEAR rows of the cells of held; cells of keys that only one text has, or only equal ones, are left out before."""
-    cells = held.select("rep", "text_hash", F.explode("cells").alias("c"))
-    cells = cells.select("c.key", "c.tokens", F.struct(F.col("rep").isNull().alias("none"), "rep", "text_hash", "c.lo", "c.first").alias("at"))
+    cells = held.select("rep", "text_hash", F.explode(F.arrays_zip("keys", "los", "firsts", "tokens")).alias("c"))
+    cells = cells.select(F.col("c.keys").alias("key"), "c.tokens", F.struct(F.col("rep").isNull().alias("none"), "rep", "text_hash", F.col("c.los").alias("lo"), F.col("c.firsts").alias("first")).alias("at"))
     # Equal cells are in the classes as a whole: one of them is compared, and copies meet in partial aggregates.
     alike = cells.groupBy("key", "tokens").agg(F.min("at").alias("at"))
     alike = materialize(alike, "cells")

@@ -294,6 +294,41 @@ def test_similar_blocks_of_cells():
         assert set(substring_dedup.similar(*cells, range(15), 0.8)) == brute_similar(a, b)
 
 
+def near_cells(rng, n):
+    """Cells of one key: edits of one passage that are less alike to one another than to it, some with repeated tokens."""
+    base, rows = [rng.getrandbits(32) for _ in range(75)], []
+    for i in range(n):
+        tokens = base[:]
+        for _ in range(rng.randint(0, 2)):
+            at = rng.randrange(70)
+            tokens[at : at + 5] = [rng.getrandbits(32) for _ in range(5)]
+        if rng.random() < 0.2:
+            tokens[:6] = tokens[:1] * 6
+        cut, end = rng.randint(0, 10), rng.randint(60, 75)
+        rows.append((7, i, cut, 45, b"".join(x.to_bytes(4, "little") for x in tokens[cut:end])))
+    return rows
+
+
+def test_large_keys_compare_few_cells(monkeypatch):
+    rows, calls = near_cells(random.Random(21), 400), Counter()
+    plain = substring_dedup.similar
+
+    def counted(*args):
+        found = plain(*args)
+        calls[bool(found)] += 1
+        return found
+
+    monkeypatch.setattr(substring_dedup, "similar", counted)
+    found = list(substring_dedup.near_runs(rows, 46, 0.8))
+    assert calls[True] > 300 and calls[False] < 0.2 * calls[True]
+    monkeypatch.setattr(substring_dedup.Heads, "PART", 64)
+    assert list(substring_dedup.near_runs(rows, 46, 0.8)) == found
+    few = calls[False]
+    monkeypatch.setattr(substring_dedup.Heads, "FEW", 1 << 30)  # every representative
+    assert list(substring_dedup.near_runs(rows, 46, 0.8)) == found
+    assert calls[False] > 20 * few
+
+
 def test_windows_of_texts_taken_together(monkeypatch):
     rng = random.Random(15)
     texts = [" ".join(words(rng, rng.randint(0, 120))) for _ in range(60)] + ["", "Été_à ÉVRY! ΣΑΣ İx 中文 " * 20, "ab" * 40 + " c " + "d" * 9 + " e" * 70, "same word " * 90]

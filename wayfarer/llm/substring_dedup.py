@@ -300,76 +300,65 @@ def similar(cell: Cell, other: Cell, starts: Iterable[int], similarity: float) -
     return found | {s: t for s, t, d in zip(rest, far.argmin(axis=1).tolist(), far.min(axis=1).tolist(), strict=True) if d < 1 << 30}
 
 
-def at_least(sets: list[int], need: int) -> int:
-    """The bits that are set in need of the sets or more: a bit-wise adder, all places at once."""
-    if len(sets) < need:
-        return 0
-    planes: list[int] = []
-    for carry in sets:
-        k = 0
-        while carry:
-            if k == len(planes):
-                planes.append(carry)
-                break
-            planes[k], carry = planes[k] ^ carry, planes[k] & carry
-            k += 1
-    more, same = 0, -1
-    for k in range(max(len(planes), need.bit_length()) - 1, -1, -1):
-        plane = planes[k] if k < len(planes) else 0
-        if need >> k & 1:
-            same &= plane
-        else:
-            more |= same & plane
-            same &= ~plane
-    return more | same
-
-
 class Heads:
-    """A key's representatives, and for each token the set of those that hold it, PART of them at a time."""
+    """A key's representatives, and for each token those that hold it as the bits of a number, of PART or so at a time.
+
+    One without repeated tokens has a bit, as its blocks are of one size; of others each block has one. owners and sizes: for each bit the representative and its block's size.
+    """
 
     PART, FEW = 1024, 8
 
-    def __init__(self, similarity: float):
-        self.similarity, self.cells, self.parts, self.repeating, self.known = similarity, [], [], [], 0
+    def __init__(self, similarity: float, block: int):
+        self.share, self.width = similarity / (1 + similarity), -(-max(self.PART, block) // 8)
+        self.cells, self.parts, self.owners, self.sizes, self.known = [], [], [], [], 0
 
     def add(self, cell: Cell) -> None:
         self.cells.append(cell)
 
     def _put_in(self, cell: Cell) -> None:
-        n = self.known % self.PART
-        if n == 0:
+        sets = [cell.all] if cell.single else [cell.at(s) for s in range(cell.count)]
+        if not self.parts or len(self.owners[-1]) + len(sets) > 8 * self.width:
             self.parts.append({})
-            self.repeating.append(0)
-        part = self.parts[-1]
-        for x in cell.all:
-            part[x] = part.get(x, 0) | 1 << n
-        self.repeating[-1] |= (not cell.single) << n
+            self.owners.append([])
+            self.sizes.append([])
+        part, owners = self.parts[-1], self.owners[-1]
+        for held in sets:
+            bit = 1 << len(owners)
+            for x in held:
+                part[x] = part.get(x, 0) | bit
+            owners.append(self.known)
+            self.sizes[-1].append(min(len(held), cell.block))
         self.known += 1
 
+    def able(self, cell: Cell, i: int) -> np.ndarray:
+        """For each block of the cell and each bit of a part, whether it has so many of the block's tokens as a similar block shares."""
+        part, (names, inside), sizes = self.parts[i], cell.contents(), np.array(self.sizes[i], np.float32)
+        held = np.frombuffer(b"".join([part.get(x, 0).to_bytes(self.width, "little") for x in names.tolist()]), np.uint8).reshape(-1, self.width)
+        shared = inside.T @ np.unpackbits(held, axis=1, count=len(sizes), bitorder="little").astype(np.float32)
+        # Sets of a and b tokens with that similarity share this part of a + b or more.
+        return shared >= (inside.sum(axis=0)[:, None] + sizes) * np.float32(self.share) - np.float32(1e-3)
+
     def after(self, cell: Cell, left: list[int]) -> Iterator[Cell]:
-        """Those that share so many tokens with a block of the cell as a similar one must, or all if they are few, in order; left is what the caller has left by then."""
+        """Those that may have a block similar to one of left, or all if they are few, in order; left is what the caller has left by then."""
         if len(self.cells) <= self.FEW:  # most keys never have more, and need no sets
             yield from self.cells
             return
         for held in self.cells[self.known :]:
             self._put_in(held)
-        smallest = cell.block if cell.single else int(cell.contents()[1].sum(axis=0).min())
-        need = max(1, math.ceil(self.similarity * smallest - 1e-9))
-        for i, part in enumerate(self.parts):
-            sets = [part.get(x, 0) for x in cell.tokens]
-            met = at_least([x for x in sets if x] if cell.single else [part[x] for x in cell.all if x in part], need)
-            if met.bit_count() > self.FEW and cell.single:
-                # With repeated tokens on neither side similar blocks of equal size share more.
-                both = math.ceil(2 * self.similarity / (1 + self.similarity) * cell.block - 1e-9)
-                odd, fine = met & self.repeating[i], 0
-                for s in left:
-                    held = [y for x in sets[s : s + cell.block] if (y := x & met)]
-                    fine |= at_least(held, both) | (odd and odd & at_least(held, need))
-                met = fine
-            while met and left:
-                low = met & -met
-                yield self.cells[i * self.PART + low.bit_length() - 1]
-                met ^= low
+        last = -1
+        for i, owners in enumerate(self.owners):
+            able, at = self.able(cell, i), 0
+            while left and at < len(owners):
+                before = len(left)
+                for k in (np.flatnonzero(able[left, at:].any(axis=0)) + at).tolist():
+                    at = k + 1
+                    if owners[k] != last:
+                        last = owners[k]
+                        yield self.cells[last]
+                        if len(left) < before:  # fewer may do for what is left
+                            break
+                else:
+                    break
 
 
 NEAR = T.StructType([T.StructField("text_hash", T.LongType()), T.StructField("lo", T.IntegerType()), T.StructField("hi", T.IntegerType()), T.StructField("owner_hash", T.LongType()), T.StructField("owner_start", T.IntegerType()), T.StructField("near", T.BooleanType())])
@@ -381,10 +370,10 @@ def near_runs(rows: Iterable[tuple[int, int, int, int, bytes]], block: int, simi
     Each start is given to the first representative that is similar; a cell with a start left becomes one itself.
     Equal blocks are left to the classes: a run has one that is not equal. near is false where all that is left of its blocks is equal.
     """
-    last, heads = None, Heads(similarity)
+    last, heads = None, Heads(similarity, block)
     for key, text, lo, first, tokens in rows:
         if key != last:
-            last, heads = key, Heads(similarity)
+            last, heads = key, Heads(similarity, block)
         cell = Cell(text, lo, first, tokens, block)
         left = list(range(cell.count))
         for head in heads.after(cell, left):

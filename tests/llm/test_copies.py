@@ -329,6 +329,27 @@ def test_large_keys_compare_few_cells(monkeypatch):
     assert calls[False] > 20 * few
 
 
+def test_large_keys_are_compared_in_turns(spark, monkeypatch):
+    rows = near_cells(random.Random(22), 150) + [(8, *x[1:]) for x in near_cells(random.Random(23), 60)] + [(9, *x[1:]) for x in near_cells(random.Random(24), 20)]
+    held = spark.createDataFrame([(None if i == 3 else i, i, [key], [lo], [first], [tokens]) for key, i, lo, first, tokens in rows], "rep long, text_hash long, keys array<long>, los array<int>, firsts array<int>, tokens array<binary>")
+    ordered = sorted(rows, key=lambda x: (x[0], x[1] == 3, x[1]))
+    different = sorted({(x[0], x[4]): i for i, x in reversed([*enumerate(ordered)])}.values())
+    plain = set(substring_dedup.near_runs([ordered[i] for i in different], 46, 0.8))
+    turns, written = [], substring_dedup.materialize
+
+    def noted(df, name):
+        found = written(df, name)
+        if name in ("turn", "rest"):
+            turns.append((name, found.where("cell").count()))
+        return found
+
+    monkeypatch.setattr(substring_dedup, "materialize", noted)
+    found = substring_dedup._similar_runs(held, 46, 0.8, together=25).collect()
+    assert {tuple(x) for x in found} == plain and len(found) == len(plain)
+    assert len(turns) >= 7 and max(n for name, n in turns if name == "turn") < 100
+    assert {tuple(x) for x in substring_dedup._similar_runs(held, 46, 0.8).collect()} == plain
+
+
 def test_windows_of_texts_taken_together(monkeypatch):
     rng = random.Random(15)
     texts = [" ".join(words(rng, rng.randint(0, 120))) for _ in range(60)] + ["", "Été_à ÉVRY! ΣΑΣ İx 中文 " * 20, "ab" * 40 + " c " + "d" * 9 + " e" * 70, "same word " * 90]

@@ -23,7 +23,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Iterator
 from functools import cache
-from itertools import accumulate, pairwise
+from itertools import accumulate, batched, pairwise
 
 import numpy as np
 import pandas as pd
@@ -309,7 +309,7 @@ class Heads:
     PART, FEW = 1024, 8
 
     def __init__(self, similarity: float, block: int):
-        self.share, self.width = similarity / (1 + similarity), -(-max(self.PART, block) // 8)
+        self.similarity, self.share, self.width = similarity, similarity / (1 + similarity), -(-max(self.PART, block) // 8)
         self.cells, self.parts, self.owners, self.sizes, self.known = [], [], [], [], 0
 
     def add(self, cell: Cell) -> None:
@@ -364,11 +364,38 @@ class Heads:
 NEAR = T.StructType([T.StructField("text_hash", T.LongType()), T.StructField("lo", T.IntegerType()), T.StructField("hi", T.IntegerType()), T.StructField("owner_hash", T.LongType()), T.StructField("owner_start", T.IntegerType()), T.StructField("near", T.BooleanType())])
 
 
+def cell_runs(cell: Cell, heads: Heads, left: list[int]) -> Iterator[tuple[int, int, int, int, int, bool]]:
+    """NEAR rows of the starts of left that a representative has a similar block to, the first that has; they are taken out of left.
+
+    Equal blocks are left to the classes: a run has one that is not equal. near is false where all that is left of its blocks is equal.
+    """
+    block = cell.block
+    for head in heads.after(cell, left):
+        if not left:
+            break
+        if head.text == cell.text:
+            continue
+        found = similar(cell, head, left, heads.similarity)
+        left[:] = [s for s in left if s not in found]
+        run: list[int] = []
+        for s in [*sorted(found), None]:
+            if run and (s is None or s > run[-1] + 1):
+                if any(cell.raw[4 * x : 4 * (x + block)] != head.raw[4 * found[x] : 4 * (found[x] + block)] for x in run):
+                    ends = [run[0], run[-1]]
+                    own = [k for x in ends for k in cell.shared(x, head.at(found[x]))]
+                    theirs = [k for x in ends for k in head.shared(found[x], cell.at(x))]
+                    a, b, start, end = min(own), max(own) + 1, min(theirs), max(theirs) + 1
+                    differ = cell.tokens[a - cell.lo : b - cell.lo] != head.tokens[start - head.lo : end - head.lo]
+                    yield cell.text, a, b, head.text, start, differ
+                    yield head.text, start, end, head.text, start, differ
+                run = []
+            run.append(s)
+
+
 def near_runs(rows: Iterable[tuple[int, int, int, int, bytes]], block: int, similarity: float) -> Iterator[tuple[int, int, int, int, int, bool]]:
     """NEAR rows from (key, text_hash, lo, first, tokens), sorted by key and then from the owner on.
 
     Each start is given to the first representative that is similar; a cell with a start left becomes one itself.
-    Equal blocks are left to the classes: a run has one that is not equal. near is false where all that is left of its blocks is equal.
     """
     last, heads = None, Heads(similarity, block)
     for key, text, lo, first, tokens in rows:
@@ -376,30 +403,38 @@ def near_runs(rows: Iterable[tuple[int, int, int, int, bytes]], block: int, simi
             last, heads = key, Heads(similarity, block)
         cell = Cell(text, lo, first, tokens, block)
         left = list(range(cell.count))
-        for head in heads.after(cell, left):
-            if not left:
-                break
-            if head.text == text:
-                continue
-            found = similar(cell, head, left, similarity)
-            left[:] = [s for s in left if s not in found]
-            run: list[int] = []
-            for s in [*sorted(found), None]:
-                if run and (s is None or s > run[-1] + 1):
-                    if any(cell.raw[4 * x : 4 * (x + block)] != head.raw[4 * found[x] : 4 * (found[x] + block)] for x in run):
-                        ends = [run[0], run[-1]]
-                        own = [k for x in ends for k in cell.shared(x, head.at(found[x]))]
-                        theirs = [k for x in ends for k in head.shared(found[x], cell.at(x))]
-                        a, b, start, end = min(own), max(own) + 1, min(theirs), max(theirs) + 1
-                        differ = cell.tokens[a - cell.lo : b - cell.lo] != head.tokens[start - head.lo : end - head.lo]
-                        yield text, a, b, head.text, start, differ
-                        yield head.text, start, end, head.text, start, differ
-                    run = []
-                run.append(s)
+        yield from cell_runs(cell, heads, left)
         if left:
             heads.add(cell)
 
 
+#: Of a key with more cells than TOGETHER: NEAR rows where cell is false, cells with starts left where it is true. Nothing is null.
+STEP = T.StructType([T.StructField("cell", T.BooleanType()), *NEAR.fields, *(T.StructField(*x) for x in (("key", T.LongType()), ("place", T.LongType()), ("first", T.IntegerType()), ("tokens", T.BinaryType()), ("left", T.ArrayType(T.IntegerType())), ("turn", T.IntegerType()), ("slices", T.IntegerType())))])
+STATE = ["key", "place", "text_hash", "lo", "first", "tokens", "left", "turn", "slices"]
+
+
+def step_runs(rows: Iterable[tuple], block: int, similarity: float, alone: bool) -> Iterator[tuple]:
+    """STEP rows from (group, head, *STATE), sorted by key and group, representatives (head) first, then by place.
+
+    alone: the cells are all of their turn, and those with starts left become representatives; else they are compared with the turn's representatives only.
+    """
+    last, heads = None, Heads(similarity, block)
+    for group, head, key, place, text, lo, first, tokens, left, turn, slices in rows:
+        if (key, group) != last:
+            last, heads = (key, group), Heads(similarity, block)
+        cell = Cell(text, lo, first, tokens, block)
+        if head:
+            heads.add(cell)
+            continue
+        rest = list(range(cell.count)) if left is None else [int(x) for x in left]
+        for run in cell_runs(cell, heads, rest):
+            yield False, *run, key, place, 0, b"", [], turn, slices
+        if rest:
+            yield True, text, lo, 0, 0, 0, False, key, place, first, tokens, rest, turn, slices
+            if alone:
+                heads.add(cell)
+
+
 def find_passages(docs: DataFrame, text: str = "text", key: str = "doc_id", block: int = BLOCK, count: int = HASHES, similarity: float = SIMILARITY, words: int = WORDS) -> DataFrame:
     """doc_id, text_hash, start_word, end_word (exclusive), kind, owner_id, owner_start of each repeated passage.
 
@@ -452,28 +487,72 @@ def find_passages(docs: DataFrame, text: str = "text", key: str = "doc_id", bloc
     return out.unionByName(copies)
 
 
-def _similar_runs(held: DataFrame, block: int, similarity: float) -> DataFrame:
+#: Cells of a key that a task compares with one another. A key with more has them taken in turns.
+TOGETHER = 2048
+
+
+def _batches(rows: Iterable[tuple], names: list[str]) -> Iterator[pd.DataFrame]:
+    for batch in batched(rows, 4096):
+        yield pd.DataFrame(list(batch), columns=names)
+
+
+def _similar_runs(held: DataFrame, block: int, similarity: float, together: int = TOGETHER) -> DataFrame:
     """NEAR rows of the cells of held; cells of keys that only one text has, or only equal ones, are left out before."""
     cells = held.select("rep", "text_hash", F.explode(F.arrays_zip("keys", "los", "firsts", "tokens")).alias("c"))
     cells = cells.select(F.col("c.keys").alias("key"), "c.tokens", F.struct(F.col("rep").isNull().alias("none"), "rep", "text_hash", F.col("c.los").alias("lo"), F.col("c.firsts").alias("first")).alias("at"))
     # Equal cells are in the classes as a whole: one of them is compared, and copies meet in partial aggregates.
     alike = cells.groupBy("key", "tokens").agg(F.min("at").alias("at"))
     alike = materialize(alike, "cells")
-    keys = alike.groupBy("key").agg(F.min("at.text_hash").alias("a"), F.max("at.text_hash").alias("b")).where("a != b").select("key")
-    met = alike.join(materialize(keys, "keys"), "key", "left_semi").repartition("key").sortWithinPartitions("key", "at").select("key", "at.text_hash", "at.lo", "at.first", "tokens")
+    keys = alike.groupBy("key").agg(F.min("at.text_hash").alias("a"), F.max("at.text_hash").alias("b"), F.count("*").alias("n")).where("a != b").select("key", "n")
+    keys = materialize(keys, "keys")
+    many = F.col("n") > together
+    met = alike.join(keys.where(~many), "key", "left_semi").repartition("key").sortWithinPartitions("key", "at").select("key", "at.text_hash", "at.lo", "at.first", "tokens")
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = (x for f in frames for x in zip(*(f[c].tolist() for c in ("key", "text_hash", "lo", "first", "tokens")), strict=True))
-        batch: list[tuple] = []
-        for row in near_runs(rows, block, similarity):
-            batch.append(row)
-            if len(batch) == 4096:
-                yield pd.DataFrame(batch, columns=NEAR.names)
-                batch = []
-        if batch:
-            yield pd.DataFrame(batch, columns=NEAR.names)
-
-    return materialize(met.mapInPandas(compare, NEAR).distinct(), "near")
+        return _batches(near_runs(rows, block, similarity), NEAR.names)
+
+    found = met.mapInPandas(compare, NEAR)
+    if total := keys.where(many).agg(F.sum("n")).first()[0]:
+        for more in _runs_by_turns(alike.join(keys.where(many), "key", "left_semi"), total, block, similarity, together):
+            found = found.unionByName(more)
+    return materialize(found.distinct(), "near")
+
+
+def _runs_by_turns(cells: DataFrame, total: int, block: int, similarity: float, together: int) -> list[DataFrame]:
+    """NEAR rows of near_runs of cells (key, tokens, at), of whose keys a task has little more than together cells.
+
+    In a turn, each key's next cells, about together of them, are compared in one task; then all later cells are with the turn's representatives, in many.
+    So a cell meets the same representatives in the same order as if the key were in one task.
+    """
+    # Places are in the order of key and at, and a partition's are a run of it.
+    ordered = cells.repartitionByRange(math.ceil(4 * total / together), "key", "at").sortWithinPartitions("key", "at")
+    ordered = materialize(ordered.select("key", F.monotonically_increasing_id().alias("place"), "at.text_hash", "at.lo", "at.first", "tokens"), "places")
+    ordered = ordered.withColumn("run", F.shiftright("place", 33))
+    of_key = Window.partitionBy("key")
+    turns = ordered.groupBy("key", "run").agg(F.count("*").alias("n"))
+    turns = turns.withColumns({"before": F.sum("n").over(of_key.orderBy("run")) - F.col("n"), "all": F.sum("n").over(of_key)})
+    turns = turns.select("key", "run", F.floor(F.col("before") / together).cast("int").alias("turn"), F.ceil(2 * F.col("all") / together).cast("int").alias("slices"))
+    rest = materialize(ordered.join(turns, ["key", "run"]).withColumn("left", F.lit(None).cast("array<int>")).select(*STATE), "turns")
+
+    def step(rows: DataFrame, alone: bool, name: str) -> DataFrame:
+        def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held = (x for f in frames for x in zip(*(f[c].tolist() for c in ("slice", "head", *STATE)), strict=True))
+            return _batches(step_runs(held, block, similarity, alone), STEP.names)
+
+        return materialize(rows.repartition("key", "slice").sortWithinPartitions("key", "slice", F.desc("head"), "place").mapInPandas(compare, STEP), name)
+
+    found, last = [], rest.agg(F.max("turn")).first()[0]
+    for turn in range(last + 1):
+        own = step(rest.where(F.col("turn") == turn).withColumns({"slice": F.lit(0), "head": F.lit(False)}), True, "turn")
+        found.append(own.where("not cell").select(*NEAR.names))
+        if turn < last:
+            later = rest.where(F.col("turn") > turn).withColumns({"slice": F.expr("cast(pmod(xxhash64(place), slices) as int)"), "head": F.lit(False)})
+            heads = own.where("cell").withColumns({"slice": F.explode(F.sequence(F.lit(0), F.col("slices") - 1)), "head": F.lit(True)})
+            parts = step(heads.select(*later.columns).unionByName(later), False, "rest")
+            found.append(parts.where("not cell").select(*NEAR.names))
+            rest = parts.where("cell").select(*STATE)
+    return found
 
 
 def _near(runs: DataFrame, similarity: float, block: int) -> DataFrame:

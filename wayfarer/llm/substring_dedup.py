@@ -8,7 +8,7 @@ Within a text, the windows' intervals of block starts are joined across the hash
 their min-hash with another text under every hash are candidates. Equal candidates form a class, whose owner is the text of
 least id. Runs of starts with equal min-hashes are a text's cells: candidates that have them under every hash in another text lie in cells
 of one key, and are compared by the Jaccard similarity of their tokens with those of the key's representatives, the cells of
-lesser ids that are not all similar to others; from SIMILARITY they are near-duplicates. Blocks that follow one another make a passage. Passages of
+lesser ids that are not all similar to others; from SIMILARITY they are near-duplicates. Keys of many cells are taken in turns by many tasks. Blocks that follow one another make a passage. Passages of
 one pair of texts along nearly one diagonal with short gaps are put together if the equal tokens are SIMILARITY of the union.
 
 Equal texts are handled once, as one text of their least id; a text of 50 words or more that several documents have is
